@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import byte_bpe, mixing, quality, token_binary
+from netloom.llm import byte_bpe, mixing, quality, token_binary, top_products, warc
 from netloom.llm.shared import table
 
 
@@ -15,6 +15,15 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_binary.packed(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -36,6 +45,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op3_top_products": op3_top_products,
     "op4_token_binary": op4_token_binary,
     "op5_mixing": op5_mixing,
     "op8_quality_rules": op8_quality_rules,
@@ -44,6 +55,16 @@ QUERIES = {
 
 #: SQL of the corpus operators for DuckDB.
 SQL = {
+    "op3_top_products": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
     "op5_mixing": """
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
@@ -78,10 +99,10 @@ FROM queued q LEFT JOIN takes t ON q.doc_id = t.doc_id AND q.size = t.size AND q
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
          coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
   FROM documents),
-at AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d),
-windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS n FROM at),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS n FROM starts),
 covered AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
   FROM windows, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE n > 1 GROUP BY doc_id),
@@ -91,7 +112,7 @@ counts AS (
          CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-         len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i - 1])) AS stutters
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS stutters
   FROM d LEFT JOIN covered USING (doc_id)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
