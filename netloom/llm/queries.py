@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import byte_bpe, mixing, quality, token_binary, top_products, warc
+from netloom.llm import byte_bpe, html_text, mixing, quality, token_binary, token_counts, top_products, warc
 from netloom.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -33,6 +37,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).drop("epochs")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    out = token_counts.attributed(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rule="first")
+    return out.drop("field").withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -46,9 +58,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_html_text": op2_html_text,
     "op3_top_products": op3_top_products,
     "op4_token_binary": op4_token_binary,
     "op5_mixing": op5_mixing,
+    "op6_token_counts": op6_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
