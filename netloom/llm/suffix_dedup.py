@@ -35,13 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from netloom.llm.shared import fresh_path, shuffle_width, written
+from netloom.llm.kept_texts import Texts
+from netloom.llm.shared import shuffle_width, written
 
 LENGTH, WINDOW, GRAM = 200, 64, 16
 CORE = LENGTH - WINDOW + 1
@@ -258,27 +257,6 @@ def partners(lcps: np.ndarray, sizes: np.ndarray, lefts: list[bytes], copies: np
     return least, most
 
 
-class Texts:
-    """Documents in a table of the shared folder; a document is known by its file and its row there."""
-
-    def __init__(self, path: str):
-        self.path = path
-        store, root = fs.FileSystem.from_uri(path)
-        self.files = sorted(x.path for x in store.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet"))
-
-    def batches(self, file: int, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(self.path)
-        with store.open_input_file(self.files[file]) as f:
-            yield from pq.ParquetFile(f).iter_batches(1000, columns=columns)
-
-    def rows(self, file: int, column: str) -> Iterator[tuple[int, bytes]]:
-        row = 0
-        for batch in self.batches(file, [column]):
-            for text in batch.column(0):
-                yield row, (text.as_py() or "").encode()
-                row += 1
-
-
 def _u4(x) -> bytes:
     return np.asarray(x).astype("<u4").tobytes()
 
@@ -500,9 +478,7 @@ def deduplicated(docs: DataFrame, column: str = "text") -> DataFrame:
     """The rows of docs with `_n_bytes`, `_n_removed`, `_n_spans` and `_kept` (the bytes left, joined)."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    path = fresh_path(spark, "suffix-texts")
-    docs.write.option("compression", "zstd").parquet(path)
-    texts = Texts(path)
+    texts = Texts.of(docs, "suffix-texts")
     names = docs.columns
     schema = StructType(docs.schema.fields).add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long").add("_kept", "binary")
     n_files = len(texts.files)
