@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import byte_bpe, html_text, mixing, quality, suffix_dedup, token_binary, token_counts, top_products, warc
+from netloom.llm import byte_bpe, html_text, mixing, near_duplicates, quality, suffix_dedup, token_binary, token_counts, top_products, warc
 from netloom.llm.shared import table
 
 
@@ -45,6 +45,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("field").withColumn("n_tokens", F.col("n_tokens").cast("long"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.joined(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op4_token_binary": op4_token_binary,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
