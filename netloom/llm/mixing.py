@@ -29,8 +29,8 @@ SOURCE_BUCKETS, TIME_BUCKETS = 1024, 4096
 WEIGHTS = (1, 2, 3)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and the columns of the shuffled order."""
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size, the columns of the shuffled order, and more columns."""
     key = F.md5(F.concat_ws("~", F.lit("mix"), F.col("doc_id").cast("string")))
     return docs.select(
         "doc_id",
@@ -38,6 +38,7 @@ def sized(docs: DataFrame) -> DataFrame:
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         key.alias("key"),
         F.conv(F.substring(key, 1, 3), 16, 10).cast("int").alias("bucket"),
+        *more,
     ).withColumn("bucket", (F.col("bucket") * SOURCE_BUCKETS / 4096).cast("int"))
 
 
@@ -83,32 +84,55 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     )
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and epochs: how often the mix takes the document."""
+def _queued(sizes: DataFrame, dims: DataFrame) -> DataFrame:
+    """sizes with its source's rank, source_size and target, and `queued`: the words queued up to and with the row.
+
+    dims has a row a source; it is broadcast if it has few, else joined.
+    """
+    small = F.broadcast(dims) if dims.count() < 100_000 else dims
+    with_source = sizes.join(small, sizes["source"].eqNullSafe(dims["source"])).drop("source")
+    return running_total(with_source, ["rank"], "bucket", [F.col("key"), F.col("size")], "size", "queued")
+
+
+def _turn(epoch: int) -> Column:
+    """A row's place in the global order when it is queued for the epoch."""
+    time = (F.lit(epoch) * F.col("source_size") + F.col("queued")).cast("double") / F.col("target")
+    return F.struct(time.alias("time"), F.col("rank"), F.lit(epoch).alias("epoch"), F.col("key"), F.col("size"))
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], max_epochs: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Sources, the queue of all documents, and how often a row of the queue is taken: up to the last
+    turn, in the order of finish times, before the words taken exceed all words."""
     sizes = written(sized(docs), "mix-sizes")
     dims = written(targets(sizes, weights, max_epochs), "mix-targets")
-    with_source = sizes.join(F.broadcast(dims) if dims.count() < 100_000 else dims, sizes["source"].eqNullSafe(dims["source"])).drop("source")
-    queued = written(
-        running_total(with_source, ["rank"], "bucket", [F.col("key"), F.col("size")], "size", "queued"), "mix-queue"
-    )
+    queued = written(_queued(sizes, dims), "mix-queue")
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]  # one number
-
-    finish = lambda e: (F.lit(e) * F.col("source_size") + F.col("queued")).cast("double") / F.col("target")
-    turn = lambda e: F.struct(finish(e).alias("time"), F.col("rank"), F.lit(e).alias("epoch"), F.col("key"), F.col("size"))
     turns = (
         queued.filter((F.col("size") > 0) & (F.col("target") > 0))
-        .select(F.explode(F.array(*[turn(e) for e in range(max_epochs)])).alias("turn"))
+        .select(F.explode(F.array(*[_turn(e) for e in range(max_epochs)])).alias("turn"))
         .select("turn", "turn.time", "turn.size", F.floor(F.col("turn.time") * TIME_BUCKETS).alias("slot"))
     )
     merged = running_total(turns, [], "slot", [F.col("turn")], "size", "words")
-    cut = merged.filter(F.col("words") <= total).agg(F.max("turn").alias("cut"))
-    last = cut.first()["cut"]  # one row
+    last = merged.filter(F.col("words") <= total).agg(F.max("turn").alias("cut")).first()["cut"]  # one row
     if last is None:
-        epochs = F.lit(0)
-    else:
-        bound = F.struct(*[F.lit(last[f]).cast(t).alias(f) for f, t in (("time", "double"), ("rank", "int"), ("epoch", "int"), ("key", "string"), ("size", "long"))])
-        taken = [((F.col("size") > 0) & (F.col("target") > 0) & (turn(e) <= bound)).cast("int") for e in range(max_epochs)]
-        epochs = sum(taken[1:], taken[0])
+        return dims, queued, F.lit(0)
+    kinds = (("time", "double"), ("rank", "int"), ("epoch", "int"), ("key", "string"), ("size", "long"))
+    bound = F.struct(*[F.lit(last[f]).cast(t).alias(f) for f, t in kinds])
+    taken = [((F.col("size") > 0) & (F.col("target") > 0) & (_turn(e) <= bound)).cast("int") for e in range(max_epochs)]
+    return dims, queued, sum(taken[1:], taken[0])
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and epochs: how often the mix takes the document."""
+    _, queued, epochs = _plan(docs, weights, max_epochs)
     return queued.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.cast("int").alias("epochs")
     )
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
+    """The documents of the mix, with their columns, each as often as it is taken."""
+    dims, _, epochs = _plan(docs, weights, max_epochs)
+    rows = sized(docs.withColumn("_doc", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), "_doc")
+    repeated = _queued(rows, dims).withColumn("_epochs", epochs).filter("_epochs > 0")
+    return repeated.select(F.explode(F.array_repeat("_doc", F.col("_epochs").cast("int"))).alias("_doc")).select("_doc.*")

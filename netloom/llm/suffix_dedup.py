@@ -474,13 +474,17 @@ def unions(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], reach[np.append(np.flatnonzero(first)[1:] - 1, len(reach) - 1)]
 
 
-def deduplicated(docs: DataFrame, column: str = "text") -> DataFrame:
-    """The rows of docs with `_n_bytes`, `_n_removed`, `_n_spans` and `_kept` (the bytes left, joined)."""
+def deduplicated(docs: DataFrame, column: str = "text", replace: bool = False) -> DataFrame:
+    """The rows of docs with `_n_bytes`, `_n_removed`, `_n_spans` and `_kept` (the bytes left, joined).
+
+    With `replace` the rows have no more columns, but the text becomes what is left of it, without
+    characters that lost a byte; a null text stays null.
+    """
     spark = docs.sparkSession
     width = shuffle_width(spark)
     texts = Texts.of(docs, "suffix-texts")
     names = docs.columns
-    schema = StructType(docs.schema.fields).add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long").add("_kept", "binary")
+    schema = docs.schema if replace else StructType(docs.schema.fields).add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long").add("_kept", "binary")
     n_files = len(texts.files)
     if not n_files:
         return spark.createDataFrame([], schema)
@@ -512,12 +516,13 @@ def deduplicated(docs: DataFrame, column: str = "text") -> DataFrame:
                     n_spans.append(len(s))
                     kept.append(b"".join(data[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(data)])))
                 base += len(batch)
+                if replace:
+                    columns = list(batch.columns)
+                    left = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(columns[text_at].to_pylist(), kept)]
+                    columns[text_at] = pa.array(left, pa.string())
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                    continue
                 more = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
 
     return spans.unionByName(every).repartitionById(n_files, "file").mapInArrow(cut, schema)
-
-
-def whole_characters(data: bytes, kept: bytes) -> str:
-    """What is left of a text, without bytes of characters that were cut."""
-    return kept.decode("utf-8", "ignore")
