@@ -196,8 +196,8 @@ def excess_summary(mi: DataFrame, r: DataFrame, margin: float = 0.1) -> DataFram
 
 
 def histogram2d(both: DataFrame, x: str, y: str, n: int = 120) -> DataFrame:
-    """bx, by, pairs: equal-width counts over the ranges of x and y."""
+    """x_bin, y_bin, pairs: equal-width counts over the ranges of x and y."""
     span = both.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
     cell = lambda v, a, b: F.least(F.floor((F.col(v) - F.col(a)) / (F.col(b) - F.col(a)) * n), F.lit(n - 1)).cast("int")
-    at = both.crossJoin(F.broadcast(span)).select(cell(x, "x0", "x1").alias("bx"), cell(y, "y0", "y1").alias("by"))
-    return at.groupBy("bx", "by").agg(F.count("*").alias("pairs"))
+    at = both.crossJoin(F.broadcast(span)).select(cell(x, "x0", "x1").alias("x_bin"), cell(y, "y0", "y1").alias("y_bin"))
+    return at.groupBy("x_bin", "y_bin").agg(F.count("*").alias("pairs"))

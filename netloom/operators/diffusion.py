@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 from netloom.operators import dependence
 from netloom.operators.calibrate import symmetric
 
-#: Steps after which the state is written, so that plans stay short and lost executors cost little.
-EVERY = 4
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once: each step uses the one before more than once, so plans would double with every step.
 
-
-def _kept(df: DataFrame, step: int) -> DataFrame:
-    if step % EVERY == 0 and df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df
+    A checkpoint where a folder for it is set, which also cuts the lineage; else cached.
+    """
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
 
 def step(a: DataFrame, e: DataFrame, alpha: float, signs: DataFrame | None = None) -> DataFrame:
@@ -33,9 +31,11 @@ def step(a: DataFrame, e: DataFrame, alpha: float, signs: DataFrame | None = Non
 def diffused(a: DataFrame, e: DataFrame, steps: int, alpha: float = 0.5, correlations: DataFrame | None = None) -> DataFrame:
     """t, var, sample, e for t = 0 to steps; with correlations, messages take their signs."""
     signs = None if correlations is None else symmetric(correlations, "r").select("src", "dst", F.signum("r").alias("sign"))
-    out, now = e.select(F.lit(0).alias("t"), "var", "sample", "e"), e
+    a, now = kept(a), kept(e)
+    signs = None if signs is None else kept(signs)
+    out = now.select(F.lit(0).alias("t"), "var", "sample", "e")
     for t in range(1, steps + 1):
-        now = _kept(step(a, now, alpha, signs), t)
+        now = kept(step(a, now, alpha, signs))
         out = out.unionByName(now.select(F.lit(t).alias("t"), "var", "sample", "e"))
     return out
 
@@ -62,6 +62,7 @@ def conditional_step(a: DataFrame, model: DataFrame, e: DataFrame, ranges: DataF
 
 def walked(a: DataFrame, steps: int, alpha: float = 0.5, columns: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, src, dst, p: the lazy walk's power ((1 - alpha) I + alpha A)^steps, of the given columns (var) only."""
+    a = kept(a)
     nodes = a.select(*keys, F.col("src").alias("v")).unionByName(a.select(*keys, F.col("dst").alias("v"))).distinct()
     ends = nodes if columns is None else nodes.join(columns.select(F.col("var").alias("v")), "v", "left_semi")
     now = ends.select(*keys, F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(1.0).alias("p"))
@@ -69,7 +70,7 @@ def walked(a: DataFrame, steps: int, alpha: float = 0.5, columns: DataFrame | No
         moved = a.select(*keys, F.col("src").alias("s"), F.col("dst").alias("src"), "w").join(now, [*keys, "src"])
         moved = moved.select(*keys, F.col("s").alias("src"), "dst", (alpha * F.col("w") * F.col("p")).alias("p"))
         stay = now.withColumn("p", (1 - alpha) * F.col("p"))
-        now = _kept(stay.unionByName(moved.select(*stay.columns)).groupBy(*keys, "src", "dst").agg(F.sum("p").alias("p")), t)
+        now = kept(stay.unionByName(moved.select(*stay.columns)).groupBy(*keys, "src", "dst").agg(F.sum("p").alias("p")))
     return now
 
 

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netloom.plans import catalog_core, catalog_eval
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Calibrated top-k edges of the embeddings' positions."""
+    return catalog_core.QUERIES["topk_edges"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return catalog_core.QUERIES | catalog_eval.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return catalog_core.SQL | catalog_eval.SQL
