@@ -18,6 +18,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ MAGIC = b"NLIDPACK"
 BLOCK_IDS = 8192
 #: Documents' tables are held until a shard closes: at most so many documents and ids a shard.
 SHARD_DOCS, SHARD_IDS = 1_000_000, 1 << 28
-#: What a worker remembers: encodings of chunks, and the longest chunk kept.
-KEPT_CHUNKS, KEPT_BYTES = 400_000, 64
+#: What a worker remembers at most: chunks, and their bytes.
+KEPT_CHUNKS, KEPT_BYTES = 1_200_000, 64 << 20
 MANIFEST = "shard string, documents long, ids long"
 
 
@@ -148,30 +149,102 @@ class Shard:
             k = stop
 
 
+#: A full stop or comma between a letter or digit and white space or the end.
+_STOP = re.compile(rb"(?<=[a-z0-9])[.,](?![^\x20\x09-\x0D])")
+#: Marks that an ASCII character may be composed with.
+_MARKS = re.compile("[\u0300-\u036f]")
+
+
+def plain(text: str) -> bytes:
+    """The text with ASCII letters in lower case and stops after words set apart: the tokenizer sees
+    the same words, and there are fewer different chunks. Texts with combining marks stay as they
+    are, since those may compose with one case only."""
+    data = text.encode()
+    return data if not text.isascii() and _MARKS.search(text) else _STOP.sub(rb" \g<0>", data.lower())
+
+
 class Chunks(dict):
-    """Encodings of what stands between ASCII white space; kept within bounds.
+    """Numbers of chunks, what stands between ASCII white space, and their ids in one array; kept within bounds.
 
-    Encoding chunk by chunk equals encoding the whole text only for tokenizers that drop white space
-    before they split, and whose splits and normal forms never cross it.
+    Encoding chunk by chunk equals encoding the whole text only for tokenizers that turn to lower
+    case and drop white space before they split, that part letters and digits from other characters,
+    and whose splits and normal forms never cross white space.
+
+    New chunks are encoded together. Words of Latin letters go GROUP to a text, since each ends in
+    its only token that ends a word; a group where this doesn't add up is encoded chunk by chunk.
     """
 
+    GROUP = 64
+
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
-
-    def of(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [x.split() for x in texts]
-        new = list(set().union(*split).difference(self)) if split else []
-        if len(self) + len(new) > KEPT_CHUNKS:
-            self.clear()
-            new = list(set().union(*split))
-        long: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
-                (self if len(chunk) <= KEPT_BYTES else long)[chunk] = np.array(e.ids, "<u4").tobytes()
-        get = self.__getitem__ if not long else lambda x: self[x] if x in self else long[x]
-        return [np.frombuffer(b"".join(map(get, x)), "<u4") for x in split]
+        vocabulary = tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        self.held = self.size = 0
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def __missing__(self, chunk: bytes) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for at in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Encodes the new chunks, whose numbers follow the known ones'."""
+        texts = [x.decode() for x in self.new]
+        first = len(self) - len(texts)
+        word = [x.isalpha() and (y or max(x) < "\u0250") for x, y in zip(texts, (c.isascii() for c in self.new))]
+        words = [k for k, w in enumerate(word) if w]
+        alone = [k for k, w in enumerate(word) if not w]
+        groups = [words[i : i + self.GROUP] for i in range(0, len(words), self.GROUP)]
+        found: dict[int, np.ndarray] = {}
+        for group, ids in zip(groups, self._encode([" ".join([texts[k] for k in g]) for g in groups])):
+            ids = np.array(ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                alone += group
+                continue
+            self._put(first + np.array(group), np.diff(ends, prepend=0), ids)
+        for k, ids in zip(alone, self._encode([texts[k] for k in alone])):
+            found[k] = np.array(ids, np.uint32)
+        if found:
+            self._put(first + np.array(list(found)), np.array([len(x) for x in found.values()]), np.concatenate([*found.values(), np.zeros(0, np.uint32)]))
+        self.held += sum(map(len, self.new))
+        self.new = []
+
+    def _put(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if len(self) > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(len(self), np.int64)]) for x in (self.starts, self.sizes))
+        if self.size + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.uint32)])
+        self.ids[self.size : self.size + len(ids)] = ids
+        self.starts[numbers] = self.size + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
+        self.size += len(ids)
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self) > KEPT_CHUNKS or self.held > KEPT_BYTES or self.size > KEPT_BYTES // 4:
+            self.forget()
+        number = self.__getitem__
+        numbers = [np.fromiter(map(number, x), np.int64, len(x)) for x in (plain(text).split() for text in texts)]
+        if self.new:
+            self._learn()
+        every = np.concatenate([*numbers, np.zeros(0, np.int64)])
+        sizes = self.sizes[every]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[every] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *(len(x) for x in numbers)])]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 _tokenizers: dict[str, Chunks] = {}
@@ -216,7 +289,7 @@ def write_packed(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -
         for batch in batches:
             doc_ids, texts = batch.columns
             for at in range(0, len(batch), 200):
-                encoded = own.of([(t.as_py() or "").encode() for t in texts[at : at + 200]])
+                encoded = own.of([t.as_py() or "" for t in texts[at : at + 200]])
                 for doc_id, ids in zip(doc_ids[at : at + 200].to_pylist(), encoded):
                     if writer is None:
                         part = f"{root}/_attempts/{task.taskAttemptId()}-{len(done)}"
