@@ -89,16 +89,16 @@ def marked(pages: DataFrame) -> DataFrame:
     """page_id, url, html, revisit, refers_to. Only keys are grouped; payloads move once, by page."""
     content = F.coalesce(F.encode("html", "utf-8"), F.lit(b""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(content).alias("sha1"), F.octet_length(content).alias("size"))
-    keys = keyed.select("page_id", "sha1", "size")
+    keyed = keyed.withColumn("page", F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "sha1", "size"))
+    keys = keyed.select("page_id", "page", "sha1", "size")
     groups = keys.groupBy("sha1", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = keys.join(groups, ["sha1", "size"]).select("page_id", "sha1", "size", "last").distinct()
-    same = [keyed[c].eqNullSafe(copies[c]) for c in ("page_id", "sha1", "size")]
-    turn = F.row_number().over(W.partitionBy("page_id", "sha1", "size").orderBy("url"))
-    rows = keyed.join(copies, same[0] & same[1] & same[2], "left").select(keyed["*"], "last", F.col("last").isNotNull().alias("copied"))
-    revisit = F.col("copied") & (~F.col("page_id").eqNullSafe(F.col("last")) | (turn > 1))
-    # where all ids of a group are null, its first row is the response
-    lone = F.col("page_id").isNull() & F.col("last").isNull() & (turn > 1)
-    return rows.withColumn("revisit", revisit | lone).select(
+    copies = keys.join(groups, ["sha1", "size"]).select("page", "last", F.lit(True).alias("copied")).distinct()
+    # merged, not broadcast: the rows of a page are then together for the window too, and html moves once
+    rows = keyed.drop("sha1", "size").join(copies.hint("merge"), "page", "left")
+    turn = F.row_number().over(W.partitionBy("page").orderBy("url"))
+    # of rows with the last id, and of those without an id where none has one, the first is the response
+    revisit = F.coalesce(F.col("copied"), F.lit(False)) & (~F.col("page_id").eqNullSafe(F.col("last")) | (turn > 1))
+    return rows.withColumn("revisit", revisit).select(
         "page_id", "url", "html", "revisit", F.when(F.col("revisit"), F.col("last")).alias("refers_to")
     )
 
@@ -108,7 +108,7 @@ def write_archives(pages: DataFrame, path: str) -> int:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
-        task, done, out, size, count, total, part = TaskContext.get(), 0, None, 0, 0, 0, ""
+        task, done, out, size, total, part = TaskContext.get(), 0, None, 0, 0, ""
 
         def close() -> None:
             out.close()
