@@ -484,7 +484,7 @@ def deduplicated(docs: DataFrame, column: str = "text", replace: bool = False) -
     width = shuffle_width(spark)
     texts = Texts.of(docs, "suffix-texts")
     names = docs.columns
-    schema = docs.schema if replace else StructType(docs.schema.fields).add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long").add("_kept", "binary")
+    schema = docs.schema if replace else StructType([*docs.schema.fields]).add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long").add("_kept", "binary")
     n_files = len(texts.files)
     if not n_files:
         return spark.createDataFrame([], schema)

@@ -164,7 +164,7 @@ class WarcReader(DataSourceReader):
                 held, size = [], 0
             held.append(x.path)
             size += x.size
-        return parts + ([Archives(held)] if held else [])
+        return [*parts, Archives(held)] if held or not parts else parts
 
     def accepts(self, head: dict) -> bool:
         for f in self.wanted:
