@@ -463,3 +463,91 @@ query(
     "score_permutation",
     O.with_(*_PAIRS) + "SELECT a.i, a.j, b.score FROM (SELECT i, j, row_number() OVER (ORDER BY i, j) AS k FROM ev) a JOIN (SELECT score, row_number() OVER (ORDER BY md5(concat_ws('~', '1', CAST(i AS VARCHAR), CAST(j AS VARCHAR)))) AS k FROM ev) b USING (k)",
 )(lambda s, d: R.shuffled_scores(_pairs(s, d), 1))
+
+# --- further truths, resampling and perturbation
+
+query(
+    "complex_sets",
+    """WITH c AS (SELECT CAST(n_regionkey AS VARCHAR) AS name, n_name || '_' || substr(n_name, 1, 2) AS components FROM nation),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY components) AS k FROM c)
+SELECT DISTINCT CASE WHEN k > 1 THEN name || '.' || k ELSE name END AS set_id, unnest(string_split(components, '_')) AS member FROM k""",
+)(lambda s, d: K.complexes(FX.table(s, d, "nation").select(F.col("n_regionkey").cast("string").alias("name"), F.concat_ws("_", "n_name", F.substring("n_name", 1, 2)).alias("components"))))
+query(
+    "perturbation_groups",
+    """WITH p AS (SELECT CAST(n_nationkey AS BIGINT) AS sample, ['r' || (n_nationkey % 3), 'r' || (n_nationkey % 4)] AS g FROM nation),
+o AS (SELECT sample, list_sort(list_distinct(g)) AS own FROM p), e AS (SELECT sample, array_to_string(own, '+') AS grp, unnest(own) AS regulator FROM o),
+t AS (SELECT 'r' || (s_suppkey % 3) AS regulator, count(DISTINCT s_name) AS n FROM supplier GROUP BY 1 HAVING count(DISTINCT s_name) >= 3)
+SELECT grp, regulator, sample, n FROM e JOIN t USING (regulator)""",
+)(
+    lambda s, d: K.perturbation_groups(
+        FX.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("sample"), F.concat(F.lit("R"), F.col("n_nationkey") % 3, F.lit(" and r"), F.col("n_nationkey") % 4).alias("genes")),
+        FX.table(s, d, "supplier").select(F.concat(F.lit("r"), F.col("s_suppkey") % 3).alias("regulator"), F.col("s_name").alias("target")), 3,
+    )
+)
+query("binding_grades", f"SELECT p_brand AS factor, p_partkey % 5 AS target, {rsql('avg(CAST(p_size AS DOUBLE))', 'grade')} FROM part WHERE regexp_matches(p_type, '[A-M]$') GROUP BY 1, 2")(
+    lambda s, d: r6(K.binding(FX.table(s, d, "part").select(F.col("p_brand").alias("factor"), (F.col("p_partkey") % 5).alias("target"), F.col("p_type").alias("experiment"), F.col("p_size").cast("double").alias("value")), "[A-M]$"), "grade")
+)
+
+
+def _named_edges(s, d):
+    from netloom.sources.readers import edge_list
+
+    n = FX.table(s, d, "nation")
+    edges = n.select(F.col("n_name").alias("a"), "n_nationkey", "n_regionkey")
+    other = n.select(F.col("n_name").alias("b"), F.col("n_regionkey").alias("r2"), F.col("n_nationkey").alias("k2"))
+    own = edges.join(other, (F.col("n_regionkey") == F.col("r2")) & (F.col("n_nationkey") < F.col("k2"))).select("a", "b", (F.col("n_nationkey") + F.col("k2")).alias("weight"))
+    return edge_list(own, n.filter("n_nationkey < 20").select(F.col("n_nationkey").cast("int").alias("var"), F.col("n_name").alias("name")), True)
+
+
+query(
+    "edge_list_matrix",
+    """WITH e AS (SELECT CAST(a.n_nationkey AS INTEGER) AS x, CAST(b.n_nationkey AS INTEGER) AS y, CAST(a.n_nationkey + b.n_nationkey AS DOUBLE) AS w
+  FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE b.n_nationkey < 20)
+SELECT x AS src, y AS dst, w FROM e UNION ALL SELECT y, x, w FROM e""",
+)(_named_edges)
+query(
+    "jackknife_delete_d",
+    O.with_(*_JACK) + f"SELECT count(*) AS reps, {rsql('avg(ap)', 'mean')}, {rsql('stddev_samp(ap) * sqrt(80 / 20.0)', 'se')}, {rsql('avg(ap) - 1.96 * stddev_samp(ap) * sqrt(80 / 20.0)', 'low')}, {rsql('avg(ap) + 1.96 * stddev_samp(ap) * sqrt(80 / 20.0)', 'high')} FROM ja",
+)(lambda s, d: r6(S.delete_d(_jack(s, d).withColumn("m", F.lit("ap")), ["m"], "ap", 100, 20, 8).drop("m"), "mean", "se", "low", "high"))
+_ERF = "t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-a * a)"
+query("two_sided_p", O.with_(_TESTS) + f", z AS (SELECT id, abs(d * 300) / sqrt(2.0) AS a, 1 / (1 + 0.3275911 * abs(d * 300) / sqrt(2.0)) AS t FROM te) SELECT id, {rsql(_ERF, 'p')} FROM z")(
+    lambda s, d: r6(_tests(s, d).select("id", S.two_sided_p(F.col("d") * 300).alias("p")), "p")
+)
+query("unstable_flags", O.with_("sup") + "SELECT var, count(*) FILTER (x > 0) < 60 AS unstable FROM m GROUP BY var")(
+    lambda s, d: S.unstable(FX.suppliers(s, d).withColumn("v", F.when(F.col("x") > 0, F.col("x"))), ["var"], "v", 60)
+)
+query(
+    "subset_counts",
+    O.with_("grp", _SMP)
+    + f""", wa AS (SELECT lab, count(*) AS want FROM sm WHERE grp = '3' GROUP BY 1), po AS (SELECT lab, count(*) AS n FROM sm WHERE grp <> '3' GROUP BY 1)
+SELECT lab, want, n, {rsql("CASE WHEN want > n THEN 0.0 ELSE list_reduce(list_transform(range(1, want + 1), lambda i: ln(CAST(n - want + i AS DOUBLE) / i)), lambda a, b: a + b) END", "log_ways", 4)} FROM wa LEFT JOIN po USING (lab)""",
+)(lambda s, d: P.subsets(_smp(s, d), "3").select("lab", "want", "n", (F.round(F.ln("ways"), 4) + 0.0).alias("log_ways")))
+query(
+    "null_z",
+    O.with_("sup") + f"SELECT var, {rsql('CASE WHEN stddev_samp(x) > 0 THEN (max(x) - avg(x)) / stddev_samp(x) ELSE 0 END', 'z')} FROM m GROUP BY var",
+)(lambda s, d: r6(P.null_z((m := FX.suppliers(s, d)).groupBy("var").agg(F.max("x").alias("x")), m, "x"), "z"))
+query(
+    "multi_head_attention",
+    O.with_(*CC._SC, O.top_k(20), O.softmax(3.0, "tk", "s3"), O.softmax(8.0, "tk", "s8"), O.walk("s3", 2, name="wa"), O.walk("s8", 2, name="wb"), O.attention("wa2", "aa"), O.attention("wb2", "ab"))
+    + f"SELECT i, j, {rsql('sum(s) / 2', 's')} FROM (SELECT * FROM aa UNION ALL SELECT * FROM ab) GROUP BY 1, 2",
+)(
+    lambda s, d: r6(
+        CC.X.walked(CC.G.heads(CC._scores(s, d), (3, 8), 20), 2, keys=("head",)).filter("src <> dst")
+        .groupBy(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).agg((F.sum("p") / 4).alias("s")),
+        "s",
+    )
+)
+
+
+def _hc_gate(s, d):
+    from netloom.operators import null
+
+    values, hi = CC._values(s, d)
+    found = null.hc_gate(values, hi, CC._B)
+    return s.createDataFrame([(k + 1, round(v, 6) + 0.0) for k, v in enumerate(found)], "rank int, hc double")
+
+
+query("hc_gate")(_hc_gate)
+query("half_split", "SELECT n_nationkey FROM (SELECT n_nationkey, row_number() OVER (ORDER BY md5(concat_ws('~', '1', CAST(n_nationkey AS VARCHAR))), n_nationkey) AS k, count(*) OVER () AS n FROM nation) WHERE k <= floor(n * 0.5)")(
+    lambda s, d: S.kept_halves(FX.table(s, d, "nation").select(F.col("n_nationkey").alias("var")), 1).select(F.col("var").alias("n_nationkey"))
+)
