@@ -274,7 +274,7 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 PLACES = "file int, rows binary, places binary"
 HASHES = "target int, file int, hashes binary, often binary, rows binary, places binary"
-RUNS = "target int, lcps binary, lengths binary, tails binary, sizes binary, copies binary, files binary, rows binary, places binary"
+RUNS = "target int, lcps binary, lengths binary, tails binary, sizes binary, copies binary, file int, rows binary, places binary"
 SPANS = "file int, rows binary, starts binary, ends binary"
 
 
@@ -423,7 +423,7 @@ def _spans(candidates: DataFrame, texts: Texts, column: str, width: int) -> Data
                 part = items[at:end]
                 yield _batch(
                     RUNS,
-                    [(target, *coded, bytes(sizes), _u4(copies), _u4(np.full(len(part), file)), _u4([x[2] for x in part]), _u4([x[3] for x in part]))],
+                    [(target, *coded, bytes(sizes), _u4(copies), file, _u4([x[2] for x in part]), _u4([x[3] for x in part]))],
                 )
                 at = end
 
@@ -453,7 +453,8 @@ def _spans(candidates: DataFrame, texts: Texts, column: str, width: int) -> Data
             entries = np.concatenate(entry)
             n = len(lcps)
             least, most = partners(np.array(lcps, np.int64), np.array(sizes, np.int64), lefts, np.bincount(entries, minlength=n))
-            files, rows, places = (np.concatenate([_read(b[c]) for b in blocks]).astype(np.int64) for c in ("files", "rows", "places"))
+            rows, places = (np.concatenate([_read(b[c]) for b in blocks]).astype(np.int64) for c in ("rows", "places"))
+            files = np.repeat([b["file"] for b in blocks], [len(e) for e in entry])
             found = np.flatnonzero(most[entries] >= 0)
             found = found[np.argsort(files[found], kind="stable")]
             starts = places[found] - most[entries[found]]
