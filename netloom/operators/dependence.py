@@ -105,31 +105,36 @@ def _spread(x: np.ndarray, nb: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def _block_pairs(m: DataFrame, extra: list[str]) -> DataFrame:
-    """Variables as rows (block, var, extra..., x: values in the order of samples), dealt to pairs of blocks (p, q), p <= q."""
-    rows = m.groupBy("var", *extra).agg(F.sort_array(F.collect_list(F.struct("sample", "x"))).alias("xs"))
-    rows = rows.withColumn("x", F.col("xs.x")).withColumn("block", F.floor((F.dense_rank().over(W.orderBy("var")) - 1) / BLOCK).cast("int")).drop("xs")
-    last = rows.agg(F.max("block").alias("last"))
+def _block_pairs(m: DataFrame, extra: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Variables as rows (keys, block, var, extra..., x: values in the order of samples), dealt to pairs of
+    blocks (p, q), p <= q. Blocks are numbered from the variables alone, one narrow row each."""
+    names = m.select("var").distinct()
+    blocks = names.select("var", F.floor((F.row_number().over(W.orderBy("var")) - 1) / BLOCK).cast("int").alias("block"))
+    last = names.agg(F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last"))
+    rows = m.groupBy(*keys, "var", *extra).agg(F.sort_array(F.collect_list(F.struct("sample", "x"))).alias("xs"))
+    rows = rows.withColumn("x", F.col("xs.x")).drop("xs").join(blocks, "var")
     dealt = rows.crossJoin(F.broadcast(last)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     return dealt.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other", "last")
 
 
-def block_mi(m: DataFrame, nb: DataFrame, order: int = 3, self_pairs: bool = False) -> DataFrame:
-    """i, j, mi (i < j; with self_pairs i = j too) by products of blocks of weights."""
+def block_mi(m: DataFrame, nb: DataFrame, order: int = 3, self_pairs: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, i, j, mi (i < j; with self_pairs i = j too) by products of blocks of weights; keys are integers."""
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf.block == k].sort_values("var") for k in (pdf.p.iloc[0], pdf.q.iloc[0]))
         wa, wb = (_spread(np.stack(t.x.to_list()), t.nb.to_numpy(), order) for t in (a, b))
         n = wa.shape[2]
-        joint = (wa.reshape(-1, n) @ wb.reshape(-1, n).T / n).reshape(len(a), wa.shape[1], len(b), wb.shape[1])
-        own = lambda p, axes: -(np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0)).sum(axis=axes)
-        mi = own(wa.mean(axis=2), 1)[:, None] + own(wb.mean(axis=2), 1)[None, :] - own(joint, (1, 3))
+        plogp = lambda p: np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0)
+        mi = -plogp(wa.mean(axis=2)).sum(axis=1)[:, None] - plogp(wb.mean(axis=2)).sum(axis=1)[None, :]
+        right = wb.reshape(-1, n).T
+        for k in range(len(a)):  # a variable at a time keeps the joint table small
+            mi[k] += plogp(wa[k] @ right / n).reshape(wa.shape[1], len(b), wb.shape[1]).sum(axis=(0, 2))
         i, j = np.meshgrid(a["var"], b["var"], indexing="ij")
         keep = i <= j if self_pairs else i < j
-        return pd.DataFrame({"i": i[keep], "j": j[keep], "mi": mi[keep]})
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "i": i[keep], "j": j[keep], "mi": mi[keep]})
 
-    rows = _block_pairs(m.join(F.broadcast(nb), "var"), ["nb"])
-    return rows.groupBy("p", "q").applyInPandas(pair, "i int, j int, mi double")
+    rows = _block_pairs(m.join(F.broadcast(nb), "var"), ["nb"], keys)
+    return rows.groupBy(*keys, "p", "q").applyInPandas(pair, ", ".join([*(f"{k} int" for k in keys), "i int, j int, mi double"]))
 
 
 def mutual_information(m: DataFrame, rule: str | int = "hg", order: int = 3, transform: str = "none", path: str = "auto") -> DataFrame:

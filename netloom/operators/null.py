@@ -39,26 +39,7 @@ def replicates(m: DataFrame, b: int) -> DataFrame:
 
 def null_values(m: DataFrame, nb: DataFrame, b: int, order: int = 3, statistic: str = "clr") -> DataFrame:
     """rep, i, j, v: the statistic of all pairs in each replicate, with the observed bin counts."""
-    rep = replicates(m, b)
-    weights = F.struct("sample", "x")
-    rows = rep.groupBy("rep", "var").agg(F.sort_array(F.collect_list(weights)).alias("xs")).select("rep", "var", F.col("xs.x").alias("x"))
-
-    def all_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("var")
-        names, x, n_bins = pdf["var"].to_numpy(), np.stack(pdf.x.to_list()), pdf.nb.to_numpy()
-        w = dependence._spread(x, n_bins, order)
-        n, k = x.shape[1], w.shape[1]
-        plogp = lambda p: np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0)
-        own = -plogp(w.mean(axis=2)).sum(axis=1)
-        flat = w.reshape(-1, n)
-        out = []
-        for i in range(len(names) - 1):
-            joint = (w[i] @ flat[(i + 1) * k :].T / n).reshape(k, -1, k)
-            out.append(own[i] + own[i + 1 :] + plogp(joint).sum(axis=(0, 2)))
-        i, j = np.triu_indices(len(names), 1)
-        return pd.DataFrame({"rep": int(pdf.rep.iloc[0]), "i": names[i], "j": names[j], "mi": np.concatenate(out) if out else np.zeros(0)})
-
-    edges = rows.join(F.broadcast(nb), "var").groupBy("rep").applyInPandas(all_pairs, "rep int, i int, j int, mi double")
+    edges = dependence.block_mi(replicates(m, b), nb, order, keys=("rep",))
     if statistic == "mi":
         return edges.select("rep", "i", "j", F.col("mi").alias("v"))
     return calibrated(edges, "mi", keys=("rep",)).select("rep", "i", "j", F.col("score").alias("v"))
@@ -70,8 +51,9 @@ def top_of(values: DataFrame) -> float:
 
 
 def bin_of(v: str, hi: float, nbins: int = NBINS) -> Column:
-    """0 to nbins; the last holds what is beyond."""
-    return F.greatest(F.lit(0), F.least(F.floor(F.col(v) / (hi / nbins)), F.lit(nbins))).cast("int")
+    """0 to nbins; the last holds what is beyond. The greatest value of the first replicate lies on an
+    edge by construction, so a hair is added before rounding down."""
+    return F.greatest(F.lit(0), F.least(F.floor(F.col(v) / (hi / nbins) + 1e-9), F.lit(nbins))).cast("int")
 
 
 def histogram(values: DataFrame, hi: float, nbins: int = NBINS) -> DataFrame:

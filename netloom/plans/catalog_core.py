@@ -263,7 +263,7 @@ nv AS (SELECT e.rep, i, j, (greatest(CASE WHEN a.sd > 0 THEN (mi - a.mu) / a.sd
 
 
 _HI = "hi AS (SELECT greatest(1e-8, 1.25 * max(v)) / 20000 AS w FROM nv WHERE rep = 1)"
-_bin = lambda v: f"CAST(greatest(0, least(floor(({v}) / (SELECT w FROM hi)), 20000)) AS INTEGER)"
+_bin = lambda v: f"CAST(greatest(0, least(floor(({v}) / (SELECT w FROM hi) + 1e-9), 20000)) AS INTEGER)"
 _PV = f"""nbin AS (SELECT {_bin('v')} AS bin FROM nv),
 pv AS (SELECT i, j, score, (1.0 + (SELECT count(*) FROM nbin WHERE bin >= {_bin('score')})) / (1.0 + (SELECT count(*) FROM nbin)) AS p FROM sc)"""
 _BH = """bh AS (SELECT *, count(*) OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM pv),
