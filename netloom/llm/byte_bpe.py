@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded_sha256 string"
 #: Bounds of a worker's memory: pieces and token pairs that it remembers, and the longest piece kept.
-KEPT_PIECES, KEPT_PAIRS, KEPT_BYTES = 500_000, 1_000_000, 64
+KEPT_PIECES, KEPT_PAIRS, KEPT_BYTES = 300_000, 300_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,7 +43,7 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.longest = max(map(len, ranks))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left << 32 | right
         self.reachable: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
@@ -66,12 +66,12 @@ class Vocabulary:
         return known
 
     def may_follow(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
             known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.pairs[left, right] = known
+            self.pairs[left << 32 | right] = known
         return known
 
 
@@ -93,7 +93,7 @@ class Prefixes:
             if token is None or not v.is_own(token):
                 continue
             if start:
-                known = pairs.get((last[start - 1], token))
+                known = pairs.get(last[start - 1] << 32 | token)
                 if not (v.may_follow(last[start - 1], token) if known is None else known):
                     continue
             last.append(token)

@@ -41,7 +41,7 @@ WORDS, TREES, DEPTH, RECALL = 5, 16, 5, 0.9995
 #: Similarity asked for, as a fraction of integers.
 SIMILAR = (4, 5)
 BLOCK, COLUMNS = 512, 8192
-KEPT_WORDS, KEPT_BYTES = 500_000, 64
+KEPT_WORDS, KEPT_BYTES = 250_000, 64
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
