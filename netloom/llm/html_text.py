@@ -7,10 +7,12 @@ are pre-aggregated and no host's pages meet in one task. Classes on at least hal
 and at least MIN_PAGES are valid. They nest: a class whose tokens lie within the elements of another,
 and repeat where it doesn't, is a list inside it. What isn't a template token fills its slots.
 
-The text of a page is the slots of its article (article, main, or a role of main) without those in
-elements that are no main text (EXCLUDED, and the words of class, id and role in UNWANTED). A page
-without an article gives the slots outside such elements that aren't text of the host's template.
-Within an article, text is kept even where many pages of a host share it.
+The text of a page is its slots, what isn't text of the host's template, without those in elements
+that are no main text (EXCLUDED, and the words of class, id and role in UNWANTED). Articles (article,
+main, or a role of main) are a hint: they are the main text unless the slots outside of them hold more
+than the largest of them; then all slots are. Template text in an article goes where an element with
+a class, id or role inside the article holds it; in plain elements it is the author's and is kept even
+where many pages of a host share it.
 
 A block ends at tags of BLOCKS. Character references are decoded, white space in a block becomes one
 space, and blocks are joined by a newline in page order.
@@ -82,17 +84,20 @@ def attributes(text: str) -> tuple[str, bool, bool]:
 
 
 class Block:
-    __slots__ = ("article", "path", "text", "wanted")
+    """article: the number of the outermost article around it, 0 for none; marked: whether an element with a label inside the article holds it."""
 
-    def __init__(self, text: str, path: str, article: bool, wanted: bool):
-        self.text, self.path, self.article, self.wanted = text, path, article, wanted
+    __slots__ = ("article", "marked", "path", "text", "wanted")
+
+    def __init__(self, text: str, path: str, article: int, marked: bool, wanted: bool):
+        self.text, self.path, self.article, self.marked, self.wanted = text, path, article, marked, wanted
 
 
 def parsed(page: str) -> tuple[list[Block], Counter]:
     """The page's text blocks in order, and how often each of its tokens occurs."""
     blocks: list[Block] = []
     tokens: Counter = Counter()
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, True)]  # name, path, in an article, wanted
+    stack: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, True)]  # name, path, article, marked, wanted
+    articles = 0
     parts: list[str] = []
     at, n = 0, len(page)
 
@@ -104,8 +109,8 @@ def parsed(page: str) -> tuple[list[Block], Counter]:
                 text = html.unescape(text)
             text = " ".join(text.split())
             if text:
-                _, path, article, wanted = stack[-1]
-                blocks.append(Block(text, path, article, wanted))
+                _, path, article, marked, wanted = stack[-1]
+                blocks.append(Block(text, path, article, marked, wanted))
                 tokens[f"#{path}#{_short(text)}"] += 1
 
     while at < n:
@@ -135,7 +140,7 @@ def parsed(page: str) -> tuple[list[Block], Counter]:
                 k -= 1
             if k and (stack[k][0] == "p" or stack[k][0] == name and name in REPEATED) and name != "br":
                 del stack[k:]
-        _, path, article, wanted = stack[-1]
+        _, path, article, marked, wanted = stack[-1]
         own = f"{path}/{name}.{label}" if label else f"{path}/{name}"
         if len(own) > 400:
             own = f"{path[:100]}~{_short(own)}"
@@ -148,7 +153,12 @@ def parsed(page: str) -> tuple[list[Block], Counter]:
             continue
         is_article = name in ARTICLE or main
         excluded = name in EXCLUDED or unwanted and not is_article and name not in ("html", "body")
-        stack.append((name, own, article or is_article, wanted and not excluded))
+        if article:
+            marked = marked or bool(label) and not is_article
+        elif is_article:
+            articles += 1
+            article = articles
+        stack.append((name, own, article, marked, wanted and not excluded))
     end_block()
     return blocks, tokens
 
@@ -162,12 +172,14 @@ def _short(text: str) -> str:
 
 def main_text(page: str, template: frozenset[str]) -> str:
     """The main text of a page of a host with these template tokens."""
-    blocks, _ = parsed(page)
-    if any(b.article for b in blocks):
-        kept = [b.text for b in blocks if b.article and b.wanted]
-    else:
-        kept = [b.text for b in blocks if b.wanted and f"#{b.path}#{_short(b.text)}" not in template]
-    return "\n".join(kept)
+    slots = [b for b in parsed(page)[0] if b.wanted and (b.article and not b.marked or f"#{b.path}#{_short(b.text)}" not in template)]
+    size: Counter = Counter()
+    for b in slots:
+        size[b.article] += len(b.text)
+    outside = size.pop(0, 0)
+    if size and max(size.values()) >= outside:
+        slots = [b for b in slots if b.article]
+    return "\n".join(b.text for b in slots)
 
 
 def host_of(url: str = "url"):
