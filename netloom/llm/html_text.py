@@ -8,11 +8,14 @@ and at least MIN_PAGES are valid. They nest: a class whose tokens lie within the
 and repeat where it doesn't, is a list inside it. What isn't a template token fills its slots.
 
 The text of a page is its slots, what isn't text of the host's template, without those in elements
-that are no main text (EXCLUDED, and the words of class, id and role in UNWANTED). Articles (article,
-main, or a role of main) are a hint: they are the main text unless the slots outside of them hold more
-than the largest of them; then all slots are. Template text in an article goes where an element with
-a class, id or role inside the article holds it; in plain elements it is the author's and is kept even
-where many pages of a host share it.
+that are no main text: EXCLUDED, and those whose class, id or role has a name of boilerplate (UNWANTED,
+alone or with a word of AFFIXES) and that stand on MIN_PAGES different pages of the host or more; a
+host with fewer pages can't tell, and there the name decides. Such a name around an article counts
+only where another article with text is free of it. Articles (article, main, or a role of main) are a
+hint: they are the main text unless the slots outside of them hold more
+than the largest of them; then all slots are. Template text in an article goes where an element of
+NEUTRAL with a class, id or role inside the article holds it; in other elements it is the author's and
+is kept even where many pages of a host share it.
 
 A block ends at tags of BLOCKS. Character references are decoded, white space in a block becomes one
 space, and blocks are joined by a newline in page order.
@@ -39,7 +42,7 @@ from netloom.llm.shared import written
 
 #: Elements whose content is never main text.
 EXCLUDED = frozenset(
-    "nav header footer aside form script style noscript template svg math iframe object button select option textarea "
+    "nav header footer aside form script style noscript template svg iframe object button select option textarea "
     "head title menu dialog canvas audio video map datalist".split()
 )
 #: Elements whose content is no markup; it ends at their end tag only.
@@ -50,7 +53,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Words of class, id and role of elements that are no main text.
+#: Names in class, id and role of elements that are no main text.
 UNWANTED = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising advertorial sponsor sponsored promo promos promotion banner banners "
     "menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside complementary header headers masthead topbar footer footers "
@@ -58,9 +61,13 @@ UNWANTED = frozenset(
     "replies reply newsletter subscribe subscription signup login share sharing social related recommended recirc popup modal overlay widget widgets "
     "toolbar search pagination pager skip".split()
 )
+#: Words that such a name may have beside it, as in ad-box or site-footer.
+AFFIXES = frozenset("bar block box container links list site".split())
 #: Elements that end where the next of their kind starts.
 REPEATED = frozenset("li dt dd tr td th".split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements without a meaning of their own, of which templates are built.
+NEUTRAL = frozenset("div span ul ol a".split())
 #: An end tag closes the nearest of these at most this deep.
 DEEPEST = 256
 MIN_PAGES = 3
@@ -73,30 +80,38 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def attributes(text: str) -> tuple[str, bool, bool]:
-    """Class, id and role as written, whether they are unwanted, and whether the role is main."""
+    """Class, id and role as written, whether one is a name of boilerplate, and whether the role is main."""
     if "=" not in text:
         return "", False, False
     found = [(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")) for m in _ATTRIBUTE.finditer(text)]
     if not found:
         return "", False, False
-    words = {w.lower() for _, value in found for w in _WORDS.findall(value)}
-    return ";".join(value for _, value in found), bool(words & UNWANTED), ("role", "main") in found
+    return ";".join(value for _, value in found), any(boilerplate(name) for _, value in found for name in value.split()), ("role", "main") in found
+
+
+def boilerplate(name: str) -> bool:
+    """Whether all words of a name are of boilerplate or affixes to one that is."""
+    if name in UNWANTED:
+        return True
+    words = {w.lower() for w in _WORDS.findall(name)}
+    return not words.isdisjoint(UNWANTED) and words <= UNWANTED | AFFIXES
 
 
 class Block:
-    """article: the number of the outermost article around it, 0 for none; marked: whether an element with a label inside the article holds it."""
+    """article: the number of the outermost article around it, 0 for none; marked: whether an element of NEUTRAL with a label inside the article holds it;
+    around, within: elements with a name of boilerplate outside and inside of the innermost article."""
 
-    __slots__ = ("article", "marked", "path", "text", "wanted")
+    __slots__ = ("around", "article", "marked", "path", "text", "wanted", "within")
 
-    def __init__(self, text: str, path: str, article: int, marked: bool, wanted: bool):
-        self.text, self.path, self.article, self.marked, self.wanted = text, path, article, marked, wanted
+    def __init__(self, text: str, path: str, article: int, marked: bool, wanted: bool, around: tuple[str, ...], within: tuple[str, ...]):
+        self.text, self.path, self.article, self.marked, self.wanted, self.around, self.within = text, path, article, marked, wanted, around, within
 
 
 def parsed(page: str) -> tuple[list[Block], Counter]:
     """The page's text blocks in order, and how often each of its tokens occurs."""
     blocks: list[Block] = []
     tokens: Counter = Counter()
-    stack: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, True)]  # name, path, article, marked, wanted
+    stack: list[tuple] = [("", "", 0, False, True, (), ())]  # name and what a block has
     articles = 0
     parts: list[str] = []
     at, n = 0, len(page)
@@ -109,8 +124,8 @@ def parsed(page: str) -> tuple[list[Block], Counter]:
                 text = html.unescape(text)
             text = " ".join(text.split())
             if text:
-                _, path, article, marked, wanted = stack[-1]
-                blocks.append(Block(text, path, article, marked, wanted))
+                _, path, *rest = stack[-1]
+                blocks.append(Block(text, path, *rest))
                 tokens[f"#{path}#{_short(text)}"] += 1
 
     while at < n:
@@ -140,7 +155,7 @@ def parsed(page: str) -> tuple[list[Block], Counter]:
                 k -= 1
             if k and (stack[k][0] == "p" or stack[k][0] == name and name in REPEATED) and name != "br":
                 del stack[k:]
-        _, path, article, marked, wanted = stack[-1]
+        _, path, article, marked, wanted, around, within = stack[-1]
         own = f"{path}/{name}.{label}" if label else f"{path}/{name}"
         if len(own) > 400:
             own = f"{path[:100]}~{_short(own)}"
@@ -152,13 +167,18 @@ def parsed(page: str) -> tuple[list[Block], Counter]:
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
             continue
         is_article = name in ARTICLE or main
-        excluded = name in EXCLUDED or unwanted and not is_article and name not in ("html", "body")
+        if is_article:
+            around, within = around + within, ()
+        elif unwanted and name not in ("html", "body"):
+            named = f"!{name}.{label}"
+            tokens[named] += 1
+            within = (*within, named)
         if article:
-            marked = marked or bool(label) and not is_article
+            marked = marked or bool(label) and name in NEUTRAL
         elif is_article:
             articles += 1
             article = articles
-        stack.append((name, own, article, marked, wanted and not excluded))
+        stack.append((name, own, article, marked, wanted and name not in EXCLUDED, around, within))
     end_block()
     return blocks, tokens
 
@@ -170,9 +190,17 @@ def _short(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
-def main_text(page: str, template: frozenset[str]) -> str:
-    """The main text of a page of a host with these template tokens."""
+def main_text(page: str, template: frozenset[str] | None) -> str:
+    """The main text of a page of a host with these template tokens, None if it has too few pages for any."""
+    if template is None:
+        template, named = frozenset(), bool
+    else:
+        named = lambda names: not template.isdisjoint(names)
     slots = [b for b in parsed(page)[0] if b.wanted and (b.article and not b.marked or f"#{b.path}#{_short(b.text)}" not in template)]
+    slots = [b for b in slots if not named(b.within)]
+    free = [b for b in slots if not named(b.around)]
+    if any(b.article for b in free):
+        slots = free
     size: Counter = Counter()
     for b in slots:
         size[b.article] += len(b.text)
@@ -224,6 +252,7 @@ def classes(vectors: DataFrame) -> DataFrame:
     frequent = vectors.filter(F.col("pages") >= MIN_PAGES)
     hosts = frequent.filter(F.col("token") == "*").select("host", F.col("pages").alias("all"))
     valid = frequent.filter(F.col("token") != "*").join(hosts, "host").filter(2 * F.col("pages") >= F.col("all"))
+    valid = valid.filter(~F.col("token").startswith("!"))
     return valid.groupBy("host", "vector", "pages", "most").agg(F.array_sort(F.collect_list("token")).alias("tokens")).drop("vector")
 
 
@@ -263,15 +292,18 @@ def template_of(own: list[tuple[list[str], int, int]]) -> list[str]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template: the tokens of the host's nested classes."""
+    """host, template: the tokens of the host's nested classes, and its repeated elements with a name of boilerplate; hosts of MIN_PAGES pages or more."""
 
     def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [[(x["tokens"], x["pages"], x["most"]) for x in xs] for xs in batch["own"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["host"], pa.array([template_of(x) for x in own], pa.list_(pa.string()))], ["host", "template"])
 
-    own = classes(occurrences(pages)).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("tokens", "pages", "most"))).alias("own"))
-    return own.mapInArrow(nest, "host string, template array<string>")
+    vectors = written(occurrences(pages), "occurrences")
+    own = classes(vectors).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("tokens", "pages", "most"))).alias("own"))
+    nested_ = own.mapInArrow(nest, "host string, template array<string>")
+    repeated = vectors.filter((F.col("pages") >= MIN_PAGES) & ((F.col("token") == "*") | F.col("token").startswith("!"))).groupBy("host").agg(F.collect_list("token").alias("named"))
+    return repeated.join(nested_, "host", "left").select("host", F.concat("named", F.coalesce("template", F.array().cast("array<string>"))).alias("template"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -291,7 +323,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[host] = frozenset(templates_[i].as_py() or ())
+                    known[host] = frozenset(templates_[i].as_py()) if templates_[i].is_valid else None
                 texts.append(main_text(page.as_py() or "", known[host]))
             yield pa.RecordBatch.from_arrays(
                 [page_ids, urls, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
