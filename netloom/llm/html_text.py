@@ -3,8 +3,9 @@
 Pages of a host come from a template. Tokens are tags with their path and text blocks with theirs.
 Tokens with the same occurrence vector, their counts on every page of the host, form an equivalence
 class; vectors are compared by a mergeable fingerprint, the XOR of a hash of (page, count), so counts
-are pre-aggregated and no host's pages meet in one task. Classes on at least half of the host's pages
-and at least MIN_PAGES are valid. They nest: a class whose tokens lie within the elements of another,
+are pre-aggregated and no host's pages meet in one task. Classes of MIN_TOKENS on at least MIN_PAGES
+different pages are valid, so each type of pages of a host has a template of its own; on half of the
+host's pages one token is enough. They nest: a class whose tokens lie within the elements of another,
 and repeat where it doesn't, is a list inside it. What isn't a template token fills its slots.
 
 The text of a page is its slots, what isn't text of the host's template, without those in elements
@@ -15,7 +16,9 @@ only where another article with text is free of it. Articles (article, main, or
 hint: they are the main text unless the slots outside of them hold more
 than the largest of them; then all slots are. Template text in an article goes where an element of
 NEUTRAL with a class, id or role inside the article holds it; in other elements it is the author's and
-is kept even where many pages of a host share it.
+is kept even where many pages of a host share it. Equal pages count once, and a page whose slots would
+be less than a tenth of it beside text of classes on fewer than half of the host's pages is a near copy
+of others rather than of their type, and keeps that text.
 
 A block ends at tags of BLOCKS. Character references are decoded, white space in a block becomes one
 space, and blocks are joined by a newline in page order.
@@ -71,6 +74,9 @@ NEUTRAL = frozenset("div span ul ol a".split())
 #: An end tag closes the nearest of these at most this deep.
 DEEPEST = 256
 MIN_PAGES = 3
+MIN_TOKENS = 2
+#: Text of a type of pages that is more than so many times the rest of a page is no template.
+COPIED = 9
 #: Templates are broadcast up to this size; beyond it they are joined by host.
 BROADCAST_BYTES = 8 << 20
 
@@ -190,14 +196,24 @@ def _short(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
-def main_text(page: str, template: frozenset[str] | None) -> str:
-    """The main text of a page of a host with these template tokens, None if it has too few pages for any."""
+def main_text(page: str, template: frozenset[str] | None, typed: frozenset[str] = frozenset()) -> str:
+    """The main text of a page of a host with these template tokens, None if it has too few pages for any, and those of its types of pages."""
     if template is None:
         template, named = frozenset(), bool
     else:
         named = lambda names: not template.isdisjoint(names)
-    slots = [b for b in parsed(page)[0] if b.wanted and (b.article and not b.marked or f"#{b.path}#{_short(b.text)}" not in template)]
-    slots = [b for b in slots if not named(b.within)]
+    slots, of_type = [], set()
+    for b in parsed(page)[0]:
+        if b.wanted and not named(b.within):
+            if not b.article or b.marked:
+                token = f"#{b.path}#{_short(b.text)}"
+                if token in template:
+                    continue
+                if token in typed:
+                    of_type.add(b)
+            slots.append(b)
+    if of_type and sum(len(b.text) for b in of_type) <= COPIED * sum(len(b.text) for b in slots if b not in of_type):
+        slots = [b for b in slots if b not in of_type]
     free = [b for b in slots if not named(b.around)]
     if any(b.article for b in free):
         slots = free
@@ -220,13 +236,14 @@ def _hash(*parts) -> int:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, pages, vector (fingerprint), most: the occurrence vector of every token of a host."""
+    """host, token, pages, vector (fingerprint), most, different: the occurrence vector of every token of a host, and up to MIN_PAGES different pages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
+            found: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, ()])
             for host, page_id, page in zip(*(c.to_pylist() for c in batch.columns)):
                 own = {n: _hash(page_id, n) for n in range(1, 5)}
+                content = _hash(page or "")
                 tokens = parsed(page or "")[1]
                 tokens["*"] = 1  # counts the host's pages
                 for token, n in tokens.items():
@@ -234,26 +251,25 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     x[0] += 1
                     x[1] ^= own[n] if n in own else own.setdefault(n, _hash(page_id, n))
                     x[2] = max(x[2], n)
+                    if len(x[3]) < MIN_PAGES and content not in x[3]:
+                        x[3] = (*x[3], content)
             keys = list(found)
-            columns = [[k[0] for k in keys], [k[1] for k in keys], *([found[k][i] for k in keys] for i in range(3))]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "token", "pages", "vector", "most"])
+            columns = [[k[0] for k in keys], [k[1] for k in keys], *([found[k][i] for k in keys] for i in range(4))]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "token", "pages", "vector", "most", "different"])
 
-    rows = pages.select(host_of().alias("host"), "page_id", "html").mapInArrow(count, "host string, token string, pages long, vector long, most long")
-    return rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.max("most").alias("most"))
+    rows = pages.select(host_of().alias("host"), "page_id", "html").mapInArrow(count, "host string, token string, pages long, vector long, most long, different array<long>")
+    different = F.slice(F.array_distinct(F.flatten(F.collect_list("different"))), 1, MIN_PAGES)
+    return rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.max("most").alias("most"), different.alias("different"))
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """host, tokens, pages, most: the valid equivalence classes.
-
-    Their tokens are on half of a host's pages or more, so a host has no more than twice as many of
-    them as a page has on average.
-    """
-    frequent = vectors.filter(F.col("pages") >= MIN_PAGES)
-    hosts = frequent.filter(F.col("token") == "*").select("host", F.col("pages").alias("all"))
-    valid = frequent.filter(F.col("token") != "*").join(hosts, "host").filter(2 * F.col("pages") >= F.col("all"))
-    valid = valid.filter(~F.col("token").startswith("!"))
-    return valid.groupBy("host", "vector", "pages", "most").agg(F.array_sort(F.collect_list("token")).alias("tokens")).drop("vector")
+    """host, tokens, pages, most, wide: the valid equivalence classes of tokens on MIN_PAGES different pages, and whether half of the host's pages have them."""
+    tokens = vectors.filter(~F.col("token").startswith("!") & (F.col("token") != "*"))
+    hosts = vectors.filter(F.col("token") == "*").select("host", F.col("pages").alias("all"))
+    own = tokens.groupBy("host", "vector", "pages", "most").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    found = own.join(hosts, "host").withColumn("wide", 2 * F.col("pages") >= F.col("all"))
+    return found.filter(F.col("wide") | (F.size("tokens") >= MIN_TOKENS)).drop("vector", "all")
 
 
 def path_of(token: str) -> str:
@@ -262,18 +278,18 @@ def path_of(token: str) -> str:
 
 def nested(own: list[list[str]]) -> list[int | None]:
     """For each class the class that it is nested in: the one with the deepest element around all its tokens."""
-    paths = [[path_of(t) for t in tokens] for tokens in own]
-    holders = [{p for t, p in zip(tokens, ps) if not t.startswith("#")} for tokens, ps in zip(own, paths)]
+    holder = {t: k for k, tokens in enumerate(own) for t in tokens if not t.startswith("#")}  # a tag is in one class
     out: list[int | None] = []
-    for k, ps in enumerate(paths):
+    for k, tokens in enumerate(own):
+        ps = [path_of(t) for t in tokens]
         shared = ps[0]
         for p in ps[1:]:
             while not p.startswith(shared):
                 shared = shared.rpartition("/")[0]
-        around = {shared[:i] for i, c in enumerate(shared) if c == "/"} | ({shared} if shared not in ps or own[k][0].startswith("#") else set())
-        deepest = [(max((len(p) for p in around & holders[j]), default=-1), -j) for j in range(len(own)) if j != k]
-        depth, j = max(deepest, default=(-1, 0))
-        out.append(-j if depth > 0 else None)
+        around = shared if shared not in ps or tokens[0].startswith("#") else shared.rpartition("/")[0]
+        while around and holder.get(around, k) == k:
+            around = around.rpartition("/")[0]
+        out.append(holder[around] if around else None)
     return out
 
 
@@ -292,41 +308,50 @@ def template_of(own: list[tuple[list[str], int, int]]) -> list[str]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template: the tokens of the host's nested classes, and its repeated elements with a name of boilerplate; hosts of MIN_PAGES pages or more."""
+    """host, template, typed: text tokens of the host's nested classes, on half of its pages or fewer, and its repeated elements with a name of boilerplate.
+
+    Only hosts of MIN_PAGES different pages or more are in it.
+    """
 
     def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [[(x["tokens"], x["pages"], x["most"]) for x in xs] for xs in batch["own"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["host"], pa.array([template_of(x) for x in own], pa.list_(pa.string()))], ["host", "template"])
-
-    vectors = written(occurrences(pages), "occurrences")
-    own = classes(vectors).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("tokens", "pages", "most"))).alias("own"))
-    nested_ = own.mapInArrow(nest, "host string, template array<string>")
-    repeated = vectors.filter((F.col("pages") >= MIN_PAGES) & ((F.col("token") == "*") | F.col("token").startswith("!"))).groupBy("host").agg(F.collect_list("token").alias("named"))
-    return repeated.join(nested_, "host", "left").select("host", F.concat("named", F.coalesce("template", F.array().cast("array<string>"))).alias("template"))
+            columns: list[list] = [[], []]
+            for xs in batch["own"].to_pylist():
+                kept = set(template_of([(x["tokens"], x["pages"], x["most"]) for x in xs]))
+                for wide, column in zip((True, False), columns):
+                    column.append(sorted(t for x in xs if x["wide"] == wide for t in x["tokens"] if t.startswith("#") and t in kept))
+            kind = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([batch["host"], *(pa.array(c, kind) for c in columns)], ["host", "template", "typed"])
+
+    vectors = written(occurrences(pages).filter(F.size("different") >= MIN_PAGES).drop("different"), "occurrences")
+    own = classes(vectors).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("tokens", "pages", "most", "wide"))).alias("own"))
+    found = own.mapInArrow(nest, "host string, template array<string>, typed array<string>")
+    named = vectors.filter((F.col("token") == "*") | F.col("token").startswith("!")).groupBy("host").agg(F.collect_list("token").alias("named"))
+    none = F.array().cast("array<string>")
+    return named.join(found, "host", "left").select("host", F.concat("named", F.coalesce("template", none)).alias("template"), F.coalesce("typed", none).alias("typed"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     template = written(templates(pages), "templates")
-    size = template.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "template"))), F.lit(0))).first()[0]
+    size = template.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "template", "typed"))), F.lit(0))).first()[0]
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of().alias("host"), "html")
     joined = rows.join(F.broadcast(template) if size <= BROADCAST_BYTES else template.hint("merge"), "host", "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[str]] = {}
+        known: dict[str, tuple] = {}
         for batch in batches:
-            page_ids, urls, hosts, pages_, templates_ = batch.columns
+            page_ids, urls, hosts, pages_, templates_, typed = batch.columns
             texts = []
             for i, page in enumerate(pages_):
                 host = hosts[i].as_py()
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[host] = frozenset(templates_[i].as_py()) if templates_[i].is_valid else None
-                texts.append(main_text(page.as_py() or "", known[host]))
+                    known[host] = (frozenset(templates_[i].as_py()), frozenset(typed[i].as_py())) if templates_[i].is_valid else (None,)
+                texts.append(main_text(page.as_py() or "", *known[host]))
             yield pa.RecordBatch.from_arrays(
                 [page_ids, urls, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    return joined.select("page_id", "url", "host", "html", "template").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "host", "html", "template", "typed").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
