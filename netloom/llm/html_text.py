@@ -71,8 +71,6 @@ REPEATED = frozenset("li dt dd tr td th".split())
 ARTICLE = frozenset(("article", "main"))
 #: Elements without a meaning of their own, of which templates are built.
 NEUTRAL = frozenset("div span ul ol a".split())
-#: An end tag closes the nearest of these at most this deep.
-DEEPEST = 256
 MIN_PAGES = 3
 MIN_TOKENS = 2
 #: Text of a type of pages that is more than so many times the rest of a page is no template.
@@ -118,6 +116,8 @@ def parsed(page: str) -> tuple[list[Block], Counter]:
     blocks: list[Block] = []
     tokens: Counter = Counter()
     stack: list[tuple] = [("", "", 0, False, True, (), ())]  # name and what a block has
+    opened: dict[str, list[int]] = defaultdict(list)  # where on the stack the elements of a name are
+    open_blocks: list[int] = []
     articles = 0
     parts: list[str] = []
     at, n = 0, len(page)
@@ -134,6 +134,13 @@ def parsed(page: str) -> tuple[list[Block], Counter]:
                 blocks.append(Block(text, path, *rest))
                 tokens[f"#{path}#{_short(text)}"] += 1
 
+    def close(k: int) -> None:
+        for element in stack[k:]:
+            opened[element[0]].pop()
+        del stack[k:]
+        while open_blocks and open_blocks[-1] >= k:
+            open_blocks.pop()
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -149,18 +156,14 @@ def parsed(page: str) -> tuple[list[Block], Counter]:
         if name in BLOCKS or name in EXCLUDED:
             end_block()
         if m[1]:
-            for k in range(len(stack) - 1, max(0, len(stack) - DEEPEST), -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened.get(name):
+                close(opened[name][-1])
             continue
         label, unwanted, main = attributes(m[3])
         if name in BLOCKS:  # a paragraph ends where a block starts, an item where the next starts
-            k = len(stack) - 1
-            while k and stack[k][0] not in BLOCKS:
-                k -= 1
+            k = open_blocks[-1] if open_blocks else 0
             if k and (stack[k][0] == "p" or stack[k][0] == name and name in REPEATED) and name != "br":
-                del stack[k:]
+                close(k)
         _, path, article, marked, wanted, around, within = stack[-1]
         own = f"{path}/{name}.{label}" if label else f"{path}/{name}"
         if len(own) > 400:
@@ -178,12 +181,15 @@ def parsed(page: str) -> tuple[list[Block], Counter]:
         elif unwanted and name not in ("html", "body"):
             named = f"!{name}.{label}"
             tokens[named] += 1
-            within = (*within, named)
+            within = within if named in within else (*within, named)
         if article:
             marked = marked or bool(label) and name in NEUTRAL
         elif is_article:
             articles += 1
             article = articles
+        opened[name].append(len(stack))
+        if name in BLOCKS:
+            open_blocks.append(len(stack))
         stack.append((name, own, article, marked, wanted and name not in EXCLUDED, around, within))
     end_block()
     return blocks, tokens
