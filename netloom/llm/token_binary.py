@@ -155,12 +155,18 @@ _STOP = re.compile(rb"(?<=[a-z0-9])[.,](?![^\x20\x09-\x0D])")
 _MARKS = re.compile("[\u0300-\u036f]")
 
 
-def plain(text: str) -> bytes:
+def plain(text: str, added: tuple[bytes, ...] = ()) -> bytes:
     """The text with ASCII letters in lower case and stops after words set apart: the tokenizer sees
     the same words, and there are fewer different chunks. Texts with combining marks stay as they
-    are, since those may compose with one case only."""
+    are, since those may compose with one case only; so do chunks with an added token in any case
+    (added, in lower case), which the tokenizer finds in one case only."""
     data = text.encode()
-    return data if not text.isascii() and _MARKS.search(text) else _STOP.sub(rb" \g<0>", data.lower())
+    if not text.isascii() and _MARKS.search(text):
+        return data
+    lower = data.lower()
+    if any(a in lower for a in added):
+        return b" ".join(c if any(a in c.lower() for a in added) else _STOP.sub(rb" \g<0>", c.lower()) for c in data.split())
+    return _STOP.sub(rb" \g<0>", lower)
 
 
 class Chunks(dict):
@@ -179,6 +185,7 @@ class Chunks(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.added = tuple(t.content.encode().lower() for t in tokenizer.get_added_tokens_decoder().values())
         vocabulary = tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -236,7 +243,7 @@ class Chunks(dict):
         if len(self) > KEPT_CHUNKS or self.held > KEPT_BYTES or self.size > KEPT_BYTES // 4:
             self.forget()
         number = self.__getitem__
-        numbers = [np.fromiter(map(number, x), np.int64, len(x)) for x in (plain(text).split() for text in texts)]
+        numbers = [np.fromiter(map(number, x), np.int64, len(x)) for x in (plain(text, self.added).split() for text in texts)]
         if self.new:
             self._learn()
         every = np.concatenate([*numbers, np.zeros(0, np.int64)])
