@@ -1,10 +1,11 @@
-"""Operator 7: n-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""Operator 7: n-gram Jaccard join by MinHash banding of fixed depth in place of an LSH forest, with exact verification.
 
 A document is the set of its WORDS-word shingles. Documents with equal sets are one class, of which a
-representative goes on. Its MinHash signature labels a path in each of TREES prefix tries. Matched
-prefixes start at full DEPTH and are shortened until a pair at the similarity asked for shares one in
-some tree with the target recall. Every node at that depth links its members to its smallest one, a
-star, so groups never become pairs of rows; what stars connect is a candidate group.
+representative goes on. Its MinHash signature has TREES bands. No prefix tries are built and nothing
+adapts to the data: all pairs at one similarity are asked for, so one depth, from DEPTH down, is
+computed at which a pair at that similarity shares a band with the target recall (4 for 0.8, so the
+fifth value isn't used). Every key of a band links its members to its smallest one, a star, so groups
+never become pairs of rows; what stars connect is a candidate group.
 
 Links are verified exactly within candidate groups. A group of more than BLOCK representatives is
 dealt into blocks at random, and each pair of blocks is a task's unit of its own, which counts links
