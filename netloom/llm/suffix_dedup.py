@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from netloom.llm.kept_texts import Texts
-from netloom.llm.shared import shuffle_width, written
+from netloom.llm.shared import common, shuffle_width, written
 
 LENGTH, WINDOW, GRAM = 200, 64, 16
 CORE = LENGTH - WINDOW + 1
@@ -131,13 +131,6 @@ def segments(rows: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, int,
         yield held
 
 
-def common(a: bytes, b: bytes, h: int) -> int:
-    """Length of the common prefix of a and b, of which h bytes are known to be common."""
-    n = min(len(a), len(b))
-    x = int.from_bytes(a[h:n], "big") ^ int.from_bytes(b[h:n], "big")
-    return n - (x.bit_length() + 7 >> 3)
-
-
 class Run:
     """A front-coded sorted run, decoded one string at a time: bytes, common prefix with the one before, and its number."""
 
