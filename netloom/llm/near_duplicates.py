@@ -254,9 +254,16 @@ def matched(nodes: DataFrame, name: str) -> DataFrame:
 
 
 def star_edges(nodes: DataFrame) -> DataFrame:
-    """a, b: from each row of a node to the first of its part, and from there to the node's first."""
-    pairs = F.array(F.struct(F.col("uid").alias("a"), F.col("local").alias("b")), F.struct(F.col("local").alias("a"), F.col("first").alias("b")))
-    return nodes.select(F.inline(pairs)).filter("a <> b").distinct()
+    """a, b: what connects the rows of a node with the first of its part, and that with the node's first."""
+    return few_edges(nodes.select("uid", F.col("local").alias("root"))).unionByName(few_edges(nodes.select(F.col("local").alias("uid"), F.col("first").alias("root"))))
+
+
+def few_edges(pairs: DataFrame) -> DataFrame:
+    """a, b: edges with the same components as the pairs (uid, root), one a uid and those between the roots of a uid."""
+    own = pairs.groupBy("uid").agg(F.array_sort(F.collect_set("root")).alias("roots"))
+    least = F.col("roots")[0]
+    between = own.select(F.explode("roots").alias("a"), least.alias("b")).filter("a <> b").distinct()
+    return own.select(F.col("uid").alias("a"), least.alias("b")).filter("a <> b").unionByName(between)
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:
@@ -425,7 +432,7 @@ def _verified(members: DataFrame, texts: Texts, spark: SparkSession, column: str
         if held:
             yield done(held)
 
-    n_files = max(1, len(texts.files))
+    n_files = max(1, len(texts))
     shipped = members.repartitionById(n_files, "file").mapInArrow(ship, MEMBERS)
     unit = ["group", "i", "j"]
     return shipped.repartition(shuffle_width(spark), *unit).sortWithinPartitions(*unit).mapInArrow(verify, LINKS)
@@ -448,7 +455,7 @@ def _joined(texts: Texts, spark: SparkSession, column: str) -> DataFrame:
     nodes = matched(written(searched(found, spark), "near-searched"), "near-nodes")
     members = units(reps.select("uid", "file", "row", "copies"), nodes)
     links = written(_verified(members.select("file", "row", "copies", "family", "keys", "units"), texts, spark, column), "near-links")
-    roots = connected(links.select(F.col("uid").alias("a"), F.col("root").alias("b")), "near-classes")
+    roots = connected(few_edges(links.select("uid", "root")), "near-classes")
     counts = links.groupBy("uid").agg(F.sum("links").alias("links"))
     of_rep = written(
         classes.withColumnRenamed("rep", "uid").join(counts, "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
@@ -485,9 +492,9 @@ def representatives(docs: DataFrame, column: str = "text") -> DataFrame:
     """The first document of every class, with its columns."""
     spark = docs.sparkSession
     texts = Texts.of(docs, "near-texts")
-    if not texts.files:
+    if not len(texts):
         return docs
-    n_files = len(texts.files)
+    n_files = len(texts)
     schema = docs.schema
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

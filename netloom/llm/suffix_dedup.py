@@ -10,11 +10,13 @@ for LENGTH - o.
 1. Tasks find the anchors of their documents. The CORE bytes from an anchor lie in every string that
    it stands for. Anchors whose core has no equal anywhere are dropped, by counting hashes; a hash
    that occurs often in a file is sent once.
-2. Tasks sort the suffixes at the anchors left (LENGTH bytes, then the bytes before, backwards),
-   cut them by splitters that never part equal cores, and exchange the runs front-coded: each string
-   is the length of its common prefix with the one before, and the rest.
-3. A task merges the runs of its range with a loser tree that knows the common prefixes of its
-   contenders with the last string put out, and compares only what follows. The merge gives the
+2. Tasks sort the suffixes at the anchors left (LENGTH bytes, then the bytes before, backwards) in runs
+   of SORTED at most, cut them by splitters that never part equal cores, and exchange the runs
+   front-coded: each string is the length of its common prefix with the one before, and the rest. There
+   are as many ranges as keep one at about RANGE_BYTES; beyond RANGES splitters, a range is parted by a
+   hash of the core.
+3. A task merges the runs of its range, FAN at a time, with a loser tree that knows the common prefixes
+   of its contenders with the last string put out, and compares only what follows. The merge gives the
    lengths of common prefixes of neighbours, which tell for every offset o which suffixes have a
    partner. Equal strings are one entry with all their places.
 4. Tasks cut the spans found out of their documents.
@@ -24,7 +26,8 @@ table in the shared folder and read there by the tasks, so texts aren't shuffled
 
 Defined results: null text counts as empty; texts shorter than LENGTH lose nothing; exact copies of
 LENGTH bytes or more lose everything, the first one too; repeated rows are copies of each other;
-columns other than text are handed on, whatever their names; an empty table gives an empty result.
+columns other than text are handed on, whatever their names: where docs has one of the names of the
+columns added, that one gets further underscores in front; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import batched
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +51,12 @@ LENGTH, WINDOW, GRAM = 200, 64, 16
 CORE = LENGTH - WINDOW + 1
 #: Bytes of text that are hashed at a time, and anchors of a file that are held at a time.
 SEGMENT, HELD = 1 << 20, 1 << 22
-#: Suffixes sampled for splitters, at most.
-SAMPLE = 20_000
+#: Suffixes sampled for splitters, about: so many, and so many a range.
+SAMPLE, PER_RANGE = 20_000, 16
+#: Suffixes of a run, bytes of suffixes in a range, ranges by splitters, and runs merged at a time.
+SORTED, RANGE_BYTES, RANGES, FAN = 200_000, 16 << 20, 1 << 16, 512
+#: Bytes of the table of texts for each task that counts hashes.
+MEETING_BYTES = 128 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _M = np.uint64(_MULTIPLIER)
 
@@ -132,14 +141,14 @@ def segments(rows: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, int,
 
 
 class Run:
-    """A front-coded sorted run, decoded one string at a time: bytes, common prefix with the one before, and its number."""
+    """A front-coded sorted run, decoded one string at a time: bytes, common prefix with the one before."""
 
     def __init__(self, lcps: bytes, sizes: bytes, tails: bytes):
-        self.lcps, self.sizes, self.tails = np.frombuffer(lcps, "<u2").tolist(), np.frombuffer(sizes, "<u2").tolist(), tails
+        self.lcps, self.sizes, self.tails = np.frombuffer(lcps, "<u2"), np.frombuffer(sizes, "<u2"), tails
 
     def __iter__(self) -> Iterator[tuple[bytes, int]]:
         at, last = 0, b""
-        for lcp, size in zip(self.lcps, self.sizes):
+        for lcp, size in zip(self.lcps.tolist(), self.sizes.tolist()):
             last = last[:lcp] + self.tails[at : at + size]
             at += size
             yield last, lcp
@@ -210,6 +219,33 @@ def merged(runs: list[Run]) -> Iterator[tuple[bytes, int, int]]:
             node >>= 1
 
 
+def merged_entries(runs: list[Run], fan: int = FAN) -> Iterator[tuple[bytes, int, int]]:
+    """(string, common prefix with the one before, entry) in ascending order; entries are numbered run after run.
+
+    More than `fan` runs are merged in passes, of which each leaves a front-coded run of a group.
+    """
+    ends = np.cumsum([len(r.lcps) for r in runs], dtype=np.int64)
+    entries = [np.arange(end - len(r.lcps), end) for r, end in zip(runs, ends)]
+    while len(runs) > fan:
+        groups = [(runs[at : at + fan], entries[at : at + fan]) for at in range(0, len(runs), fan)]
+        runs, entries = [], []
+        for own, numbers in groups:
+            lcps, tails, order = [], [], []
+            for string, lcp, entry in _numbered(own, numbers):
+                lcps.append(lcp)
+                tails.append(string[lcp:])
+                order.append(entry)
+            runs.append(Run(np.array(lcps, "<u2").tobytes(), np.array([len(x) for x in tails], "<u2").tobytes(), b"".join(tails)))
+            entries.append(np.array(order, np.int64))
+    yield from _numbered(runs, entries)
+
+
+def _numbered(runs: list[Run], entries: list[np.ndarray]) -> Iterator[tuple[bytes, int, int]]:
+    at = [iter(x.tolist()).__next__ for x in entries]
+    for string, lcp, run in merged(runs):
+        yield string, lcp, at[run]()
+
+
 def partners(lcps: np.ndarray, sizes: np.ndarray, lefts: list[bytes], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest offset o (or LENGTH, -1) at which each sorted suffix is in a repeated string.
 
@@ -273,7 +309,7 @@ SPANS = "file int, rows binary, starts binary, ends binary"
 
 def _candidates(spark: SparkSession, texts: Texts, column: str, width: int) -> DataFrame:
     """Places of anchors whose core hash occurs twice or more."""
-    n_files = len(texts.files)
+    n_files = len(texts)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,10 +412,13 @@ def _suffixes(texts: Texts, column: str, file: int, rows: np.ndarray, places: np
             at += 1
 
 
-def _splitters(candidates: DataFrame, texts: Texts, column: str, width: int) -> list[bytes]:
-    """Cores between the ranges; a bounded sample of suffixes, as many from every part of the corpus."""
+def _splitters(candidates: DataFrame, texts: Texts, column: str, width: int) -> tuple[list[bytes], int]:
+    """Cores between the ranges, from a bounded sample of suffixes, as many from every part of the corpus; and
+    into how many parts each range is split by a hash of the core."""
     total = candidates.agg(F.coalesce(F.sum(F.octet_length("rows")), F.lit(0))).first()[0] // 4
-    rate = max(1, total // SAMPLE)
+    wanted = max(width, total * (LENGTH + WINDOW) // RANGE_BYTES)
+    ranges = min(wanted, max(width, RANGES))
+    rate = max(1, total // max(SAMPLE, PER_RANGE * ranges))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, (rows, places) in _by_file(batches, ("rows", "places")).items():
@@ -387,38 +426,43 @@ def _splitters(candidates: DataFrame, texts: Texts, column: str, width: int) ->
             keys = sorted(s[:CORE] for s, _, _, _ in _suffixes(texts, column, file, rows[some], places[some]))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], ["key"])
 
-    n_files = max(1, len(texts.files))
+    n_files = max(1, len(texts))
     keys = sorted(r[0] for r in candidates.repartitionById(n_files, "file").mapInArrow(sample, "key binary").collect())
-    return sorted({keys[len(keys) * i // width] for i in range(1, width)}) if keys else []
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else [], -(-wanted // ranges)
 
 
 def _spans(candidates: DataFrame, texts: Texts, column: str, width: int) -> DataFrame:
     """Spans of the files' rows that lie in repeated strings."""
-    cores = _splitters(candidates, texts, column, width)
-    n_files = max(1, len(texts.files))
+    cores, parts = _splitters(candidates, texts, column, width)
+    n_files = max(1, len(texts))
+
+    def coded(items: list[tuple[bytes, int, int, int]], target: int, file: int) -> pa.RecordBatch:
+        strings, sizes, copies = [], [], []
+        for key, size, _, _ in items:
+            if strings and strings[-1] == key and sizes[-1] == size:
+                copies[-1] += 1
+            else:
+                strings.append(key)
+                sizes.append(size)
+                copies.append(1)
+        return _batch(RUNS, [(target, *front_coded(strings), bytes(sizes), _u4(copies), file, _u4([x[2] for x in items]), _u4([x[3] for x in items]))])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, (rows, places) in _by_file(batches, ("rows", "places")).items():
-            items = sorted(_suffixes(texts, column, file, rows, places))
-            at = 0
-            while at < len(items):
-                target = bisect_right(cores, items[at][0][:CORE])
-                end = bisect_left(items, cores[target], at, key=lambda x: x[0][:CORE]) if target < len(cores) else len(items)
-                strings, sizes, copies = [], [], []
-                for key, size, _, _ in items[at:end]:
-                    if strings and strings[-1] == key and sizes[-1] == size:
-                        copies[-1] += 1
+            for run in batched(_suffixes(texts, column, file, rows, places), SORTED):
+                items, at = sorted(run), 0
+                while at < len(items):
+                    target = bisect_right(cores, items[at][0][:CORE])
+                    end = bisect_left(items, cores[target], at, key=lambda x: x[0][:CORE]) if target < len(cores) else len(items)
+                    if parts == 1:
+                        yield coded(items[at:end], target, file)
                     else:
-                        strings.append(key)
-                        sizes.append(size)
-                        copies.append(1)
-                coded = front_coded(strings)
-                part = items[at:end]
-                yield _batch(
-                    RUNS,
-                    [(target, *coded, bytes(sizes), _u4(copies), file, _u4([x[2] for x in part]), _u4([x[3] for x in part]))],
-                )
-                at = end
+                        split = defaultdict(list)
+                        for x in items[at:end]:
+                            split[crc32(x[0][:CORE]) % parts].append(x)
+                        for part, own in split.items():
+                            yield coded(own, target * parts + part, file)
+                    at = end
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_target = defaultdict(list)
@@ -427,27 +471,23 @@ def _spans(candidates: DataFrame, texts: Texts, column: str, width: int) -> Data
                 by_target[row["target"]].append(row)
         for blocks in by_target.values():
             runs = [Run(b["lcps"], b["lengths"], b["tails"]) for b in blocks]
-            own_sizes = [b["sizes"] for b in blocks]
-            own_copies = [_read(b["copies"]).astype(np.int64) for b in blocks]
-            firsts = [np.concatenate([[0], np.cumsum(c)]) for c in own_copies]
-            seen = [0] * len(runs)
-            lcps, sizes, lefts, entry = [], [], [], [np.zeros(int(f[-1]), np.int64) for f in firsts]
+            own_sizes = b"".join(b["sizes"] for b in blocks)
+            own_copies = np.concatenate([_read(b["copies"]) for b in blocks]).astype(np.int64)
+            lcps, sizes, lefts, merged_to = [], [], [], np.zeros(len(own_copies), np.int64)
             last = b""
-            for string, lcp, run in merged(runs):
-                k = seen[run]
-                seen[run] += 1
-                size = own_sizes[run][k]
+            for string, lcp, k in merged_entries(runs):
+                size = own_sizes[k]
                 if not (lcps and lcp == len(string) == len(last) and size == sizes[-1]):
                     lcps.append(lcp)
                     sizes.append(size)
                     lefts.append(string[LENGTH:])
                     last = string
-                entry[run][firsts[run][k] : firsts[run][k + 1]] = len(lcps) - 1
-            entries = np.concatenate(entry)
+                merged_to[k] = len(lcps) - 1
+            entries = np.repeat(merged_to, own_copies)
             n = len(lcps)
             least, most = partners(np.array(lcps, np.int64), np.array(sizes, np.int64), lefts, np.bincount(entries, minlength=n))
             rows, places = (np.concatenate([_read(b[c]) for b in blocks]).astype(np.int64) for c in ("rows", "places"))
-            files = np.repeat([b["file"] for b in blocks], [len(e) for e in entry])
+            files = np.repeat([b["file"] for b in blocks], [len(b["rows"]) // 4 for b in blocks])
             found = np.flatnonzero(most[entries] >= 0)
             found = found[np.argsort(files[found], kind="stable")]
             starts = places[found] - most[entries[found]]
@@ -458,7 +498,7 @@ def _spans(candidates: DataFrame, texts: Texts, column: str, width: int) -> Data
                     yield _batch(SPANS, [(int(files[found[some[0]]]), _u4(rows[found[some]]), _u4(starts[some]), _u4(ends[some]))])
 
     runs = candidates.repartitionById(n_files, "file").mapInArrow(sort, RUNS)
-    return written(runs.repartitionById(max(1, len(cores) + 1), "target").mapInArrow(merge, SPANS), "suffix-spans")
+    return written(runs.repartitionById((len(cores) + 1) * parts, "target").mapInArrow(merge, SPANS), "suffix-spans")
 
 
 def unions(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -469,17 +509,22 @@ def unions(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def deduplicated(docs: DataFrame, column: str = "text", replace: bool = False) -> DataFrame:
-    """The rows of docs with `_n_bytes`, `_n_removed`, `_n_spans` and `_kept` (the bytes left, joined).
+    """The rows of docs with `_n_bytes`, `_n_removed`, `_n_spans` and `_kept` (the bytes left, joined), by names that are free.
 
     With `replace` the rows have no more columns, but the text becomes what is left of it, without
     characters that lost a byte; a null text stays null.
     """
     spark = docs.sparkSession
-    width = shuffle_width(spark)
     texts = Texts.of(docs, "suffix-texts")
+    width = max(shuffle_width(spark), texts.size // MEETING_BYTES)
     names = docs.columns
-    schema = docs.schema if replace else StructType([*docs.schema.fields]).add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long").add("_kept", "binary")
-    n_files = len(texts.files)
+    schema = StructType([*docs.schema.fields])
+    if not replace:
+        for name, kind in (("_n_bytes", "long"), ("_n_removed", "long"), ("_n_spans", "long"), ("_kept", "binary")):
+            while name.lower() in {x.lower() for x in schema.names}:
+                name = f"_{name}"
+            schema.add(name, kind)
+    n_files = len(texts)
     if not n_files:
         return spark.createDataFrame([], schema)
     spans = _spans(_candidates(spark, texts, column, width), texts, column, width)
