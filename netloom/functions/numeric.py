@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: Acklam's rational approximation of the inverse normal distribution function.
 ACKLAM_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
@@ -20,6 +23,11 @@ def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+def ordered(c: Column, digits: int | None) -> Column:
+    """What values are ordered by: themselves, or rounded where sums of other engines have to tie alike."""
+    return c if digits is None else F.round(c, digits)
+
+
 def _horner(x: Column, coefficients: tuple[float, ...], last: float | None = None) -> Column:
     out = F.lit(coefficients[0])
     for c in coefficients[1:]:
@@ -71,37 +79,30 @@ def choose(n: Column, k: Column) -> Column:
 def perplexity_weights(scores: Column, keff: Column | float) -> Column:
     """Softmax weights of an array of scores, with the temperature at which exp(entropy) is keff.
 
-    60 bisection steps on the log temperature in [ln 1e-4, ln 1e4]; with keff scores or fewer, all
-    weigh the same.
+    60 bisection steps on the log temperature in [ln 1e-4, ln 1e4], all rows of a batch at once; with keff
+    scores or fewer, all weigh the same.
     """
-    keff = F.lit(float(keff)) if isinstance(keff, (int, float)) else keff
-    top = F.array_max(scores)
-
-    def weights(log_t: Column) -> Column:
-        return F.transform(scores, lambda s: F.exp((s - top) / F.exp(log_t)))
-
-    def entropy(log_t: Column) -> Column:
-        sums = F.aggregate(
-            scores,
-            F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("u")),
-            lambda acc, s: F.struct(
-                (acc["z"] + F.exp((s - top) / F.exp(log_t))).alias("z"),
-                (acc["u"] + F.exp((s - top) / F.exp(log_t)) * (s - top) / F.exp(log_t)).alias("u"),
-            ),
-            lambda acc: F.ln(acc["z"]) - acc["u"] / acc["z"],
-        )
-        return sums
-
-    start = F.struct(F.lit(math.log(1e-4)).alias("lo"), F.lit(math.log(1e4)).alias("hi"))
-
-    def step(acc: Column, _: Column) -> Column:
-        middle = (acc["lo"] + acc["hi"]) / 2
-        wide = F.exp(entropy(middle)) > keff
-        return F.struct(F.when(wide, acc["lo"]).otherwise(middle).alias("lo"), F.when(wide, middle).otherwise(acc["hi"]).alias("hi"))
-
-    log_t = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step, lambda acc: (acc["lo"] + acc["hi"]) / 2)
-    fitted = F.element_at(F.transform(F.array(log_t), weights), 1)
-    normal = lambda w: F.transform(w, lambda v: v / F.aggregate(w, F.lit(0.0), lambda a, b: a + b))
-    return F.when(F.size(scores) <= keff, F.transform(scores, lambda s: F.lit(1.0) / F.size(scores))).otherwise(
-        F.element_at(F.transform(F.array(fitted), normal), 1)
-    )
+    keff = F.lit(float(keff)) if isinstance(keff, (int, float)) else keff.cast("double")
+    return F.pandas_udf(_softened, ArrayType(DoubleType()))(scores, keff)
+
+
+def _softened(scores: pd.Series, keff: pd.Series) -> pd.Series:
+    sizes = np.array([len(x) for x in scores])
+    there = np.arange(sizes.max(initial=0))[None, :] < sizes[:, None]
+    if not there.size:
+        return scores
+    own = np.zeros(there.shape)
+    own[there] = np.concatenate(scores.to_list())
+    own = np.where(there, own - np.where(there, own, -np.inf).max(axis=1, keepdims=True), 0.0)
+    most = keff.to_numpy()
+    lo, hi = np.full(len(own), math.log(1e-4)), np.full(len(own), math.log(1e4))
+    for _ in range(60):
+        middle = (lo + hi) / 2
+        u = own / np.exp(middle)[:, None]
+        e = np.where(there, np.exp(u), 0.0)
+        z = e.sum(axis=1)
+        wide = np.exp(np.log(z) - (e * u).sum(axis=1) / z) > most
+        lo, hi = np.where(wide, lo, middle), np.where(wide, middle, hi)
+    w = np.where(there, np.exp(own / np.exp((lo + hi) / 2)[:, None]), 0.0)
+    w = np.where((sizes <= most)[:, None], there / np.maximum(sizes, 1)[:, None], w / w.sum(axis=1, keepdims=True))
+    return pd.Series([row[:n] for row, n in zip(w, sizes)])

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 
 def symmetric(edges: DataFrame, value: str) -> DataFrame:
-    """Both directions of each pair: src, dst, value."""
-    return edges.select(F.col("i").alias("src"), F.col("j").alias("dst"), value).unionByName(
-        edges.select(F.col("j").alias("src"), F.col("i").alias("dst"), value)
-    )
+    """Both directions of each pair: src, dst, value; one pass over the pairs."""
+    ways = F.array(F.struct(F.col("i").alias("src"), F.col("j").alias("dst")), F.struct(F.col("j").alias("src"), F.col("i").alias("dst")))
+    return edges.select(F.inline(ways), value)
 
 
 def combined(a: Column, b: Column, how: str) -> Column:
@@ -25,7 +24,7 @@ def combined(a: Column, b: Column, how: str) -> Column:
 
 def backgrounds(edges: DataFrame, value: str = "mi", keys: tuple[str, ...] = ()) -> DataFrame:
     """src, mu, sd of each variable's values, its own counted as one 0."""
-    both = edges.select(*keys, F.col("i").alias("src"), value).unionByName(edges.select(*keys, F.col("j").alias("src"), value))
+    both = edges.select(*keys, F.explode(F.array("i", "j")).alias("src"), value)  # one pass over the pairs
     s = both.groupBy(*keys, "src").agg(F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"), (F.count("*") + 1).alias("n"))
     mu = F.col("s") / F.col("n")
     return s.select(*keys, "src", mu.alias("mu"), F.sqrt(F.greatest(F.col("ss") - F.col("n") * mu * mu, F.lit(0.0)) / (F.col("n") - 1)).alias("sd"))

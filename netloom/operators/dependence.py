@@ -6,7 +6,6 @@ pairs are few, and blocks of variables multiplied as matrices, a task a pair of
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,8 +15,11 @@ from pyspark.sql import functions as F
 from netloom.operators import bins as B
 from netloom.operators.transform import ranked
 
-#: Variables a block: a task holds two blocks' weights.
-BLOCK = 128
+#: Variables a block, at least and at most, blocks until they grow, and values (variables x samples x
+#: bins of 8 bytes) a block: a task holds two blocks' weights.
+LEAST, MOST, BLOCKS, HELD = 64, 512, 16, 1 << 23
+#: Variables whose joint tables are made at once.
+AT_ONCE = 32
 
 
 def basis(m: DataFrame, nb: DataFrame, order: int = 3) -> DataFrame:
@@ -27,7 +29,7 @@ def basis(m: DataFrame, nb: DataFrame, order: int = 3) -> DataFrame:
     w = W.partitionBy("var")
     lo, hi = F.min("x").over(w), F.max("x").over(w)
     z = (F.col("x") - lo) * (F.col("nb") - order + 1) / (hi - lo)
-    at = m.join(F.broadcast(nb), "var").withColumn("z", z)
+    at = m.join(nb, "var").withColumn("z", z)
     return at.select("var", "sample", F.least(F.floor("z"), F.col("nb") - order).cast("int").alias("first"), "z", "nb").select(
         "var", "sample", "first", _weights(F.col("z"), F.col("first"), F.col("nb"), order).alias("w")
     )
@@ -45,7 +47,7 @@ def weights_at(values: DataFrame, ranges: DataFrame, order: int = 3) -> DataFram
     """var, sample, bin, w of values (var, sample, x) on fitted ranges (var, lo, hi, nb), clamped to them."""
     x = F.greatest(F.least(F.col("x"), F.col("hi")), F.col("lo"))
     z = (x - F.col("lo")) * (F.col("nb") - order + 1) / (F.col("hi") - F.col("lo"))
-    at = values.join(F.broadcast(ranges), "var").withColumn("z", z).withColumn("first", F.least(F.floor("z"), F.col("nb") - order).cast("int"))
+    at = values.join(ranges, "var").withColumn("z", z).withColumn("first", F.least(F.floor("z"), F.col("nb") - order).cast("int"))
     own = at.select("var", "sample", "first", F.posexplode(_weights(F.col("z"), F.col("first"), F.col("nb"), order)).alias("k", "w"))
     return own.select("var", "sample", (F.col("first") + F.col("k")).alias("bin"), "w")
 
@@ -59,7 +61,7 @@ def weights(m: DataFrame, nb: DataFrame, order: int = 3) -> DataFrame:
 def entropy(w: DataFrame) -> DataFrame:
     """var, h: marginal entropy in bits."""
     n = w.groupBy("var").agg(F.countDistinct("sample").alias("n"))
-    p = w.groupBy("var", "bin").agg(F.sum("w").alias("s")).join(F.broadcast(n), "var").withColumn("p", F.col("s") / F.col("n")).filter("p > 0")
+    p = w.groupBy("var", "bin").agg(F.sum("w").alias("s")).join(n, "var").withColumn("p", F.col("s") / F.col("n")).filter("p > 0")
     return p.groupBy("var").agg(F.sum(-F.col("p") * F.log2("p")).alias("h"))
 
 
@@ -73,7 +75,7 @@ def joined_mi(w: DataFrame) -> DataFrame:
     p = cells.crossJoin(F.broadcast(n)).withColumn("p", F.col("s") / F.col("n")).filter("p > 0")
     hxy = p.groupBy("i", "j").agg(F.sum(-F.col("p") * F.log2("p")).alias("hxy"))
     hi, hj = h.select(F.col("var").alias("i"), F.col("h").alias("hi")), h.select(F.col("var").alias("j"), F.col("h").alias("hj"))
-    return hxy.join(F.broadcast(hi), "i").join(F.broadcast(hj), "j").select("i", "j", (F.col("hi") + F.col("hj") - F.col("hxy")).alias("mi"))
+    return hxy.join(hi, "i").join(hj, "j").select("i", "j", (F.col("hi") + F.col("hj") - F.col("hxy")).alias("mi"))
 
 
 def self_mi(w: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def self_mi(w: DataFrame) -> DataFrame:
     a = w.select("var", "sample", F.col("bin").alias("bi"), F.col("w").alias("wi"))
     b = w.select("var", "sample", F.col("bin").alias("bj"), F.col("w").alias("wj"))
     cells = a.join(b, ["var", "sample"]).groupBy("var", "bi", "bj").agg(F.sum(F.col("wi") * F.col("wj")).alias("s"))
-    p = cells.join(F.broadcast(n), "var").withColumn("p", F.col("s") / F.col("n")).filter("p > 0")
+    p = cells.join(n, "var").withColumn("p", F.col("s") / F.col("n")).filter("p > 0")
     return p.groupBy("var").agg(F.sum(-F.col("p") * F.log2("p")).alias("hxx")).join(h, "var").select("var", (2 * F.col("h") - F.col("hxx")).alias("self_mi"))
 
 
@@ -107,42 +109,60 @@ def _spread(x: np.ndarray, nb: np.ndarray, order: int) -> np.ndarray:
 
 def _block_pairs(m: DataFrame, extra: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
     """Variables as rows (keys, block, var, extra..., x: values in the order of samples), dealt to pairs of
-    blocks (p, q), p <= q. Blocks are numbered from the variables alone, one narrow row each."""
+    blocks (p, q), p <= q. Blocks are numbered from the variables alone, one narrow row each, and grow with
+    their number up to MOST, so that a variable is sent to few, as far as HELD allows."""
     names = m.select("var").distinct()
-    blocks = names.select("var", F.floor((F.row_number().over(W.orderBy("var")) - 1) / BLOCK).cast("int").alias("block"))
-    last = names.agg(F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last"))
+    shape = names.agg(F.count("*").alias("n")).crossJoin(m.agg(F.approx_count_distinct("sample").alias("samples")))
+    fits = F.floor(HELD / (8 * F.greatest(F.col("samples"), F.lit(1))))
+    size = F.greatest(F.lit(1), F.least(fits, F.lit(MOST), F.greatest(F.lit(LEAST), F.ceil(F.col("n") / BLOCKS))))
+    shape = shape.select(size.alias("size"), F.floor((F.col("n") - 1) / size).cast("int").alias("last"))
+    numbered = names.select("var", (F.row_number().over(W.orderBy("var")) - 1).alias("k")).crossJoin(F.broadcast(shape))
+    blocks = numbered.select("var", "last", F.floor(F.col("k") / F.col("size")).cast("int").alias("block"))
     rows = m.groupBy(*keys, "var", *extra).agg(F.sort_array(F.collect_list(F.struct("sample", "x"))).alias("xs"))
     rows = rows.withColumn("x", F.col("xs.x")).drop("xs").join(blocks, "var")
-    dealt = rows.crossJoin(F.broadcast(last)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     return dealt.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other", "last")
 
 
-def block_mi(m: DataFrame, nb: DataFrame, order: int = 3, self_pairs: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, i, j, mi (i < j; with self_pairs i = j too) by products of blocks of weights; keys are integers."""
+def _plogp(p: np.ndarray) -> np.ndarray:
+    """p log2 p, 0 at 0."""
+    p = np.maximum(p, np.finfo(p.dtype).tiny)
+    out = np.log2(p)
+    out *= p
+    return out
+
+
+def block_mi(m: DataFrame, nb: DataFrame, order: int = 3, self_pairs: bool = False, keys: tuple[str, ...] = (), single: bool = False) -> DataFrame:
+    """keys, i, j, mi (i < j; with self_pairs i = j too) by products of blocks of weights; keys are integers.
+
+    With `single`, weights, tables and results have 32 bits: half the memory, and values within 1e-5.
+    """
+    kind = np.float32 if single else np.float64
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf.block == k].sort_values("var") for k in (pdf.p.iloc[0], pdf.q.iloc[0]))
-        wa, wb = (_spread(np.stack(t.x.to_list()), t.nb.to_numpy(), order) for t in (a, b))
+        wa, wb = (_spread(np.stack(t.x.to_list()), t.nb.to_numpy(), order).astype(kind, copy=False) for t in (a, b))
         n = wa.shape[2]
-        plogp = lambda p: np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0)
-        mi = -plogp(wa.mean(axis=2)).sum(axis=1)[:, None] - plogp(wb.mean(axis=2)).sum(axis=1)[None, :]
-        right = wb.reshape(-1, n).T
-        for k in range(len(a)):  # a variable at a time keeps the joint table small
-            mi[k] += plogp(wa[k] @ right / n).reshape(wa.shape[1], len(b), wb.shape[1]).sum(axis=(0, 2))
+        mi = -_plogp(wa.mean(axis=2)).sum(axis=1)[:, None] - _plogp(wb.mean(axis=2)).sum(axis=1)[None, :]
+        right = np.ascontiguousarray(wb.reshape(-1, n).T) / kind(n)
+        for k in range(0, len(a), AT_ONCE):  # some variables at a time keep the joint tables small
+            some = wa[k : k + AT_ONCE]
+            joint = _plogp(some.reshape(-1, n) @ right)
+            mi[k : k + AT_ONCE] += joint.reshape(len(some), wa.shape[1], len(b), wb.shape[1]).sum(axis=(1, 3))
         i, j = np.meshgrid(a["var"], b["var"], indexing="ij")
         keep = i <= j if self_pairs else i < j
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "i": i[keep], "j": j[keep], "mi": mi[keep]})
 
-    rows = _block_pairs(m.join(F.broadcast(nb), "var"), ["nb"], keys)
-    return rows.groupBy(*keys, "p", "q").applyInPandas(pair, ", ".join([*(f"{k} int" for k in keys), "i int, j int, mi double"]))
+    rows = _block_pairs(m.join(nb, "var"), ["nb"], keys)
+    return rows.groupBy(*keys, "p", "q").applyInPandas(pair, ", ".join([*(f"{k} int" for k in keys), f"i int, j int, mi {'float' if single else 'double'}"]))
 
 
-def mutual_information(m: DataFrame, rule: str | int = "hg", order: int = 3, transform: str = "none", path: str = "auto") -> DataFrame:
-    """i, j, mi of all pairs. transform "rank": of average ranks. path "sql" joins weights, "block" multiplies blocks."""
+def mutual_information(m: DataFrame, rule: str | int = "hg", order: int = 3, transform: str = "none", path: str = "auto", single: bool = False) -> DataFrame:
+    """i, j, mi of all pairs. transform "rank": of average ranks. path "sql" joins weights, "block" multiplies blocks, with `single` in 32 bits."""
     if transform == "rank":
         m = ranked(m).select("var", "sample", F.col("r").alias("x"))
     nb = B.counts(m, rule)
-    return joined_mi(weights(m, nb, order)) if path == "sql" else block_mi(m, nb, order)
+    return joined_mi(weights(m, nb, order)) if path == "sql" else block_mi(m, nb, order, single=single)
 
 
 def correlation(m: DataFrame, rank: bool = False) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.functions.numeric import perplexity_weights
+from netloom.functions.numeric import ordered, perplexity_weights
 from netloom.operators.calibrate import symmetric
 
 
-def top_k(scores: DataFrame, k: int, value: str = "score") -> DataFrame:
-    """src, dst, w: the k largest positive scores of each row; ties to the smaller dst."""
+def top_k(scores: DataFrame, k: int, value: str = "score", digits: int | None = None) -> DataFrame:
+    """src, dst, w: the k largest positive scores of each row (to `digits`); ties to the smaller dst."""
     both = symmetric(scores, value).filter(F.col(value) > 0)
-    rank = F.row_number().over(W.partitionBy("src").orderBy(F.round(value, 9).desc(), "dst"))
+    rank = F.row_number().over(W.partitionBy("src").orderBy(ordered(F.col(value), digits).desc(), "dst"))
     return both.withColumn("k", rank).filter(F.col("k") <= k).select("src", "dst", F.col(value).alias("w"))
 
 
@@ -33,19 +33,19 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("src", "dst").agg(F.max("w").alias("w"))
 
 
-def softmax(scores: DataFrame, keff: float | Column = 10.0, cap: int = 50, value: str = "score") -> DataFrame:
+def softmax(scores: DataFrame, keff: float | Column = 10.0, cap: int = 50, value: str = "score", digits: int | None = None) -> DataFrame:
     """src, dst, w: softmax over each row's cap largest positive scores, at the temperature of perplexity keff."""
     if isinstance(keff, (int, float)) and keff <= 1:
         raise ValueError("keff is above 1")
-    top = top_k(scores, cap, value)
+    top = top_k(scores, cap, value, digits)
     rows = top.groupBy("src").agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("o"), "dst", "w"))).alias("own"))
     weights = rows.select("src", F.col("own.dst").alias("dst"), perplexity_weights(F.col("own.w"), keff).alias("w"))
     return weights.select("src", F.explode(F.arrays_zip("dst", "w")).alias("e")).select("src", "e.dst", "e.w")
 
 
-def softmax_at(scores: DataFrame, tau: float, cap: int = 50, value: str = "score") -> DataFrame:
+def softmax_at(scores: DataFrame, tau: float, cap: int = 50, value: str = "score", digits: int | None = None) -> DataFrame:
     """src, dst, w: softmax at one temperature."""
-    top = top_k(scores, cap, value)
+    top = top_k(scores, cap, value, digits)
     e = F.exp((F.col("w") - F.max("w").over(W.partitionBy("src"))) / tau)
     return top.withColumn("w", e).withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy("src")))
 
@@ -89,11 +89,11 @@ def statistics(a: DataFrame, variables: DataFrame, correlations: DataFrame) -> D
     ).crossJoin(signs)
 
 
-def heads(scores: DataFrame, keffs: tuple[float, ...] = (3, 10, 30), cap: int = 50, value: str = "score") -> DataFrame:
+def heads(scores: DataFrame, keffs: tuple[float, ...] = (3, 10, 30), cap: int = 50, value: str = "score", digits: int | None = None) -> DataFrame:
     """head, src, dst, w: an operator for each perplexity."""
     out = None
     for k in keffs:
-        own = softmax(scores, k, cap, value).withColumn("head", F.lit(float(k)))
+        own = softmax(scores, k, cap, value, digits).withColumn("head", F.lit(float(k)))
         out = own if out is None else out.unionByName(own)
     return out
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netloom.functions.numeric import ordered
+
 
 def components(a: DataFrame, least_size: int = 1) -> DataFrame:
     """module, member: connected components of the undirected positive edges, largest first.
@@ -79,7 +81,7 @@ def pair_statistics(reference: DataFrame, found: DataFrame) -> DataFrame:
     r, f = reference.select(F.col("module").alias("ref"), "member"), found.select(F.col("module").alias("found"), "member")
     shared = r.join(f, "member").groupBy("ref", "found").agg(F.count("*").alias("overlap"))
     rs, fs = r.groupBy("ref").agg(F.count("*").alias("size_ref")), f.groupBy("found").agg(F.count("*").alias("size_found"))
-    every = rs.crossJoin(F.broadcast(fs)).join(shared, ["ref", "found"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    every = rs.crossJoin(fs).join(shared, ["ref", "found"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
     o = F.col("overlap").cast("double")
     return every.select(
         "ref", "found", "overlap", "size_ref", "size_found",
@@ -98,9 +100,9 @@ def _aligned(stats: DataFrame, chosen: DataFrame) -> DataFrame:
     return refs.join(own, "ref", "left").fillna(zero)
 
 
-def best(stats: DataFrame) -> DataFrame:
-    """Each reference module's found one of largest F1, the first of several; many may share one."""
-    rank = F.row_number().over(W.partitionBy("ref").orderBy(F.round("f1", 9).desc(), "found"))
+def best(stats: DataFrame, digits: int | None = None) -> DataFrame:
+    """Each reference module's found one of largest F1 (to `digits`), the first of several; many may share one."""
+    rank = F.row_number().over(W.partitionBy("ref").orderBy(ordered(F.col("f1"), digits).desc(), "found"))
     return _aligned(stats, stats.filter("overlap > 0").withColumn("k", rank).filter("k = 1"))
 
 

@@ -50,15 +50,15 @@ def top_of(values: DataFrame) -> float:
     return max(1e-8, 1.25 * (values.filter("rep = 1").agg(F.max("v")).first()[0] or 0.0))
 
 
-def bin_of(v: str, hi: float, nbins: int = NBINS) -> Column:
+def bin_of(v: str, hi: float, nbins: int = NBINS, hair: float = 0.0) -> Column:
     """0 to nbins; the last holds what is beyond. The greatest value of the first replicate lies on an
-    edge by construction, so a hair is added before rounding down."""
-    return F.greatest(F.lit(0), F.least(F.floor(F.col(v) / (hi / nbins) + 1e-9), F.lit(nbins))).cast("int")
+    edge by construction; where engines have to agree on it, a hair is added before rounding down."""
+    return F.greatest(F.lit(0), F.least(F.floor(F.col(v) / (hi / nbins) + hair), F.lit(nbins))).cast("int")
 
 
-def histogram(values: DataFrame, hi: float, nbins: int = NBINS) -> DataFrame:
+def histogram(values: DataFrame, hi: float, nbins: int = NBINS, hair: float = 0.0) -> DataFrame:
     """rep, bin, n: mergeable counts."""
-    return values.groupBy("rep", bin_of("v", hi, nbins).alias("bin")).agg(F.count("*").alias("n"))
+    return values.groupBy("rep", bin_of("v", hi, nbins, hair).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def survival(hist: DataFrame, nbins: int = NBINS) -> DataFrame:
@@ -71,10 +71,10 @@ def survival(hist: DataFrame, nbins: int = NBINS) -> DataFrame:
     return counts.select("bin", F.sum(F.coalesce("n", F.lit(0))).over(up).alias("suf"))
 
 
-def pvalues(scores: DataFrame, suf: DataFrame, hi: float, value: str = "score", nbins: int = NBINS) -> DataFrame:
+def pvalues(scores: DataFrame, suf: DataFrame, hi: float, value: str = "score", nbins: int = NBINS, hair: float = 0.0) -> DataFrame:
     """scores with p: (1 + null values in the score's bin or above) / (1 + null values)."""
     total = suf.filter("bin = 0").select(F.col("suf").alias("n_null"))
-    at = scores.withColumn("bin", bin_of(value, hi, nbins)).join(F.broadcast(suf), "bin").crossJoin(F.broadcast(total))
+    at = scores.withColumn("bin", bin_of(value, hi, nbins, hair)).join(F.broadcast(suf), "bin").crossJoin(F.broadcast(total))
     return at.withColumn("p", (1.0 + F.col("suf")) / (1.0 + F.col("n_null"))).drop("bin", "suf", "n_null")
 
 
@@ -96,9 +96,9 @@ def selected(scores: DataFrame, tau: DataFrame, value: str = "score") -> DataFra
     return scores.crossJoin(F.broadcast(tau)).filter(F.col(value) >= F.col("tau")).drop("tau")
 
 
-def hc_curve(observed: DataFrame, suf: DataFrame, hi: float, alpha0: float = 0.1, value: str = "score", nbins: int = NBINS) -> DataFrame:
+def hc_curve(observed: DataFrame, suf: DataFrame, hi: float, alpha0: float = 0.1, value: str = "score", nbins: int = NBINS, hair: float = 0.0) -> DataFrame:
     """bin, i, p, hc of the candidate bins: i observed values in the bin or above, p their null share."""
-    counts = observed.groupBy(bin_of(value, hi, nbins).alias("bin")).agg(F.count("*").alias("n"))
+    counts = observed.groupBy(bin_of(value, hi, nbins, hair).alias("bin")).agg(F.count("*").alias("n"))
     up = W.orderBy(F.col("bin").desc()).rowsBetween(W.unboundedPreceding, 0)
     m = F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy())
     at = suf.join(counts, "bin", "left").withColumn("i", F.sum(F.coalesce("n", F.lit(0))).over(up)).withColumn("m", m)
@@ -115,10 +115,10 @@ def hc_threshold(curve: DataFrame, hi: float, nbins: int = NBINS) -> DataFrame:
     return best.select(F.col("b.hc").alias("hc"), (F.col("b.bin") * (hi / nbins)).alias("tau"))
 
 
-def hc_gate(values: DataFrame, hi: float, b: int, level: float = 0.05, alpha0: float = 0.1, nbins: int = NBINS) -> list[float]:
+def hc_gate(values: DataFrame, hi: float, b: int, level: float = 0.05, alpha0: float = 0.1, nbins: int = NBINS, hair: float = 0.0) -> list[float]:
     """Null HC values, ascending: each replicate against the pool of the others. The gate is the
     ceil((b + 1) (1 - level))-th, or the last."""
-    hist = histogram(values, hi, nbins).groupBy("rep", "bin").agg(F.sum("n").alias("n")).toPandas()  # b times nbins rows at most
+    hist = histogram(values, hi, nbins, hair).groupBy("rep", "bin").agg(F.sum("n").alias("n")).toPandas()  # b times nbins rows at most
     per = np.zeros((b, nbins + 1))
     per[hist.rep.to_numpy() - 1, hist.bin.to_numpy()] = hist.n.to_numpy()
     pool, out = per.sum(axis=0), []

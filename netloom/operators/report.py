@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netloom.functions.numeric import ordered
 
-def best_depth(curve: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+
+def best_depth(curve: DataFrame, keys: list[str], value: str = "value", digits: int | None = None) -> DataFrame:
     """keys, t (the first of the largest value), value, gain over t = 0."""
-    best = F.max_by(F.struct(F.col("t"), F.col(value)), F.struct(F.round(value, 9), -F.col("t")))
+    best = F.max_by(F.struct(F.col("t"), F.col(value)), F.struct(ordered(F.col(value), digits), -F.col("t")))
     g = curve.groupBy(*keys).agg(best.alias("b"), F.max(F.when(F.col("t") == 0, F.col(value))).alias("base"))
     return g.select(*keys, F.col("b.t").alias("t"), F.col(f"b.{value}").alias(value), (F.col(f"b.{value}") - F.col("base")).alias("gain"))
 
 
-def flat_depths(curve: DataFrame, keys: list[str], value: str = "value", share: float = 0.99) -> DataFrame:
+def flat_depths(curve: DataFrame, keys: list[str], value: str = "value", share: float = 0.99, digits: int | None = None) -> DataFrame:
     """keys, low, high: depths whose value is within that share of the largest."""
     top = F.max(value).over(W.partitionBy(*keys))
-    near = curve.withColumn("top", top).filter(F.round(F.col(value), 9) >= F.round(share * F.col("top"), 9))
+    near = curve.withColumn("top", top).filter(ordered(F.col(value), digits) >= ordered(share * F.col("top"), digits))
     return near.groupBy(*keys).agg(F.min("t").alias("low"), F.max("t").alias("high"))
 
 
@@ -82,9 +84,9 @@ def weighted_means(rows: DataFrame, keys: list[str], gammas: tuple[float, ...] =
     return rows.withColumn("gamma", g).groupBy(*keys, "gamma").agg((F.sum(w * F.col(value)) / F.sum(w)).alias("mean"))
 
 
-def tied_with_best(rows: DataFrame, keys: list[str], method: str, z: float, value: str = "value", se: str = "se") -> DataFrame:
+def tied_with_best(rows: DataFrame, keys: list[str], method: str, z: float, value: str = "value", se: str = "se", digits: int | None = None) -> DataFrame:
     """rows with `best` and `tied`: whether the difference to the best of its keys is within z standard errors."""
-    top = F.max_by(F.struct(F.col(method), F.col(value), F.col(se)), F.struct(F.round(value, 9), F.col(method))).over(W.partitionBy(*keys))
+    top = F.max_by(F.struct(F.col(method), F.col(value), F.col(se)), F.struct(ordered(F.col(value), digits), F.col(method))).over(W.partitionBy(*keys))
     at = rows.withColumn("top", top)
     d, both = F.col(f"top.{value}") - F.col(value), F.sqrt(F.col(f"top.{se}") * F.col(f"top.{se}") + F.col(se) * F.col(se))
     return at.select(*rows.columns, (F.col(f"top.{method}") == F.col(method)).alias("best"), (d <= z * both).alias("tied"))

@@ -30,7 +30,7 @@ def cluster_columns(chips: DataFrame, draws: int) -> DataFrame:
     slots = spark.range(1, draws + 1).select(F.col("id").cast("int").alias("draw")).crossJoin(F.broadcast(numbered.select((F.col("g") + 1).alias("slot"), "n_groups")))
     picked = slots.withColumn("g", F.floor(uniform(key("draw", "slot")) * F.col("n_groups")).cast("int")).drop("n_groups")
     picked = picked.withColumn("occ", F.row_number().over(W.partitionBy("draw", "g").orderBy("slot")) - 1)
-    out = picked.join(F.broadcast(numbered.select("g", "grp", "samples")), "g")
+    out = picked.join(numbered.select("g", "grp", "samples"), "g")
     n = F.size("samples")
     start = F.floor(uniform(key("draw", "grp")) * n).cast("int")
     return out.select("draw", "slot", "grp", F.element_at("samples", (F.pmod(F.col("occ") + start, n) + 1).cast("int")).alias("sample"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Digits to which values are ordered, and what is added to bins, so that sums of other engines tie alike.
+TIES, HAIR = 9, 1e-9
+_kept: list[DataFrame] = []
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """df cached for the query at hand; the next query releases it."""
+    _kept.append(df.cache())
+    return df
+
+
 def query(name: str, sql: str | None = None):
     """Registers a query under a name, with its SQL."""
 
     def add(f):
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            while _kept:
+                _kept.pop().unpersist()
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return f
@@ -56,7 +74,7 @@ query("var_stats", O.with_("emb", O.STATS) + f"SELECT var, n, {rsql('lo', 'lo')}
     lambda s, d: r6(T.stats(FX.embeddings(s, d)), "lo", "hi", "mean", "sd")
 )
 query("top_variance", O.with_("brd") + "SELECT var, sample, x FROM m WHERE var IN (SELECT var FROM m GROUP BY var ORDER BY round(var_samp(x), 9) DESC, var LIMIT 10)")(
-    lambda s, d: T.top_variance(FX.brands(s, d), 10)
+    lambda s, d: T.top_variance(FX.brands(s, d), 10, TIES)
 )
 query("rank_avg", O.with_("brd", O.RANKS) + "SELECT var, sample, r FROM rk")(lambda s, d: T.ranked(FX.brands(s, d)).select("var", "sample", "r"))
 query("zscore_rows", O.with_("brd", O.STATS) + f"SELECT var, sample, {rsql('(x - mean) / CASE WHEN sd > 0 THEN sd ELSE 1 END', 'z')} FROM m JOIN st USING (var)")(
@@ -66,7 +84,7 @@ query("blom_scores", O.with_("brd", O.RANKS) + f"SELECT var, sample, {rsql(inver
     lambda s, d: r6(T.normal_scores(FX.brands(s, d)).select("var", "sample", "score"), "score")
 )
 _GROUPED = "mg AS (SELECT m.*, g.grp FROM m JOIN g USING (sample))"
-_grouped = lambda s, d: FX.embeddings(s, d).join(F.broadcast(FX.sample_groups(s, d)), "sample")
+_grouped = lambda s, d: FX.embeddings(s, d).join(FX.sample_groups(s, d), "sample")
 query(
     "blom_by_group",
     O.with_("emb", "grp", _GROUPED)
@@ -205,11 +223,11 @@ query("partial_correlation")(lambda s, d: r6(D.partial_correlation(FX.brands(s,
 # --- calibration
 
 # what several parts of a plan use is cached, so that it is computed once
-_mi = lambda s, d: D.mutual_information(FX.brands(s, d)).cache()
-_scores = lambda s, d: C.calibrated(_mi(s, d)).select("i", "j", "score").cache()
+_mi = lambda s, d: D.mutual_information(FX.brands(s, d).transform(cached)).transform(cached)
+_scores = lambda s, d: C.calibrated(_mi(s, d)).select("i", "j", "score").transform(cached)
 _SC = (*_MI, O.score())
 query("clr_stouffer", O.with_(*_EMI, O.score()) + f"SELECT i, j, {rsql('score', 'score')} FROM sc")(
-    lambda s, d: r6(C.calibrated(D.mutual_information(FX.embeddings(s, d)).cache()).select("i", "j", "score"), "score")
+    lambda s, d: r6(C.calibrated(D.mutual_information(FX.embeddings(s, d)).transform(cached)).select("i", "j", "score"), "score")
 )
 query("clr_euclidean", O.with_(*_MI, O.score(combine="euclidean")) + f"SELECT i, j, {rsql('score', 'score')} FROM sc")(
     lambda s, d: r6(C.calibrated(_mi(s, d), combine="euclidean").select("i", "j", "score"), "score")
@@ -271,26 +289,26 @@ tau AS (SELECT coalesce(min(score), CAST('inf' AS DOUBLE)) AS tau FROM pv WHERE
 
 
 def _values(s, d, statistic: str = "clr"):
-    m = FX.brands(s, d)
-    v = N.null_values(m, B.counts(m), _B, statistic=statistic).cache()
+    m = FX.brands(s, d).transform(cached)
+    v = N.null_values(m, B.counts(m), _B, statistic=statistic).transform(cached)
     return v, N.top_of(v)
 
 
 def _ps(s, d):
     v, hi = _values(s, d)
-    return N.pvalues(_scores(s, d), N.survival(N.histogram(v, hi)), hi)
+    return N.pvalues(_scores(s, d), N.survival(N.histogram(v, hi, hair=HAIR)), hi, hair=HAIR)
 
 
 _NULL = (*_MI, *_null(), O.score(), _HI)
 query("perm_null_values", O.with_("brd", O.STATS, O.HG, *_null()) + f"SELECT rep, i, j, {rsql('v', 'v')} FROM nv")(lambda s, d: r6(_values(s, d)[0], "v"))
 query("perm_null_hist", O.with_("brd", O.STATS, O.HG, *_null(), _HI) + f"SELECT rep, {_bin('v')} AS bin, count(*) AS n FROM nv GROUP BY ALL")(
-    lambda s, d: N.histogram(*_values(s, d))
+    lambda s, d: N.histogram(*_values(s, d), hair=HAIR)
 )
 query("perm_pvalues", O.with_(*_NULL, _PV) + f"SELECT i, j, {rsql('score', 'score')}, {rsql('p', 'p')} FROM pv")(lambda s, d: r6(_ps(s, d), "score", "p").select("i", "j", "score", "p"))
 
 
 def _bh_edges(s, d, q):
-    ps = _ps(s, d).cache()
+    ps = _ps(s, d).transform(cached)
     return r6(N.selected(ps, N.bh_cutoff(ps, q)).select("i", "j", "score"), "score")
 
 
@@ -304,33 +322,33 @@ query(
     "hc_statistic",
     O.with_(*_NULL, f"nbin AS (SELECT {_bin('v')} AS bin FROM nv)", _HC)
     + f"SELECT {rsql('max(sqrt(CAST(m AS DOUBLE)) * (CAST(i AS DOUBLE) / m - p) / sqrt(p * (1 - p)))', 'hc')} FROM cv WHERE i >= 1 AND i <= greatest(0.1 * m, 10) AND p < 1",
-)(lambda s, d: r6(N.hc_threshold(N.hc_curve(_scores(s, d), N.survival(N.histogram(*(v := _values(s, d)))), v[1]), v[1]).select("hc"), "hc"))
+)(lambda s, d: r6(N.hc_threshold(N.hc_curve(_scores(s, d), N.survival(N.histogram(*(v := _values(s, d)), hair=HAIR)), v[1], hair=HAIR), v[1]).select("hc"), "hc"))
 query("local_fdr")(lambda s, d: r6(N.local_fdr(_scores(s, d), _values(s, d)[0]), "lfdr"))
 query("central_matching")(lambda s, d: r6(N.central_matching(_scores(s, d)), "mu", "sigma"))
 
 # --- operators
 
 _W = rsql("w", "w")
-query("topk_edges", O.with_(*_EMI, O.score(), O.top_k(5)) + f"SELECT src, dst, {_W} FROM tk")(lambda s, d: r6(G.top_k(C.calibrated(D.mutual_information(FX.embeddings(s, d)).cache()), 5), "w"))
-query("topk_directed", O.with_(*_SC, O.top_k(4)) + f"SELECT src, dst, {_W} FROM tk")(lambda s, d: r6(G.top_k(_scores(s, d), 4), "w"))
+query("topk_edges", O.with_(*_EMI, O.score(), O.top_k(5)) + f"SELECT src, dst, {_W} FROM tk")(lambda s, d: r6(G.top_k(C.calibrated(D.mutual_information(FX.embeddings(s, d)).transform(cached)), 5, digits=TIES), "w"))
+query("topk_directed", O.with_(*_SC, O.top_k(4)) + f"SELECT src, dst, {_W} FROM tk")(lambda s, d: r6(G.top_k(_scores(s, d), 4, digits=TIES), "w"))
 _TAU = "ta AS (SELECT src, dst, v AS w FROM bo WHERE round(v, 9) >= 1.0)"
 query("tau_operator", O.with_(*_SC, O.both("sc", "score"), _TAU) + f"SELECT src, dst, {_W} FROM ta")(
     lambda s, d: r6(G.above(_scores(s, d).withColumn("score", F.round("score", 9)), 1.0), "w")
 )
 query("topk_union", O.with_(*_SC, O.both("sc", "score"), _TAU, O.top_k(2)) + f"SELECT src, dst, {rsql('max(w)', 'w')} FROM (SELECT * FROM ta UNION ALL SELECT * FROM tk) GROUP BY 1, 2")(
-    lambda s, d: r6(G.union(G.above(x := _scores(s, d).withColumn("score", F.round("score", 9)), 1.0), G.top_k(x, 2)), "w")
+    lambda s, d: r6(G.union(G.above(x := _scores(s, d).withColumn("score", F.round("score", 9)), 1.0), G.top_k(x, 2, digits=TIES)), "w")
 )
 query("edge_operator", O.with_(*_SC, O.both("sc", "score")) + f"SELECT src, dst, {rsql('v', 'w')} FROM bo WHERE v > 0 AND (src + dst) % 3 = 0")(
     lambda s, d: r6(G.of_edges(x := _scores(s, d), x.filter("(i + j) % 3 = 0")), "w")
 )
 _SM = (*_SC, O.top_k(20), O.softmax(5.0, "tk"))
-_soft = lambda s, d, keff=5.0, cap=20: G.softmax(_scores(s, d), keff, cap)
+_soft = lambda s, d, keff=5.0, cap=20: G.softmax(_scores(s, d), keff, cap, digits=TIES)
 query("softmax_keff", O.with_(*_SM) + f"SELECT src, dst, {_W} FROM sm")(lambda s, d: r6(_soft(s, d), "w"))
 query("softmax_global_tau", O.with_(*_SC, O.top_k(20)) + f"SELECT src, dst, {rsql('exp((w - m) / 0.7) / sum(exp((w - m) / 0.7)) OVER (PARTITION BY src)', 'w')} FROM (SELECT *, max(w) OVER (PARTITION BY src) AS m FROM tk)")(
-    lambda s, d: r6(G.softmax_at(_scores(s, d), 0.7, 20), "w")
+    lambda s, d: r6(G.softmax_at(_scores(s, d), 0.7, 20, digits=TIES), "w")
 )
 _OP = (*_SC, O.top_k(4), O.normal("tk", "op"))
-_op = lambda s, d, k=4: G.normalised(G.top_k(_scores(s, d), k), FX.brands(s, d).select("var").distinct()).cache()
+_op = lambda s, d, k=4: G.normalised(G.top_k(_scores(s, d), k, digits=TIES), FX.brands(s, d).select("var").distinct()).transform(cached)
 query("row_normalised", O.with_(*_OP) + f"SELECT src, dst, {_W} FROM op")(lambda s, d: r6(_op(s, d), "w"))
 query("hard_top10", O.with_(*_SC, O.top_k(10), O.normal("tk", "op")) + f"SELECT src, dst, {_W} FROM op")(lambda s, d: r6(_op(s, d, 10), "w"))
 query("row_perplexity", O.with_(*_SM) + f"SELECT src, {rsql('exp(-sum(w * ln(w)))', 'perplexity')} FROM sm WHERE w > 0 GROUP BY src")(lambda s, d: r6(G.perplexity(_soft(s, d)), "perplexity"))
@@ -343,14 +361,14 @@ query("score_block", O.with_(*_SC, O.both("sc", "score")) + f"SELECT src, dst, {
 query(
     "multi_head",
     O.with_(*_SC, O.top_k(20), O.softmax(3.0, "tk", "s3"), O.softmax(8.0, "tk", "s8")) + f"SELECT 3.0 AS head, src, dst, {_W} FROM s3 UNION ALL SELECT 8.0, src, dst, {_W} FROM s8",
-)(lambda s, d: r6(G.heads(_scores(s, d), (3, 8), 20), "w"))
+)(lambda s, d: r6(G.heads(_scores(s, d), (3, 8), 20, digits=TIES), "w"))
 SQL["multi_head"] = SQL["multi_head"].replace("SELECT 3.0 AS head", "SELECT CAST(3 AS DOUBLE) AS head").replace("SELECT 8.0,", "SELECT CAST(8 AS DOUBLE),")
 query("symmetric_max", O.with_(*_OP) + f"SELECT least(src, dst) AS i, greatest(src, dst) AS j, {rsql('max(w)', 'w')} FROM op WHERE src <> dst GROUP BY 1, 2")(lambda s, d: r6(G.symmetric_max(_op(s, d)), "w"))
 
 # --- diffusion
 
 _Z = "df0 AS (SELECT var, sample, (x - mean) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS e FROM m JOIN st USING (var))"
-_e0 = lambda s, d: T.standardised(FX.brands(s, d)).select("var", "sample", F.col("z").alias("e")).cache()
+_e0 = lambda s, d: T.standardised(FX.brands(s, d)).select("var", "sample", F.col("z").alias("e")).transform(cached)
 _traj = lambda n: " UNION ALL ".join(f"SELECT {t} AS t, var, sample, round(e, 6) + 0.0 AS e FROM df{t}" for t in range(n + 1))
 query("diffuse_raw_t3", O.with_(*_OP, _Z, O.diffusion("op", 3)) + _traj(3))(lambda s, d: r6(X.diffused(_op(s, d), _e0(s, d), 3), "e"))
 _SIGNED = "so AS (SELECT a.src, a.dst, a.w * CASE WHEN a.src = a.dst THEN 1 ELSE sign(r.r) END AS w FROM op a LEFT JOIN (SELECT i AS src, j AS dst, r FROM r UNION ALL SELECT j, i, r FROM r) r USING (src, dst))"
@@ -367,7 +385,7 @@ def _conditional(s, d):
     nb = B.counts(z)
     ranges = T.stats(z).select("var", "lo", "hi").join(nb, "var")
     a = _op(s, d)
-    model = X.conditional_model(a, z, z.withColumnRenamed("x", "z"), nb).cache()
+    model = X.conditional_model(a, z, z.withColumnRenamed("x", "z"), nb).transform(cached)
     return r6(X.conditional_step(a, model, z.withColumnRenamed("x", "e"), ranges, 0.5), "e")
 
 

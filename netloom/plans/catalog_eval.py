@@ -14,23 +14,9 @@ from netloom.operators import resample as S
 from netloom.operators import truths as K
 from netloom.plans import catalog_core as CC
 from netloom.plans import oracles as O
-from netloom.plans.catalog_core import r6, rsql
+from netloom.plans.catalog_core import query, r6, rsql
 from netloom.sources import fixtures as FX
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 # --- truths: suppliers in regions, pairs of one nation left out
 
 _PU = """pu AS (SELECT a.member AS i, b.member AS j, CAST(a.set_id = b.set_id AS INTEGER) AS label FROM sets a JOIN sets b ON a.member < b.member AND a.grp <> b.grp)"""
@@ -39,8 +25,8 @@ _PAIRS = ("sup", "sets", O.CORR, _PU, _EV)
 _sets = lambda s, d: FX.supplier_sets(s, d)
 _members = lambda s, d: _sets(s, d).select("set_id", "member")
 _groups = lambda s, d: _sets(s, d).select("member", "grp")
-_score = lambda s, d: D.correlation(FX.suppliers(s, d)).select("i", "j", F.round(F.abs("r"), 2).alias("score")).cache()
-_pairs = lambda s, d: K.comembership(_members(s, d), _groups(s, d)).join(_score(s, d), ["i", "j"]).cache()
+_score = lambda s, d: D.correlation(FX.suppliers(s, d)).select("i", "j", F.round(F.abs("r"), 2).alias("score")).transform(CC.cached)
+_pairs = lambda s, d: K.comembership(_members(s, d), _groups(s, d)).join(_score(s, d), ["i", "j"]).transform(CC.cached)
 _vars = lambda s, d: FX.suppliers(s, d).select("var").distinct()
 
 query("regulon_sets", O.with_("sets") + "SELECT set_id, member FROM sets WHERE set_id IN (SELECT set_id FROM sets GROUP BY set_id HAVING count(DISTINCT member) BETWEEN 10 AND 20)")(
@@ -51,9 +37,9 @@ query("dropped_sets", O.with_("sets") + "SELECT set_id, count(DISTINCT member) A
 )
 query("comember_pairs", O.with_("sets", _PU) + "SELECT i, j, label FROM pu")(lambda s, d: K.comembership(_members(s, d), _groups(s, d)))
 query("comember_matrix", O.with_("sets") + "SELECT DISTINCT a.member AS i, b.member AS j, 1 AS label FROM sets a JOIN sets b ON a.set_id = b.set_id AND a.member < b.member")(lambda s, d: K.shared_pairs(_members(s, d)))
-_KNOWN = "kn AS (SELECT DISTINCT CAST(ps_a AS INTEGER) AS factor, CAST(ps_b AS INTEGER) AS target FROM (SELECT DISTINCT l_suppkey AS ps_a, (l_partkey * 7 + l_suppkey) % 100 + 1 AS ps_b FROM lineitem WHERE l_suppkey <= 12 AND l_orderkey % 50 = 0) WHERE ps_a <> ps_b)"
+_KNOWN = "kn AS (SELECT DISTINCT CAST(ps_a AS INTEGER) AS factor, CAST(ps_b AS INTEGER) AS target FROM (SELECT DISTINCT l_suppkey AS ps_a, (l_partkey * 7 + l_suppkey) % 100 + 1 AS ps_b FROM lineitem) WHERE ps_a <> ps_b)"
 _known = lambda s, d: (
-    FX.table(s, d, "lineitem").filter("l_suppkey <= 12 AND l_orderkey % 50 = 0")
+    FX.table(s, d, "lineitem")
     .select(F.col("l_suppkey").cast("int").alias("factor"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 100 + 1).cast("int").alias("target")).filter("factor <> target").distinct()
 )
 _SV = "sv AS (SELECT DISTINCT CAST(l_suppkey AS INTEGER) AS var FROM lineitem)"
@@ -108,17 +94,17 @@ query(
     + """, a AS (SELECT grp AS kd, var, avg(x) AS x FROM mg GROUP BY 1, 2), z AS (SELECT kd, var, 10 * x AS z FROM a),
 t AS (SELECT *, row_number() OVER (PARTITION BY kd ORDER BY round(abs(z), 9) DESC, var) AS k FROM z WHERE abs(z) > 0.05 AND kd <> var)
 SELECT kd AS set_id, var AS member FROM (SELECT *, count(*) OVER (PARTITION BY kd) AS n FROM t WHERE k <= 12) WHERE n >= 3""",
-)(lambda s, d: K.responses(CC._grouped(s, d).groupBy(F.col("grp").alias("kd"), "var").agg((10 * F.avg("x")).alias("z")), 12, 3, 0.05))
+)(lambda s, d: K.responses(CC._grouped(s, d).groupBy(F.col("grp").alias("kd"), "var").agg((10 * F.avg("x")).alias("z")), 12, 3, 0.05, CC.TIES))
 query(
     "evidence_network",
-    """WITH l AS (SELECT DISTINCT CAST(l_suppkey AS INTEGER) AS a, CAST(l_partkey % 100 AS INTEGER) AS b, max(l_quantity) AS c1, max(l_linenumber) AS c2 FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1, 2),
+    """WITH l AS (SELECT DISTINCT CAST(l_suppkey AS INTEGER) AS a, CAST(l_partkey % 100 AS INTEGER) AS b, max(l_quantity) AS c1, max(l_linenumber) AS c2 FROM lineitem GROUP BY 1, 2),
 o AS (SELECT a, b FROM l WHERE greatest(c1, c2 * 7) >= 45), t AS (SELECT a, b FROM o UNION SELECT b, a FROM o)
-SELECT a AS factor, b AS target FROM t WHERE a <= 10 AND a <> b""",
+SELECT a AS factor, b AS target FROM t WHERE a IN (SELECT l_suppkey FROM lineitem) AND a <> b""",
 )(
     lambda s, d: K.evidence_network(
-        FX.table(s, d, "lineitem").filter("l_orderkey % 40 = 0").groupBy(F.col("l_suppkey").cast("int").alias("a"), (F.col("l_partkey") % 100).cast("int").alias("b"))
+        FX.table(s, d, "lineitem").groupBy(F.col("l_suppkey").cast("int").alias("a"), (F.col("l_partkey") % 100).cast("int").alias("b"))
         .agg(F.max("l_quantity").alias("c1"), (F.max("l_linenumber") * 7).cast("double").alias("c2")),
-        s.range(0, 11).select(F.col("id").cast("int").alias("factor")), ["c1", "c2"], 45,
+        _vars(s, d).withColumnRenamed("var", "factor"), ["c1", "c2"], 45,
     )
 )
 query(
@@ -262,12 +248,12 @@ _stats = lambda s, d: M.pair_statistics(_ref(s, d), _quart(s, d))
 _F4 = [rsql(c, c) for c in ("precision", "recall", "f1", "jaccard")]
 query("set_pair_stats", O.with_("sets", _PSTAT) + f"SELECT ref, found, overlap, size_ref, size_found, {', '.join(_F4)} FROM pp")(lambda s, d: r6(_stats(s, d), "precision", "recall", "f1", "jaccard"))
 _BEST = "be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY round(f1, 9) DESC, found) AS k FROM pp WHERE overlap > 0) WHERE k = 1)"
-query("align_best", O.with_("sets", _PSTAT, _BEST) + f"SELECT ref, size_ref, found AS top_found, {', '.join(_F4)} FROM be")(lambda s, d: r6(M.best(_stats(s, d)), "precision", "recall", "f1", "jaccard"))
+query("align_best", O.with_("sets", _PSTAT, _BEST) + f"SELECT ref, size_ref, found AS top_found, {', '.join(_F4)} FROM be")(lambda s, d: r6(M.best(_stats(s, d), CC.TIES), "precision", "recall", "f1", "jaccard"))
 query(
     "align_summary",
     O.with_("sets", _PSTAT, _BEST)
     + f"SELECT count(*) AS n_ref, CAST(4 AS BIGINT) AS n_found, {rsql('avg(f1)', 'mean_f1')}, {rsql('sum(f1 * size_ref) / sum(size_ref)', 'weighted_f1')}, {rsql('quantile_cont(f1, 0.5)', 'median_f1')}, {rsql('avg(CASE WHEN f1 >= 0.5 THEN 1.0 ELSE 0.0 END)', 'recovery_rate')}, {rsql('avg(precision)', 'mean_precision')}, {rsql('avg(recall)', 'mean_recall')} FROM be",
-)(lambda s, d: r6(M.summary(M.best(_stats(s, d)), 4), "mean_f1", "weighted_f1", "median_f1", "recovery_rate", "mean_precision", "mean_recall"))
+)(lambda s, d: r6(M.summary(M.best(_stats(s, d), CC.TIES), 4), "mean_f1", "weighted_f1", "median_f1", "recovery_rate", "mean_precision", "mean_recall"))
 # five references and four found modules: brute force over all injections of found modules
 _HUNG = """hu AS (SELECT a.f1 AS fa, b.f1 AS fb, c.f1 AS fc, d.f1 AS fd FROM pp a JOIN pp b ON a.found = 'Q0' AND b.found = 'Q1' AND a.ref <> b.ref JOIN pp c ON c.found = 'Q2' AND c.ref NOT IN (a.ref, b.ref) JOIN pp d ON d.found = 'Q3' AND d.ref NOT IN (a.ref, b.ref, c.ref))"""
 query("align_hungarian_total", O.with_("sets", _PSTAT, _HUNG) + f"SELECT {rsql('max(fa + fb + fc + fd)', 'total_f1')} FROM hu")(lambda s, d: r6(M.hungarian(_stats(s, d)).agg(F.sum("f1").alias("total_f1")), "total_f1"))
@@ -338,19 +324,18 @@ query("bca_interval")(lambda s, d: s.createDataFrame([tuple(round(v, 9) for v in
 # --- perturbation
 
 _GD = ("emb", "grp")
-_half = lambda s, d: FX.embeddings(s, d).filter("var < 12")
 query(
     "influence_delete_group",
-    O.with_("emb").replace("range(1, 65)", "range(1, 13)")
+    O.with_("emb")
     + f""", {O.CORR}, g AS (SELECT CAST(vec_id AS INTEGER) AS sample, CAST(label AS INTEGER) AS grp FROM embeddings),
 r2 AS (SELECT a.var AS i, b.var AS j, coalesce(corr(a.x, b.x), 0) AS q FROM m a JOIN m b ON a.sample = b.sample AND a.var < b.var WHERE a.sample NOT IN (SELECT sample FROM g WHERE grp = 3) GROUP BY 1, 2),
 dl AS (SELECT i, j, abs(r) - abs(q) AS dv FROM r JOIN r2 USING (i, j)), bs AS (SELECT i AS var, dv FROM dl UNION ALL SELECT j, dv FROM dl)
-SELECT var, {rsql('sqrt(sum(dv * dv) / 12)', 'influence')} FROM bs GROUP BY var""",
+SELECT var, {rsql('sqrt(sum(dv * dv) / 64)', 'influence')} FROM bs GROUP BY var""",
 )(
     lambda s, d: r6(
         P.influence(
-            D.correlation(m := _half(s, d)).select("i", "j", F.abs("r").alias("r")),
-            D.correlation(m.join(F.broadcast(FX.sample_groups(s, d).filter("grp = 3")), "sample", "left_anti")).select("i", "j", F.abs("r").alias("r")), 12, "r",
+            D.correlation(m := FX.embeddings(s, d)).select("i", "j", F.abs("r").alias("r")),
+            D.correlation(m.join(FX.sample_groups(s, d).filter("grp = 3"), "sample", "left_anti")).select("i", "j", F.abs("r").alias("r")), 64, "r",
         ),
         "influence",
     )
@@ -383,10 +368,10 @@ query("pidc")(lambda s, d: r6(P.pidc(FX.brands(s, d)), "score"))
 
 # --- summaries over depths and draws (months as depths or draws, suppliers as cases)
 
-_CUR = "cu AS (SELECT var AS k, sample AS t, x AS value FROM m WHERE var <= 20)"
-_cur = lambda s, d: FX.suppliers(s, d).filter("var <= 20").select(F.col("var").alias("k"), F.col("sample").alias("t"), F.col("x").alias("value"))
-query("best_depth", O.with_("sup", _CUR) + f"SELECT k, CAST(arg_max(t, (value, -t)) AS INTEGER) AS t, max(value) AS value, max(value) - max(value) FILTER (t = 0) AS gain FROM cu GROUP BY k")(lambda s, d: R.best_depth(_cur(s, d), ["k"]))
-query("flat_depths", O.with_("sup", _CUR) + "SELECT k, min(t) AS low, max(t) AS high FROM (SELECT *, max(value) OVER (PARTITION BY k) AS top FROM cu) WHERE round(value, 9) >= round(0.9 * top, 9) GROUP BY k")(lambda s, d: R.flat_depths(_cur(s, d), ["k"], share=0.9))
+_CUR = "cu AS (SELECT var AS k, sample AS t, x AS value FROM m)"
+_cur = lambda s, d: FX.suppliers(s, d).select(F.col("var").alias("k"), F.col("sample").alias("t"), F.col("x").alias("value"))
+query("best_depth", O.with_("sup", _CUR) + f"SELECT k, CAST(arg_max(t, (value, -t)) AS INTEGER) AS t, max(value) AS value, max(value) - max(value) FILTER (t = 0) AS gain FROM cu GROUP BY k")(lambda s, d: R.best_depth(_cur(s, d), ["k"], digits=CC.TIES))
+query("flat_depths", O.with_("sup", _CUR) + "SELECT k, min(t) AS low, max(t) AS high FROM (SELECT *, max(value) OVER (PARTITION BY k) AS top FROM cu) WHERE round(value, 9) >= round(0.9 * top, 9) GROUP BY k")(lambda s, d: R.flat_depths(_cur(s, d), ["k"], share=0.9, digits=CC.TIES))
 _SPL = "sp AS (SELECT k % 4 AS split, k % 2 AS direction, k // 4 AS fam, t, value FROM cu)"
 query(
     "best_t_per_split",
@@ -437,7 +422,7 @@ query(
     + f", tp AS (SELECT *, first_value(method) OVER w AS tm, first_value(value) OVER w AS tv, first_value(se) OVER w AS ts FROM se WINDOW w AS (PARTITION BY fam ORDER BY round(value, 9) DESC, method DESC)) SELECT fam, method, {rsql('value', 'value')}, {rsql('se', 'se')}, tm = method AS best, tv - value <= 0.3 * sqrt(ts * ts + se * se) AS tied FROM tp",
 )(
     lambda s, d: r6(
-        R.tied_with_best(_drw(s, d).groupBy((F.col("draw") % 6).alias("fam"), "method").agg(F.avg("value").alias("value"), (F.stddev_samp("value") / F.sqrt(F.count("*"))).alias("se")), ["fam"], "method", 0.3), "value", "se"
+        R.tied_with_best(_drw(s, d).groupBy((F.col("draw") % 6).alias("fam"), "method").agg(F.avg("value").alias("value"), (F.stddev_samp("value") / F.sqrt(F.count("*"))).alias("se")), ["fam"], "method", 0.3, digits=CC.TIES), "value", "se"
     )
 )
 query(
@@ -532,7 +517,7 @@ query(
     + f"SELECT i, j, {rsql('sum(s) / 2', 's')} FROM (SELECT * FROM aa UNION ALL SELECT * FROM ab) GROUP BY 1, 2",
 )(
     lambda s, d: r6(
-        CC.X.walked(CC.G.heads(CC._scores(s, d), (3, 8), 20), 2, keys=("head",)).filter("src <> dst")
+        CC.X.walked(CC.G.heads(CC._scores(s, d), (3, 8), 20, digits=CC.TIES), 2, keys=("head",)).filter("src <> dst")
         .groupBy(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).agg((F.sum("p") / 4).alias("s")),
         "s",
     )
@@ -543,7 +528,7 @@ def _hc_gate(s, d):
     from netloom.operators import null
 
     values, hi = CC._values(s, d)
-    found = null.hc_gate(values, hi, CC._B)
+    found = null.hc_gate(values, hi, CC._B, hair=CC.HAIR)
     return s.createDataFrame([(k + 1, round(v, 6) + 0.0) for k, v in enumerate(found)], "rank int, hc double")
 
 

@@ -17,7 +17,7 @@ def _months(ts: str) -> Column:
 
 def _completed(cells: DataFrame) -> DataFrame:
     """All combinations of variables and samples that occur; a missing cell is 0."""
-    keys = cells.select("var").distinct().crossJoin(F.broadcast(cells.select("sample").distinct()))
+    keys = cells.select("var").distinct().crossJoin(cells.select("sample").distinct())
     return keys.join(cells, ["var", "sample"], "left").select("var", "sample", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
@@ -47,7 +47,7 @@ def brand_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity by brand and month."""
-    parts = table(spark, sf_dir, "part").join(F.broadcast(brand_names(spark, sf_dir)), "p_brand").select("p_partkey", "var")
+    parts = table(spark, sf_dir, "part").join(brand_names(spark, sf_dir), "p_brand").select("p_partkey", "var")
     rows = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return _completed(rows.groupBy("var", _months("l_shipdate").alias("sample")).agg(F.sum("l_quantity").alias("x")))
 
