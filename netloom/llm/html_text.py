@@ -2,23 +2,30 @@
 
 Pages of a host come from a template. Tokens are tags with their path and text blocks with theirs.
 Tokens with the same occurrence vector, their counts on every page of the host, form an equivalence
-class; vectors are compared by a mergeable fingerprint, the XOR of a hash of (page, count), so counts
-are pre-aggregated and no host's pages meet in one task. Classes of MIN_TOKENS on at least MIN_PAGES
-different pages are valid, so each type of pages of a host has a template of its own; on half of the
-host's pages one token is enough. They nest: a class whose tokens lie within the elements of another,
+class; vectors are compared by a mergeable fingerprint, the sum of a hash of (page, count) modulo a prime,
+so counts are pre-aggregated and no host's pages meet in one task. Classes of MIN_TOKENS on at least
+MIN_PAGES different pages are valid, so each type of pages of a host has a template of its own; on half of
+the host's pages one token is enough. They nest: a class whose tokens lie within the elements of another,
 and repeat where it doesn't, is a list inside it. What isn't a template token fills its slots.
 
-The text of a page is its slots, what isn't text of the host's template, without those in elements
-that are no main text: EXCLUDED, and those whose class, id or role has a name of boilerplate (UNWANTED,
-alone or with a word of AFFIXES) and that stand on MIN_PAGES different pages of the host or more; a
-host with fewer pages can't tell, and there the name decides. Such a name around an article counts
-only where another article with text is free of it. Articles (article, main, or a role of main) are a
-hint: they are the main text unless the slots outside of them hold more
-than the largest of them; then all slots are. Template text in an article goes where an element of
-NEUTRAL with a class, id or role inside the article holds it; in other elements it is the author's and
-is kept even where many pages of a host share it. Equal pages count once, and a page whose slots would
-be less than a tenth of it beside text of classes on fewer than half of the host's pages is a near copy
-of others rather than of their type, and keeps that text.
+Elements of the template hold slots, and the main slot is found from the root: an element of CONTAINERS
+that stands once on its pages, or an article, and holds more than half of the text around it, over all
+pages of the host, is entered, unless a heading of changing text stands beside it. The text of a page is
+what fills its main slot; where the descent ends at the body, all slots. An article (article, main, or a
+role of main) outside the main slot speaks against it, and then all slots are taken.
+
+Slots lose the text of the host's template and elements that are no main text: EXCLUDED, and those whose
+class, id or role has a name of boilerplate (UNWANTED, alone or with a word of AFFIXES) and that stand on
+MIN_PAGES different pages of the host or more; a host with fewer pages can't tell, and there the name
+decides. Such a name around an article counts only where another article with text is free of it.
+Template text in an article goes where an element of NEUTRAL with a class, id or role inside the article
+holds it; in other elements it is the author's and is kept even where many pages of a host share it. Equal
+pages count once, and a page whose slots would be less than a tenth of it beside text of classes on fewer
+than half of the host's pages is a near copy of others rather than of their type, and keeps that text.
+
+Where there is no template, on hosts of fewer than MIN_PAGES different pages and on pages without their
+host's main slots, articles decide: they are the main text unless the slots outside of them hold more than
+the largest of them; then all slots are.
 
 A block ends at tags of BLOCKS. Character references are decoded, white space in a block becomes one
 space, and blocks are joined by a newline in page order.
@@ -71,8 +78,13 @@ REPEATED = frozenset("li dt dd tr td th".split())
 ARTICLE = frozenset(("article", "main"))
 #: Elements without a meaning of their own, of which templates are built.
 NEUTRAL = frozenset("div span ul ol a".split())
+#: Elements that can hold a main slot, and headings, which aren't left outside of one.
+CONTAINERS = frozenset("div section article main center td".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 MIN_PAGES = 3
 MIN_TOKENS = 2
+#: Fingerprints are sums modulo this prime.
+PRIME = (1 << 61) - 1
 #: Text of a type of pages that is more than so many times the rest of a page is no template.
 COPIED = 9
 #: Templates are broadcast up to this size; beyond it they are joined by host.
@@ -103,19 +115,22 @@ def boilerplate(name: str) -> bool:
 
 class Block:
     """article: the number of the outermost article around it, 0 for none; marked: whether an element of NEUTRAL with a label inside the article holds it;
-    around, within: elements with a name of boilerplate outside and inside of the innermost article."""
+    around, within: elements with a name of boilerplate outside and inside of the innermost article; main: whether a main slot holds it."""
 
-    __slots__ = ("around", "article", "marked", "path", "text", "wanted", "within")
+    __slots__ = ("around", "article", "main", "marked", "path", "text", "wanted", "within")
 
-    def __init__(self, text: str, path: str, article: int, marked: bool, wanted: bool, around: tuple[str, ...], within: tuple[str, ...]):
-        self.text, self.path, self.article, self.marked, self.wanted, self.around, self.within = text, path, article, marked, wanted, around, within
+    def __init__(self, text: str, path: str, article: int, marked: bool, wanted: bool, around: tuple[str, ...], within: tuple[str, ...], main: bool):
+        self.text, self.path, self.article, self.marked, self.wanted, self.around, self.within, self.main = text, path, article, marked, wanted, around, within, main
 
 
-def parsed(page: str) -> tuple[list[Block], Counter]:
-    """The page's text blocks in order, and how often each of its tokens occurs."""
+def parsed(page: str, mains: frozenset[str] = frozenset()) -> tuple[list[Block], Counter, Counter]:
+    """The page's text blocks in order, how often each of its tokens occurs, and how many characters of text the
+    elements of a tag token hold, without those in EXCLUDED."""
     blocks: list[Block] = []
     tokens: Counter = Counter()
-    stack: list[tuple] = [("", "", 0, False, True, (), ())]  # name and what a block has
+    inside: Counter = Counter()
+    stack: list[tuple] = [("", "", 0, False, True, (), (), False)]  # name and what a block has
+    held = [0]  # characters in each element of the stack
     opened: dict[str, list[int]] = defaultdict(list)  # where on the stack the elements of a name are
     open_blocks: list[int] = []
     articles = 0
@@ -132,12 +147,17 @@ def parsed(page: str) -> tuple[list[Block], Counter]:
             if text:
                 _, path, *rest = stack[-1]
                 blocks.append(Block(text, path, *rest))
+                if blocks[-1].wanted:
+                    held[-1] += len(text)
                 tokens[f"#{path}#{_short(text)}"] += 1
 
     def close(k: int) -> None:
-        for element in stack[k:]:
+        while len(stack) > k:
+            element = stack.pop()
             opened[element[0]].pop()
-        del stack[k:]
+            own = held.pop()
+            inside[element[1]] += own
+            held[-1] += own
         while open_blocks and open_blocks[-1] >= k:
             open_blocks.pop()
 
@@ -164,7 +184,7 @@ def parsed(page: str) -> tuple[list[Block], Counter]:
             k = open_blocks[-1] if open_blocks else 0
             if k and (stack[k][0] == "p" or stack[k][0] == name and name in REPEATED) and name != "br":
                 close(k)
-        _, path, article, marked, wanted, around, within = stack[-1]
+        _, path, article, marked, wanted, around, within, in_main = stack[-1]
         own = f"{path}/{name}.{label}" if label else f"{path}/{name}"
         if len(own) > 400:
             own = f"{path[:100]}~{_short(own)}"
@@ -190,9 +210,11 @@ def parsed(page: str) -> tuple[list[Block], Counter]:
         opened[name].append(len(stack))
         if name in BLOCKS:
             open_blocks.append(len(stack))
-        stack.append((name, own, article, marked, wanted and name not in EXCLUDED, around, within))
+        stack.append((name, own, article, marked, wanted and name not in EXCLUDED, around, within, in_main or own in mains))
+        held.append(0)
     end_block()
-    return blocks, tokens
+    close(1)
+    return blocks, tokens, inside
 
 
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
@@ -202,18 +224,19 @@ def _short(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
-def main_text(page: str, template: frozenset[str] | None, typed: frozenset[str] = frozenset()) -> str:
-    """The main text of a page of a host with these template tokens, None if it has too few pages for any, and those of its types of pages."""
+def main_text(page: str, template: frozenset[str] | None, typed: frozenset[str] = frozenset(), mains: frozenset[str] = frozenset()) -> str:
+    """The main text of a page of a host with these template tokens, None if it has too few pages for any, those of its types of pages, and its main slots."""
+    blocks = parsed(page, mains)[0]
     if template is None:
-        template, named = frozenset(), bool
+        tokens, named = frozenset(), bool
     else:
-        named = lambda names: not template.isdisjoint(names)
+        tokens, named = template, lambda names: not template.isdisjoint(names)
     slots, of_type = [], set()
-    for b in parsed(page)[0]:
+    for b in blocks:
         if b.wanted and not named(b.within):
             if not b.article or b.marked:
                 token = f"#{b.path}#{_short(b.text)}"
-                if token in template:
+                if token in tokens:
                     continue
                 if token in typed:
                     of_type.add(b)
@@ -223,12 +246,16 @@ def main_text(page: str, template: frozenset[str] | None, typed: frozenset[str]
     free = [b for b in slots if not named(b.around)]
     if any(b.article for b in free):
         slots = free
-    size: Counter = Counter()
-    for b in slots:
-        size[b.article] += len(b.text)
-    outside = size.pop(0, 0)
-    if size and max(size.values()) >= outside:
-        slots = [b for b in slots if b.article]
+    if any(b.main for b in slots):
+        if not any(b.article and not b.main for b in slots):
+            slots = [b for b in slots if b.main]
+    elif template is None or mains:
+        size: Counter = Counter()
+        for b in slots:
+            size[b.article] += len(b.text)
+        outside = size.pop(0, 0)
+        if size and max(size.values()) >= outside:
+            slots = [b for b in slots if b.article]
     return "\n".join(b.text for b in slots)
 
 
@@ -242,40 +269,47 @@ def _hash(*parts) -> int:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, pages, vector (fingerprint), most, different: the occurrence vector of every token of a host, and up to MIN_PAGES different pages."""
+    """host, token, pages, vector (fingerprint), most, chars (in its elements), different: the occurrence vector of every token of a host, and up to MIN_PAGES different pages."""
+    names = ["host", "token", "pages", "vector", "most", "chars", "different"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, ()])
+            found: dict[tuple[str, str], list] = defaultdict(lambda: [0, 0, 0, 0, ()])
             for host, page_id, page in zip(*(c.to_pylist() for c in batch.columns)):
-                own = {n: _hash(page_id, n) for n in range(1, 5)}
-                content = _hash(page or "")
-                tokens = parsed(page or "")[1]
+                content = _hash(page or "")  # rows with one id are pages of their own unless they are equal
+                own = {n: _hash(page_id, content, n) for n in range(1, 5)}
+                _, tokens, inside = parsed(page or "")
                 tokens["*"] = 1  # counts the host's pages
                 for token, n in tokens.items():
                     x = found[host, token]
                     x[0] += 1
-                    x[1] ^= own[n] if n in own else own.setdefault(n, _hash(page_id, n))
+                    x[1] = (x[1] + (own[n] if n in own else own.setdefault(n, _hash(page_id, content, n)))) % PRIME
                     x[2] = max(x[2], n)
-                    if len(x[3]) < MIN_PAGES and content not in x[3]:
-                        x[3] = (*x[3], content)
+                    x[3] += inside.get(token, 0)
+                    if len(x[4]) < MIN_PAGES and content not in x[4]:
+                        x[4] = (*x[4], content)
             keys = list(found)
-            columns = [[k[0] for k in keys], [k[1] for k in keys], *([found[k][i] for k in keys] for i in range(4))]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "token", "pages", "vector", "most", "different"])
+            columns = [[k[0] for k in keys], [k[1] for k in keys], *([found[k][i] for k in keys] for i in range(5))]
+            kinds = (pa.string(), pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    rows = pages.select(host_of().alias("host"), "page_id", "html").mapInArrow(count, "host string, token string, pages long, vector long, most long, different array<long>")
+    schema = "host string, token string, pages long, vector long, most long, chars long, different array<long>"
+    rows = pages.select(host_of().alias("host"), "page_id", "html").mapInArrow(count, schema)
     different = F.slice(F.array_distinct(F.flatten(F.collect_list("different"))), 1, MIN_PAGES)
-    return rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.max("most").alias("most"), different.alias("different"))
+    vector = F.pmod(F.sum(F.col("vector").cast("decimal(20,0)")), F.lit(PRIME)).cast("long")
+    return rows.groupBy("host", "token").agg(
+        F.sum("pages").alias("pages"), vector.alias("vector"), F.max("most").alias("most"), F.sum("chars").alias("chars"), different.alias("different")
+    )
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """host, tokens, pages, most, wide: the valid equivalence classes of tokens on MIN_PAGES different pages, and whether half of the host's pages have them."""
+    """host, tokens, chars (of each), pages, most, wide: the valid equivalence classes of tokens on MIN_PAGES different pages, and whether half of the host's pages have them."""
     tokens = vectors.filter(~F.col("token").startswith("!") & (F.col("token") != "*"))
     hosts = vectors.filter(F.col("token") == "*").select("host", F.col("pages").alias("all"))
-    own = tokens.groupBy("host", "vector", "pages", "most").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    own = tokens.groupBy("host", "vector", "pages", "most").agg(F.array_sort(F.collect_list(F.struct("token", "chars"))).alias("own"))
     found = own.join(hosts, "host").withColumn("wide", 2 * F.col("pages") >= F.col("all"))
-    return found.filter(F.col("wide") | (F.size("tokens") >= MIN_TOKENS)).drop("vector", "all")
+    valid = found.filter(F.col("wide") | (F.size("own") >= MIN_TOKENS))
+    return valid.select("host", F.col("own.token").alias("tokens"), F.col("own.chars").alias("chars"), "pages", "most", "wide")
 
 
 def path_of(token: str) -> str:
@@ -313,51 +347,95 @@ def template_of(own: list[tuple[list[str], int, int]]) -> list[str]:
     return sorted(kept)
 
 
+def main_slots(own: list[tuple[list[str], list[int], int, int]], kept: set[str]) -> list[str]:
+    """Tag tokens of the main slots: of the classes (tokens, chars, pages, most a page), kept the template's tokens.
+
+    From the body down, while one element of the template holds more than half of the text around it on
+    its pages and no heading of changing text stands beside it.
+    """
+    of = {t: (n, pages, most) for tokens, chars, pages, most in own for t, n in zip(tokens, chars) if not t.startswith("#")}
+    fixed = {path_of(t) for t in kept if t.startswith("#")}
+    children: dict[str, list[str]] = defaultdict(list)
+    headings: dict[str, list[str]] = defaultdict(list)
+
+    def name_of(path: str) -> str:
+        return path.rpartition("/")[2].partition(".")[0]
+
+    for path in of:
+        parent = path.rpartition("/")[0]
+        if name_of(path) in HEADINGS and path not in fixed:
+            headings[parent].append(path)
+        while parent and parent not in kept:
+            parent = parent.rpartition("/")[0]
+        if path in kept:
+            children[parent].append(path)
+    found, todo = [], [p for p in of if name_of(p) == "body" and p in kept] or [p for p in children[""] if name_of(p) in CONTAINERS]
+    while todo:
+        path = todo.pop()
+        chars, pages, _ = of[path]
+        inner = []
+        for child in children[path]:
+            n, on, most = of[child]
+            fits = name_of(child) in CONTAINERS and (most == 1 or name_of(child) in ARTICLE) and 2 * n * pages > chars * on
+            if fits and not headings[path]:
+                inner.append(child)
+        if not inner and name_of(path) not in ("html", "body"):
+            found.append(path)
+        todo += inner
+    return sorted(found)
+
+
+def deduced(own: list[tuple[list[str], list[int], int, int, bool]]) -> tuple[list[str], list[str], list[str]]:
+    """Text tokens of the template on half of the host's pages, those on fewer, and the main slots, of the classes
+    (tokens, chars, pages, most a page, wide)."""
+    kept = set(template_of([(tokens, pages, most) for tokens, _, pages, most, _ in own]))
+    texts = [sorted(t for tokens, _, _, _, wide in own if wide == w for t in tokens if t.startswith("#") and t in kept) for w in (True, False)]
+    return *texts, main_slots([x[:4] for x in own], kept)
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template, typed: text tokens of the host's nested classes, on half of its pages or fewer, and its repeated elements with a name of boilerplate.
+    """host, template, typed, mains: text tokens of the host's nested classes, on half of its pages or fewer, its repeated elements with a name of boilerplate, and its main slots.
 
     Only hosts of MIN_PAGES different pages or more are in it.
     """
 
     def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], []]
-            for xs in batch["own"].to_pylist():
-                kept = set(template_of([(x["tokens"], x["pages"], x["most"]) for x in xs]))
-                for wide, column in zip((True, False), columns):
-                    column.append(sorted(t for x in xs if x["wide"] == wide for t in x["tokens"] if t.startswith("#") and t in kept))
+            found = [deduced([(x["tokens"], x["chars"], x["pages"], x["most"], x["wide"]) for x in xs]) for xs in batch["own"].to_pylist()]
             kind = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([batch["host"], *(pa.array(c, kind) for c in columns)], ["host", "template", "typed"])
+            yield pa.RecordBatch.from_arrays([batch["host"], *(pa.array([f[k] for f in found], kind) for k in range(3))], ["host", "template", "typed", "mains"])
 
     vectors = written(occurrences(pages).filter(F.size("different") >= MIN_PAGES).drop("different"), "occurrences")
-    own = classes(vectors).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("tokens", "pages", "most", "wide"))).alias("own"))
-    found = own.mapInArrow(nest, "host string, template array<string>, typed array<string>")
+    own = classes(vectors).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("tokens", "chars", "pages", "most", "wide"))).alias("own"))
+    found = own.mapInArrow(nest, "host string, template array<string>, typed array<string>, mains array<string>")
     named = vectors.filter((F.col("token") == "*") | F.col("token").startswith("!")).groupBy("host").agg(F.collect_list("token").alias("named"))
     none = F.array().cast("array<string>")
-    return named.join(found, "host", "left").select("host", F.concat("named", F.coalesce("template", none)).alias("template"), F.coalesce("typed", none).alias("typed"))
+    return named.join(found, "host", "left").select(
+        "host", F.concat("named", F.coalesce("template", none)).alias("template"), F.coalesce("typed", none).alias("typed"), F.coalesce("mains", none).alias("mains")
+    )
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     template = written(templates(pages), "templates")
-    size = template.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "template", "typed"))), F.lit(0))).first()[0]
+    size = template.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "template", "typed", "mains"))), F.lit(0))).first()[0]
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of().alias("host"), "html")
     joined = rows.join(F.broadcast(template) if size <= BROADCAST_BYTES else template.hint("merge"), "host", "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
         for batch in batches:
-            page_ids, urls, hosts, pages_, templates_, typed = batch.columns
+            page_ids, urls, hosts, pages_, *deduced_ = batch.columns
             texts = []
             for i, page in enumerate(pages_):
                 host = hosts[i].as_py()
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[host] = (frozenset(templates_[i].as_py()), frozenset(typed[i].as_py())) if templates_[i].is_valid else (None,)
+                    known[host] = tuple(frozenset(c[i].as_py()) for c in deduced_) if deduced_[0][i].is_valid else (None,)
                 texts.append(main_text(page.as_py() or "", *known[host]))
             yield pa.RecordBatch.from_arrays(
                 [page_ids, urls, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    return joined.select("page_id", "url", "host", "html", "template", "typed").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "host", "html", "template", "typed", "mains").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
