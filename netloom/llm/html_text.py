@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.shared import written
+from netloom.llm.shared import scratch, written
 
 #: Elements whose content is never main text.
 EXCLUDED = frozenset(
@@ -417,7 +417,9 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    template = written(templates(pages), "templates")
+    with scratch(pages.sparkSession) as kept:
+        template = written(templates(pages), "templates")
+        kept.append(template.written_path)
     size = template.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "template", "typed", "mains"))), F.lit(0))).first()[0]
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of().alias("host"), "html")
     joined = rows.join(F.broadcast(template) if size <= BROADCAST_BYTES else template.hint("merge"), "host", "left")

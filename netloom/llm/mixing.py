@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.llm.shared import written
+from netloom.llm.shared import discard, written
 
 #: What is a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -127,6 +127,7 @@ def _plan(docs: DataFrame, weights: tuple[int, ...], max_epochs: int) -> tuple[D
     sizes = written(sized(docs), "mix-sizes")
     dims = written(targets(sizes, weights, max_epochs), "mix-targets")
     queued = written(_queued(sizes, dims), "mix-queue")
+    discard(docs.sparkSession, sizes)
     total, latest, rows = _latest(dims, max_epochs)
     slots = max(1, rows // PER_BUCKET)  # in a unit of time
     turns = (
@@ -165,6 +166,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     last = written(own.groupBy("rank").agg(*[F.max(F.when(F.col(f"t{e}") == 1, F.col("key"))).alias(f"k{e}") for e in epochs]), "mix-last")
     at_end = [F.sum(F.when(F.col("key") == F.col(f"k{e}"), F.col(f"t{e}")).otherwise(0)).alias(f"c{e}") for e in epochs]
     ends = written(own.join(last, "rank").groupBy("rank", *[f"k{e}" for e in epochs]).agg(*at_end).join(dims.select("rank", "source"), "rank"), "mix-ends")
+    discard(docs.sparkSession, last, queued, dims)
     small = F.broadcast(ends) if ends.count() < FEW_SOURCES else ends
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("source").alias("own"), _key().alias("key"))

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.kept_texts import Texts
-from netloom.llm.shared import shuffle_width, written
+from netloom.llm.shared import discard, scratch, shuffle_width, written
 
 WORDS, TREES, DEPTH, SHORTEST, RECALL = 5, 16, 6, 3, 0.9997
 #: Similarity asked for, as a fraction of integers.
@@ -272,6 +272,7 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     Every round a node, and the root it has so far, take the smallest root of the node's neighbours;
     then roots are followed one step. Each round is a table in the shared folder.
     """
+    spark = edges.sparkSession
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), f"{name}-edges")
     roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), f"{name}-roots")
     while True:
@@ -281,11 +282,14 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         told = near.select(F.explode(F.array("a", "root_a")).alias("node"), F.col("root_b").alias("root"))
         told = written(told.groupBy("node").agg(F.min("root").alias("root")), f"{name}-told")
         if told.isEmpty():
+            discard(spark, both, told)
             return roots
         lower = roots.unionByName(told).groupBy("node").agg(F.min("root").alias("root"))
         lower = written(lower, f"{name}-roots")
         up = lower.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        roots = written(lower.join(up, "root").select("node", F.col("top").alias("root")), f"{name}-roots")
+        followed = written(lower.join(up, "root").select("node", F.col("top").alias("root")), f"{name}-roots")
+        discard(spark, roots, told, lower)
+        roots = followed
 
 
 def _uid() -> Column:
@@ -451,10 +455,12 @@ def _joined(texts: Texts, spark: SparkSession, column: str) -> DataFrame:
         "near-classes",
     )
     reps = own.select("uid", "file", "row", "signature").join(classes.select(F.col("rep").alias("uid"), "copies"), "uid")
-    found = written(tries(reps.select("uid", "signature"), spark), "near-tries")
-    nodes = matched(written(searched(found, spark), "near-searched"), "near-nodes")
-    members = units(reps.select("uid", "file", "row", "copies"), nodes)
-    links = written(_verified(members.select("file", "row", "copies", "family", "keys", "units"), texts, spark, column), "near-links")
+    with scratch(spark) as kept:
+        found = written(tries(reps.select("uid", "signature"), spark), "near-tries")
+        nodes = matched(written(searched(found, spark), "near-searched"), "near-nodes")
+        members = units(reps.select("uid", "file", "row", "copies"), nodes)
+        links = written(_verified(members.select("file", "row", "copies", "family", "keys", "units"), texts, spark, column), "near-links")
+        kept.append(links.written_path)
     roots = connected(few_edges(links.select("uid", "root")), "near-classes")
     counts = links.groupBy("uid").agg(F.sum("links").alias("links"))
     of_rep = written(

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.mixing import WORD
-from netloom.llm.shared import written
+from netloom.llm.shared import discard, written
 
 #: ASCII white space, which separates words.
 BLANKS, BLANK = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]"
@@ -120,6 +120,7 @@ def planned(docs: DataFrame, rules: dict[str, Callable[[Facts], Column]] = RULES
     # the first pass also compiles and warms up; the lesser time of each counts
     tried = {None: lambda f: f["n_words"]() < 0} | rules
     passes = [{name: run(rule) for name, rule in tried.items()} for _ in range(2)]
+    discard(docs.sparkSession, sample)
     seconds = {name: min(x[name][0] for x in passes) for name in tried}
     found = [(name, max(seconds[name] - seconds[None], 1e-3), passes[0][name][1]) for name in rules]
     return sorted(found, key=lambda x: (-x[2] / x[1], x[0]))

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from netloom.llm.kept_texts import Texts
-from netloom.llm.shared import common, shuffle_width, written
+from netloom.llm.shared import common, discard, shuffle_width, written
 
 LENGTH, WINDOW, GRAM = 200, 64, 16
 CORE = LENGTH - WINDOW + 1
@@ -527,7 +527,9 @@ def deduplicated(docs: DataFrame, column: str = "text", replace: bool = False) -
     n_files = len(texts)
     if not n_files:
         return spark.createDataFrame([], schema)
-    spans = _spans(_candidates(spark, texts, column, width), texts, column, width)
+    candidates = _candidates(spark, texts, column, width)
+    spans = _spans(candidates, texts, column, width)
+    discard(spark, candidates)
     every = spark.range(0, n_files, 1, n_files).select(
         F.col("id").cast("int").alias("file"), *[F.lit(None).cast("binary").alias(c) for c in ("rows", "starts", "ends")]
     )
