@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import byte_bpe, mixing, near_duplicates, quality, suffix_dedup
-from netloom.llm.shared import written
+from netloom.llm.shared import discard, scratch, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage wrote on the way goes once its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as kept:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(docs.written_path)
+        if before is not None:
+            discard(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
