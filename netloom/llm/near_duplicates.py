@@ -338,7 +338,7 @@ def units(reps: DataFrame, nodes: DataFrame) -> DataFrame:
     return reps.join(small.unionByName(taken.select("uid", "family", "keys", F.when(F.size("keys") == 0, F.when(F.col("unit").isNull(), none).otherwise(F.array("unit"))).otherwise(every).alias("units"))), "uid")
 
 
-MEMBERS = "group long, i int, j int, uid long, block int, copies long, family long, keys array<long>, shingles binary"
+MEMBERS = "target int, group long, i int, j int, uid long, block int, copies long, family long, keys array<long>, shingles binary"
 LINKS = "uid long, links long, root long"
 
 
@@ -392,6 +392,12 @@ def without_others(links: np.ndarray, rows: list[dict]) -> np.ndarray:
 def _verified(members: DataFrame, texts: Texts, spark: SparkSession, column: str) -> DataFrame:
     """uid, links (copies of linked representatives), root: of each unit that a representative is in."""
 
+    width = shuffle_width(spark)
+
+    def target(group: int, i: int = 0, j: int = 0) -> int:
+        """The task of a unit: pairs of a family's blocks go to one task after another, from a hashed start."""
+        return (xxhash.xxh3_64_intdigest(group.to_bytes(8, "little", signed=True)) + j * (j + 1) // 2 + i) % width
+
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: dict[int, dict[int, dict]] = defaultdict(dict)
         for batch in batches:
@@ -407,9 +413,10 @@ def _verified(members: DataFrame, texts: Texts, spark: SparkSession, column: str
                     group, block = unit["group"], unit["block"]
                     rest = ((file << 32) + row, block, x["copies"], x["family"], x["keys"], own)
                     if not unit["blocks"]:
-                        out.append((group, -1, -1, *rest))
+                        out.append((target(group), group, -1, -1, *rest))
                     for other in range(unit["blocks"]):
-                        out.append((group, min(block, other), max(block, other), *rest))
+                        i, j = min(block, other), max(block, other)
+                        out.append((target(group, i, j), group, i, j, *rest))
                     held += len(own) * max(1, unit["blocks"])
                     if held > 4 << 20:
                         yield _members(out)
@@ -439,11 +446,11 @@ def _verified(members: DataFrame, texts: Texts, spark: SparkSession, column: str
     n_files = max(1, len(texts))
     shipped = members.repartitionById(n_files, "file").mapInArrow(ship, MEMBERS)
     unit = ["group", "i", "j"]
-    return shipped.repartition(shuffle_width(spark), *unit).sortWithinPartitions(*unit).mapInArrow(verify, LINKS)
+    return shipped.repartitionById(width, "target").sortWithinPartitions(*unit).mapInArrow(verify, LINKS)
 
 
 def _members(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in MEMBERS.split(", ")])
 
 
