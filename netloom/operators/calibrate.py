@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def symmetric(edges: DataFrame, value: str) -> DataFrame:
-    """Both directions of each pair: src, dst, value; one pass over the pairs."""
+def symmetric(edges: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Both directions of each pair: keys, src, dst, value; one pass over the pairs."""
     ways = F.array(F.struct(F.col("i").alias("src"), F.col("j").alias("dst")), F.struct(F.col("j").alias("src"), F.col("i").alias("dst")))
-    return edges.select(F.inline(ways), value)
+    return edges.select(*keys, F.inline(ways), value)
 
 
 def combined(a: Column, b: Column, how: str) -> Column:

@@ -165,19 +165,20 @@ def mutual_information(m: DataFrame, rule: str | int = "hg", order: int = 3, tra
     return joined_mi(weights(m, nb, order)) if path == "sql" else block_mi(m, nb, order, single=single)
 
 
-def correlation(m: DataFrame, rank: bool = False) -> DataFrame:
-    """i, j, r: Pearson's (of ranks: Spearman's) correlation of all pairs, 0 where it is undefined."""
+def correlation(m: DataFrame, rank: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys (integers), i, j, r: Pearson's (of ranks: Spearman's) correlation of all pairs, 0 where it is undefined."""
     if rank:
-        m = ranked(m).select("var", "sample", F.col("r").alias("x"))
+        m = ranked(m, *keys).select(*keys, "var", "sample", F.col("r").alias("x"))
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf.block == k].sort_values("var") for k in (pdf.p.iloc[0], pdf.q.iloc[0]))
         xa, xb = (np.stack(t.x.to_list()) for t in (a, b))
         unit = lambda x: np.divide(c := x - x.mean(axis=1, keepdims=True), s := np.sqrt((c * c).sum(axis=1, keepdims=True)), out=np.zeros_like(x), where=s > 0)
         i, j = np.meshgrid(a["var"], b["var"], indexing="ij")
-        return pd.DataFrame({"i": i[i < j], "j": j[i < j], "r": (unit(xa) @ unit(xb).T)[i < j]})
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "i": i[i < j], "j": j[i < j], "r": (unit(xa) @ unit(xb).T)[i < j]})
 
-    return _block_pairs(m, []).groupBy("p", "q").applyInPandas(pair, "i int, j int, r double")
+    schema = ", ".join([*(f"{k} int" for k in keys), "i int, j int, r double"])
+    return _block_pairs(m, [], keys).groupBy(*keys, "p", "q").applyInPandas(pair, schema)
 
 
 def gaussian_mi(r: DataFrame, bits: bool = True) -> DataFrame:

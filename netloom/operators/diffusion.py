@@ -60,12 +60,12 @@ def conditional_step(a: DataFrame, model: DataFrame, e: DataFrame, ranges: DataF
     return out.select("var", "sample", ((1 - alpha) * F.col("e") + alpha * F.coalesce("m", F.lit(0.0))).alias("e"))
 
 
-def walked(a: DataFrame, steps: int, alpha: float = 0.5, columns: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, src, dst, p: the lazy walk's power ((1 - alpha) I + alpha A)^steps, of the given columns (var) only."""
+def walked(a: DataFrame, steps: int, alpha: float = 0.5, columns: DataFrame | None = None, keys: tuple[str, ...] = (), start: DataFrame | None = None) -> DataFrame:
+    """keys, src, dst, p: the lazy walk's power ((1 - alpha) I + alpha A)^steps, of the given columns (var) only, or on from a walk."""
     a = kept(a)
-    nodes = a.select(*keys, F.col("src").alias("v")).unionByName(a.select(*keys, F.col("dst").alias("v"))).distinct()
+    nodes = a.select(*keys, F.explode(F.array("src", "dst")).alias("v")).distinct()
     ends = nodes if columns is None else nodes.join(columns.select(F.col("var").alias("v")), "v", "left_semi")
-    now = ends.select(*keys, F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(1.0).alias("p"))
+    now = start if start is not None else ends.select(*keys, F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(1.0).alias("p"))
     for t in range(1, steps + 1):
         moved = a.select(*keys, F.col("src").alias("s"), F.col("dst").alias("src"), "w").join(now, [*keys, "src"])
         moved = moved.select(*keys, F.col("s").alias("src"), "dst", (alpha * F.col("w") * F.col("p")).alias("p"))
@@ -74,9 +74,36 @@ def walked(a: DataFrame, steps: int, alpha: float = 0.5, columns: DataFrame | No
     return now
 
 
-def attention(walk: DataFrame) -> DataFrame:
-    """i, j, s: the mean of both directions' walk probabilities."""
-    return walk.filter("src <> dst").groupBy(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).agg((F.sum("p") / 2).alias("s"))
+def walked_at(a: DataFrame, depths: list[int], alpha: float = 0.5, columns: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """t, keys, src, dst, p of several depths, each walked on from the one before."""
+    out, now, at = None, None, 0
+    for t in sorted(set(depths)):
+        now = walked(a, t - at, alpha, columns, keys, now)
+        at = t
+        own = now.select(F.lit(t).alias("t"), *keys, "src", "dst", "p")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+#: Share of pairs with a weight from which a walk is dense.
+DENSE = 0.1
+
+
+def is_dense(a: DataFrame) -> bool:
+    """Whether more than DENSE of all pairs of variables have a weight: one pass over the operator."""
+    n = a.select(F.explode(F.array("src", "dst")).alias("v")).agg(F.countDistinct("v")).first()[0]
+    return a.count() > DENSE * n * n
+
+
+def walked_auto(a: DataFrame, steps: int, alpha: float = 0.5) -> DataFrame:
+    """src, dst, p: by row blocks where the operator is dense, by joins where it is sparse."""
+    return walk_blocks(a, [steps], alpha).drop("t") if is_dense(a) else walked(a, steps, alpha)
+
+
+def attention(walk: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, i, j, s: the mean of both directions' walk probabilities."""
+    own = walk.filter("src <> dst").groupBy(*keys, F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"))
+    return own.agg((F.sum("p") / 2).alias("s"))
 
 
 def walk_blocks(a: DataFrame, depths: list[int], alpha: float = 0.5, block: int = 256) -> DataFrame:

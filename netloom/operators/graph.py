@@ -10,11 +10,11 @@ from netloom.functions.numeric import ordered, perplexity_weights
 from netloom.operators.calibrate import symmetric
 
 
-def top_k(scores: DataFrame, k: int, value: str = "score", digits: int | None = None) -> DataFrame:
-    """src, dst, w: the k largest positive scores of each row (to `digits`); ties to the smaller dst."""
-    both = symmetric(scores, value).filter(F.col(value) > 0)
-    rank = F.row_number().over(W.partitionBy("src").orderBy(ordered(F.col(value), digits).desc(), "dst"))
-    return both.withColumn("k", rank).filter(F.col("k") <= k).select("src", "dst", F.col(value).alias("w"))
+def top_k(scores: DataFrame, k: int, value: str = "score", digits: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, src, dst, w: the k largest positive scores of each row (to `digits`); ties to the smaller dst."""
+    both = symmetric(scores, value, keys).filter(F.col(value) > 0)
+    rank = F.row_number().over(W.partitionBy(*keys, "src").orderBy(ordered(F.col(value), digits).desc(), "dst"))
+    return both.withColumn("k", rank).filter(F.col("k") <= k).select(*keys, "src", "dst", F.col(value).alias("w"))
 
 
 def above(scores: DataFrame, tau: float, value: str = "score") -> DataFrame:
@@ -50,13 +50,13 @@ def softmax_at(scores: DataFrame, tau: float, cap: int = 50, value: str = "score
     return top.withColumn("w", e).withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy("src")))
 
 
-def normalised(a: DataFrame, variables: DataFrame | None = None, self_loops: bool = True) -> DataFrame:
-    """Rows that add up to 1; with self_loops a variable without weights gets one of itself."""
-    rows = a.filter("w > 0").withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy("src")))
+def normalised(a: DataFrame, variables: DataFrame | None = None, self_loops: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that add up to 1; with self_loops a variable (keys, var) without weights gets one of itself."""
+    rows = a.filter("w > 0").withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy(*keys, "src")))
     if not self_loops or variables is None:
         return rows
-    lone = variables.select(F.col("var").alias("src")).join(rows.select("src").distinct(), "src", "left_anti")
-    return rows.select("src", "dst", "w").unionByName(lone.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("w")))
+    lone = variables.select(*keys, F.col("var").alias("src")).join(rows.select(*keys, "src").distinct(), [*keys, "src"], "left_anti")
+    return rows.select(*keys, "src", "dst", "w").unionByName(lone.select(*keys, "src", F.col("src").alias("dst"), F.lit(1.0).alias("w")))
 
 
 def external(a: DataFrame) -> DataFrame:

@@ -60,6 +60,11 @@ def balanced_split(sizes: DataFrame, splits: int) -> DataFrame:
     return rows.groupBy("split").applyInPandas(assign, f"split int, grp {kind}, half int")
 
 
+def usable_profiles(profiles: DataFrame, level: float = 1e-3) -> DataFrame:
+    """Profiles (var, p, control) of perturbations that aren't controls and took effect."""
+    return profiles.filter((F.col("p") < level) & ~F.col("control"))
+
+
 def kept_halves(variables: DataFrame, reps: int, share: float = 0.5) -> DataFrame:
     """rep, var: that share of the variables, by hash, in every replicate."""
     spark = variables.sparkSession

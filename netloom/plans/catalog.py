@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.plans import catalog_core, catalog_eval  # noqa: F401  registers its queries
+from netloom.plans import catalog_composites, catalog_core, catalog_eval  # noqa: F401  registers its queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
