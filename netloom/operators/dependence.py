@@ -20,6 +20,8 @@ from netloom.operators.transform import ranked
 LEAST, MOST, BLOCKS, HELD = 64, 512, 16, 1 << 23
 #: Variables whose joint tables are made at once.
 AT_ONCE = 32
+#: Variables of a covariance that is inverted.
+MOST_VARIABLES = 10_000
 
 
 def basis(m: DataFrame, nb: DataFrame, order: int = 3) -> DataFrame:
@@ -190,8 +192,10 @@ def gaussian_mi(r: DataFrame, bits: bool = True) -> DataFrame:
 def partial_correlation(m: DataFrame, ridge: float = 0.1) -> DataFrame:
     """i, j, r: absolute partial correlations from the ridge inverse of the covariance.
 
-    The inverse needs the whole covariance in one place: for variables in the thousands.
+    The inverse needs the whole covariance in one place: up to MOST_VARIABLES.
     """
+    if m.select("var").distinct().count() > MOST_VARIABLES:
+        raise ValueError(f"more than {MOST_VARIABLES} variables")
 
     def invert(pdf: pd.DataFrame) -> pd.DataFrame:
         names = pdf["var"].to_numpy()

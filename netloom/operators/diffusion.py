@@ -106,13 +106,27 @@ def attention(walk: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return own.agg((F.sum("p") / 2).alias("s"))
 
 
+#: Edges of an operator that is collected, and values of a task's moved rows.
+MOST_EDGES, HELD = 20_000_000, 1 << 23
+#: Variables of a dense decomposition.
+MOST_VARIABLES = 10_000
+
+
+def collected(a: DataFrame) -> pd.DataFrame:
+    """The edges of an operator, if they are few enough for the driver and a copy a task."""
+    if a.count() > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges; walk by joins (walked)")
+    return a.toPandas()
+
+
 def walk_blocks(a: DataFrame, depths: list[int], alpha: float = 0.5, block: int = 256) -> DataFrame:
     """t, src, dst, p of dense depths: each task walks a block of rows against the whole sparse operator.
 
-    The operator's edges are broadcast; its rows hold at most `cap` weights, so their number is known.
+    The operator's edges are broadcast, up to MOST_EDGES; blocks get smaller as there are more.
     """
     spark = a.sparkSession
-    edges = a.toPandas()
+    edges = collected(a)
+    block = max(1, min(block, HELD // max(len(edges), 1)))
     nodes = np.unique(np.concatenate([edges.src, edges.dst]))
     at = {v: k for k, v in enumerate(nodes)}
     src, dst = edges.src.map(at).to_numpy(), edges.dst.map(at).to_numpy()
@@ -143,7 +157,7 @@ def walk_blocks(a: DataFrame, depths: list[int], alpha: float = 0.5, block: int
 
 def stationary(a: DataFrame, teleport: float = 1e-3, tolerance: float = 1e-13, most: int = 20_000) -> DataFrame:
     """var, pi: the walk's stationary distribution with teleport, by power iteration on one row a variable."""
-    edges = a.toPandas()
+    edges = collected(a)
     nodes = np.unique(np.concatenate([edges.src, edges.dst]))
     at = {v: k for k, v in enumerate(nodes)}
     s, d, w = edges.src.map(at).to_numpy(), edges.dst.map(at).to_numpy(), edges.w.to_numpy()
@@ -161,7 +175,10 @@ def stationary(a: DataFrame, teleport: float = 1e-3, tolerance: float = 1e-13, m
 
 def spectrum(a: DataFrame, pi: DataFrame, depths: list[int]) -> DataFrame:
     """t, n_modules, return_probability, slope: from the eigenvalues of the reversibilised walk."""
-    edges, p = a.toPandas(), pi.toPandas()
+    p = pi.toPandas()
+    if len(p) > MOST_VARIABLES:
+        raise ValueError(f"more than {MOST_VARIABLES} variables")
+    edges = collected(a)
     at = {v: k for k, v in enumerate(p["var"])}
     n, w = len(p), p.pi.to_numpy()
     dense = np.zeros((n, n))

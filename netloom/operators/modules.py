@@ -41,8 +41,14 @@ def components(a: DataFrame, least_size: int = 1) -> DataFrame:
     return out
 
 
+#: Pairs of variables that are clustered in one task.
+MOST_PAIRS = 20_000_000
+
+
 def complete_linkage(correlations: DataFrame, height: float) -> DataFrame:
-    """module, member: complete-linkage clusters of 1 - |r|, cut at the height; all pairs go to one task."""
+    """module, member: complete-linkage clusters of 1 - |r|, cut at the height; all pairs go to one task, up to MOST_PAIRS."""
+    if correlations.count() > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} pairs")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.concatenate([pdf.i, pdf.j]))

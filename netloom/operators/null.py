@@ -16,6 +16,8 @@ from netloom.operators.calibrate import calibrated
 from netloom.operators.transform import shuffled
 
 NBINS = 20_000
+#: Values of both samples of a local false discovery rate.
+MOST_VALUES = 50_000_000
 
 
 def checked(n_vars: int, b: int, q: float, method: str, level: float, alpha0: float) -> None:
@@ -137,8 +139,10 @@ def gate_value(null_hc: list[float], level: float = 0.05) -> float:
 def local_fdr(scores: DataFrame, nulls: DataFrame, value: str = "score", grid: int = 4096) -> DataFrame:
     """i, j, lfdr: two-group local false discovery rate of positive scores, kernel densities on a grid.
 
-    Both samples go to one task, as a density needs them; thin them first where they don't fit.
+    Both samples go to one task, as a density needs them, up to MOST_VALUES; thin them first beyond.
     """
+    if scores.count() + nulls.count() > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} values")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         obs, null = pdf[~pdf.is_null], pdf[pdf.is_null].v.to_numpy()
