@@ -7,9 +7,10 @@ coordinate pruning: along the query's largest coordinate, only unit vectors with
 the threshold leaves. A low one picks length pruning: only the candidates of length t / |q| or more.
 What is left is verified by exact integer products.
 
-t starts from a bound: the k-th score of each query over the SEEDS longest vectors. Queries are read
-in blocks from a table in the shared folder, so no task holds more than a block of queries and a
-chunk of candidates.
+t starts from a bound: the k-th score of each query over the SEEDS longest vectors. It needs candidates
+of length t / |q| or more, and the table of queries in the shared folder is sorted by that length, so a
+chunk of candidates reads only the queries that its longest one can serve. Queries are read in blocks, so
+no task holds more than a block of queries and a chunk of candidates.
 
 Defined results: components become floor(scale * x) as 64-bit integers (beyond that range, its
 ends). Vectors that are null or hold null, NaN or infinite components take no part. Vectors of
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 
 from netloom.llm.shared import fresh_path, shuffle_width
 
-SEEDS, BUCKET, CHUNK, BLOCK = 1024, 1024, 16_384, 1024
+SEEDS, BUCKET, BLOCK = 1024, 1024, 1024
+#: Bytes of the candidates that are searched together.
+CHUNK_BYTES = 32 << 20
 #: Local cosine threshold from which coordinate pruning is chosen.
 STEEP = 0.5
 #: Slack of floating-point bounds.
@@ -179,16 +182,18 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
                 ids, v = part["vec_id"].to_numpy(), vectors_of(part["v"])
                 width = max(v.shape[1], seed_v.shape[1])
                 scores = products(padded(v, width), padded(seed_v, width))
-                bound = np.full(len(ids), -np.inf)
+                bound, length = np.full(len(ids), -np.inf), np.sqrt((v.astype(float) ** 2).sum(axis=1))
                 for i, line in enumerate(scores):
                     line = line[seed_ids != ids[i]]
                     if len(line) >= k:
                         bound[i] = below(np.partition(line, len(line) - k)[len(line) - k])
-                yield pa.RecordBatch.from_arrays([part["vec_id"], part["v"], pa.array(bound)], ["vec_id", "v", "bound"])
+                need = np.where(bound > 0, bound / np.maximum(length, 1e-300), -np.inf)
+                yield pa.RecordBatch.from_arrays([part["vec_id"], part["v"], pa.array(bound), pa.array(need)], ["vec_id", "v", "bound", "need"])
 
     path = fresh_path(spark, "top-queries")
     queries = rows.filter(is_query).select("vec_id", "v").distinct()
-    queries.mapInArrow(bounded, "vec_id long, v array<long>, bound double").write.parquet(path)
+    found = queries.mapInArrow(bounded, "vec_id long, v array<long>, bound double, need double")
+    found.repartitionByRange(shuffle_width(spark), "need", "vec_id").sortWithinPartitions("need", "vec_id").write.parquet(path)
 
     def retrieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
@@ -197,10 +202,15 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
 
         def flush() -> Iterator[pa.RecordBatch]:
             width = max(x[1].shape[1] for x in held)
-            buckets = bucketed(np.concatenate([x[0] for x in held]), np.concatenate([padded(x[1], width) for x in held]), np.concatenate([x[2] for x in held]))
+            lengths = np.concatenate([x[2] for x in held])
+            buckets = bucketed(np.concatenate([x[0] for x in held]), np.concatenate([padded(x[1], width) for x in held]), lengths)
             held.clear()
             for name in files:
-                for block in pq.ParquetFile(store.open_input_file(name)).iter_batches(BLOCK, columns=["vec_id", "v", "bound"]):
+                for block in pq.ParquetFile(store.open_input_file(name)).iter_batches(BLOCK, columns=["vec_id", "v", "bound", "need"]):
+                    served = int(np.searchsorted(block["need"].to_numpy() * (1 - EPS), lengths.max(), "right"))
+                    if not served:
+                        break
+                    block = block.slice(0, served)
                     ids = block["vec_id"].to_numpy()
                     best = search(buckets, ids, vectors_of(block["v"]), block["bound"].to_numpy(), k)
                     yield pa.RecordBatch.from_arrays(
@@ -213,14 +223,13 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
                     )
 
         for batch in batches:
-            for at in range(0, len(batch), CHUNK):
-                part = batch.slice(at, CHUNK)
-                held.append((part["vec_id"].to_numpy(), vectors_of(part["v"]), part["length"].to_numpy()))
-                if sum(len(x[0]) for x in held) >= CHUNK:
+            if len(batch):
+                held.append((batch["vec_id"].to_numpy(), vectors_of(batch["v"]), batch["length"].to_numpy()))
+                if sum(x[1].nbytes for x in held) >= CHUNK_BYTES:
                     yield from flush()
         if held:
             yield from flush()
 
-    found = candidates.mapInArrow(retrieve, FOUND)
+    best = candidates.mapInArrow(retrieve, FOUND)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
