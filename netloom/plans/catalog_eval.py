@@ -363,7 +363,8 @@ query("driven_variables")(lambda s, d: r6(P.driven(FX.brands(s, d), 2), "r2", "s
 query("combat")(lambda s, d: r6(P.combat(FX.embeddings(s, d), FX.sample_groups(s, d)), "x"))
 query("lasso_residuals")(lambda s, d: r6(P.lasso_residuals(FX.brands(s, d)), "residual", digits=4))
 query("forest_importance")(lambda s, d: r6(P.forest_importance(FX.brands(s, d), 10), "importance"))
-query("boosted_importance")(lambda s, d: r6(P.boosted_importance(FX.brands(s, d), 30), "importance"))
+query("boosted_importance")(lambda s, d: r6(P.boosted_importance(FX.brands(s, d), 30).drop("stages"), "importance"))
+query("boosted_variants")(lambda s, d: r6(P.boosted_variants(FX.brands(s, d), 30, 8), "share_top"))
 query("pidc")(lambda s, d: r6(P.pidc(FX.brands(s, d)), "score"))
 
 # --- summaries over depths and draws (months as depths or draws, suppliers as cases)

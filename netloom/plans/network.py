@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators import bins, calibrate, dependence, diffusion, graph, modules, null
 from netloom.operators.transform import standardised, validated
 
 
+def parallelism(spark: SparkSession) -> dict[str, int]:
+    """How many tasks run at once, and into how many a shuffle is dealt."""
+    return {"cores": spark.sparkContext.defaultParallelism, "shuffle": int(spark.conf.get("spark.sql.shuffle.partitions"))}
+
+
 class Network:
     """Stages: mutual_information, calibrate, select, build, diffuse. A stage drops what later ones made."""
 
@@ -18,6 +25,7 @@ class Network:
         self.matrix = validated(matrix.select("var", "sample", "x"))
         self.parameters: dict = {}
         self._made: dict[str, DataFrame] = {}
+        self.timings: dict[str, float] = {}
 
     def __repr__(self) -> str:
         return f"Network(stages={[k for k in self.ORDER if k in self._made]}, parameters={self.parameters})"
@@ -27,6 +35,13 @@ class Network:
             raise ValueError(f"not available yet: {stage}")
         return self._made[stage]
 
+    def timed(self, stage: str) -> float:
+        """Seconds that it takes to compute a stage now; kept in `timings`."""
+        began = time.perf_counter()
+        self.get(stage).write.format("noop").mode("overwrite").save()
+        self.timings[stage] = time.perf_counter() - began
+        return self.timings[stage]
+
     def _set(self, stage: str, df: DataFrame, keep: tuple[str, ...] = ()) -> None:
         for later in self.ORDER[self.ORDER.index(stage) :]:
             if later not in keep:

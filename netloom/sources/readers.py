@@ -68,6 +68,42 @@ def experimenters(spark: SparkSession, path: str) -> DataFrame:
     return per.select("experiment_name", F.coalesce("grp", F.concat(F.lit("unknown_"), F.col("experiment_name"))).alias("grp"))
 
 
+def annotated(spark: SparkSession, path: str, labels: str, wanted: str, names: str = "gene_name", block: int = 256) -> DataFrame:
+    """var (name), sample, x of the cells of an HDF5 file (X, obs, var) whose label is the wanted one.
+
+    Needs h5py. Only the wanted cells are read, in blocks of neighbours, a task some blocks; categories of
+    either layout are decoded.
+    """
+    try:
+        import h5py
+    except ImportError as missing:
+        raise ImportError("reading HDF5 needs h5py; convert the file to Parquet elsewhere") from missing
+    import numpy as np
+    import pandas as pd
+
+    def decoded(file, group: str, field: str) -> list[str]:
+        text = lambda xs: [x.decode() if isinstance(x, bytes) else str(x) for x in xs]
+        node = file[f"{group}/{field}"]
+        if isinstance(node, h5py.Group):
+            return np.array(text(node["categories"][:]))[node["codes"][:]].tolist()
+        kinds = file.get(f"{group}/__categories/{field}")
+        return text(node[:]) if kinds is None else np.array(text(kinds[:]))[node[:]].tolist()
+
+    with h5py.File(path, "r") as file:
+        variables = decoded(file, "var", names)
+        cells = np.flatnonzero(np.array(decoded(file, "obs", labels)) == wanted)
+    blocks = spark.createDataFrame([(cells[k : k + block].tolist(),) for k in range(0, len(cells), block)], "cells array<long>")
+
+    def read(batches):
+        with h5py.File(path, "r") as file:
+            for pdf in batches:
+                for own in pdf.cells:
+                    x = file["X"][np.asarray(own), :]
+                    yield pd.DataFrame({"var": np.tile(variables, len(own)), "sample": np.repeat(own, len(variables)), "x": x.astype(float).ravel()})
+
+    return blocks.mapInPandas(read, "var string, sample long, x double")
+
+
 def edge_list(edges: DataFrame, variables: DataFrame, symmetric: bool = False) -> DataFrame:
     """src, dst, w of named edges (a, b, weight) between known variables (var, name); symmetric takes the larger of both."""
     names = variables.select("name", "var")
