@@ -35,8 +35,8 @@ from netloom.llm.shared import common
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded_sha256 string"
 #: Bounds of a worker's memory: pieces and token pairs of a generation that it remembers, and the longest piece kept.
 KEPT_PIECES, KEPT_PAIRS, KEPT_BYTES = 150_000, 200_000, 64
-#: Characters of texts that are encoded together, and pieces of a longer text.
-TOGETHER, GROUP = 1 << 20, 100_000
+#: Characters and number of texts that are encoded together, and pieces of a longer text.
+TOGETHER, TEXTS, GROUP = 4 << 20, 1200, 100_000
 _NEVER = 1 << 62
 
 
@@ -56,6 +56,8 @@ class Vocabulary:
             self.bytes_of[rank] = token
             self.ending.add_word(token.decode("latin-1"), (rank, len(token)))
         self.ending.make_automaton()
+        self.sizes = list(map(len, self.bytes_of))
+        self.coded = [rank.to_bytes(4, "little") for rank in range(len(self.bytes_of))]
         self.longest = max(map(len, ranks))
         self.pairs: dict[int, bool] = {}  # by left << 32 | right
         self.older_pairs: dict[int, bool] = {}
@@ -162,10 +164,9 @@ class Prefixes:
 
     def become(self, data: bytes) -> None:
         """The table of other bytes, continued from the prefix that they share with the present ones."""
-        h = common(self.data, data, 0)
-        del self.last[h:]
-        self.data = data[:h]
-        self.append(data[h:])
+        del self.last[common(self.data, data, 0) :]
+        self.data = data
+        self._extend(data, self.last)
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Puts `new` in place of bytes start to end; how many entries were computed anew."""
@@ -187,11 +188,12 @@ class Prefixes:
         return done
 
     def ids(self) -> list[int]:
-        out, end, bytes_of = [], len(self.last), self.vocabulary.bytes_of
+        out, last, end, sizes = [], self.last, len(self.last), self.vocabulary.sizes
         while end:
-            out.append(token := self.last[end - 1])
-            end -= len(bytes_of[token])
-        return out[::-1]
+            out.append(token := last[end - 1])
+            end -= sizes[token]
+        out.reverse()
+        return out
 
 
 class Pieces(dict):
@@ -206,11 +208,13 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.older.get(piece)
         if out is None:
-            data = piece.encode()
-            token = self.vocabulary.ranks.get(data)
-            if token is None:
+            data, v = piece.encode(), self.vocabulary
+            token = v.ranks.get(data)
+            if token is not None:
+                out = v.coded[token]
+            else:
                 self.table.become(data)
-            out = np.array(self.table.ids() if token is None else [token], "<u4").tobytes()
+                out = b"".join(map(v.coded.__getitem__, self.table.ids()))
             if len(data) > KEPT_BYTES:
                 return out
         self[piece] = out
@@ -272,11 +276,11 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         own = codec(ranks_path, pattern)
         for batch in batches:
             doc_ids, texts = batch.columns
-            for at in range(0, len(batch), 500):
-                ids = own.encode([t or "" for t in texts[at : at + 500].to_pylist()])
+            for at in range(0, len(batch), TEXTS):
+                ids = own.encode([t or "" for t in texts[at : at + TEXTS].to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        doc_ids[at : at + 500],
+                        doc_ids[at : at + TEXTS],
                         pa.array([len(x) // 4 for x in ids], pa.int64()),
                         pa.array(ids, pa.binary()),
                         pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids], pa.string()),
