@@ -99,9 +99,9 @@ RULES = {
 
 
 def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About that many texts of all documents, by a hash of the row's text; `rows` at most, those with the least hash."""
+    """About that many texts of all documents, by a hash of text and id; `rows` at most, those with the least hash."""
     n = docs.count()
-    by = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30))
+    by = F.pmod(F.xxhash64(*[c for c in ("text", "doc_id") if c in docs.columns]), F.lit(1 << 30))
     some = docs.select("text", by.alias("by")).filter(F.col("by") < int(min(1.0, 1.5 * rows / max(n, 1)) * (1 << 30)) + 1)
     return written(some.orderBy("by").limit(rows).select("text"), "quality-sample")
 

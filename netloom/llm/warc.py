@@ -6,7 +6,8 @@ the next member without inflating an unwanted payload. Archives are closed at AR
 partition is a list of archives of about SPLIT_BYTES.
 
 Of records with equal payloads the one with the largest page_id is written as response and the
-others as revisit; equal rows with that page_id are one response and revisits of it.
+others as revisit; of rows with that page_id the one with the largest url is the response, and of equal
+ones any.
 
 Defined results: null html is an empty payload; a null url leaves out the target URI; null page_ids
 count as the smallest; an empty table gives no archives and an empty result; other columns are
@@ -26,7 +27,6 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 from pyspark.sql.types import StructType
@@ -57,16 +57,16 @@ def _clean(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """An uncompressed WARC record."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+    """An uncompressed WARC record; length and digest are the payload's, which a revisit doesn't hold."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http if revisit else http + payload
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_urn(page_id)), ("WARC-Date", "1970-01-01T00:00:00Z")]
     fields += [("WARC-Target-URI", _clean(url))] if url is not None else []
     fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     fields += [("X-Page-ID", str(page_id))] if page_id is not None else []
     if revisit:
-        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_urn(refers_to)), ("X-Payload-Length", str(len(payload)))]
+        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_urn(refers_to)), ("X-Payload-Length", str(length))]
         fields += [("X-Refers-To-Page-ID", str(refers_to))] if refers_to is not None else []
     fields.append(("Content-Length", str(len(block))))
     head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
@@ -86,21 +86,27 @@ def member(data: bytes) -> bytes:
 
 
 def marked(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, revisit, refers_to. Only keys are grouped; payloads move once, by page."""
+    """page_id, url, html (of responses only), sha1, size, refers_to, revisit: a row a record.
+
+    Responses are one row a payload, which is all that moves html, once and without its copies. Revisits come
+    from keys: equal rows are counted before they move, the one that is the response is taken off, and they
+    are joined with one row a payload, a join that adaptive execution can split where a payload is common.
+    """
     content = F.coalesce(F.encode("html", "utf-8"), F.lit(b""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(content).alias("sha1"), F.octet_length(content).alias("size"))
-    keyed = keyed.withColumn("page", F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "sha1", "size"))
-    keys = keyed.select("page_id", "page", "sha1", "size")
-    groups = keys.groupBy("sha1", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = keys.join(groups, ["sha1", "size"]).select("page", "last", F.lit(True).alias("copied")).distinct()
-    # merged, not broadcast: the rows of a page are then together for the window too, and html moves once
-    rows = keyed.drop("sha1", "size").join(copies.hint("merge"), "page", "left")
-    turn = F.row_number().over(W.partitionBy("page").orderBy("url"))
-    # of rows with the last id, and of those without an id where none has one, the first is the response
-    revisit = F.coalesce(F.col("copied"), F.lit(False)) & (~F.col("page_id").eqNullSafe(F.col("last")) | (turn > 1))
-    return rows.withColumn("revisit", revisit).select(
-        "page_id", "url", "html", "revisit", F.when(F.col("revisit"), F.col("last")).alias("refers_to")
+    # the largest page_id, then the largest url; a null is the smallest
+    place = F.struct(F.col("page_id").isNotNull().alias("has_id"), F.col("page_id"), F.col("url").isNotNull().alias("has_url"), F.col("url"))
+    first = keyed.groupBy("sha1", "size").agg(F.max(place).alias("place"), F.max_by("html", place).alias("html"))
+    responses = first.select("place.page_id", "place.url", "html", "sha1", "size", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
+
+    counted = keyed.groupBy("sha1", "size", "page_id", "url").agg(F.count("*").alias("n"))
+    groups = counted.groupBy("sha1", "size").agg(F.max(place).alias("place"), F.sum("n").alias("rows")).filter("rows > 1").drop("rows")
+    taken = (F.col("page_id").eqNullSafe(F.col("place.page_id")) & F.col("url").eqNullSafe(F.col("place.url"))).cast("long")
+    others = counted.join(groups, ["sha1", "size"]).withColumn("n", F.col("n") - taken).filter("n > 0")
+    revisits = others.select(
+        "page_id", "url", F.lit(None).cast("string").alias("html"), "sha1", "size", F.col("place.page_id").alias("refers_to"), F.explode(F.array_repeat(F.lit(True), F.col("n").cast("int"))).alias("revisit")
     )
+    return responses.unionByName(revisits)
 
 
 def write_archives(pages: DataFrame, path: str) -> int:
@@ -115,12 +121,11 @@ def write_archives(pages: DataFrame, path: str) -> int:
             store.move(part, f"{root}/part-{task.partitionId():06d}-{done:04d}.warc.gz")
 
         for batch in batches:
-            for page_id, url, html, revisit, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, html, sha1, size_, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     part = f"{root}/_attempts/{task.taskAttemptId()}-{done}"
                     out, size = store.open_output_stream(part), 0
-                payload = (html or "").encode()
-                data = member(record(page_id, url, payload, digest_of(payload), refers_to, revisit))
+                data = member(record(page_id, url, (html or "").encode(), size_, base64.b32encode(bytes.fromhex(sha1)).decode(), refers_to, revisit))
                 out.write(data)
                 size, total = size + len(data), total + 1
                 if size >= ARCHIVE_BYTES:
