@@ -218,7 +218,12 @@ query("mi_r_histogram", O.with_(*_MI, O.CORR, _HIST2) + "SELECT CAST(x_bin AS IN
         D.mutual_information(m := FX.brands(s, d)).join(D.correlation(m), ["i", "j"]).select(F.round("mi", 9).alias("mi"), F.round(F.abs("r"), 9).alias("a")), "mi", "a", 12
     )
 )
-query("partial_correlation")(lambda s, d: r6(D.partial_correlation(FX.brands(s, d)), "r"))
+_RIDGE = """cx AS (SELECT a.var AS i, b.var AS j, covar_samp(a.x, b.x) AS c FROM m a JOIN m b USING (sample) GROUP BY 1, 2),
+cr AS (SELECT i, j, c + CASE WHEN i = j THEN 0.1 * (SELECT avg(c) FROM cx WHERE i = j) ELSE 0 END AS v FROM cx)"""
+query(
+    "partial_correlation",
+    O.with_("brd", _RIDGE, O.inverse("cr", list(range(25)), "om")) + f"SELECT a.i, a.j, {rsql('abs(-a.v / sqrt(x.v * y.v))', 'r')} FROM om a JOIN om x ON x.i = a.i AND x.j = a.i JOIN om y ON y.i = a.j AND y.j = a.j WHERE a.i < a.j",
+)(lambda s, d: r6(D.partial_correlation(FX.brands(s, d)), "r"))
 
 # --- calibration
 
@@ -237,7 +242,7 @@ f AS (SELECT i, j, CASE WHEN a.s > 0 THEN 1 - exp(-mi * mi / (2 * a.s)) ELSE 0 E
 query("clr_rayleigh", O.with_(*_MI, O.SELF, _RAY) + f"SELECT i, j, {rsql('fi + fj - fi * fj', 'score')} FROM f")(
     lambda s, d: r6(C.calibrate(_mi(s, d), "rayleigh", self_values=D.self_mi(_weights(s, d))), "score")
 )
-query("clr_kde")(lambda s, d: r6(C.calibrate(_mi(s, d), "kde", self_values=D.self_mi(_weights(s, d))), "score"))
+query("clr_kde", O.with_(*_MI, O.SELF, O.KDE) + f"SELECT i, j, {rsql('CASE WHEN s > 0 THEN 0 ELSE s END', 'score')} FROM ks")(lambda s, d: r6(C.calibrate(_mi(s, d), "kde", self_values=D.self_mi(_weights(s, d))), "score"))
 _AR = "ar AS (SELECT i, j, abs(r) AS v FROM r)"
 _abs_r = lambda s, d: D.correlation(FX.brands(s, d)).select("i", "j", F.abs("r").alias("v"))
 query("clr_on_pearson", O.with_("brd", O.CORR, _AR, O.score("ar", "v")) + f"SELECT i, j, {rsql('score', 'score')} FROM sc")(lambda s, d: r6(C.calibrated(_abs_r(s, d), "v").select("i", "j", "score"), "score"))
@@ -418,7 +423,7 @@ query(
     "profile_similarity",
     O.with_(*_OP, _Z, O.diffusion("op", 1)) + f"SELECT a.var AS i, b.var AS j, {rsql('abs(corr(a.e, b.e))', 'r')} FROM df1 a JOIN df1 b ON a.sample = b.sample AND a.var < b.var GROUP BY 1, 2",
 )(lambda s, d: r6(D.correlation(X.step(_op(s, d), _e0(s, d), 0.5).withColumnRenamed("e", "x")).withColumn("r", F.abs("r")), "r"))
-query("stationary_pi")(lambda s, d: r6(X.stationary(_op(s, d)), "pi"))
+query("stationary_pi", O.with_(*_OP, O.stationary("op")) + f"SELECT var, {rsql('pi', 'pi')} FROM pi")(lambda s, d: r6(X.stationary(_op(s, d)), "pi"))
 query("walk_spectrum")(lambda s, d: r6(X.spectrum(a := _op(s, d), X.stationary(a), [1, 2, 4, 8, 16, 32]), "n_modules", "return_probability", "slope"))
 _CURVE = "cu AS (SELECT DISTINCT sample AS t, CASE WHEN sample % 7 < 4 THEN 0.05 ELSE 0.5 END AS slope, 5.0 AS n_modules FROM m)"
 query(

@@ -257,7 +257,11 @@ query(
 # five references and four found modules: brute force over all injections of found modules
 _HUNG = """hu AS (SELECT a.f1 AS fa, b.f1 AS fb, c.f1 AS fc, d.f1 AS fd FROM pp a JOIN pp b ON a.found = 'Q0' AND b.found = 'Q1' AND a.ref <> b.ref JOIN pp c ON c.found = 'Q2' AND c.ref NOT IN (a.ref, b.ref) JOIN pp d ON d.found = 'Q3' AND d.ref NOT IN (a.ref, b.ref, c.ref))"""
 query("align_hungarian_total", O.with_("sets", _PSTAT, _HUNG) + f"SELECT {rsql('max(fa + fb + fc + fd)', 'total_f1')} FROM hu")(lambda s, d: r6(M.hungarian(_stats(s, d)).agg(F.sum("f1").alias("total_f1")), "total_f1"))
-query("align_hungarian")(lambda s, d: r6(M.hungarian(_stats(s, d)), "precision", "recall", "f1", "jaccard"))
+_BESTHU = """hb AS (SELECT a.ref AS ra, b.ref AS rb, c.ref AS rc, d.ref AS rd FROM pp a JOIN pp b ON a.found = 'Q0' AND b.found = 'Q1' AND a.ref <> b.ref JOIN pp c ON c.found = 'Q2' AND c.ref NOT IN (a.ref, b.ref) JOIN pp d ON d.found = 'Q3' AND d.ref NOT IN (a.ref, b.ref, c.ref) ORDER BY a.f1 + b.f1 + c.f1 + d.f1 DESC LIMIT 1),
+hp AS (SELECT ra AS ref, 'Q0' AS found FROM hb UNION ALL SELECT rb, 'Q1' FROM hb UNION ALL SELECT rc, 'Q2' FROM hb UNION ALL SELECT rd, 'Q3' FROM hb),
+ho AS (SELECT pp.* FROM pp JOIN hp USING (ref, found) WHERE overlap > 0)"""
+_ZERO = ", ".join(rsql(f"coalesce(ho.{c}, 0.0)", c) for c in ("precision", "recall", "f1", "jaccard"))
+query("align_hungarian", O.with_("sets", _PSTAT, _BESTHU) + f"SELECT r.ref, r.size_ref, ho.found AS top_found, {_ZERO} FROM (SELECT DISTINCT ref, size_ref FROM pp) r LEFT JOIN ho ON ho.ref = r.ref")(lambda s, d: r6(M.hungarian(_stats(s, d)), "precision", "recall", "f1", "jaccard"))
 query("align_soft")(lambda s, d: r6(M.soft(_stats(s, d)), "f1", "precision", "recall", "jaccard", "dummy_mass", "entropy", "top_prob", digits=4))
 query("complete_linkage")(lambda s, d: M.complete_linkage(D.correlation(FX.brands(s, d)), 0.8))
 
@@ -278,7 +282,15 @@ query(
     "replicate_bootstrap",
     O.with_(_CHIPS) + "SELECT CAST(draw AS INTEGER) AS draw, grp, arg_min(sample, md5(concat_ws('~', CAST(draw AS VARCHAR), CAST(grp AS VARCHAR), CAST(sample AS VARCHAR)))) AS sample FROM ch, (SELECT unnest(range(1, 6)) AS draw) GROUP BY 1, 2",
 )(lambda s, d: S.one_each(_chips(s, d), 5))
-query("balanced_split")(lambda s, d: S.balanced_split(_chips(s, d).groupBy("grp").agg(F.count("*").alias("n")), 4))
+query(
+    "balanced_split",
+    O.with_(
+        _CHIPS,
+        "gz AS (SELECT CAST(split AS INTEGER) AS split, grp, n, row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws('~', CAST(split AS VARCHAR), CAST(grp AS VARCHAR)))) AS k FROM (SELECT grp, count(*) AS n FROM ch GROUP BY 1), (SELECT unnest(range(1, 5)) AS split))",
+        """lh AS (SELECT split, k, grp, CAST(n AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, 1 AS half FROM gz WHERE k = 1
+  UNION ALL SELECT g.split, g.k, g.grp, a + CASE WHEN a <= b THEN g.n ELSE 0 END, b + CASE WHEN a <= b THEN 0 ELSE g.n END, CASE WHEN a <= b THEN 1 ELSE 2 END FROM lh JOIN gz g ON g.split = lh.split AND g.k = lh.k + 1)""",
+    ) + "SELECT split, grp, half FROM lh",
+)(lambda s, d: S.balanced_split(_chips(s, d).groupBy("grp").agg(F.count("*").alias("n")), 4))
 _KEPT = """kp AS (SELECT rep, var FROM (SELECT CAST(rep AS INTEGER) AS rep, var, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('~', CAST(rep AS VARCHAR), CAST(var AS VARCHAR))), var) AS k, count(*) OVER (PARTITION BY rep) AS n
   FROM (SELECT DISTINCT var FROM m), (SELECT unnest(range(1, 9)) AS rep)) WHERE k <= floor(n * 0.5))"""
 _jack = lambda s, d: S.jackknife(_pairs(s, d), S.kept_halves(_vars(s, d), 8), E.average_precision)
@@ -365,7 +377,17 @@ query("lasso_residuals")(lambda s, d: r6(P.lasso_residuals(FX.brands(s, d)), "re
 query("forest_importance")(lambda s, d: r6(P.forest_importance(FX.brands(s, d), 10), "importance"))
 query("boosted_importance")(lambda s, d: r6(P.boosted_importance(FX.brands(s, d), 30).drop("stages"), "importance"))
 query("boosted_variants")(lambda s, d: r6(P.boosted_variants(FX.brands(s, d), 30, 8), "share_top"))
-query("pidc")(lambda s, d: r6(P.pidc(FX.brands(s, d)), "score"))
+_PIDC = """rg AS (SELECT var, min(x) AS lo, max(x) AS hi FROM m GROUP BY 1),
+db AS (SELECT var, sample, CAST(least(floor((x - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END * 5 + 1e-9), 4) AS INTEGER) AS b FROM m JOIN rg USING (var)),
+dp AS (SELECT var, b, count(*) / CAST((SELECT count(DISTINCT sample) FROM m) AS DOUBLE) AS p FROM db GROUP BY 1, 2),
+dj AS (SELECT k.var AS k, k.b AS a, g.var AS g, g.b AS b, count(*) / CAST((SELECT count(DISTINCT sample) FROM m) AS DOUBLE) AS p FROM db k JOIN db g USING (sample) GROUP BY 1, 2, 3, 4),
+sp AS (SELECT k, g, a, sum(dj.p * log2(dj.p / (pk.p * pg.p))) AS s FROM dj JOIN dp pk ON pk.var = k AND pk.b = a JOIN dp pg ON pg.var = g AND pg.b = dj.b GROUP BY 1, 2, 3),
+im AS (SELECT k, g, sum(s) AS mi FROM sp GROUP BY 1, 2),
+rd AS (SELECT x.k, x.g AS x, y.g AS y, sum(least(x.s, y.s)) AS r FROM sp x JOIN sp y ON y.k = x.k AND y.a = x.a WHERE x.g <> y.g AND x.g <> x.k AND y.g <> x.k GROUP BY 1, 2, 3),
+un AS (SELECT rd.k, x, sum(CASE WHEN mi > 0 THEN (mi - r) / mi ELSE 0 END) AS u FROM rd JOIN im ON im.k = rd.k AND im.g = x GROUP BY 1, 2),
+pu2 AS (SELECT least(k, x) AS i, greatest(k, x) AS j, sum(u) AS u FROM un GROUP BY 1, 2),
+cd AS (SELECT src, dst, cume_dist() OVER (PARTITION BY src ORDER BY u) AS c FROM (SELECT i AS src, j AS dst, u FROM pu2 UNION ALL SELECT j, i, u FROM pu2))"""
+query("pidc", O.with_("brd", _PIDC) + f"SELECT least(src, dst) AS i, greatest(src, dst) AS j, {rsql('sum(c)', 'score')} FROM cd GROUP BY 1, 2")(lambda s, d: r6(P.pidc(FX.brands(s, d)), "score"))
 
 # --- summaries over depths and draws (months as depths or draws, suppliers as cases)
 
@@ -533,7 +555,11 @@ def _hc_gate(s, d):
     return s.createDataFrame([(k + 1, round(v, 6) + 0.0) for k, v in enumerate(found)], "rank int, hc double")
 
 
-query("hc_gate")(_hc_gate)
+_GATE = f"""nb2 AS (SELECT rep, {CC._bin('v')} AS bin, count(*) AS n FROM nv GROUP BY ALL),
+gr AS (SELECT r.rep, b.bin, coalesce(own.n, 0) AS own, b.n - coalesce(own.n, 0) AS rest FROM (SELECT DISTINCT rep FROM nb2) r CROSS JOIN (SELECT bin, sum(n) AS n FROM nb2 GROUP BY bin) b LEFT JOIN nb2 own ON own.rep = r.rep AND own.bin = b.bin),
+gc AS (SELECT rep, sum(own) OVER (PARTITION BY rep ORDER BY bin DESC) AS i, sum(own) OVER (PARTITION BY rep) AS m, (1.0 + sum(rest) OVER (PARTITION BY rep ORDER BY bin DESC)) / (1.0 + sum(rest) OVER (PARTITION BY rep)) AS p FROM gr),
+gh AS (SELECT rep, max(sqrt(CAST(m AS DOUBLE)) * (CAST(i AS DOUBLE) / m - p) / sqrt(p * (1 - p))) AS hc FROM gc WHERE i >= 1 AND i <= greatest(0.1 * m, 10) AND p < 1 GROUP BY rep)"""
+query("hc_gate", O.with_("brd", O.STATS, O.HG, *CC._null(), CC._HI, _GATE) + f"SELECT CAST(row_number() OVER (ORDER BY hc) AS INTEGER) AS rank, {rsql('hc', 'hc')} FROM gh")(_hc_gate)
 query("half_split", "SELECT n_nationkey FROM (SELECT n_nationkey, row_number() OVER (ORDER BY md5(concat_ws('~', '1', CAST(n_nationkey AS VARCHAR))), n_nationkey) AS k, count(*) OVER () AS n FROM nation) WHERE k <= floor(n * 0.5)")(
     lambda s, d: S.kept_halves(FX.table(s, d, "nation").select(F.col("n_nationkey").alias("var")), 1).select(F.col("var").alias("n_nationkey"))
 )

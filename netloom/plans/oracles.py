@@ -110,6 +110,40 @@ def blocks(pairs: str, keys: str = "", score: str = "score", name: str = "bl") -
 {name} AS (SELECT *, sum(n) OVER ({part}ORDER BY s DESC) AS k, sum(tp) OVER ({part}ORDER BY s DESC) AS cum FROM {name}_0)"""
 
 
+#: Cumulative kernel densities of each row's values (its own included) on 1,000 points; f of each pair's ends.
+KDE = """kv AS (SELECT i AS src, j AS dst, mi AS v FROM mi UNION ALL SELECT j, i, mi FROM mi UNION ALL SELECT var, var, self_mi FROM smi),
+kw AS (SELECT src, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) AS sd, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM kv GROUP BY src),
+kh AS (SELECT src, lo, hi, 0.9 * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) ELSE sd END * pow(n, -0.2) AS h FROM kw),
+kg AS (SELECT src, k, CASE WHEN k = 999 THEN hi ELSE lo + k * ((hi - lo) / 999) END AS a, h FROM kh, (SELECT unnest(range(0, 1000)) AS k)),
+kd AS (SELECT g.src, k, a, sum(exp(-0.5 * pow((a - v) / h, 2))) AS d FROM kg g JOIN kv USING (src) GROUP BY 1, 2, 3),
+kc AS (SELECT src, k, a, sum(d) OVER (PARTITION BY src ORDER BY k) / sum(d) OVER (PARTITION BY src) AS f FROM kd),
+kf AS (SELECT v.src, v.dst, min(f) AS f FROM kv v JOIN kc c ON c.src = v.src AND c.a >= v.v GROUP BY 1, 2),
+ks AS (SELECT a.src AS i, a.dst AS j, ln(a.f) + ln(b.f) AS s FROM kf a JOIN kf b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst)"""
+
+
+def inverse(matrix: str, names: list[int], out: str) -> str:
+    """The inverse of a table (i, j, v) with these indices, by sweeping one after another."""
+    steps = [f"{out}_0 AS MATERIALIZED (SELECT i, j, v FROM {matrix})"]
+    for n, k in enumerate(names):
+        last = f"{out}_{n}"
+        steps.append(
+            f"{out}_{n + 1} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN a.i = {k} AND a.j = {k} THEN 1 / p.v WHEN a.i = {k} THEN a.v / p.v WHEN a.j = {k} THEN -a.v / p.v ELSE a.v - r.v * c.v / p.v END AS v "
+            f"FROM {last} a JOIN {last} p ON p.i = {k} AND p.j = {k} JOIN {last} r ON r.i = a.i AND r.j = {k} JOIN {last} c ON c.i = {k} AND c.j = a.j)"
+        )
+    return ",\n".join([*steps, f"{out} AS (SELECT i, j, v FROM {out}_{len(names)})"])
+
+
+def stationary(op: str, squarings: int = 16, teleport: float = 1e-3, out: str = "pi") -> str:
+    """The walk with teleport, squared again and again: a row of it is the stationary distribution."""
+    steps = [
+        f"{out}_n AS (SELECT DISTINCT var FROM m)",
+        f"{out}_0 AS MATERIALIZED (SELECT a.var AS src, b.var AS dst, {1 - teleport} * coalesce(o.w, 0) + {teleport} / (SELECT count(*) FROM {out}_n) AS p FROM {out}_n a CROSS JOIN {out}_n b LEFT JOIN {op} o ON o.src = a.var AND o.dst = b.var)",
+    ]
+    for k in range(squarings):
+        steps.append(f"{out}_{k + 1} AS MATERIALIZED (SELECT a.src, b.dst, sum(a.p * b.p) AS p FROM {out}_{k} a JOIN {out}_{k} b ON b.src = a.dst GROUP BY 1, 2)")
+    return ",\n".join([*steps, f"{out} AS (SELECT dst AS var, p / sum(p) OVER () AS pi FROM {out}_{squarings} WHERE src = (SELECT min(var) FROM {out}_n))"])
+
+
 def with_(*parts: str) -> str:
     """WITH clause of the parts; names of fixtures stand for their tables."""
     return "WITH RECURSIVE " + ",\n".join(FIX.get(p, p) for p in parts)
