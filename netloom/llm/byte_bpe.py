@@ -30,13 +30,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from netloom.llm.shared import common
+from netloom.llm.shared import common, remember
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded_sha256 string"
 #: Bounds of a worker's memory: pieces and token pairs of a generation that it remembers, and the longest piece kept.
 KEPT_PIECES, KEPT_PAIRS, KEPT_BYTES = 150_000, 200_000, 64
 #: Characters and number of texts that are encoded together, and pieces of a longer text.
-TOGETHER, TEXTS, GROUP = 4 << 20, 1200, 100_000
+TOGETHER, TEXTS, GROUP = 1 << 20, 500, 100_000
 _NEVER = 1 << 62
 
 
@@ -263,6 +263,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 def codec(ranks_path: str, pattern: str) -> Codec:
     """This worker's codec: loaded once, with what it remembers."""
+    remember("byte_bpe", _codecs.clear)
     if (ranks_path, pattern) not in _codecs:
         _codecs.clear()
         _codecs[ranks_path, pattern] = Codec(ranks_path, pattern)

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.kept_texts import Texts
-from netloom.llm.shared import discard, scratch, shuffle_width, written
+from netloom.llm.shared import discard, remember, scratch, shuffle_width, written
 
 WORDS, TREES, DEPTH, SHORTEST, RECALL = 5, 16, 6, 3, 0.9997
 #: Similarity asked for, as a fraction of integers.
@@ -103,6 +103,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """Forgets the worker's words."""
+    _words.clear()
+
+
 def shingles(text: bytes) -> np.ndarray:
     """Hashes of the text's shingles, ascending, each once."""
     words = text.split()
@@ -141,6 +146,7 @@ def sets(texts: Texts, spark: SparkSession, column: str = "text") -> DataFrame:
     """A row a document: its place, the digest and size of its set, and the set's signature."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("near_duplicates", forget)
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 row = 0
@@ -399,6 +405,7 @@ def _verified(members: DataFrame, texts: Texts, spark: SparkSession, column: str
         return (xxhash.xxh3_64_intdigest(group.to_bytes(8, "little", signed=True)) + j * (j + 1) // 2 + i) % width
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("near_duplicates", forget)
         wanted: dict[int, dict[int, dict]] = defaultdict(dict)
         for batch in batches:
             for row in batch.to_pylist():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +74,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remember(name: str, forget: Callable[[], None]) -> None:
+    """Called by a worker before it fills what the named operator remembers: workers outlive stages, so what
+    other operators left in this one goes."""
+    for other in [x for x in _remembered if x != name]:
+        _remembered.pop(other)()
+    _remembered[name] = forget
+
+
 def common(a: bytes, b: bytes, h: int) -> int:
     """Length of the common prefix of a and b, of which h bytes are known to be common."""
     n = min(len(a), len(b))

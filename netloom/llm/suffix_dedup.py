@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from netloom.llm.kept_texts import Texts
-from netloom.llm.shared import common, discard, shuffle_width, written
+from netloom.llm.shared import common, discard, remember, shuffle_width, written
 
 LENGTH, WINDOW, GRAM = 200, 64, 16
 CORE = LENGTH - WINDOW + 1
@@ -54,7 +54,7 @@ SEGMENT, HELD = 1 << 20, 1 << 22
 #: Suffixes sampled for splitters, about: so many, and so many a range.
 SAMPLE, PER_RANGE = 20_000, 16
 #: Suffixes of a run, bytes of suffixes in a range, ranges by splitters, and runs merged at a time.
-SORTED, RANGE_BYTES, RANGES, FAN = 200_000, 16 << 20, 1 << 16, 512
+SORTED, RANGE_BYTES, RANGES, FAN = 100_000, 16 << 20, 1 << 16, 512
 #: Bytes of the table of texts for each task that counts hashes.
 MEETING_BYTES = 128 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -94,6 +94,11 @@ class Powers:
 _powers: list[Powers] = []
 
 
+def forget() -> None:
+    """Forgets the worker's powers."""
+    _powers.clear()
+
+
 def powers(n: int) -> Powers:
     if not _powers or len(_powers[0].up) <= n:
         _powers[:] = [Powers(max(n, SEGMENT * 2))]
@@ -312,6 +317,7 @@ def _candidates(spark: SparkSession, texts: Texts, column: str, width: int) -> D
     n_files = len(texts)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("suffix_dedup", forget)
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 held: list[tuple] = []
