@@ -328,8 +328,27 @@ query(
     O.with_(*_NULL, f"nbin AS (SELECT {_bin('v')} AS bin FROM nv)", _HC)
     + f"SELECT {rsql('max(sqrt(CAST(m AS DOUBLE)) * (CAST(i AS DOUBLE) / m - p) / sqrt(p * (1 - p)))', 'hc')} FROM cv WHERE i >= 1 AND i <= greatest(0.1 * m, 10) AND p < 1",
 )(lambda s, d: r6(N.hc_threshold(N.hc_curve(_scores(s, d), N.survival(N.histogram(*(v := _values(s, d)), hair=HAIR)), v[1], hair=HAIR), v[1]).select("hc"), "hc"))
-query("local_fdr")(lambda s, d: r6(N.local_fdr(_scores(s, d), _values(s, d)[0]), "lfdr"))
-query("central_matching")(lambda s, d: r6(N.central_matching(_scores(s, d)), "mu", "sigma"))
+_LFDR = """fv AS (SELECT 'obs' AS s, score AS v FROM sc UNION ALL SELECT 'null', v FROM nv), fh AS (SELECT greatest(1e-9, max(v)) / 4096 AS step FROM fv),
+fs AS (SELECT s, count(*) AS n, stddev_samp(v) AS sd, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34 AS q FROM fv WHERE v > 0 GROUP BY s),
+fw AS (SELECT s, greatest(0.9 * least(sd, CASE WHEN q = 0 THEN sd ELSE q END) * pow(n, -0.2), step) AS h, step FROM fs, fh),
+fc AS (SELECT s, CAST(least(floor(v / step), 4095) AS INTEGER) AS b, count(*) AS c FROM fv, fh WHERE v > 0 GROUP BY 1, 2),
+fm AS (SELECT w.s, k, greatest(sum(c * exp(-0.5 * pow((k - b) * step / h, 2))), 1e-300) AS d FROM fw w JOIN fc USING (s), (SELECT unnest(range(0, 4096)) AS k) GROUP BY 1, 2),
+fd AS (SELECT s, k, d / (sum(d) OVER (PARTITION BY s) * (SELECT step FROM fh)) AS d FROM fm),
+fz AS (SELECT i, j, score, (1.0 + (SELECT count(*) FROM nv) - (SELECT count(*) FROM nv WHERE v < score)) / (1.0 + (SELECT count(*) FROM nv)) AS p FROM sc),
+f0 AS (SELECT least(1.0, avg(CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END) / 0.5) AS pi0 FROM fz),
+fr AS (SELECT a.k, pi0 * a.d / b.d AS r FROM fd a JOIN fd b ON b.k = a.k AND a.s = 'null' AND b.s = 'obs', f0),
+fx AS (SELECT i, j, score, greatest(0.0, least(4095.0, score / step - 0.5)) AS u FROM fz, fh),
+fl AS (SELECT i, j, score, a.r + (u - floor(u)) * (b.r - a.r) AS r FROM fx JOIN fr a ON a.k = CAST(floor(u) AS INTEGER) JOIN fr b ON b.k = least(4095, CAST(floor(u) AS INTEGER) + 1))"""
+query("local_fdr", O.with_(*_NULL, _LFDR) + f"SELECT i, j, {rsql('CASE WHEN score > 0 THEN least(1.0, r) ELSE 1.0 END', 'lfdr')} FROM fl")(lambda s, d: r6(N.local_fdr(_scores(s, d), _values(s, d)[0]), "lfdr"))
+# the grid is symmetric around its middle, where the quadratic fit has a closed form
+_CENTRAL = """mb AS (SELECT i AS src, score AS v FROM sc UNION ALL SELECT j, score FROM sc),
+mq AS (SELECT src, quantile_cont(v, 0.25) AS lo, quantile_cont(v, 0.75) AS hi, median(v) AS md, stddev_samp(v) AS sd, count(*) AS n FROM mb GROUP BY src),
+mh AS (SELECT *, greatest(0.9 * least(sd, (hi - lo) / 1.34) * pow(n, -0.2), 1e-12) AS h FROM mq WHERE hi > lo),
+mg AS (SELECT src, lo, hi, h, k, (2 * k - 63) / 63.0 AS t FROM mh, (SELECT unnest(range(0, 64)) AS k)),
+my AS (SELECT g.src, g.t, ln(greatest(sum(exp(-0.5 * pow(((lo + hi) / 2 + t * (hi - lo) / 2 - v) / h, 2))), 1e-300)) AS y FROM mg g JOIN mb USING (src) GROUP BY 1, 2),
+ms2 AS (SELECT src, (64 * sum(t * t * y) - sum(t * t) * sum(y)) / (64 * sum(pow(t, 4)) - pow(sum(t * t), 2)) AS a, sum(t * y) / sum(t * t) AS b FROM my GROUP BY src),
+mf2 AS (SELECT q.src, CASE WHEN a < 0 THEN (lo + hi) / 2 + (hi - lo) / 2 * (-b / (2 * a)) ELSE md END AS mu, CASE WHEN a < 0 THEN (hi - lo) / 2 * sqrt(-1 / (2 * a)) ELSE sd END AS sigma FROM mq q LEFT JOIN ms2 USING (src))"""
+query("central_matching", O.with_(*_SC, _CENTRAL) + f"SELECT src, {rsql('mu', 'mu')}, {rsql('sigma', 'sigma')} FROM mf2")(lambda s, d: r6(N.central_matching(_scores(s, d)), "mu", "sigma"))
 
 # --- operators
 

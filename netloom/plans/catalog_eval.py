@@ -368,8 +368,13 @@ query("rank_normal_sum", O.with_(*_PAIRS) + f""", rr AS (SELECT i, j, (rank() OV
 SELECT i, j, {rsql('((' + CC.inverse_normal_sql('p1') + ') + (' + CC.inverse_normal_sql('p2') + ')) / sqrt(2.0)', 'combined')} FROM rr""")(
     lambda s, d: r6(P.rank_normal_sum(_pairs(s, d).withColumn("b", (F.col("i") * 3 + F.col("j")) % 50), ["score", "b"], []).select("i", "j", "combined"), "combined")
 )
-query("pc_removed")(lambda s, d: r6(P.without_components(FX.brands(s, d), 2), "x"))
-query("pc_loadings")(lambda s, d: r6(P.loadings(FX.brands(s, d), 3).withColumn("loading", F.abs("loading")), "loading", "share"))
+_GRAM = "zc AS (SELECT var, sample, x, x - avg(x) OVER (PARTITION BY var) AS z FROM m), zg AS MATERIALIZED (SELECT a.var AS i, b.var AS j, sum(a.z * b.z) AS v FROM zc a JOIN zc b USING (sample) GROUP BY 1, 2)"
+query(
+    "pc_removed",
+    O.with_("brd", _GRAM, O.principal("zg", 2), "zf AS (SELECT pc, sample, sum(u * z) AS s FROM zc JOIN pc USING (var) GROUP BY 1, 2)")
+    + f"SELECT c.var, c.sample, {rsql('c.x - f.f', 'x')} FROM zc c JOIN (SELECT p.var, f.sample, sum(p.u * f.s) AS f FROM pc p JOIN zf f USING (pc) GROUP BY 1, 2) f ON f.var = c.var AND f.sample = c.sample",
+)(lambda s, d: r6(P.without_components(FX.brands(s, d), 2), "x"))
+query("pc_loadings", O.with_("brd", _GRAM, O.principal("zg", 3)) + f"SELECT CAST(pc AS INTEGER) AS pc, var, {rsql('abs(u)', 'loading')}, {rsql('value / (SELECT sum(v) FROM zg WHERE i = j)', 'share')} FROM pc")(lambda s, d: r6(P.loadings(FX.brands(s, d), 3).withColumn("loading", F.abs("loading")), "loading", "share"))
 query("parallel_components")(lambda s, d: r6(P.parallel_components(FX.brands(s, d)), "share", "null_share"))
 query("driven_variables")(lambda s, d: r6(P.driven(FX.brands(s, d), 2), "r2", "statistic", "dip"))
 query("combat")(lambda s, d: r6(P.combat(FX.embeddings(s, d), FX.sample_groups(s, d)), "x"))

@@ -133,6 +133,24 @@ def inverse(matrix: str, names: list[int], out: str) -> str:
     return ",\n".join([*steps, f"{out} AS (SELECT i, j, v FROM {out}_{len(names)})"])
 
 
+def principal(matrix: str, k: int, squarings: int = 14, out: str = "pc") -> str:
+    """out (pc, var, u, value): the k first eigenvectors and -values of a symmetric table (i, j, v), each by squaring
+    what the ones before leave of it."""
+    steps, left = [], matrix
+    for c in range(1, k + 1):
+        steps.append(f"{out}{c}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {left} WHERE i = j) AS v FROM {left})")
+        for n in range(squarings):
+            square = f"(SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {out}{c}_{n} a JOIN {out}{c}_{n} b ON b.i = a.j GROUP BY 1, 2)"
+            steps.append(f"{out}{c}_{n + 1} AS MATERIALIZED (SELECT i, j, v / sum(CASE WHEN i = j THEN v END) OVER () AS v FROM {square})")
+        best = f"(SELECT i FROM {out}{c}_{squarings} WHERE i = j ORDER BY v DESC LIMIT 1)"
+        steps.append(f"{out}{c}_u AS MATERIALIZED (SELECT i AS var, v / sqrt(sum(v * v) OVER ()) AS u FROM {out}{c}_{squarings} WHERE j = {best})")
+        steps.append(f"{out}{c}_l AS MATERIALIZED (SELECT sum(a.u * m.v * b.u) AS l FROM {left} m JOIN {out}{c}_u a ON a.var = m.i JOIN {out}{c}_u b ON b.var = m.j)")
+        steps.append(f"{out}{c}_r AS MATERIALIZED (SELECT m.i, m.j, m.v - (SELECT l FROM {out}{c}_l) * a.u * b.u AS v FROM {left} m JOIN {out}{c}_u a ON a.var = m.i JOIN {out}{c}_u b ON b.var = m.j)")
+        left = f"{out}{c}_r"
+    every = " UNION ALL ".join(f"SELECT {c} AS pc, var, u, (SELECT l FROM {out}{c}_l) AS value FROM {out}{c}_u" for c in range(1, k + 1))
+    return ",\n".join([*steps, f"{out} AS MATERIALIZED ({every})"])
+
+
 def stationary(op: str, squarings: int = 16, teleport: float = 1e-3, out: str = "pi") -> str:
     """The walk with teleport, squared again and again: a row of it is the stationary distribution."""
     steps = [
