@@ -318,10 +318,12 @@ def units(reps: DataFrame, nodes: DataFrame) -> DataFrame:
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     large = written(groups.join(sizes.filter(F.col("size") > UNIT), "root").select(F.col("node").alias("uid")), "near-large")
     small = groups.join(sizes.filter(F.col("size") <= UNIT), "root").select(F.col("node").alias("uid"), F.col("root").alias("group"), F.lit(1).alias("blocks"))
-    block = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-    one = lambda df: df.select("uid", F.lit(None).cast("long").alias("family"), F.lit(None).cast("array<long>").alias("keys"), F.struct("group", "blocks", block.alias("block")).alias("unit"))
+    block = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block")
+    no_keys, no_units = F.array().cast("array<long>"), F.array().cast("array<struct<group:long,blocks:int,block:int>>")
+    alone = small.select("uid", F.lit(None).cast("long").alias("family"), no_keys.alias("keys"), F.array(F.struct("group", "blocks", block)).alias("units"))
     if large.isEmpty():
-        return reps.join(one(small).withColumn("units", F.array("unit")).drop("unit"), "uid")
+        return reps.join(alone, "uid")
+
     within = nodes.join(large, "uid", "left_semi")
     families = connected(star_edges(within.filter(F.col("n") > SMALL)), "near-families")
     family_sizes = families.groupBy("root").agg(blocks_of(F.count("*")).alias("blocks"))
@@ -331,17 +333,11 @@ def units(reps: DataFrame, nodes: DataFrame) -> DataFrame:
     kept = loose.groupBy("key").agg(F.min(kinds).alias("low"), F.max(kinds).alias("high"), F.bit_xor(F.xxhash64("uid")).alias("who"), F.count("*").alias("n")).filter("low <> high")
     kept = kept.groupBy("who", "n").agg(F.min("key").alias("key")).select("key")  # nodes with the same rows once
     loose = loose.join(kept, "key", "left_semi").groupBy("uid").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    taken = in_family.join(loose, "uid", "full").select(
-        "uid",
-        "family",
-        F.coalesce("keys", F.array().cast("array<long>")).alias("keys"),
-        F.when(F.col("family").isNotNull(), F.struct(F.col("family").alias("group"), "blocks", block.alias("block"))).alias("unit"),
-    )
-    each = F.transform("keys", lambda k: F.struct(k.alias("group"), F.lit(0).alias("blocks"), F.lit(0).alias("block")))
-    every = F.when(F.col("unit").isNull(), each).otherwise(F.concat(F.array("unit"), each))
-    none = F.array().cast("array<struct<group:long,blocks:int,block:int>>")
-    small = one(small).select("uid", "family", "keys", F.array("unit").alias("units"))
-    return reps.join(small.unionByName(taken.select("uid", "family", "keys", F.when(F.size("keys") == 0, F.when(F.col("unit").isNull(), none).otherwise(F.array("unit"))).otherwise(every).alias("units"))), "uid")
+    both = in_family.join(loose, "uid", "full").withColumn("keys", F.coalesce("keys", no_keys))
+    of_family = F.when(F.col("family").isNotNull(), F.array(F.struct(F.col("family").alias("group"), "blocks", block))).otherwise(no_units)
+    of_nodes = F.transform("keys", lambda k: F.struct(k.alias("group"), F.lit(0).alias("blocks"), F.lit(0).alias("block")))
+    taken = both.select("uid", "family", "keys", F.concat(of_family, of_nodes).alias("units"))
+    return reps.join(alone.unionByName(taken), "uid")
 
 
 MEMBERS = "target int, group long, i int, j int, uid long, block int, copies long, family long, keys array<long>, shingles binary"
