@@ -34,9 +34,9 @@ from netloom.llm.shared import common, remember
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded_sha256 string"
 #: Bounds of a worker's memory: pieces and token pairs of a generation that it remembers, and the longest piece kept.
-KEPT_PIECES, KEPT_PAIRS, KEPT_BYTES = 150_000, 200_000, 64
+KEPT_PIECES, KEPT_PAIRS, KEPT_BYTES = 250_000, 250_000, 64
 #: Characters and number of texts that are encoded together, and pieces of a longer text.
-TOGETHER, TEXTS, GROUP = 1 << 20, 500, 100_000
+TOGETHER, TEXTS, GROUP = 4 << 20, 1200, 100_000
 _NEVER = 1 << 62
 
 
