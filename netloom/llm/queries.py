@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import byte_bpe, html_text, mixing, near_duplicates, quality, suffix_dedup, token_binary, token_counts, top_products, warc
+from netloom.llm import byte_bpe, html_text, mixing, near_duplicates, quality, source_divergence, substring_dedup, suffix_dedup, token_binary, token_counts, top_products, warc
 from netloom.llm.shared import table
 
 
@@ -71,6 +71,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audited(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_html_text": op2_html_text,
@@ -82,6 +91,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 #: SQL of the corpus operators for DuckDB.
@@ -150,5 +161,49 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
             OR 2 * n_dup_lines > n_lines OR 10 * stutters > 3 * n_words) AS kept
 FROM judged
+""",
+    "op11_substring_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+starts AS (
+  SELECT r, unnest(range(1, len(w) - 33)) AS i,
+         unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS h FROM d),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM starts),
+covered AS (SELECT r, i + k AS i FROM windows, (SELECT unnest(range(35)) AS k) WHERE n > 1 GROUP BY ALL),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+left_over AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN covered USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (r)
+""",
+    "op12_source_divergence": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+matches AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+vocabulary AS (
+  SELECT lang, term, CAST(count(*) AS HUGEINT) AS lang_count FROM matches GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(lang_count) AS HUGEINT) AS lang_total FROM vocabulary GROUP BY lang),
+kept AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM matches JOIN vocabulary USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM kept GROUP BY lang, source),
+groups AS (SELECT DISTINCT lang, source FROM d),
+dense AS (
+  SELECT g.lang, g.source, v.term, coalesce(k.n, 0) AS n,
+         1 + (1000000000 * (coalesce(k.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * l.v) AS p,
+         1 + (1000000000 * (v.lang_count + 5)) // (l.lang_total + 5 * l.v) AS q
+  FROM groups g JOIN vocabulary v USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN kept k ON k.lang = g.lang AND k.source = g.source AND k.term = v.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM dense WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
 """,
 }
