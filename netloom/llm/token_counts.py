@@ -1,7 +1,9 @@
 """Operator 6: token counts of sections, by offsets of whole documents.
 
-A document's fields are joined by a newline and encoded once. The ids give each token's span of bytes,
-and so of characters. Spans of tokens are joined with the spans of sections, which are ordered and
+A document's fields are joined by a newline and encoded once, by the tables of `byte_bpe`, whose time and
+stack don't hang on the length of a run of white space or letters (a library that matches the split
+pattern by recursion ends the worker on a million spaces). The ids give each token's span of bytes, and
+so of characters. Spans of tokens are joined with the spans of sections, which are ordered and
 cover the text, by searching the section bounds. A token that crosses a bound is allocated by RULES:
 
     first  to the section of its first character
@@ -15,7 +17,8 @@ up to its tokens.
 
 Defined results: a null or empty field is one section without characters and tokens (the newline
 after a field that isn't the last belongs to its last line); repeated rows are counted each; null
-doc_ids are kept; an empty table gives an empty result; other columns are ignored.
+doc_ids are kept; an empty table gives an empty result; other columns are ignored. Runs of white space
+of any length, alone or inside text, give the tokens of the definition.
 """
 
 from __future__ import annotations
@@ -27,28 +30,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.byte_bpe import load_ranks
+from netloom.llm.byte_bpe import codec
 
 RULES = ("first", "last", "most", "split")
+#: Rows of a batch, about.
+ROWS = 200_000
 SCHEMA = "doc_id long, field string, section int, start_char long, n_chars long, n_tokens double, n_crossing long"
 
 
 class Attribution:
     def __init__(self, ranks_path: str, pattern: str, rule: str):
-        import tiktoken
-
         if rule not in RULES:
             raise ValueError(f"rule is one of {RULES}")
-        ranks = load_ranks(ranks_path)
-        self.encoding = tiktoken.Encoding("sections", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
-            self.lengths[rank] = len(token)
+        self.codec = codec(ranks_path, pattern)
+        self.lengths = np.array(self.codec.vocabulary.sizes, np.int64)
         self.rule = rule
 
-    def spans(self, text: str) -> np.ndarray:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [np.frombuffer(ids, "<u4") for ids in self.codec.encode(texts)]
+
+    def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
         """First character and the one after the last of every token."""
-        ids = np.array(self.encoding.encode_ordinary(text), np.int64)
         ends = np.cumsum(self.lengths[ids])
         if text.isascii():
             return np.stack([ends - self.lengths[ids], ends])
@@ -56,9 +59,9 @@ class Attribution:
         char = np.cumsum((data & 0xC0) != 0x80) - 1  # of each byte
         return np.stack([char[ends - self.lengths[ids]], char[ends - 1] + 1])
 
-    def counts(self, text: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self, text: str, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each section, and how many of them also lie in another. bounds: sections' starts, ascending."""
-        starts, ends = self.spans(text)
+        starts, ends = self.spans(text, ids)
         n = len(bounds)
         # of sections that start at the same character only the last has any
         a = np.searchsorted(bounds, starts, "right") - 1
@@ -82,7 +85,13 @@ class Attribution:
         return out, crossed
 
 
-_own: dict[tuple[str, str, str], Attribution] = {}
+def line_starts(value: str) -> np.ndarray:
+    """The first character of each line."""
+    data = np.frombuffer(value.encode(), np.uint8)
+    ends = np.flatnonzero(data == 10)
+    if not value.isascii():
+        ends = ends - np.cumsum((data & 0xC0) == 0x80)[ends]
+    return np.concatenate([[0], ends + 1])
 
 
 def attributed(docs: DataFrame, ranks_path: str, pattern: str, fields: tuple[str, ...] = ("text",), rule: str = "first") -> DataFrame:
@@ -90,31 +99,34 @@ def attributed(docs: DataFrame, ranks_path: str, pattern: str, fields: tuple[str
     joined fields), n_chars, n_tokens and n_crossing."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (ranks_path, pattern, rule)
-        if key not in _own:
-            _own[key] = Attribution(*key)
-        own = _own[key]
+        own, names = Attribution(ranks_path, pattern, rule), pa.array(fields)
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+
+        def batch_of(held: list[list]) -> pa.RecordBatch:
+            doc_ids, sizes, *columns = zip(*held)
+            doc_id = pa.array(doc_ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            field, *numbers = (pa.array(np.concatenate(c)) for c in columns)
+            return pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip([doc_id, names.take(field), *numbers], kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
+
         for batch in batches:
             for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                rows: list[list] = [[] for _ in range(7)]
-                for doc_id, *values in zip(*(c.to_pylist() for c in part.columns)):
-                    starts, names, numbers, begin = [], [], [], 0
-                    for k, value in enumerate(values):
-                        value = (value or "") + ("\n" if k + 1 < len(values) else "")
-                        lines = (value[:-1] if k + 1 < len(values) else value).split("\n")
-                        sizes = np.array([len(x) + 1 for x in lines])
-                        starts.append(begin + np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                        names += [fields[k]] * len(lines)
-                        numbers += range(len(lines))
-                        begin += len(value)
-                    text = "\n".join(v or "" for v in values)
-                    bounds = np.concatenate(starts)
-                    n, crossed = own.counts(text, bounds)
-                    chars = np.diff(np.append(bounds, len(text)))
-                    for column, more in zip(rows, ([doc_id] * len(n), names, numbers, bounds.tolist(), chars.tolist(), n.tolist(), crossed.tolist())):
-                        column += more
-                kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
+                doc_ids, *parts = (c.to_pylist() for c in batch.slice(at, 200).columns)
+                texts = ["\n".join(v or "" for v in values) for values in zip(*parts)]
+                held, n_rows = [], 0
+                for doc_id, text, ids, *values in zip(doc_ids, texts, own.encode(texts), *parts):
+                    starts, begin = [], 0
+                    for value in values:  # the newline after a field ends its last line
+                        starts.append(begin + line_starts(value or ""))
+                        begin += len(value or "") + 1
+                    bounds, n_lines = np.concatenate(starts), [len(x) for x in starts]
+                    n, crossed = own.counts(text, ids, bounds)
+                    number = np.concatenate([np.arange(k) for k in n_lines])
+                    held.append([doc_id, len(bounds), np.repeat(np.arange(len(fields)), n_lines), number, bounds, np.diff(np.append(bounds, len(text))), n, crossed])
+                    n_rows += len(bounds)
+                    if n_rows > ROWS:
+                        yield batch_of(held)
+                        held, n_rows = [], 0
+                if held:
+                    yield batch_of(held)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *fields).mapInArrow(count, SCHEMA)
