@@ -33,7 +33,8 @@ space, and blocks are joined by a newline in page order.
 Defined results: null html is empty; a page without text gives an empty text; a null url is a host of
 its own; repeated rows are extracted each; an empty table gives an empty result; other columns are
 ignored; tags that never close end with the element around them, unclosed comments, scripts and
-styles with the page.
+styles with the page; a page is parsed in time proportional to its length, however its quotes and tags
+stand; the < of a tag with a quote that never closes is text.
 """
 
 from __future__ import annotations
@@ -90,7 +91,11 @@ COPIED = 9
 #: Templates are broadcast up to this size; beyond it they are joined by host.
 BROADCAST_BYTES = 8 << 20
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?|<[A-Za-z][^>]*\Z", re.S)
+#: A tag without < or > in its attributes, and what is no start or end tag.
+_PLAIN = re.compile(r"<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']|\"[^<>\"]*+\"|'[^<>']*+')*+)>")
+_OTHER = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/][^>]*>?", re.S)
+_SPECIAL = re.compile(r"[>\"']")
+_NAME_END = re.compile(r"[\s/>]")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -113,23 +118,91 @@ def boilerplate(name: str) -> bool:
     return not words.isdisjoint(UNWANTED) and words <= UNWANTED | AFFIXES
 
 
+class Markup:
+    """Finds the tags of a page from left to right, in time proportional to the page.
+
+    A tag ends at the first > outside of quotes. A quote that never closes, of any tag before it, makes
+    the < text, or the whole rest a cut off tag where no > follows. Most tags match _PLAIN, which looks no
+    further than the next < or >. For others, what follows a quote or > outside of quotes hangs on its place
+    alone, so it is found once and kept.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.special = (0, -1)  # no special character in between
+        self.name_end = (0, -1)
+        self.ends: dict[int, int] = {}
+
+    def _after(self, at: int) -> int:
+        m = _SPECIAL.search(self.page, at)
+        return m.start() if m else -1
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag whose attributes start here has its >, -1 if nowhere."""
+        if not self.special[0] <= at <= self.special[1]:
+            self.special = (at, self._after(at))
+        way, s = [], self.special[1]
+        while s >= 0 and s not in self.ends:
+            way.append(s)
+            c = self.page[s]
+            if c == ">":
+                self.ends[s] = s
+            elif s == self.last[c]:
+                self.ends[s] = -1
+            else:
+                s = self._after(self.page.index(c, s + 1) + 1)
+        end = self.ends[s] if s >= 0 else -1
+        for k in way:
+            self.ends[k] = end
+        return end
+
+    def find(self, at: int) -> tuple[int, int, bool, str | None, str]:
+        """The next markup from `at`: start, end, whether it is an end tag, its name (None: no tag) and attributes. Start is the page's length if there is none."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            m = _PLAIN.match(page, start)
+            if m:
+                return start, m.end(), bool(m[1]), m[2], m[3]
+            name_at = start + 1 + page.startswith("/", start + 1)
+            first = page[name_at : name_at + 1]
+            if "a" <= first.lower() <= "z" and first.isascii():
+                if not self.name_end[0] <= name_at <= self.name_end[1]:
+                    m = _NAME_END.search(page, name_at)
+                    self.name_end = (name_at, m.start() if m else len(page))
+                name_to = self.name_end[1]
+                end = self._tag_end(name_to)
+                if end >= 0:
+                    return start, end + 1, name_at > start + 1, page[name_at:name_to], page[name_to:end]
+                if name_at == start + 1:
+                    if self.last[">"] < start:
+                        return start, len(page), False, None, ""
+                    at = start + 1
+                    continue
+            m = _OTHER.match(page, start)
+            if m:
+                return start, m.end(), False, None, ""
+            at = start + 1
+        return len(page), len(page), False, None, ""
+
+
 class Block:
     """article: the number of the outermost article around it, 0 for none; marked: whether an element of NEUTRAL with a label inside the article holds it;
-    around, within: elements with a name of boilerplate outside and inside of the innermost article; main: whether a main slot holds it."""
+    around, within: whether an element with a name of boilerplate that counts holds it outside or inside of the innermost article; main: whether a main slot holds it."""
 
     __slots__ = ("around", "article", "main", "marked", "path", "text", "wanted", "within")
 
-    def __init__(self, text: str, path: str, article: int, marked: bool, wanted: bool, around: tuple[str, ...], within: tuple[str, ...], main: bool):
+    def __init__(self, text: str, path: str, article: int, marked: bool, wanted: bool, around: bool, within: bool, main: bool):
         self.text, self.path, self.article, self.marked, self.wanted, self.around, self.within, self.main = text, path, article, marked, wanted, around, within, main
 
 
-def parsed(page: str, mains: frozenset[str] = frozenset()) -> tuple[list[Block], Counter, Counter]:
+def parsed(page: str, mains: frozenset[str] = frozenset(), names: frozenset[str] | None = None) -> tuple[list[Block], Counter, Counter]:
     """The page's text blocks in order, how often each of its tokens occurs, and how many characters of text the
-    elements of a tag token hold, without those in EXCLUDED."""
+    elements of a tag token hold, without those in EXCLUDED. names: the tokens of names of boilerplate that count, None: all."""
     blocks: list[Block] = []
     tokens: Counter = Counter()
     inside: Counter = Counter()
-    stack: list[tuple] = [("", "", 0, False, True, (), (), False)]  # name and what a block has
+    stack: list[tuple] = [("", "", 0, False, True, False, False, False)]  # name and what a block has
     held = [0]  # characters in each element of the stack
     opened: dict[str, list[int]] = defaultdict(list)  # where on the stack the elements of a name are
     open_blocks: list[int] = []
@@ -161,25 +234,22 @@ def parsed(page: str, mains: frozenset[str] = frozenset()) -> tuple[list[Block],
         while open_blocks and open_blocks[-1] >= k:
             open_blocks.pop()
 
+    markup = Markup(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            parts.append(page[at:])
-            break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
+        start, end, closes, name, attributes_ = markup.find(at)
+        if start > at:
+            parts.append(page[at:start])
+        at = end
         if name is None:  # comment, doctype, or what is no tag
             continue
         name = name.lower()
         if name in BLOCKS or name in EXCLUDED:
             end_block()
-        if m[1]:
+        if closes:
             if opened.get(name):
                 close(opened[name][-1])
             continue
-        label, unwanted, main = attributes(m[3])
+        label, unwanted, main = attributes(attributes_)
         if name in BLOCKS:  # a paragraph ends where a block starts, an item where the next starts
             k = open_blocks[-1] if open_blocks else 0
             if k and (stack[k][0] == "p" or stack[k][0] == name and name in REPEATED) and name != "br":
@@ -190,18 +260,18 @@ def parsed(page: str, mains: frozenset[str] = frozenset()) -> tuple[list[Block],
             own = f"{path[:100]}~{_short(own)}"
         tokens[own] += 1
         if name in RAW:
-            end = _ENDS[name].search(page, at)
-            at = end.end() if end else n
+            m = _ENDS[name].search(page, at)
+            at = m.end() if m else n
             continue
-        if name in VOID or m[3].endswith("/") and name not in BLOCKS:
+        if name in VOID or attributes_.endswith("/") and name not in BLOCKS:
             continue
         is_article = name in ARTICLE or main
         if is_article:
-            around, within = around + within, ()
+            around, within = around or within, False
         elif unwanted and name not in ("html", "body"):
             named = f"!{name}.{label}"
             tokens[named] += 1
-            within = within if named in within else (*within, named)
+            within = within or names is None or named in names
         if article:
             marked = marked or bool(label) and name in NEUTRAL
         elif is_article:
@@ -226,14 +296,11 @@ def _short(text: str) -> str:
 
 def main_text(page: str, template: frozenset[str] | None, typed: frozenset[str] = frozenset(), mains: frozenset[str] = frozenset()) -> str:
     """The main text of a page of a host with these template tokens, None if it has too few pages for any, those of its types of pages, and its main slots."""
-    blocks = parsed(page, mains)[0]
-    if template is None:
-        tokens, named = frozenset(), bool
-    else:
-        tokens, named = template, lambda names: not template.isdisjoint(names)
+    blocks = parsed(page, mains, template)[0]
+    tokens = frozenset() if template is None else template
     slots, of_type = [], set()
     for b in blocks:
-        if b.wanted and not named(b.within):
+        if b.wanted and not b.within:
             if not b.article or b.marked:
                 token = f"#{b.path}#{_short(b.text)}"
                 if token in tokens:
@@ -243,7 +310,7 @@ def main_text(page: str, template: frozenset[str] | None, typed: frozenset[str]
             slots.append(b)
     if of_type and sum(len(b.text) for b in of_type) <= COPIED * sum(len(b.text) for b in slots if b not in of_type):
         slots = [b for b in slots if b not in of_type]
-    free = [b for b in slots if not named(b.around)]
+    free = [b for b in slots if not b.around]
     if any(b.article for b in free):
         slots = free
     if any(b.main for b in slots):
