@@ -3,7 +3,10 @@
 Every record is a gzip member of its own with its length in the header ("sl" extra field), so the
 reader inflates the WARC header of a record first, applies the pushed predicates to it, and skips to
 the next member without inflating an unwanted payload. Archives are closed at ARCHIVE_BYTES; a read
-partition is a list of archives of about SPLIT_BYTES.
+partition is a list of archives of about SPLIT_BYTES. An archive has its task's attempt in its name, and
+a table beside the archives (MANIFEST), which Spark commits, has those of the attempts that succeeded: the
+reader takes these only, so a task that runs again, in another order of rows, leaves no record twice. A
+folder without that table is read whole.
 
 Of records with equal payloads the one with the largest page_id is written as response and the
 others as revisit; of rows with that page_id the one with the largest url is the response, and of equal
@@ -24,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +40,8 @@ from netloom.llm.shared import fresh_path
 ARCHIVE_BYTES, SPLIT_BYTES, LEVEL = 64 << 20, 64 << 20, 3
 #: Inflated first from every record; more only if its header is longer.
 HEADER_BYTES = 1024
+#: The table of the archives that count.
+MANIFEST = "manifest"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = (
     "record_type string, record_id string, target_uri string, page_id long, refers_to long, "
@@ -114,30 +120,35 @@ def write_archives(pages: DataFrame, path: str) -> int:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
-        task, done, out, size, total, part = TaskContext.get(), 0, None, 0, 0, ""
+        task, out, name = TaskContext.get(), None, ""
+        done: list[tuple[str, int, int]] = []
+        size = rows = 0
 
         def close() -> None:
             out.close()
-            store.move(part, f"{root}/part-{task.partitionId():06d}-{done:04d}.warc.gz")
+            done.append((name, size, rows))
 
         for batch in batches:
             for page_id, url, html, sha1, size_, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
-                    part = f"{root}/_attempts/{task.taskAttemptId()}-{done}"
-                    out, size = store.open_output_stream(part), 0
+                    name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
+                    out, size, rows = store.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                 data = member(record(page_id, url, (html or "").encode(), size_, base64.b32encode(bytes.fromhex(sha1)).decode(), refers_to, revisit))
                 out.write(data)
-                size, total = size + len(data), total + 1
+                size, rows = size + len(data), rows + 1
                 if size >= ARCHIVE_BYTES:
                     close()
-                    out, done = None, done + 1
+                    out = None
         if out is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["records"])
+        columns = list(zip(*done)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["archive", "bytes", "records"])
 
     store, root = fs.FileSystem.from_uri(path)
-    store.create_dir(f"{root}/_attempts", recursive=True)
-    return marked(pages).mapInArrow(write, "records long").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    store.create_dir(root, recursive=True)
+    manifest = f"{path}/{MANIFEST}"
+    marked(pages).mapInArrow(write, "archive string, bytes long, records long").write.parquet(manifest)
+    return pages.sparkSession.read.parquet(manifest).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
 
 
 class Archives(InputPartition):
@@ -161,14 +172,19 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, root = fs.FileSystem.from_uri(self.path)
-        found = sorted((x for x in store.get_file_info(fs.FileSelector(root)) if x.is_file), key=lambda x: x.path)
+        manifest = [x.path for x in store.get_file_info(fs.FileSelector(f"{root}/{MANIFEST}", allow_not_found=True)) if x.path.endswith(".parquet")]
+        if manifest:
+            tables = [pq.read_table(name, columns=["archive", "bytes"], filesystem=store) for name in manifest]
+            found = sorted((f"{root}/{name}", size) for t in tables for name, size in zip(*(c.to_pylist() for c in t.columns)))
+        else:
+            found = sorted((x.path, x.size) for x in store.get_file_info(fs.FileSelector(root)) if x.is_file)
         parts, held, size = [], [], 0
-        for x in found:
-            if held and size + x.size > SPLIT_BYTES:
+        for name, own in found:
+            if held and size + own > SPLIT_BYTES:
                 parts.append(Archives(held))
                 held, size = [], 0
-            held.append(x.path)
-            size += x.size
+            held.append(name)
+            size += own
         return [*parts, Archives(held)] if held or not parts else parts
 
     def accepts(self, head: dict) -> bool:
@@ -207,14 +223,23 @@ class WarcReader(DataSourceReader):
             file.seek(at)
             first = file.read(24 + HEADER_BYTES)
             size = int.from_bytes(first[16:20], "little") if first[:4] == b"\x1f\x8b\x08\x04" and first[12:14] == b"sl" else None
-            inflate = zlib.decompressobj(31)
-            data, more = inflate.decompress(first), len(first)
-            while b"\r\n\r\n" not in data and not inflate.eof:
-                got = file.read(HEADER_BYTES)
-                if not got:
-                    raise ValueError("an archive that ends within a record")
-                data, more = data + inflate.decompress(got), more + len(got)
-            head, _, block = data.partition(b"\r\n\r\n")
+            inflate, more = zlib.decompressobj(31), len(first)
+
+            def until_blank(data: bytes, got: bytes = b"") -> bytes:
+                """Inflates, at most HEADER_BYTES at a time, until data has a blank line or ends."""
+                nonlocal more
+                while True:
+                    data += inflate.decompress(got, HEADER_BYTES)
+                    if b"\r\n\r\n" in data or inflate.eof:
+                        return data
+                    got = inflate.unconsumed_tail
+                    if not got:
+                        got = file.read(HEADER_BYTES)
+                        more += len(got)
+                        if not got:
+                            raise ValueError("an archive that ends within a record")
+
+            head, _, block = until_blank(b"", first).partition(b"\r\n\r\n")
             fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
             digest = fields.get("WARC-Payload-Digest", "")
             number = lambda k: int(fields[k]) if k in fields else None
@@ -230,7 +255,7 @@ class WarcReader(DataSourceReader):
             whole = wanted and row["record_type"] == "response" and (self.payload or self.verify)
             if whole or size is None:
                 rest = file.read(size - more) if size is not None and size > more else b""
-                block += inflate.decompress(rest)
+                block += inflate.decompress(inflate.unconsumed_tail + rest)
                 while not inflate.eof:  # a member that doesn't tell its length
                     got = file.read(1 << 16)
                     if not got:
@@ -251,6 +276,7 @@ class WarcReader(DataSourceReader):
                     if f"sha1:{row['payload_digest']}" != digest:
                         raise ValueError(f"the payload of {row['record_id']} doesn't have its digest")
             elif row["record_type"] == "response":
+                block = until_blank(block, inflate.unconsumed_tail) if b"\r\n\r\n" not in block and not inflate.eof else block
                 http = int(m[1]) if (m := re.search(rb"Content-Length: (\d+)", block)) else None
                 length = http
             yield (*row.values(), length, payload if self.payload else None)
