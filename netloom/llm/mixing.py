@@ -12,10 +12,11 @@ mix takes a source's queue up to some document, so `mixture` reads the documents
 their keys with one row a source and epoch: texts aren't shuffled.
 
 Defined results: null text counts as size 0; null source is a source of its own, last; null doc_id
-and repeated rows are kept, each row by itself; a source of size 0 has target 0; empty tables give
-empty results. Columns other than doc_id, source and text are ignored by `mixed` and handed on by
-`mixture`, whatever their names. Of rows with one doc_id, size and source, the mix may take some: then
-`mixture` takes those with the least hash of the text, and of equal ones any.
+and repeated rows are kept, each row by itself; the order is a hash of doc_id, source and text, so rows
+without an id, or with the same one, are shuffled like all others; a source of size 0 has target 0; empty
+tables give empty results. Columns other than doc_id, source and text are ignored by `mixed` and handed
+on by `mixture`, whatever their names. Of rows equal in doc_id, source and text, the mix may take some: then
+`mixture` takes any of them.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ WEIGHTS = (1, 2, 3)
 
 def _key() -> Column:
     """The shuffled order."""
-    return F.md5(F.concat_ws("~", F.lit("mix"), F.col("doc_id").cast("string")))
+    return F.md5(F.concat_ws("~", F.lit("mix"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "text")]))
 
 
 def _size() -> Column:
@@ -46,8 +47,9 @@ def _size() -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and the key of the shuffled order."""
-    return docs.select("doc_id", "source", _size().alias("size"), _key().alias("key"))
+    """doc_id, source, size, the key of the shuffled order, and copies: how many rows are equal in these."""
+    each = docs.select("doc_id", "source", _size().alias("size"), _key().alias("key"))
+    return each.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies"))
 
 
 def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -69,7 +71,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     ascending order of cap / weight, the level at the first that stays below its cap; levels fall after it,
     so it is the largest that fits.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.max("size").alias("longest"))
+    words = F.col("size") * F.col("copies")
+    sources = sizes.groupBy("source").agg(F.sum(words).alias("source_size"), F.sum("copies").alias("rows"), F.max("size").alias("longest"))
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
     cycle = F.array(*[F.lit(w).cast("long") for w in weights])
     ranked = sources.select(rank.alias("rank"), "source", "source_size", "rows", "longest").select(
@@ -95,12 +98,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
 
 def _queued(sizes: DataFrame, dims: DataFrame) -> DataFrame:
-    """sizes with its source's rank, source_size and target, and `queued`: the words queued up to and with the row."""
+    """A row a document, with its source's rank, source_size and target, and `queued`: the words queued up to and with it."""
     small = F.broadcast(dims) if dims.count() < FEW_SOURCES else dims
     with_source = sizes.join(small, sizes["source"].eqNullSafe(dims["source"])).drop("source")
     part = F.conv(F.substring("key", 1, DIGITS), 16, 10).cast("long")
     bucket = F.floor(part * F.ceil(F.col("rows") / PER_BUCKET) / float(16**DIGITS)).cast("long")
-    return running_total(with_source.withColumn("bucket", bucket), ["rank"], "bucket", [F.col("key"), F.col("size")], "size", "queued").drop("rows", "longest")
+    of_copies = with_source.withColumn("bucket", bucket).withColumn("words", F.col("size") * F.col("copies"))
+    queued = running_total(of_copies, ["rank"], "bucket", [F.col("key"), F.col("size"), F.col("doc_id").asc_nulls_first()], "words", "queued").drop("rows", "longest", "words")
+    each = queued.withColumn("after", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return each.withColumn("queued", F.col("queued") - F.col("after") * F.col("size")).drop("copies", "after")
 
 
 def _turn(epoch: int) -> Column:
@@ -158,7 +164,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     """The documents of the mix, with their columns, each as often as it is taken.
 
     Of each source and epoch: the greatest key that is taken, and how many rows that have it. Rows of lesser
-    keys are all taken; of those with that key, the first in the order of size and the hash of the text.
+    keys are all taken; of those with that key, which are equal rows, so many.
     """
     dims, queued, taken = _plan(docs, weights, max_epochs)
     epochs = range(len(taken))
@@ -173,8 +179,11 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     rows = rows.join(small, F.col("own").eqNullSafe(F.col("source"))).filter(F.col("doc.text").rlike(WORD))
     at_last = F.coalesce(F.array_contains(F.array(*[F.coalesce(f"k{e}", F.lit("")) for e in epochs]), F.col("key")), F.lit(False))
     before = sum((F.coalesce(F.col("key") < F.col(f"k{e}"), F.lit(False)).cast("int") for e in epochs), F.lit(0))
-    turn = F.row_number().over(W.partitionBy("rank", "key").orderBy(F.regexp_count("doc.text", F.lit(WORD)), F.xxhash64("doc.text")))
-    ties = rows.filter(at_last).withColumn("turn", turn)
-    first = sum((F.coalesce((F.col("key") == F.col(f"k{e}")) & (F.col("turn") <= F.col(f"c{e}")), F.lit(False)).cast("int") for e in epochs), F.lit(0))
-    every = rows.filter(~at_last).select("doc", before.alias("times")).unionByName(ties.select("doc", (before + first).alias("times")))
+    # rows of a last key are equal in all but columns handed on; equal ones of these are counted first
+    ties = rows.filter(at_last).groupBy("rank", "key", "doc", *[f"{x}{e}" for x in "kc" for e in epochs]).agg(F.count("*").alias("n"))
+    end = F.sum("n").over(W.partitionBy("rank", "key").orderBy(F.to_json("doc")).rowsBetween(W.unboundedPreceding, 0))
+    ties = ties.withColumn("start", end - F.col("n"))
+    taken_here = lambda e: F.greatest(F.least(F.col(f"c{e}") - F.col("start"), F.col("n")), F.lit(0))
+    first = sum((F.when(F.col("key") == F.col(f"k{e}"), taken_here(e)).otherwise(0) for e in epochs), F.lit(0))
+    every = rows.filter(~at_last).select("doc", before.alias("times")).unionByName(ties.select("doc", (before * F.col("n") + first).alias("times")))
     return every.filter("times > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")

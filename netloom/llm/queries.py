@@ -110,7 +110,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     "op5_mixing": """
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat_ws('~', 'mix', CAST(doc_id AS VARCHAR))) AS k
+         md5(concat_ws('~', 'mix', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(source, ''), coalesce(text, ''))) AS k
   FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -135,7 +135,7 @@ takes AS (
   SELECT doc_id, size, r, c, sum(size) AS taken FROM merged
   WHERE words <= (SELECT sum(size) FROM sized) GROUP BY ALL)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken
-FROM queued q LEFT JOIN takes t ON q.doc_id = t.doc_id AND q.size = t.size AND q.r = t.r AND q.c = t.c
+FROM queued q LEFT JOIN takes t ON q.doc_id IS NOT DISTINCT FROM t.doc_id AND q.size = t.size AND q.r = t.r AND q.c = t.c
 """,
     "op8_quality_rules": """
 WITH d AS (
