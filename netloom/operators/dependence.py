@@ -143,6 +143,8 @@ def block_mi(m: DataFrame, nb: DataFrame, order: int = 3, self_pairs: bool = Fal
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf.block == k].sort_values("var") for k in (pdf.p.iloc[0], pdf.q.iloc[0]))
+        if not len(a) or not len(b):  # a key without variables in one of the blocks
+            return pd.DataFrame({c: [] for c in (*keys, "i", "j", "mi")})
         wa, wb = (_spread(np.stack(t.x.to_list()), t.nb.to_numpy(), order).astype(kind, copy=False) for t in (a, b))
         n = wa.shape[2]
         mi = -_plogp(wa.mean(axis=2)).sum(axis=1)[:, None] - _plogp(wb.mean(axis=2)).sum(axis=1)[None, :]
@@ -174,6 +176,8 @@ def correlation(m: DataFrame, rank: bool = False, keys: tuple[str, ...] = ()) ->
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf.block == k].sort_values("var") for k in (pdf.p.iloc[0], pdf.q.iloc[0]))
+        if not len(a) or not len(b):  # a key without variables in one of the blocks
+            return pd.DataFrame({c: [] for c in (*keys, "i", "j", "r")})
         xa, xb = (np.stack(t.x.to_list()) for t in (a, b))
         unit = lambda x: np.divide(c := x - x.mean(axis=1, keepdims=True), s := np.sqrt((c * c).sum(axis=1, keepdims=True)), out=np.zeros_like(x), where=s > 0)
         i, j = np.meshgrid(a["var"], b["var"], indexing="ij")

@@ -25,13 +25,13 @@ def blocks(pairs: DataFrame, keys: list[str], score: str = "score") -> DataFrame
 
 
 def average_precision(pairs: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """keys, ap, n, n_pos, base_rate, ratio; tied pairs count at the end of their block."""
+    """keys, ap, n, n_pos, base_rate, ratio; tied pairs count at the end of their block. Without positives ap and ratio are null."""
     b = blocks(pairs, keys, score)
     out = b.groupBy(*keys).agg(
-        (F.sum(F.col("tp") * (F.col("cum").cast("double") / F.col("k"))) / F.sum("tp")).alias("ap"), F.sum("n").alias("n"), F.sum("tp").alias("n_pos")
+        F.try_divide(F.sum(F.col("tp") * (F.col("cum").cast("double") / F.col("k"))), F.sum("tp")).alias("ap"), F.sum("n").alias("n"), F.sum("tp").alias("n_pos")
     )
     base = F.col("n_pos").cast("double") / F.col("n")
-    return out.withColumn("base_rate", base).withColumn("ratio", F.col("ap") / base)
+    return out.withColumn("base_rate", base).withColumn("ratio", F.try_divide(F.col("ap"), base))
 
 
 def expected_average_precision(pairs: DataFrame, keys: list[str], score: str = "score") -> DataFrame:

@@ -11,15 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.functions.numeric import ordered
+from netloom.sources.store import kept
 
 
 def components(a: DataFrame, least_size: int = 1) -> DataFrame:
     """module, member: connected components of the undirected positive edges, largest first.
 
     Every round a node and its root so far take the smallest root of the node's neighbours, then roots
-    are followed one step. Rounds are checkpointed where a checkpoint folder is set.
+    are followed one step. Each round is cut off from the ones before.
     """
-    kept = (lambda df: df.checkpoint()) if a.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.cache())
     nodes = a.select(F.col("src").alias("v")).unionByName(a.select(F.col("dst").alias("v"))).distinct()
     edges = a.filter("w > 0 AND src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     both = kept(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
