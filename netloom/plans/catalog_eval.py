@@ -376,7 +376,8 @@ query(
 )(lambda s, d: r6(P.without_components(FX.brands(s, d), 2), "x"))
 query("pc_loadings", O.with_("brd", _GRAM, O.principal("zg", 3)) + f"SELECT CAST(pc AS INTEGER) AS pc, var, {rsql('abs(u)', 'loading')}, {rsql('value / (SELECT sum(v) FROM zg WHERE i = j)', 'share')} FROM pc")(lambda s, d: r6(P.loadings(FX.brands(s, d), 3).withColumn("loading", F.abs("loading")), "loading", "share"))
 query("parallel_components")(lambda s, d: r6(P.parallel_components(FX.brands(s, d)), "share", "null_share"))
-query("driven_variables")(lambda s, d: r6(P.driven(FX.brands(s, d), 2), "r2", "statistic", "dip"))
+query("driven_variables")(lambda s, d: r6(P.driven(FX.brands(s, d), 2), "r2", "statistic", "dip", "p"))
+query("driven_variables_bic")(lambda s, d: r6(P.driven(FX.suppliers(s, d), rule="bic"), "r2", "statistic", "dip", "p"))
 query("combat")(lambda s, d: r6(P.combat(FX.embeddings(s, d), FX.sample_groups(s, d)), "x"))
 query("lasso_residuals")(lambda s, d: r6(P.lasso_residuals(FX.brands(s, d)), "residual", digits=4))
 query("forest_importance")(lambda s, d: r6(P.forest_importance(FX.brands(s, d), 10), "importance"))
