@@ -13,15 +13,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.operators import bins as B
+from netloom.operators.spectral import gram, prepared
 from netloom.operators.transform import ranked
+from netloom.sources.store import kept
 
 #: Variables a block, at least and at most, blocks until they grow, and values (variables x samples x
 #: bins of 8 bytes) a block: a task holds two blocks' weights.
 LEAST, MOST, BLOCKS, HELD = 64, 512, 16, 1 << 23
 #: Variables whose joint tables are made at once.
 AT_ONCE = 32
-#: Variables of a covariance that is inverted.
-MOST_VARIABLES = 10_000
+#: Samples of a Gram matrix that is inverted.
+MOST_SAMPLES = 5000
 
 
 def basis(m: DataFrame, nb: DataFrame, order: int = 3) -> DataFrame:
@@ -196,21 +198,35 @@ def gaussian_mi(r: DataFrame, bits: bool = True) -> DataFrame:
 def partial_correlation(m: DataFrame, ridge: float = 0.1) -> DataFrame:
     """i, j, r: absolute partial correlations from the ridge inverse of the covariance.
 
-    The inverse needs the whole covariance in one place: up to MOST_VARIABLES.
+    With Z the centred variables and l the ridge, (Z Z' / (n - 1) + l I)^-1 is (I - Y Y') / l, where Y = Z L'^-1 and
+    L L' = Z' Z + l (n - 1) I: only samples x samples are inverted, for up to MOST_SAMPLES, tasks
+    make the variables' rows of Y, and pairs are products of blocks of them, as correlations are.
     """
-    if m.select("var").distinct().count() > MOST_VARIABLES:
-        raise ValueError(f"more than {MOST_VARIABLES} variables")
-
-    def invert(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = pdf["var"].to_numpy()
-        c = np.cov(np.stack(pdf.x.to_list()))
-        omega = np.linalg.inv(c + ridge * np.mean(np.diag(c)) * np.eye(len(c)))
-        d = np.sqrt(np.diag(omega))
-        i, j = np.triu_indices(len(c), 1)
-        return pd.DataFrame({"i": names[i], "j": names[j], "r": np.abs(-omega[i, j] / (d[i] * d[j]))})
-
-    rows = m.groupBy("var").agg(F.sort_array(F.collect_list(F.struct("sample", "x"))).alias("xs")).select("var", F.col("xs.x").alias("x"), F.lit(0).alias("k"))
-    return rows.orderBy("var").groupBy("k").applyInPandas(lambda pdf: invert(pdf.sort_values("var")), "i int, j int, r double")
+    samples = m.select("sample").distinct().count()
+    if samples > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples")
+    rows = kept(m.groupBy("var").agg(F.sort_array(F.collect_list(F.struct("sample", "x"))).alias("xs")).select("var", F.col("xs.x").alias("x")))
+    inner, n_vars = gram(rows), rows.count()
+    level = ridge * np.trace(inner) / max(n_vars, 1)  # times n - 1, as the Gram matrix is
+    lower = np.linalg.cholesky(inner + level * np.eye(len(inner)))
+    shared = m.sparkSession.sparkContext.broadcast(np.linalg.inv(lower).T)
+
+    def solved(batches):
+        for pdf in batches:
+            if len(pdf):
+                y = prepared(np.stack(pdf.x.to_list()), False) @ shared.value
+                yield pd.DataFrame({"var": np.repeat(pdf["var"].to_numpy(), y.shape[1]), "sample": np.tile(np.arange(y.shape[1]), len(y)), "x": y.ravel()})
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf.block == k].sort_values("var") for k in (pdf.p.iloc[0], pdf.q.iloc[0]))
+        ya, yb = (np.stack(t.x.to_list()) for t in (a, b))
+        left = lambda y: np.sqrt(1 - (y * y).sum(axis=1))
+        r = np.abs(ya @ yb.T) / (left(ya)[:, None] * left(yb)[None, :])
+        i, j = np.meshgrid(a["var"], b["var"], indexing="ij")
+        return pd.DataFrame({"i": i[i < j], "j": j[i < j], "r": r[i < j]})
+
+    y = kept(rows.mapInPandas(solved, "var int, sample int, x double"))
+    return _block_pairs(y, []).groupBy("p", "q").applyInPandas(pair, "i int, j int, r double")
 
 
 def excess_summary(mi: DataFrame, r: DataFrame, margin: float = 0.1) -> DataFrame:

@@ -41,35 +41,34 @@ def components(a: DataFrame, least_size: int = 1) -> DataFrame:
     return out
 
 
-#: Pairs of variables that are clustered in one task.
-MOST_PAIRS = 20_000_000
-
-
 def complete_linkage(correlations: DataFrame, height: float) -> DataFrame:
-    """module, member: complete-linkage clusters of 1 - |r|, cut at the height; all pairs go to one task, up to MOST_PAIRS."""
-    if correlations.count() > MOST_PAIRS:
-        raise ValueError(f"more than {MOST_PAIRS} pairs")
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([pdf.i, pdf.j]))
-        at = {v: k for k, v in enumerate(names)}
-        d = np.full((len(names), len(names)), np.inf)
-        i, j = pdf.i.map(at), pdf.j.map(at)
-        d[i, j] = d[j, i] = 1 - pdf.r.abs()
-        groups = {k: [k] for k in range(len(names))}
-        while len(groups) > 1:
-            k = int(np.argmin(d))
-            x, y = sorted(divmod(k, len(names)))
-            if d[x, y] > height:
-                break
-            d[x, :] = d[:, x] = np.maximum(d[x], d[y])
-            d[x, x] = np.inf
-            d[y, :] = d[:, y] = np.inf
-            groups[x] += groups.pop(y)
-        ordered = sorted(groups.values(), key=lambda g: (-len(g), min(g)))
-        return pd.DataFrame([(f"module_{k + 1}", int(names[v])) for k, g in enumerate(ordered) for v in g], columns=["module", "member"])
-
-    return correlations.withColumn("k", F.lit(0)).groupBy("k").applyInPandas(cluster, "module string, member int")
+    """module, member: complete-linkage clusters of 1 - |r|, cut at the height, largest first.
+
+    Only pairs within the height count: a pair of clusters can merge if all pairs across have such. In each
+    round all clusters that are each other's nearest merge at once, which gives what merging the
+    nearest two, one after another, gives: the distance to a merged cluster is never less than to its parts,
+    and ties go to the smaller members, by which clusters are known. No task has more than some of the pairs.
+    """
+    pairs = correlations.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (1 - F.abs("r")).alias("d"))
+    labels = kept(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("label", F.col("v")))
+    edges = kept(pairs.filter(F.col("d") <= height))
+    while True:
+        near = edges.select(F.explode(F.array("a", "b")).alias("v"), F.struct("d", "a", "b").alias("pair")).groupBy("v").agg(F.min("pair").alias("pair"))
+        merges = kept(near.groupBy("pair").agg(F.count("*").alias("n")).filter("n = 2").select(F.col("pair.a").alias("into"), F.col("pair.b").alias("gone")))
+        if merges.isEmpty():
+            break
+        # both members of a merge go by the first; of the pairs of two clusters all have to be there
+        to = merges.select(F.inline(F.array(F.struct(F.col("into").alias("v"), "into"), F.struct(F.col("gone").alias("v"), "into"))))
+        ta, tb = to.select(F.col("v").alias("a"), F.col("into").alias("to_a")), to.select(F.col("v").alias("b"), F.col("into").alias("to_b"))
+        at = edges.join(ta, "a", "left").join(tb, "b", "left")
+        parts = F.when(F.col("to_a").isNull(), 1).otherwise(2) * F.when(F.col("to_b").isNull(), 1).otherwise(2)
+        at = at.select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"), "d", parts.alias("parts")).filter("x <> y")
+        merged = at.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("d").alias("d"), F.count("*").alias("n"), F.first("parts").alias("parts"))
+        edges = kept(merged.filter("n = parts").select("a", "b", "d"))
+        labels = kept(labels.join(merges.select(F.col("gone").alias("label"), "into"), "label", "left").select("v", F.coalesce("into", "label").alias("label")))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+    named = sizes.withColumn("k", F.row_number().over(W.orderBy(F.col("n").desc(), "label")))  # one row a module
+    return labels.join(named, "label").select(F.concat(F.lit("module_"), F.col("k").cast("string")).alias("module"), F.col("v").cast("int").alias("member"))
 
 
 def validated(modules: DataFrame) -> DataFrame:

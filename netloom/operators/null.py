@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from netloom.operators import dependence
 from netloom.operators.calibrate import calibrated
 from netloom.operators.transform import shuffled
+from netloom.sources.store import kept
 
 NBINS = 20_000
-#: Values of both samples of a local false discovery rate.
-MOST_VALUES = 50_000_000
 
 
 def checked(n_vars: int, b: int, q: float, method: str, level: float, alpha0: float) -> None:
@@ -136,41 +135,94 @@ def gate_value(null_hc: list[float], level: float = 0.05) -> float:
     return null_hc[min(len(null_hc), math.ceil((len(null_hc) + 1) * (1 - level))) - 1]
 
 
+#: Cells into which a range is cut at a time.
+CELLS = 4096
+
+
+def order_statistics(values: DataFrame, value: str, places: list[int]) -> dict[int, float]:
+    """The values at these places (from 0) of the ascending order, exactly: by counts in cells of the range, then in
+    cells of the cell that has the place, until it holds one different value. A pass has CELLS rows a place."""
+    span = values.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    open_ = {k: (span["lo"], span["hi"], k) for k in places}  # range, and the place within it
+    found = {}
+    while open_:
+        found |= {k: lo for k, (lo, hi, _) in open_.items() if lo == hi}
+        open_ = {k: x for k, x in open_.items() if k not in found}
+        if not open_:
+            break
+        ranges = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi")) for k, (lo, hi, _) in open_.items()]))
+        inside = values.select(F.col(value).alias("v"), ranges.alias("r")).filter("v BETWEEN r.lo AND r.hi")
+        cell = F.least(F.floor((F.col("v") - F.col("r.lo")) / (F.col("r.hi") - F.col("r.lo")) * CELLS), F.lit(CELLS - 1))
+        counts = inside.groupBy(F.col("r.k").alias("k"), cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("k", "cell").collect()
+        for k, (_, _, place) in open_.items():
+            for r in (r for r in counts if r["k"] == k):
+                if place < r["n"]:
+                    open_[k] = (r["lo"], r["hi"], place)
+                    break
+                place -= r["n"]
+    return found
+
+
+def quantiles(values: DataFrame, value: str, n: int, shares: list[float]) -> list[float]:
+    """Quantiles of n values, linear between places."""
+    at = [q * (n - 1) for q in shares]
+    found = order_statistics(values, value, sorted({k for x in at for k in (math.floor(x), math.ceil(x))}))
+    return [found[math.floor(x)] + (x - math.floor(x)) * (found[math.ceil(x)] - found[math.floor(x)]) for x in at]
+
+
 def local_fdr(scores: DataFrame, nulls: DataFrame, value: str = "score", grid: int = 4096) -> DataFrame:
     """i, j, lfdr: two-group local false discovery rate of positive scores, kernel densities on a grid.
 
-    Both samples go to one task, as a density needs them, up to MOST_VALUES; thin them first beyond.
+    Densities come from counts per grid cell, which are sums, their widths from order statistics by counts and
+    from an aggregate: the driver has `grid` numbers of each sample, and tasks read the ratio off for
+    their own scores. Nulls have one value (v) a row.
     """
-    if scores.count() + nulls.count() > MOST_VALUES:
-        raise ValueError(f"more than {MOST_VALUES} values")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        obs, null = pdf[~pdf.is_null], pdf[pdf.is_null].v.to_numpy()
-        z = obs.v.to_numpy()
-        high = max(z.max(initial=1e-9), null.max(initial=1e-9))
-        edges = np.linspace(0, high, grid + 1)
-        at = (edges[1:] + edges[:-1]) / 2
-
-        def density(v: np.ndarray) -> np.ndarray:
-            v = v[v > 0]
-            if len(v) < 2:
-                return np.full(grid, 1e-300)
-            h = max(0.9 * min(v.std(ddof=1), np.subtract(*np.percentile(v, [75, 25])) / 1.34 or v.std(ddof=1)) * len(v) ** -0.2, high / grid)
-            counts = np.histogram(v, edges)[0]
-            k = np.exp(-0.5 * (np.arange(-grid, grid + 1) * (high / grid) / h) ** 2)
-            size = 1 << int(np.ceil(np.log2(3 * grid)))
-            smooth = np.fft.irfft(np.fft.rfft(counts, size) * np.fft.rfft(k, size), size)[grid : 2 * grid]
-            return np.maximum(smooth, 1e-300) / max(smooth.sum() * high / grid, 1e-300)
-
-        p = (1 + len(null) - np.searchsorted(np.sort(null), z)) / (1 + len(null))
-        pi0 = min(1.0, np.mean(p > 0.5) / 0.5)
-        value_at = np.interp(z, at, pi0 * density(null) / density(z))
-        return pd.DataFrame({"i": obs.i, "j": obs.j, "lfdr": np.where(z > 0, np.minimum(1, value_at), 1.0)})
-
-    both = scores.select("i", "j", F.col(value).alias("v"), F.lit(False).alias("is_null")).unionByName(
-        nulls.select("i", "j", "v", F.lit(True).alias("is_null"))
-    )
-    return both.withColumn("k", F.lit(0)).groupBy("k").applyInPandas(fit, "i int, j int, lfdr double")
+    both = kept(scores.select(F.col(value).cast("double").alias("v"), F.lit(False).alias("is_null")).unionByName(nulls.select(F.col("v").cast("double").alias("v"), F.lit(True).alias("is_null"))))
+    positive = F.when(F.col("v") > 0, F.col("v"))
+    sizes = {r["is_null"]: r for r in both.groupBy("is_null").agg(F.count("*").alias("n"), F.count(positive).alias("above"), F.stddev_samp(positive).alias("sd"), F.max("v").alias("high")).collect()}
+    high = max([1e-9, *(r["high"] for r in sizes.values())])
+    edges = np.linspace(0, high, grid + 1)
+    at = (edges[1:] + edges[:-1]) / 2
+
+    def count(batches):
+        sums = {}
+        for pdf in batches:
+            for null, own in pdf[pdf.v > 0].groupby("is_null"):
+                sums[null] = sums.get(null, 0) + np.histogram(own.v, edges)[0]
+        for null, n in sums.items():
+            some = np.flatnonzero(n)
+            yield pd.DataFrame({"is_null": null, "cell": some, "n": n[some]})
+
+    cells = both.mapInPandas(count, "is_null boolean, cell int, n long").groupBy("is_null", "cell").agg(F.sum("n").alias("n")).toPandas()  # grid rows a sample
+
+    def density(null: bool) -> np.ndarray:
+        size = sizes.get(null)
+        if size is None or size["above"] < 2:
+            return np.full(grid, 1e-300)
+        low, up = quantiles(both.filter(F.col("is_null") == null).filter("v > 0"), "v", size["above"], [0.25, 0.75])
+        h = max(0.9 * min(size["sd"], (up - low) / 1.34 or size["sd"]) * size["above"] ** -0.2, high / grid)
+        counts = np.zeros(grid)
+        own = cells[cells.is_null == null]
+        counts[own.cell] = own.n
+        k = np.exp(-0.5 * (np.arange(-grid, grid + 1) * (high / grid) / h) ** 2)
+        width = 1 << int(np.ceil(np.log2(3 * grid)))
+        smooth = np.fft.irfft(np.fft.rfft(counts, width) * np.fft.rfft(k, width), width)[grid : 2 * grid]
+        return np.maximum(smooth, 1e-300) / max(smooth.sum() * high / grid, 1e-300)
+
+    n_null, n_own = (sizes[x]["n"] if x in sizes else 0 for x in (True, False))
+    pi0 = 1.0
+    if n_null and n_own:  # the p-value is above a half up to the null's value at this place
+        place = n_null - (n_null - 1) // 2 - 1
+        middle = order_statistics(both.filter("is_null"), "v", [place])[place]
+        pi0 = min(1.0, both.filter(~F.col("is_null") & (F.col("v") <= middle)).count() / n_own / 0.5)
+    ratio = pi0 * density(True) / density(False)
+
+    def rate(batches):
+        for pdf in batches:
+            z = pdf.v.to_numpy()
+            yield pd.DataFrame({"i": pdf.i, "j": pdf.j, "lfdr": np.where(z > 0, np.minimum(1, np.interp(z, at, ratio)), 1.0)})
+
+    return scores.select("i", "j", F.col(value).cast("double").alias("v")).mapInPandas(rate, "i int, j int, lfdr double")
 
 
 def central_matching(scores: DataFrame, value: str = "score", grid: int = 64) -> DataFrame:

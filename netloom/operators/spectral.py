@@ -106,3 +106,23 @@ def leading(rows: DataFrame, samples: int, k: int, scale: bool, most_bytes: int,
         if not open_:
             return found
     raise ValueError(f"no {k} components within {ROUNDS} rounds")
+
+
+def gram(rows: DataFrame, scale: bool = False) -> np.ndarray:
+    """The samples' Gram matrix of (var, x: values in the order of samples): summed over variables in tasks, then a
+    row of it by row; samples x samples on the driver, so callers bound the samples."""
+
+    def part(batches):
+        total = None
+        for pdf in batches:
+            for at in range(0, len(pdf), AT_ONCE):
+                z = prepared(np.stack(pdf.x.iloc[at : at + AT_ONCE].to_list()), scale)
+                total = z.T @ z if total is None else total + z.T @ z
+        if total is not None:
+            yield pd.DataFrame({"s": np.arange(len(total)), "g": list(total)})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"s": [pdf.s.iloc[0]], "g": [np.stack(pdf.g.to_list()).sum(axis=0)]})
+
+    parts = rows.mapInPandas(part, "s int, g array<double>").groupBy("s").applyInPandas(added, "s int, g array<double>")
+    return np.stack(parts.toPandas().sort_values("s").g.to_list())
