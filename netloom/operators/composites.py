@@ -252,6 +252,17 @@ def digest_of(selections: DataFrame) -> str:
     return hashlib.sha256(repr([sorted(selections.columns), *map(str, found)]).encode()).hexdigest()
 
 
+def commit(selections: DataFrame, path: str) -> str:
+    """Writes the selections' digest, before the truth is looked at; a path that is there already stays as it is."""
+    digest = digest_of(selections)
+    selections.sparkSession.createDataFrame([(digest,)], "digest string").write.mode("ignore").json(path)
+    return digest
+
+
+def committed(spark: SparkSession, path: str) -> str:
+    return spark.read.schema("digest string").json(path).first()["digest"]  # one row
+
+
 def gate(selections: DataFrame, committed: str) -> DataFrame:
     """The selections, if they are those whose digest was committed before; else raises."""
     if digest_of(selections) != committed:

@@ -103,18 +103,23 @@ def bootstrap_median(values: DataFrame, draws: int) -> DataFrame:
     return values.agg(F.percentile("d", F.lit(0.5)).alias("median")).crossJoin(interval)
 
 
-def bca(values: list[float], draws: int = 2000, level: float = 0.95, seed: int = 1) -> dict[str, float]:
-    """Mean, bias-corrected accelerated interval, and the p-value at which the interval meets 0."""
+def bootstrap_means(values: DataFrame, draws: int, by: str = "id", value: str = "d") -> DataFrame:
+    """draw, m: means of resampled rows, picked by a hash of draw and slot; values have one narrow row a case."""
+    rows = values.withColumn("k", F.row_number().over(W.orderBy(by)) - 1).withColumn("n", F.count("*").over(W.partitionBy()))
+    reps = values.sparkSession.range(1, draws + 1).select(F.col("id").alias("draw"))
+    picks = rows.select(F.col("k").alias("slot"), "n").crossJoin(F.broadcast(reps)).withColumn("k", F.floor(uniform(key("draw", "slot")) * F.col("n")).cast("int"))
+    return picks.join(rows.select("k", F.col(value).alias("v")), "k").groupBy("draw").agg(F.avg("v").alias("m"))
+
+
+def bca_ends(means: np.ndarray, mean: float, second: float, third: float, level: float) -> dict[str, float]:
+    """The interval from the draws' means and the sums of squared and cubed deviations: leave-one-out means differ from
+    the mean by what a value does, over n - 1, which goes out of the acceleration."""
     from statistics import NormalDist
 
-    x = np.asarray(values, float)
-    rng, normal = np.random.default_rng(seed), NormalDist()
-    means = np.sort(x[rng.integers(0, len(x), (draws, len(x)))].mean(axis=1))
-    share = min(max((means < x.mean()).mean(), 0.5 / draws), 1 - 0.5 / draws)
+    normal, means, draws = NormalDist(), np.sort(means), len(means)
+    share = min(max(float((means < mean).mean()), 0.5 / draws), 1 - 0.5 / draws)
     z0 = normal.inv_cdf(share)
-    jack = (x.sum() - x) / (len(x) - 1)
-    dev = jack.mean() - jack
-    a = (dev**3).sum() / (6 * max((dev**2).sum(), 1e-300) ** 1.5)
+    a = third / (6 * max(second, 1e-300) ** 1.5)
 
     def ends(alpha: float) -> tuple[float, float]:
         at = [normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))) for z in (normal.inv_cdf(alpha / 2), normal.inv_cdf(1 - alpha / 2))]
@@ -126,7 +131,25 @@ def bca(values: list[float], draws: int = 2000, level: float = 0.95, seed: int =
         e = ends(math.exp(middle))
         low, high = (middle, high) if e[0] <= 0 <= e[1] else (low, middle)
     e = ends(1 - level)
-    return {"mean": float(x.mean()), "low": e[0], "high": e[1], "p": math.exp((low + high) / 2)}
+    return {"mean": float(mean), "low": e[0], "high": e[1], "p": math.exp((low + high) / 2)}
+
+
+def bca(values: list[float], draws: int = 2000, level: float = 0.95, seed: int = 1) -> dict[str, float]:
+    """Mean, bias-corrected accelerated interval, and the p-value at which the interval meets 0, of a few values."""
+    x = np.asarray(values, float)
+    means = x[np.random.default_rng(seed).integers(0, len(x), (draws, len(x)))].mean(axis=1)
+    dev = x - x.mean()
+    return bca_ends(means, x.mean(), (dev**2).sum(), (dev**3).sum(), level)
+
+
+def bca_interval(values: DataFrame, draws: int = 2000, level: float = 0.95, by: str = "id", value: str = "d") -> DataFrame:
+    """mean, low, high, p of a column: means of draws and moments are aggregates, a number a draw is on the driver."""
+    means = np.array([r["m"] for r in bootstrap_means(values, draws, by, value).select("m").collect()])  # a number a draw
+    mean = values.agg(F.avg(value)).first()[0]
+    dev = F.col(value) - mean
+    second, third = values.agg(F.sum(dev * dev), F.sum(dev * dev * dev)).first()
+    found = bca_ends(means, mean, second, third, level)
+    return values.sparkSession.createDataFrame([tuple(found.values())], "mean double, low double, high double, p double")
 
 
 def signed_rank(values: DataFrame, keys: list[str], value: str = "d") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.operators import calibrate, composites, diffusion, graph, metrics, resample, transform, truths
+from netloom.operators import calibrate, composites, dependence, diffusion, graph, metrics, resample, transform, truths
 from netloom.plans import catalog_core as CC
 from netloom.plans import catalog_eval as CE
 from netloom.plans import oracles as O
@@ -181,15 +181,18 @@ _WALKS = ",\n".join(
     f"fw{t} AS (SELECT fit, src, dst, sum(p) AS p FROM (SELECT fit, src, dst, 0.5 * p AS p FROM fw{t - 1} UNION ALL SELECT a.fit, a.src, k.dst, 0.5 * a.w * k.p FROM fo a JOIN fw{t - 1} k ON k.fit = a.fit AND k.src = a.dst) GROUP BY 1, 2, 3)"
     for t in range(1, 5)
 )
-_CRIT = (
-    "fa AS (" + " UNION ALL ".join(f"SELECT {t} AS t, fit, least(src, dst) AS i, greatest(src, dst) AS j, sum(p) / 2 AS s FROM fw{t} WHERE src <> dst GROUP BY 2, 3, 4" for t in _DEPTHS) + "),\n"
-    "fl AS (SELECT CASE WHEN fit % 2 = 0 THEN fit + 1 ELSE fit - 1 END AS fit, i, j, CAST(score >= quantile_cont(score, 0.9) OVER (PARTITION BY fit) AS INTEGER) AS label FROM rf),\n"
-    "fp AS (SELECT t, l.fit, l.i, l.j, label, coalesce(s, 0) AS score FROM fl l CROSS JOIN (SELECT unnest([1, 2, 4]) AS t) LEFT JOIN fa USING (t, fit, i, j)),\n"
-    + O.blocks("fp", "fit, t") + ",\ncv AS (SELECT fit // 2 AS split, fit % 2 AS direction, t, sum(tp * CAST(cum AS DOUBLE) / k) / sum(tp) AS value FROM bl GROUP BY fit, t)"
-)
-_CURVES = ("brd", _HALF.format(3), _FITS, _WALKS, _CRIT)
-_curves = lambda s, d: composites.held_out_curves(
-    composites.halves(m := _brands(s, d), 2).join(m, "sample"), composites.abs_correlations, _DEPTHS, 4, 0.1, digits=TIES
+def _crit(depths: tuple[int, ...]) -> str:
+    return (
+        "fa AS (" + " UNION ALL ".join(f"SELECT {t} AS t, fit, least(src, dst) AS i, greatest(src, dst) AS j, sum(p) / 2 AS s FROM fw{t} WHERE src <> dst GROUP BY 2, 3, 4" for t in depths) + "),\n"
+        "fl AS (SELECT CASE WHEN fit % 2 = 0 THEN fit + 1 ELSE fit - 1 END AS fit, i, j, CAST(score >= quantile_cont(score, 0.9) OVER (PARTITION BY fit) AS INTEGER) AS label FROM rf),\n"
+        f"fp AS (SELECT t, l.fit, l.i, l.j, label, coalesce(s, 0) AS score FROM fl l CROSS JOIN (SELECT unnest({list(depths)}) AS t) LEFT JOIN fa USING (t, fit, i, j)),\n"
+        + O.blocks("fp", "fit, t") + ",\ncv AS (SELECT fit // 2 AS split, fit % 2 AS direction, t, sum(tp * CAST(cum AS DOUBLE) / k) / sum(tp) AS value FROM bl GROUP BY fit, t)"
+    )
+
+
+_CURVES = ("brd", _HALF.format(3), _FITS, _WALKS, _crit(_DEPTHS))
+_curves = lambda s, d, depths=_DEPTHS: composites.held_out_curves(
+    composites.halves(m := _brands(s, d), 2).join(m, "sample"), composites.abs_correlations, depths, 4, 0.1, digits=TIES
 ).transform(CC.cached)
 query("held_out_curves", O.with_(*_CURVES) + f"SELECT split, direction, t, {rsql('value', 'value')} FROM cv")(lambda s, d: r6(_curves(s, d), "value"))
 query(
@@ -241,12 +244,34 @@ query("walk_snapshots", O.with_(*CC._OP, O.walk("op", 3)) + " UNION ALL ".join(f
     lambda s, d: r6(diffusion.walked_at(CC._op(s, d), [1, 3]), "p")
 )
 query("external_operator", O.with_(*CC._OP) + f"SELECT src, dst, {rsql('w', 'w')} FROM op")(lambda s, d: r6(graph.external(CC._op(s, d)), "w"))
-query("golden_depth", "SELECT CAST(t AS INTEGER) AS t, CAST(-(t - 21) * (t - 21) AS DOUBLE) AS value FROM (SELECT 21 AS t)")(
-    lambda s, d: s.createDataFrame([((f := diffusion.golden_depth(lambda t: -float((t - 21) ** 2)))[0], f[1][f[0]] + 0.0)], "t int, value double")
-)
-query("committed_selection", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")(
-    lambda s, d: composites.gate(x := FX.table(s, d, "nation").filter("n_regionkey = 1").select("n_nationkey", "n_name"), composites.digest_of(x.repartition(3)))
-)
+
+
+def _golden(s, d) -> DataFrame:
+    """The depth at which held-out halves agree best, by the integer search over their mean curve (a row a depth)."""
+    curve = {r["t"]: round(r["value"], TIES) for r in _curves(s, d, (1, 2, 3, 4)).groupBy("t").agg(F.avg("value").alias("value")).collect()}
+    t, seen = diffusion.golden_depth(curve.__getitem__, 1, 4)
+    return s.createDataFrame([(t, seen[t])], "t int, value double")
+
+
+# depths 1, 2 and 4 are scanned; where 1 is the best of them, 3 isn't tried
+query(
+    "golden_depth",
+    O.with_("brd", _HALF.format(3), _FITS, _WALKS, _crit((1, 2, 3, 4)))
+    + f""", av AS (SELECT t, round(avg(value), 9) AS value FROM cv GROUP BY t), tried AS (SELECT * FROM av WHERE t <> 3 OR (SELECT arg_max(t, (value, -t)) FROM av WHERE t <> 3) <> 1)
+SELECT CAST(arg_max(t, (value, -t)) AS INTEGER) AS t, {rsql('max(value)', 'value')} FROM tried""",
+)(lambda s, d: r6(_golden(s, d), "value"))
+
+
+def _committed(s, d) -> DataFrame:
+    """The strongest partners of each brand, committed to a file; the gate lets those through that are made anew from the tables, by
+    another number of tasks."""
+    chosen = lambda m: graph.top_k(dependence.correlation(m).select("i", "j", F.round(F.abs("r"), TIES).alias("score")), 3, digits=TIES).select("src", "dst")
+    path = fresh_path(s, "committed")
+    composites.commit(chosen(FX.brands(s, d)), path)
+    return composites.gate(chosen(FX.brands(s, d).repartition(3)), composites.committed(s, path))
+
+
+query("committed_selection", O.with_("brd", O.CORR, "sc AS (SELECT i, j, round(abs(r), 9) AS score FROM r)", O.top_k(3)) + "SELECT src, dst FROM tk")(_committed)
 query(
     "aliased_names",
     """SELECT n_nationkey, coalesce(CASE plain WHEN 'nATION_3' THEN 'third' WHEN 'nATION_4' THEN 'fourth' END, plain) AS name FROM (SELECT n_nationkey, lower(substr(n_name, 1, 1)) || substr(n_name, 2) AS plain FROM nation)""",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators import calibrate as C
 from netloom.operators import dependence as D
+from netloom.operators import information as I
 from netloom.operators import metrics as E
 from netloom.operators import modules as M
-from netloom.operators import information as I
 from netloom.operators import perturb as P
 from netloom.operators import report as R
 from netloom.operators import resample as S
@@ -17,6 +18,7 @@ from netloom.plans import catalog_core as CC
 from netloom.plans import oracles as O
 from netloom.plans.catalog_core import query, r6, rsql
 from netloom.sources import fixtures as FX
+from netloom.sources.store import kept
 
 # --- truths: suppliers in regions, pairs of one nation left out
 
@@ -312,12 +314,30 @@ query("holm_adjust", O.with_(_TESTS) + f"SELECT id, {rsql('max(least(1.0, p * (n
 query("bh_adjust", O.with_(_TESTS) + f"SELECT id, {rsql('min(least(1.0, p * 30 / k)) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)', 'adjusted')} FROM (SELECT *, row_number() OVER (ORDER BY p, id) AS k FROM te)")(
     lambda s, d: r6(S.benjamini_hochberg(_tests(s, d), [], 30).select("id", "adjusted"), "adjusted")
 )
-_GAME = "ga AS (SELECT CAST(s AS INTEGER) AS s, ((s * 37) % 101) / 101.0 + bit_count(s) * 0.1 AS v FROM (SELECT unnest(range(0, 64)) AS s))"
+# A game on real scores: how well pairs of brands rank by the mean of their correlations over some of six blocks of months.
+_GAME = f"""mb AS (SELECT *, CAST(sample % 6 AS INTEGER) AS block FROM m),
+bc AS (SELECT a.block, a.var AS i, b.var AS j, abs(coalesce(corr(a.x, b.x), 0)) AS r FROM mb a JOIN mb b ON a.sample = b.sample AND a.var < b.var GROUP BY 1, 2, 3),
+pg AS (SELECT u, i, j, coalesce(sum(r) FILTER ((u >> block) & 1 = 1) / nullif(bit_count(u), 0), 0) AS score, CAST(i // 5 = j // 5 AS INTEGER) AS label FROM bc, (SELECT CAST(unnest(range(0, 64)) AS INTEGER) AS u) GROUP BY u, i, j),
+{O.blocks("pg", "u", name="gb")},
+ga AS (SELECT u AS s, sum(tp * (cum / CAST(k AS DOUBLE))) / sum(tp) AS v FROM gb GROUP BY u)"""
+
+
+def _game(s, d) -> DataFrame:
+    """s (bits of blocks), v: the average precision of every subset of blocks, a key column."""
+    m = FX.brands(s, d).withColumn("part", (F.col("sample") % 6).cast("int"))
+    r = D.correlation(m, keys=("part",)).select("part", "i", "j", F.abs("r").alias("r"))
+    subsets = s.range(64).select(F.col("id").cast("int").alias("s"))
+    inside = F.expr("(s & shiftleft(1, part)) <> 0")
+    scored = r.crossJoin(F.broadcast(subsets)).groupBy("s", "i", "j").agg((F.sum(F.when(inside, F.col("r")).otherwise(0.0)) / F.greatest(F.bit_count("s"), F.lit(1))).alias("score"))
+    label = (F.floor(F.col("i") / 5) == F.floor(F.col("j") / 5)).cast("int")
+    return E.average_precision(scored.withColumn("label", label), ["s"]).select("s", F.col("ap").alias("v"))
+
+
 query(
     "shapley_exact",
-    O.with_(_GAME, "co AS (SELECT CAST(unnest(range(0, 6)) AS INTEGER) AS component)")
+    O.with_("brd", _GAME, "co AS (SELECT CAST(unnest(range(0, 6)) AS INTEGER) AS component)")
     + f"SELECT component, {rsql('sum(CAST(factorial(bit_count(a.s)) AS DOUBLE) * factorial(5 - bit_count(a.s)) / 720 * (b.v - a.v))', 'shapley')}, {rsql('max(CASE WHEN b.s = 63 THEN b.v - a.v END)', 'drop_one')} FROM co JOIN ga a ON (a.s & (1 << component)) = 0 JOIN ga b ON b.s = a.s + (1 << component) GROUP BY component",
-)(lambda s, d: r6(S.shapley(s.range(64).select(F.col("id").cast("int").alias("s"), (((F.col("id") * 37) % 101) / 101.0 + F.bit_count("id") * 0.1).alias("v")), 6), "shapley", "drop_one"))
+)(lambda s, d: r6(S.shapley(kept(_game(s, d)), 6), "shapley", "drop_one"))
 query(
     "signed_rank",
     O.with_(_TESTS)
@@ -332,7 +352,7 @@ pk AS (SELECT draw, CAST(floor({_uni('CAST(draw AS VARCHAR), CAST(k AS VARCHAR)'
 md AS (SELECT draw, quantile_cont(d, 0.5) AS m FROM pk JOIN rw ON rw.k = pick GROUP BY draw)
 SELECT {rsql('(SELECT quantile_cont(d, 0.5) FROM te)', 'median', 9)}, {rsql('quantile_cont(m, 0.025)', 'low', 9)}, {rsql('quantile_cont(m, 0.975)', 'high', 9)} FROM md""",
 )(lambda s, d: r6(S.bootstrap_median(_tests(s, d), 200), "median", "low", "high", digits=9))
-query("bca_interval")(lambda s, d: s.createDataFrame([tuple(round(v, 9) for v in S.bca([r[0] for r in _tests(s, d).select("d").orderBy("id").collect()]).values())], "mean double, low double, high double, p double"))
+query("bca_interval")(lambda s, d: r6(S.bca_interval(_tests(s, d)), "mean", "low", "high", "p", digits=9))
 
 # --- perturbation
 
