@@ -108,8 +108,6 @@ def attention(walk: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 #: Edges of an operator that is collected, and values of a task's moved rows.
 MOST_EDGES, HELD = 20_000_000, 1 << 23
-#: Variables of a dense decomposition.
-MOST_VARIABLES = 10_000
 
 
 def collected(a: DataFrame) -> pd.DataFrame:
@@ -155,42 +153,142 @@ def walk_blocks(a: DataFrame, depths: list[int], alpha: float = 0.5, block: int
     return spark.range(0, n, 1, max(1, n)).mapInPandas(walk, "t int, src int, dst int, p double")
 
 
-def stationary(a: DataFrame, teleport: float = 1e-3, tolerance: float = 1e-13, most: int = 20_000) -> DataFrame:
-    """var, pi: the walk's stationary distribution with teleport, by power iteration on one row a variable."""
-    edges = collected(a)
-    nodes = np.unique(np.concatenate([edges.src, edges.dst]))
-    at = {v: k for k, v in enumerate(nodes)}
-    s, d, w = edges.src.map(at).to_numpy(), edges.dst.map(at).to_numpy(), edges.w.to_numpy()
-    n = len(nodes)
-    pi = np.full(n, 1 / n)
-    for _ in range(most):
-        new = (1 - teleport) * np.bincount(d, w * pi[s], n) + teleport / n
-        new += (1 - new.sum()) / n
-        done = np.abs(new - pi).sum() < tolerance
-        pi = new
-        if done:
-            break
-    return a.sparkSession.createDataFrame(pd.DataFrame({"var": nodes.astype(int), "pi": pi}), "var int, pi double")
+class Thin:
+    """Products of a sparse matrix (row, col, w), whose entries stay in their tasks, with thin matrices on the driver.
 
+    Variables are numbered, one narrow row each; a task adds up what its entries give, an aggregate adds up
+    tasks. Thin matrices of more than THIN_BYTES raise ValueError.
+    """
 
-def spectrum(a: DataFrame, pi: DataFrame, depths: list[int]) -> DataFrame:
-    """t, n_modules, return_probability, slope: from the eigenvalues of the reversibilised walk."""
-    p = pi.toPandas()
-    if len(p) > MOST_VARIABLES:
-        raise ValueError(f"more than {MOST_VARIABLES} variables")
-    edges = collected(a)
-    at = {v: k for k, v in enumerate(p["var"])}
-    n, w = len(p), p.pi.to_numpy()
-    dense = np.zeros((n, n))
-    dense[edges.src.map(at), edges.dst.map(at)] = edges.w
-    flow = w[:, None] * dense
-    both = (flow + flow.T) / 2 / np.sqrt(w[:, None] * w[None, :])
-    values = np.clip(np.linalg.eigvalsh(both), -1, 1)
-    mu = (1 + values) / 2
-    total = np.array([(mu**t).sum() for t in depths])
-    slope = np.gradient(np.log(np.maximum(total, 1e-300)), np.log(np.maximum(depths, 1))) if len(depths) > 1 else np.zeros(len(depths))
-    rows = pd.DataFrame({"t": depths, "n_modules": total, "return_probability": total / n, "slope": slope})
-    return a.sparkSession.createDataFrame(rows, "t int, n_modules double, return_probability double, slope double")
+    def __init__(self, entries: DataFrame, names: np.ndarray, columns: int):
+        if 8 * len(names) * columns > THIN_BYTES:
+            raise ValueError("thin matrices of the variables are too large for the driver")
+        self.entries, self.n = entries, len(names)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        shared = self.entries.sparkSession.sparkContext.broadcast(x)
+        columns = [f"y{c}" for c in range(x.shape[1])]
+
+        def multiply(batches):
+            total = None
+            for pdf in batches:
+                if total is None:
+                    total, seen = np.zeros(shared.value.shape), np.zeros(len(shared.value), bool)
+                row = pdf["row"].to_numpy()
+                np.add.at(total, row, pdf.w.to_numpy()[:, None] * shared.value[pdf["col"].to_numpy()])
+                seen[row] = True
+            if total is not None:
+                some = np.flatnonzero(seen)
+                yield pd.DataFrame({"row": some, **dict(zip(columns, total[some].T))})
+
+        parts = self.entries.mapInPandas(multiply, ", ".join(["row int", *(f"{c} double" for c in columns)]))
+        own = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()  # a row a variable
+        shared.unpersist()
+        out = np.zeros(x.shape)
+        out[own["row"]] = own[columns]
+        return out
+
+
+#: Bytes of thin matrices on the driver.
+THIN_BYTES = 1 << 30
+
+
+def _numbered(a: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The variables (var, k) numbered in their order, and their names in it."""
+    names = a.select(F.explode(F.array("src", "dst")).alias("var")).distinct()
+    numbers = kept(names.select("var", (F.row_number().over(W.orderBy("var")) - 1).alias("k")))  # one narrow row a variable
+    return numbers, numbers.orderBy("k").select("var").toPandas()["var"].to_numpy()
+
+
+def stationary(a: DataFrame, teleport: float = 1e-3, tolerance: float = 1e-13, most: int = 300, space: int = 30) -> DataFrame:
+    """var, pi: the walk's stationary distribution with teleport; what rows without weights lose goes to all alike.
+
+    The fixed point x = L x + 1 / n, L x = (1 - teleport) (P' x - its mean), is solved by minimal residuals over
+    Krylov spaces of `space` products, started again until the residual is within the tolerance or no
+    longer falls: a power iteration takes as many products as 30 over the teleport.
+    """
+    numbers, names = _numbered(a)
+    n = len(names)
+    rows, columns = numbers.select(F.col("var").alias("dst"), F.col("k").alias("row")), numbers.select(F.col("var").alias("src"), F.col("k").alias("col"))
+    moved = Thin(kept(a.join(rows, "dst").join(columns, "src").select("row", "col", "w")), names, space + 2)
+
+    def left(x: np.ndarray) -> np.ndarray:  # (I - L) x
+        y = moved(x[:, None])[:, 0]
+        return x - (1 - teleport) * (y - y.mean())
+
+    x, goal = np.full(n, 1 / n), np.full(n, 1 / n)
+    residual, products, before = goal - left(x), 1, np.inf
+    while np.abs(residual).sum() > tolerance and np.abs(residual).sum() < before / 2 and products < most:
+        before = np.abs(residual).sum()
+        basis, h = [residual / np.linalg.norm(residual)], np.zeros((space + 1, space))
+        for k in range(space):
+            y = left(basis[-1])
+            products += 1
+            for _ in range(2):
+                for i, q in enumerate(basis):
+                    part = q @ y
+                    h[i, k] += part
+                    y = y - part * q
+            h[k + 1, k] = np.linalg.norm(y)
+            start = np.zeros(k + 2)
+            start[0] = np.linalg.norm(residual)
+            weights = np.linalg.lstsq(h[: k + 2, : k + 1], start, rcond=None)[0]
+            if h[k + 1, k] < 1e-15 or np.linalg.norm(h[: k + 2, : k + 1] @ weights - start) < tolerance / np.sqrt(n) / 10:
+                break
+            basis.append(y / h[k + 1, k])
+        x = x + np.stack(basis[: len(weights)], axis=1) @ weights
+        residual = goal - left(x)
+        products += 1
+    x = np.maximum(x + residual, 0)
+    return a.sparkSession.createDataFrame(pd.DataFrame({"var": names.astype(int), "pi": x / x.sum()}), "var int, pi double")
+
+
+#: Random probes of a trace; as many variables or fewer are probed one by one, which is exact.
+PROBES = 64
+
+
+def spectrum(a: DataFrame, pi: DataFrame, depths: list[int], seed: int = 1) -> DataFrame:
+    """t, n_modules, return_probability, slope, error: from the reversibilised walk (I + B) / 2, whose eigenvalues' t-th
+    powers add up to n_modules.
+
+    The sum is a trace, the mean over probes z of random signs of z' ((I + B) / 2)^t z, by Lanczos quadrature:
+    for all probes at once, as many products as half the largest depth make a small tridiagonal matrix
+    a probe, whose eigenvalues stand for those of B as z weighs them; they are kept within -1 and 1, as B's
+    would be if pi were without teleports. Entries stay in tasks. error: the standard error over probes, 0
+    where each variable is a probe of its own.
+    """
+    numbers, names = _numbered(a)
+    n = len(names)
+    weight = numbers.join(pi, "var")
+    ws, wd = weight.select(F.col("var").alias("src"), F.col("k").alias("row"), F.col("pi").alias("pr")), weight.select(F.col("var").alias("dst"), F.col("k").alias("col"), F.col("pi").alias("pc"))
+    flow = a.join(ws, "src").join(wd, "dst").select("row", "col", (F.col("pr") * F.col("w") / 2 / F.sqrt(F.col("pr") * F.col("pc"))).alias("w"))
+    both = flow.select(F.inline(F.array(F.struct("row", "col", "w"), F.struct(F.col("col").alias("row"), F.col("row").alias("col"), "w"))))
+    exact = n <= PROBES
+    z = np.eye(n) if exact else np.random.default_rng(seed).choice([-1.0, 1.0], size=(n, PROBES))
+    steps = min(n, max(depths) // 2 + 2)
+    product = Thin(kept(both.groupBy("row", "col").agg(F.sum("w").alias("w"))), names, 4 * z.shape[1])
+    size = (z * z).sum(axis=0)
+    q, last = z / np.sqrt(size), np.zeros(z.shape)
+    alpha, beta = np.zeros((steps, z.shape[1])), np.zeros((steps, z.shape[1]))
+    for k in range(steps):
+        y = product(q) - (beta[k - 1] * last if k else 0)
+        alpha[k] = (q * y).sum(axis=0)
+        y -= alpha[k] * q
+        beta[k] = np.linalg.norm(y, axis=0)
+        last, q = q, np.divide(y, beta[k], out=np.zeros_like(y), where=beta[k] > 1e-12)
+    own = np.zeros((len(depths), z.shape[1]))
+    for c in range(z.shape[1]):
+        ended = np.flatnonzero(beta[:, c] <= 1e-12)
+        m = ended[0] + 1 if len(ended) else steps
+        values, vectors = np.linalg.eigh(np.diag(alpha[:m, c]) + np.diag(beta[: m - 1, c], 1) + np.diag(beta[: m - 1, c], -1))
+        mu = (1 + np.clip(values, -1, 1)) / 2
+        own[:, c] = [size[c] * (vectors[0] ** 2 * mu**t).sum() for t in depths]
+    total = dict(zip(depths, own.sum(axis=1) if exact else own.mean(axis=1)))
+    error = dict(zip(depths, np.zeros(len(depths)) if exact else own.std(axis=1, ddof=1) / np.sqrt(z.shape[1])))
+    n_modules = np.array([total[t] for t in depths])
+    slope = np.gradient(np.log(np.maximum(n_modules, 1e-300)), np.log(np.maximum(depths, 1))) if len(depths) > 1 else np.zeros(len(depths))
+    rows = pd.DataFrame({"t": depths, "n_modules": n_modules, "return_probability": n_modules / n, "slope": slope, "error": [error[t] for t in depths]})
+    return a.sparkSession.createDataFrame(rows, "t int, n_modules double, return_probability double, slope double, error double")
 
 
 def plateaus(curve: DataFrame, most_slope: float = 0.1, least_n: float = 2.0, least_length: int = 3) -> DataFrame:
