@@ -6,6 +6,9 @@ pairs are few, and blocks of variables multiplied as matrices, a task a pair of
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,8 @@ from netloom.sources.store import kept
 #: Variables a block, at least and at most, blocks until they grow, and values (variables x samples x
 #: bins of 8 bytes) a block: a task holds two blocks' weights.
 LEAST, MOST, BLOCKS, HELD = 64, 512, 16, 1 << 23
+#: Blocks a side of a square, at most, and pairs of squares for each core.
+SIDE, PER_SLOT = 4, 4
 #: Variables whose joint tables are made at once.
 AT_ONCE = 32
 #: Samples of a Gram matrix that is inverted.
@@ -112,20 +117,43 @@ def _spread(x: np.ndarray, nb: np.ndarray, order: int) -> np.ndarray:
 
 
 def _block_pairs(m: DataFrame, extra: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Variables as rows (keys, block, var, extra..., x: values in the order of samples), dealt to pairs of
-    blocks (p, q), p <= q. Blocks are numbered from the variables alone, one narrow row each, and grow with
-    their number up to MOST, so that a variable is sent to few, as far as HELD allows."""
+    """Variables as rows (keys, block, square, var, extra..., x: values in the order of samples), dealt to pairs of
+    squares (p, q), p <= q, of neighbouring blocks; `_pairs` has the pairs of blocks of one.
+
+    Blocks are numbered from the variables alone, one narrow row each, and grow with their number up to MOST,
+    as far as HELD allows. Squares have up to SIDE blocks a side, as many as leave some PER_SLOT pairs of squares
+    for each core: so a variable is sent to about the root of so many tasks, and not to each block.
+    """
     names = m.select("var").distinct()
     shape = names.agg(F.count("*").alias("n")).crossJoin(m.agg(F.approx_count_distinct("sample").alias("samples")))
     fits = F.floor(HELD / (8 * F.greatest(F.col("samples"), F.lit(1))))
     size = F.greatest(F.lit(1), F.least(fits, F.lit(MOST), F.greatest(F.lit(LEAST), F.ceil(F.col("n") / BLOCKS))))
-    shape = shape.select(size.alias("size"), F.floor((F.col("n") - 1) / size).cast("int").alias("last"))
+    wanted = math.ceil(math.sqrt(2 * PER_SLOT * m.sparkSession.sparkContext.defaultParallelism))  # squares a side of the triangle
+    shape = shape.select(size.alias("size"), F.ceil(F.col("n") / size).alias("blocks"))
+    shape = shape.select("size", "blocks", F.greatest(F.lit(1), F.least(F.lit(SIDE), F.floor(F.col("blocks") / wanted))).alias("side"))
+    shape = shape.select("size", "side", F.floor((F.col("blocks") - 1) / F.col("side")).cast("int").alias("last"))
     numbered = names.select("var", (F.row_number().over(W.orderBy("var")) - 1).alias("k")).crossJoin(F.broadcast(shape))
-    blocks = numbered.select("var", "last", F.floor(F.col("k") / F.col("size")).cast("int").alias("block"))
+    block = F.floor(F.col("k") / F.col("size")).cast("int")
+    blocks = numbered.select("var", "last", block.alias("block"), F.floor(block / F.col("side")).cast("int").alias("square"))
     rows = m.groupBy(*keys, "var", *extra).agg(F.sort_array(F.collect_list(F.struct("sample", "x"))).alias("xs"))
     rows = rows.withColumn("x", F.col("xs.x")).drop("xs").join(blocks, "var")
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    return dealt.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other", "last")
+    return dealt.withColumn("p", F.least("square", "other")).withColumn("q", F.greatest("square", "other")).drop("other", "last")
+
+
+def _pairs(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """The pairs of blocks, in the order of variables, of a pair of squares; a block with itself is one."""
+    p, q = pdf.p.iloc[0], pdf.q.iloc[0]
+    own = {k: t.sort_values("var") for k, t in pdf.groupby("block")}
+    square = {k: t.square.iloc[0] for k, t in own.items()}
+    for x in own:
+        for y in own:
+            if square[x] == p and square[y] == q and (p != q or x <= y):
+                yield own[x], own[y]
+
+
+def _joined(parts: list[pd.DataFrame], names: list[str]) -> pd.DataFrame:
+    return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in names})
 
 
 def _plogp(p: np.ndarray) -> np.ndarray:
@@ -143,10 +171,7 @@ def block_mi(m: DataFrame, nb: DataFrame, order: int = 3, self_pairs: bool = Fal
     """
     kind = np.float32 if single else np.float64
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf[pdf.block == k].sort_values("var") for k in (pdf.p.iloc[0], pdf.q.iloc[0]))
-        if not len(a) or not len(b):  # a key without variables in one of the blocks
-            return pd.DataFrame({c: [] for c in (*keys, "i", "j", "mi")})
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         wa, wb = (_spread(np.stack(t.x.to_list()), t.nb.to_numpy(), order).astype(kind, copy=False) for t in (a, b))
         n = wa.shape[2]
         mi = -_plogp(wa.mean(axis=2)).sum(axis=1)[:, None] - _plogp(wb.mean(axis=2)).sum(axis=1)[None, :]
@@ -157,10 +182,11 @@ def block_mi(m: DataFrame, nb: DataFrame, order: int = 3, self_pairs: bool = Fal
             mi[k : k + AT_ONCE] += joint.reshape(len(some), wa.shape[1], len(b), wb.shape[1]).sum(axis=(1, 3))
         i, j = np.meshgrid(a["var"], b["var"], indexing="ij")
         keep = i <= j if self_pairs else i < j
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "i": i[keep], "j": j[keep], "mi": mi[keep]})
+        return pd.DataFrame({**{k: a[k].iloc[0] for k in keys}, "i": i[keep], "j": j[keep], "mi": mi[keep]})
 
     rows = _block_pairs(m.join(nb, "var"), ["nb"], keys)
-    return rows.groupBy(*keys, "p", "q").applyInPandas(pair, ", ".join([*(f"{k} int" for k in keys), f"i int, j int, mi {'float' if single else 'double'}"]))
+    pairs = lambda pdf: _joined([pair(a, b) for a, b in _pairs(pdf)], [*keys, "i", "j", "mi"])
+    return rows.groupBy(*keys, "p", "q").applyInPandas(pairs, ", ".join([*(f"{k} int" for k in keys), f"i int, j int, mi {'float' if single else 'double'}"]))
 
 
 def mutual_information(m: DataFrame, rule: str | int = "hg", order: int = 3, transform: str = "none", path: str = "auto", single: bool = False) -> DataFrame:
@@ -176,17 +202,15 @@ def correlation(m: DataFrame, rank: bool = False, keys: tuple[str, ...] = ()) ->
     if rank:
         m = ranked(m, *keys).select(*keys, "var", "sample", F.col("r").alias("x"))
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf[pdf.block == k].sort_values("var") for k in (pdf.p.iloc[0], pdf.q.iloc[0]))
-        if not len(a) or not len(b):  # a key without variables in one of the blocks
-            return pd.DataFrame({c: [] for c in (*keys, "i", "j", "r")})
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         xa, xb = (np.stack(t.x.to_list()) for t in (a, b))
         unit = lambda x: np.divide(c := x - x.mean(axis=1, keepdims=True), s := np.sqrt((c * c).sum(axis=1, keepdims=True)), out=np.zeros_like(x), where=s > 0)
         i, j = np.meshgrid(a["var"], b["var"], indexing="ij")
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "i": i[i < j], "j": j[i < j], "r": (unit(xa) @ unit(xb).T)[i < j]})
+        return pd.DataFrame({**{k: a[k].iloc[0] for k in keys}, "i": i[i < j], "j": j[i < j], "r": (unit(xa) @ unit(xb).T)[i < j]})
 
     schema = ", ".join([*(f"{k} int" for k in keys), "i int, j int, r double"])
-    return _block_pairs(m, [], keys).groupBy(*keys, "p", "q").applyInPandas(pair, schema)
+    pairs = lambda pdf: _joined([pair(a, b) for a, b in _pairs(pdf)], [*keys, "i", "j", "r"])
+    return _block_pairs(m, [], keys).groupBy(*keys, "p", "q").applyInPandas(pairs, schema)
 
 
 def gaussian_mi(r: DataFrame, bits: bool = True) -> DataFrame:
@@ -217,8 +241,7 @@ def partial_correlation(m: DataFrame, ridge: float = 0.1) -> DataFrame:
                 y = prepared(np.stack(pdf.x.to_list()), False) @ shared.value
                 yield pd.DataFrame({"var": np.repeat(pdf["var"].to_numpy(), y.shape[1]), "sample": np.tile(np.arange(y.shape[1]), len(y)), "x": y.ravel()})
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf[pdf.block == k].sort_values("var") for k in (pdf.p.iloc[0], pdf.q.iloc[0]))
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         ya, yb = (np.stack(t.x.to_list()) for t in (a, b))
         left = lambda y: np.sqrt(1 - (y * y).sum(axis=1))
         r = np.abs(ya @ yb.T) / (left(ya)[:, None] * left(yb)[None, :])
@@ -226,7 +249,7 @@ def partial_correlation(m: DataFrame, ridge: float = 0.1) -> DataFrame:
         return pd.DataFrame({"i": i[i < j], "j": j[i < j], "r": r[i < j]})
 
     y = kept(rows.mapInPandas(solved, "var int, sample int, x double"))
-    return _block_pairs(y, []).groupBy("p", "q").applyInPandas(pair, "i int, j int, r double")
+    return _block_pairs(y, []).groupBy("p", "q").applyInPandas(lambda pdf: _joined([pair(a, b) for a, b in _pairs(pdf)], ["i", "j", "r"]), "i int, j int, r double")
 
 
 def excess_summary(mi: DataFrame, r: DataFrame, margin: float = 0.1) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.operators.calibrate import symmetric
-from netloom.operators.dependence import _block_pairs
+from netloom.operators.dependence import _block_pairs, _joined, _pairs
 
 #: What each block costs, against the logarithm of its density.
 PRIOR = 4.0
@@ -75,11 +75,7 @@ def uniform_bins(m: DataFrame, nb: int = 5) -> DataFrame:
 def specific_information(binned: DataFrame) -> DataFrame:
     """src, dst, told: for each value of dst, its share of what src tells about it, in bits; they add up to the pair's mutual information."""
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf[pdf.block == k].sort_values("var") for k in (pdf.p.iloc[0], pdf.q.iloc[0]))
-        none = pd.DataFrame({"src": [], "dst": [], "told": []})
-        if not len(a) or not len(b):
-            return none
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         xa, xb = (np.stack(t.x.to_list()).astype(int) for t in (a, b))
         hot = lambda x: (x[:, None, :] == np.arange(x.max() + 1)[None, :, None]).astype(float)
         ha, hb = hot(xa), hot(xb)
@@ -87,7 +83,7 @@ def specific_information(binned: DataFrame) -> DataFrame:
         pa_, pb = ha.sum(axis=2) / n, hb.sum(axis=2) / n  # counts first: what is independent gives 0 to the last bit
         right = hb.reshape(-1, n).T
         out, names_b = [], b["var"].to_numpy()
-        same = pdf.p.iloc[0] == pdf.q.iloc[0]
+        same = a.block.iloc[0] == b.block.iloc[0]
         for k, name in enumerate(a["var"].to_numpy()):
             joint = (ha[k] @ right).reshape(ha.shape[1], len(b), hb.shape[1]) / n  # values of a, variables and values of b
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -96,9 +92,9 @@ def specific_information(binned: DataFrame) -> DataFrame:
             ways = [(names_b, bits.sum(axis=2).T, name)] if same else [(names_b, bits.sum(axis=2).T, name), (name, bits.sum(axis=0), names_b)]
             for src, told, dst in ways:
                 out.append(pd.DataFrame({"src": src, "dst": dst, "told": list(told)})[others])
-        return pd.concat(out) if out else none
+        return pd.concat(out)
 
-    return _block_pairs(binned, []).groupBy("p", "q").applyInPandas(pair, "src int, dst int, told array<double>")
+    return _block_pairs(binned, []).groupBy("p", "q").applyInPandas(lambda pdf: _joined([pair(a, b) for a, b in _pairs(pdf)], ["src", "dst", "told"]), "src int, dst int, told array<double>")
 
 
 def unique_shares(told: DataFrame) -> DataFrame:
