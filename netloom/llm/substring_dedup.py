@@ -14,9 +14,9 @@ equal windows each holds a block of its own document that the other has at the s
 
 Rows that are exchanged are packed arrays of a chunk of a file, so a task sends one row for each
 partition and chunk. What is exchanged is each hash once a chunk, whatever the number of its copies,
-and no group of copies is ever gathered, nor are pairs of them made. Words are hashed by blake2b; a
-window's 128 bits are two polynomials over them, so two different windows pass for equal with a
-probability below 2**-100. Hashes of blocks have 40 bits in a partition, as they only choose candidates.
+and no group of copies is ever gathered, nor are pairs of them made. The different words of a chunk are
+hashed to 128 bits (xxh3); a window's 128 bits are two polynomials over its words', so two different windows
+pass for equal with a probability below 2**-100, unless made to. Hashes of blocks have 40 bits in a partition, as they only choose candidates.
 
 Documents are kept in a table in the shared folder and read there by the tasks; texts aren't shuffled.
 
@@ -31,84 +31,64 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from xxhash import xxh3_128_digest
 
 from netloom.llm.kept_texts import Texts
-from netloom.llm.shared import discard, remember, shuffle_width, written
+from netloom.llm.shared import discard, shuffle_width, written
 from netloom.llm.suffix_dedup import mixed, unions
 
 WINDOW = 35
 #: The longest block of which every window holds a whole one.
 BLOCK = (WINDOW + 1) // 2
-#: Bytes of a text that are split at a time, and words of a chunk, about.
-SEGMENT, CHUNK = 1 << 20, 1 << 20
+#: Bytes of a text that are split at a time, and of a chunk, about.
+SEGMENT, CHUNK = 1 << 20, 6 << 20
 #: Bytes of the table of texts for each task in which hashes meet.
 MEETING_BYTES = 8 << 20
-#: Different words whose hashes a worker remembers, and the longest of them.
-KEPT_WORDS, LONGEST_KEPT = 500_000, 100
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LOW = np.uint64(40)
 
 
-class WordHashes(dict):
-    """Numbers of words; `table` has the 128 bits of each."""
-
-    def __init__(self) -> None:
-        self.digests = bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        number = len(self.digests) // 16
-        self.digests += blake2b(word, digest_size=16).digest()
-        if len(word) <= LONGEST_KEPT:
-            self[word] = number
-        return number
-
-    def table(self) -> np.ndarray:
-        return np.frombuffer(bytes(self.digests), "<u8").reshape(-1, 2)
-
-    def trim(self) -> None:
-        if len(self.digests) > 16 * KEPT_WORDS:
-            self.clear()
-            self.digests.clear()
-
-
-_hashes = WordHashes()
-
-
-def forget() -> None:
-    """Forgets the worker's words."""
-    _hashes.clear()
-    _hashes.digests.clear()
-
-
-def words_of(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, about SEGMENT bytes at a time; none is cut."""
+def parts_of(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about SEGMENT bytes; no word is cut."""
     at = 0
     while at < len(text):
         space = _SPACE.search(text, at + SEGMENT) if at + SEGMENT < len(text) else None
         end = space.start() if space else len(text)
-        yield text[at:end].split()
+        yield text[at:end]
         at = end
 
 
+def hashed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 128 bits of every word of the parts, one after another, and how many words each part has."""
+    split = pc.ascii_split_whitespace(pa.array(parts, pa.string()))
+    coded = split.flatten().dictionary_encode()
+    different = coded.dictionary.cast(pa.binary()).to_pylist()
+    bits = np.frombuffer(b"".join(map(xxh3_128_digest, different)), "<u8").reshape(-1, 2)
+    index = coded.indices.to_numpy()
+    word = np.array([bool(w) for w in different] or [False])[index] if len(index) else np.zeros(0, bool)  # white space at the ends gives empty strings
+    upto = np.concatenate([[0], np.cumsum(word)])[split.offsets.to_numpy()]
+    return bits[index[word]], np.diff(upto)
+
+
 class Chunk:
     """Neighbouring words of a file's documents: parts of documents, which overlap by WINDOW - 1 words."""
 
     def __init__(self, parts: list[tuple[int, int, np.ndarray]]):
-        sizes = np.array([len(ids) for _, _, ids in parts], np.int64)
+        sizes = np.array([len(words) for _, _, words in parts], np.int64)
         ends = np.cumsum(sizes)
         self.row = np.repeat(np.array([row for row, _, _ in parts], np.int64), sizes)
         self.place = np.arange(len(self.row)) - np.repeat(ends - sizes - np.array([first for _, first, _ in parts], np.int64), sizes)
         self.end = np.repeat(ends, sizes)
-        self.words = _hashes.table()[np.concatenate([ids for _, _, ids in parts])] if len(self.row) else np.zeros((0, 2), "<u8")
+        self.words = np.concatenate([words for _, _, words in parts])
 
     def inside(self, length: int) -> np.ndarray:
         """Which windows of so many words lie in one document."""
@@ -135,22 +115,31 @@ class Chunk:
 
 def chunks(rows: Iterator[tuple[int, bytes]]) -> Iterator[Chunk]:
     """The same chunks of the same rows, always."""
-    held, size = [], 0
+    held: list[tuple[int, bytes]] = []
+    size, last, seen, tail = 0, -1, 0, np.zeros((0, 2), "<u8")  # of the last document so far: its row, words, and last words
+
+    def chunk() -> Chunk:
+        nonlocal last, seen, tail
+        words, counts = hashed([part for _, part in held])
+        parts, end = [], 0
+        for (row, _), n in zip(held, counts.tolist()):
+            own, first = words[end : end + n], 0
+            end += n
+            if row == last:
+                own, first = np.concatenate([tail, own]), seen - len(tail)
+            last, seen, tail = row, first + len(own), own[-(WINDOW - 1) :]
+            parts.append((row, first, own))
+        return Chunk(parts)
+
     for row, text in rows:
-        first, tail = 0, np.zeros(0, np.int32)
-        for words in words_of(text):
-            ids = np.concatenate([tail, np.fromiter(map(_hashes.__getitem__, words), np.int32, len(words))])
-            held.append((row, first, ids))
-            size += len(ids)
-            tail = ids[-(WINDOW - 1) :]
-            first += len(ids) - len(tail)
+        for part in parts_of(text):
+            held.append((row, part))
+            size += len(part)
             if size >= CHUNK:
-                yield Chunk(held)
+                yield chunk()
                 held, size = [], 0
-        if not held:
-            _hashes.trim()
     if held:
-        yield Chunk(held)
+        yield chunk()
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -184,7 +173,6 @@ def _probes(texts: Texts, column: str, width: int):
     """Tasks that send each chunk's rolling hashes once. Flags: 1 a reference block, 2 more than one place."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remember("substring_dedup", forget)
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 for number, chunk in enumerate(chunks(texts.rows(file, column))):
@@ -266,7 +254,6 @@ def _extensions(texts: Texts, column: str, width: int):
     """Tasks that send the windows of WINDOW words around hits, each once a chunk."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remember("substring_dedup", forget)
         for file, number, chunk, hits in _by_chunk(batches, texts, column):
             inside = chunk.inside(WINDOW)
             if not len(hits) or not inside.any():
@@ -335,7 +322,8 @@ def _taken(chunk: Chunk, pairs: np.ndarray) -> np.ndarray:
 def cut(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, list[bytes]]:
     """Number of words, and parts of what is left without words in the spans, which are disjoint and ascend."""
     n, kept = 0, []
-    for words in words_of(text):
+    for part in parts_of(text):
+        words = part.split()
         if len(starts):
             edges = np.zeros(len(words) + 1, np.int32)
             np.add.at(edges, np.clip(starts - n, 0, len(words)), 1)
@@ -372,7 +360,6 @@ def deduplicated(docs: DataFrame, column: str = "text") -> DataFrame:
     text_at = names.index(column)
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remember("substring_dedup", forget)
         spans = []
         for file, number, chunk, found in _by_chunk(batches, texts, column):
             if number >= 0:
