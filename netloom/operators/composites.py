@@ -1,6 +1,6 @@
 """Composites of the other operators: selections, grids, held-out depths and nested resampling.
 
-Replicates, splits and configurations are key columns of one plan, not loops.
+Replicates and splits are key columns of one plan; configurations, variants and depths are few, a plan each.
 """
 
 from __future__ import annotations
