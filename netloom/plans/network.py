@@ -156,6 +156,7 @@ class ModuleAlignment:
     def set_found(self, found: DataFrame) -> ModuleAlignment:
         self.found = modules.validated(found)
         self.statistics = modules.pair_statistics(self.reference, self.found).cache()
+        self._overlaps = modules.pair_statistics(self.reference, self.found, every=False).cache()
         self._kept.clear()
         return self
 
@@ -167,8 +168,8 @@ class ModuleAlignment:
             how = {"hungarian": modules.hungarian, "best": modules.best, "soft": lambda s: modules.soft(s, epsilon)}
             if method not in how:
                 raise ValueError("method is hungarian, best or soft")
-            self._kept[at] = how[method](self.statistics).cache()
+            self._kept[at] = how[method](self._overlaps).cache()
         return self._kept[at]
 
-    def summary(self, method: str = "hungarian") -> DataFrame:
-        return modules.summary(self.align(method), self.found.select("module").distinct().count())
+    def summary(self, method: str = "hungarian", epsilon: float = 0.1) -> DataFrame:
+        return modules.summary(self.align(method, epsilon), self.found.select("module").distinct().count())
