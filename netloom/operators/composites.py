@@ -25,14 +25,16 @@ def factors_and_top(genes: DataFrame, factors: DataFrame, n: int, level: float =
     return significant.select("var").join(factors.select("var"), "var", "left_semi").unionByName(top).distinct()
 
 
-def score_rows(pairs: DataFrame, strata: DataFrame, coherence: DataFrame, least: int = 20, high: float = 0.6) -> DataFrame:
+def score_rows(pairs: DataFrame, strata: DataFrame, coherence: DataFrame, least: int = 20, high: float = 0.6, weight: str | None = None) -> DataFrame:
     """benchmark, class, metric, value: one method on every benchmark.
 
     Of pairs (score, label) overall and of strata (stratum, ...) with `least` positives: ap and base rate; of
     coherence (set_id, class, auroc) overall and by class: its median, the share above `high`, and how many.
+    Rows of pairs and strata count `weight` times, or once.
     """
-    every = pairs.select(F.lit("all").alias("stratum"), "score", "label").unionByName(strata.select("stratum", "score", "label"))
-    ap = metrics.average_precision(every, ["stratum"]).filter(F.col("n_pos") >= least)
+    columns = ["score", "label", *([weight] if weight else [])]
+    every = pairs.select(F.lit("all").alias("stratum"), *columns).unionByName(strata.select("stratum", *columns))
+    ap = metrics.average_precision(every, ["stratum"], weight=weight).filter(F.col("n_pos") >= least)
     a = coherence.select(F.explode(F.array(F.lit("all"), F.col("class"))).alias("class"), "auroc").filter("auroc IS NOT NULL").groupBy("class")
     b = a.agg(F.percentile("auroc", F.lit(0.5)).alias("median_auroc"), F.avg((F.col("auroc") > high).cast("double")).alias("share_high"), F.count("*").cast("double").alias("sets"))
     long = lambda df, name, at, columns: df.select(

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.operators.transform import average_rank
+from netloom.operators.transform import with_ranks
+from netloom.sources.store import kept
 
 DIGITS = 9
+#: Terms of a harmonic sum that are added one by one.
+LEAST_HARMONIC = 64
 
 
 def prepared(pairs: DataFrame, score: str = "score") -> DataFrame:
@@ -17,16 +20,17 @@ def prepared(pairs: DataFrame, score: str = "score") -> DataFrame:
     return pairs.withColumn(score, F.when(F.abs(s) == float("inf"), s).otherwise(F.round(s, DIGITS) + 0.0))
 
 
-def blocks(pairs: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """keys, score, n, tp, k, cum: pairs and positives of each distinct score, and of it and all above."""
-    own = prepared(pairs, score).groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("tp"))
+def blocks(pairs: DataFrame, keys: list[str], score: str = "score", weight: str | None = None) -> DataFrame:
+    """keys, score, n, tp, k, cum: pairs and positives of each distinct score, and of it and all above; a row counts `weight` times, or once."""
+    many = F.lit(1) if weight is None else F.col(weight)
+    own = prepared(pairs, score).groupBy(*keys, score).agg(F.sum(many.cast("long")).alias("n"), F.sum((F.col("label") * many).cast("long")).alias("tp"))
     down = W.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, 0)
     return own.withColumn("k", F.sum("n").over(down)).withColumn("cum", F.sum("tp").over(down))
 
 
-def average_precision(pairs: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+def average_precision(pairs: DataFrame, keys: list[str], score: str = "score", weight: str | None = None) -> DataFrame:
     """keys, ap, n, n_pos, base_rate, ratio; tied pairs count at the end of their block. Without positives ap and ratio are null."""
-    b = blocks(pairs, keys, score)
+    b = blocks(pairs, keys, score, weight)
     out = b.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("tp") * (F.col("cum").cast("double") / F.col("k"))), F.sum("tp")).alias("ap"), F.sum("n").alias("n"), F.sum("tp").alias("n_pos")
     )
@@ -34,29 +38,38 @@ def average_precision(pairs: DataFrame, keys: list[str], score: str = "score") -
     return out.withColumn("base_rate", base).withColumn("ratio", F.try_divide(F.col("ap"), base))
 
 
+def _harmonic(a: Column, b: Column) -> Column:
+    """1 / (a + 1) + ... + 1 / b: added up where they are few, else by the asymptotic series of harmonic numbers, exact to the last bits."""
+    add = lambda lo, hi: F.when(hi > lo, F.aggregate(F.sequence(lo + 1, hi), F.lit(0.0), lambda s, t: s + 1.0 / t)).otherwise(0.0)
+    rest = lambda x: 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    low = F.least(F.greatest(a, F.lit(LEAST_HARMONIC)), b)
+    x, y = low.cast("double"), b.cast("double")
+    return F.when(b - a <= LEAST_HARMONIC, add(a, b)).otherwise(add(a, low) + F.log1p((y - x) / x) + rest(y) - rest(x))
+
+
 def expected_average_precision(pairs: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """keys, ap: its expectation over random orders of tied pairs.
 
     At place t of a block of n pairs with r positives, after c pairs with p positives, a positive
-    stands with probability r / n, and then p + 1 + (t - 1) (r - 1) / (n - 1) positives are expected.
+    stands with probability r / n, and then p + 1 + (t - 1) (r - 1) / (n - 1) positives are expected. Over
+    c + t that is b + (p + 1 - b (c + 1)) / (c + t), b = (r - 1) / (n - 1), so a block is a sum of 1 / (c + t).
     """
-    b = blocks(pairs, keys, score).filter("tp > 0").withColumn("t", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    before = F.col("cum") - F.col("tp")
-    more = F.when(F.col("n") > 1, (F.col("t") - 1) * (F.col("tp") - 1) / (F.col("n") - 1).cast("double")).otherwise(0.0)
-    at = (F.col("tp").cast("double") / F.col("n")) * (before + 1 + more) / (F.col("k") - F.col("n") + F.col("t"))
-    positives = prepared(pairs, score).groupBy(*keys).agg(F.sum(F.col("label").cast("long")).alias("n_pos"))
-    terms = b.withColumn("term", at).groupBy(*keys).agg(F.sum("term").alias("s"))
-    return _with(positives, terms, keys).select(*keys, (F.col("s") / F.col("n_pos")).alias("ap"), "n_pos")
-
-
-def _with(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    return a.join(b, keys) if keys else a.crossJoin(b)
+    before, above = F.col("cum") - F.col("tp"), F.col("k") - F.col("n")
+    more = F.when(F.col("n") > 1, (F.col("tp") - 1) / (F.col("n") - 1).cast("double")).otherwise(0.0)
+    share = F.col("tp").cast("double") / F.col("n")
+    term = F.when(F.col("tp") > 0, share * (more * F.col("n") + (before + 1 - more * (above + 1)) * _harmonic(above, F.col("k"))))
+    out = blocks(pairs, keys, score).withColumn("term", term).groupBy(*keys).agg(F.sum("term").alias("s"), F.sum("tp").alias("n_pos"))
+    return (out.filter("s IS NOT NULL") if keys else out).select(*keys, (F.col("s") / F.col("n_pos")).alias("ap"), "n_pos")
 
 
 def pessimistic_average_precision(pairs: DataFrame, keys: list[str], score: str = "score", order: Column | None = None) -> DataFrame:
-    """keys, ap with negatives before positives among ties, or with ties in the given order."""
-    by = [F.col(score).desc(), order if order is not None else F.col("label")]
-    w = W.partitionBy(*keys).orderBy(*by)
+    """keys, ap with negatives before positives among ties, or with ties in the given order (which sorts the pairs of a key in one task)."""
+    if order is None:
+        # the r positives of a block stand at its end, at k - r + 1 to k, with p + 1 to p + r: each is 1 + (p + r - k) / place
+        first = F.col("k") - F.col("tp")
+        term = F.col("tp") + (F.col("cum") - F.col("k")) * _harmonic(first, F.col("k"))
+        return blocks(pairs, keys, score).withColumn("term", term).groupBy(*keys).agg(F.try_divide(F.sum(F.when(F.col("tp") > 0, F.col("term"))), F.sum("tp")).alias("ap"))
+    w = W.partitionBy(*keys).orderBy(F.col(score).desc(), order)
     at = prepared(pairs, score).withColumn("k", F.row_number().over(w))
     at = at.withColumn("cum", F.sum(F.col("label").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     return at.groupBy(*keys).agg((F.sum(F.when(F.col("label") == 1, F.col("cum").cast("double") / F.col("k"))) / F.sum("label")).alias("ap"))
@@ -100,9 +113,16 @@ def selection(pairs: DataFrame, chosen: str = "chosen") -> DataFrame:
 
 
 def graded(pairs: DataFrame, keys: list[str], grade: str = "grade", score: str = "score") -> DataFrame:
-    """keys, rho: Spearman's correlation of scores and grades."""
-    at = prepared(pairs, score).withColumn("rs", average_rank(score, *keys)).withColumn("rg", average_rank(grade, *keys))
-    return at.groupBy(*keys).agg(F.corr("rs", "rg").alias("rho"), F.count("*").alias("n"))
+    """keys, rho: Spearman's correlation of scores and grades, from the counts of their different pairs of values."""
+    cells = prepared(pairs, score).groupBy(*keys, F.col(score).alias("a"), F.col(grade).alias("b")).agg(F.count("*").alias("c"))
+    for v, r in (("a", "ra"), ("b", "rb")):
+        # the last of a value's ranks, less half of all but one of them
+        upto = F.sum("c").over(W.partitionBy(*keys).orderBy(v))
+        cells = cells.withColumn(r, upto - (F.sum("c").over(W.partitionBy(*keys, v)) - 1) / 2.0)
+    cells = cells.withColumn("n", F.sum("c").over(W.partitionBy(*keys)))
+    x, y, c = F.col("ra") - (F.col("n") + 1) / 2.0, F.col("rb") - (F.col("n") + 1) / 2.0, F.col("c")
+    sums = cells.groupBy(*keys).agg(F.sum(c * x * y).alias("xy"), F.sum(c * x * x).alias("xx"), F.sum(c * y * y).alias("yy"), F.sum("c").alias("n"))
+    return sums.select(*keys, F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("rho"), "n")
 
 
 def stratified_auroc(pairs: DataFrame, strata: str, score: str = "score") -> DataFrame:
@@ -121,10 +141,9 @@ def decile(value: str) -> Column:
 
 def stratified_rank(pairs: DataFrame, value: str, score: str = "score", n: int = 10) -> DataFrame:
     """pairs with stratum (by quantiles of value) and pct: the score's average rank within it, over its size."""
-    cuts = pairs.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / n) for k in range(1, n)]))).alias("cuts"))
-    at = pairs.crossJoin(F.broadcast(cuts)).withColumn("stratum", F.size(F.filter("cuts", lambda c: c < F.col(value))))
-    size = F.count("*").over(W.partitionBy("stratum"))
-    return at.withColumn("pct", average_rank(score, "stratum") / size).drop("cuts")
+    cuts = kept(pairs.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / n) for k in range(1, n)]))).alias("cuts")))
+    at = pairs.crossJoin(F.broadcast(cuts)).withColumn("stratum", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    return with_ranks(at, {score: "pct"}, ["stratum"], lambda r, size: r / size)
 
 
 def hits_in_top(pairs: DataFrame, keys: list[str], k: int = 100, score: str = "score") -> DataFrame:
@@ -135,10 +154,10 @@ def hits_in_top(pairs: DataFrame, keys: list[str], k: int = 100, score: str = "s
 
 
 def rowwise(scores: DataFrame, held_out: DataFrame, k: int = 20, score: str = "score") -> DataFrame:
-    """One row: mean over rows of the average precision for each row's k best held-out partners."""
+    """One row: mean over rows of the average precision for each row's k best held-out partners, which are sent to the scores."""
     from netloom.operators.calibrate import symmetric
-    from netloom.operators.graph import top_k
+    from netloom.operators.graph import contenders, top_k
 
-    best = top_k(held_out, k).select("src", "dst", F.lit(1).alias("label"))
-    pairs = symmetric(scores, score).join(best, ["src", "dst"], "left").fillna({"label": 0})
+    best = kept(top_k(contenders(held_out, k), k).select("src", "dst", F.lit(1).alias("label")))
+    pairs = symmetric(scores, score).join(F.broadcast(best), ["src", "dst"], "left").fillna({"label": 0})
     return average_precision(pairs, ["src"], score).filter("n_pos > 0").agg(F.avg("ap").alias("criterion"), F.count("*").alias("rows"))

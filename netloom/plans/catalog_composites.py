@@ -12,7 +12,7 @@ from netloom.plans import oracles as O
 from netloom.plans.catalog_core import TIES, query, r6, rsql
 from netloom.sources import fixtures as FX
 from netloom.sources import readers
-from netloom.sources.store import fresh_path
+from netloom.sources.store import fresh_path, kept
 
 _brands = lambda s, d: FX.brands(s, d).transform(CC.cached)
 
@@ -105,8 +105,8 @@ UNION ALL SELECT 'coherence', class, unnest(['median_auroc', 'share_high', 'sets
 )(
     lambda s, d: r6(
         composites.score_rows(
-            CE._pairs(s, d), CE._strata(s, d).filter("stratum <> 'all'"),
-            metrics.auroc(CE._coherence(s, d), ["set_id"]).select("set_id", F.concat(F.lit("c"), F.col("set_id") % 2).alias("class"), "auroc"), high=0.5,
+            (c := kept(CE._strata(s, d))).filter("stratum = 'all'"), c.filter("stratum <> 'all'"),
+            metrics.auroc(CE._coherence(s, d), ["set_id"]).select("set_id", F.concat(F.lit("c"), F.col("set_id") % 2).alias("class"), "auroc"), high=0.5, weight="n",
         ), "value",
     )
 )
