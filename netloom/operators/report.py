@@ -112,9 +112,9 @@ def parsed_label(label: Column | str) -> Column:
 
 
 def hub_scores(pairs: DataFrame, pi: DataFrame) -> DataFrame:
-    """pairs with hub_sum and hub_product of their members' stationary masses."""
+    """pairs with hub_sum and hub_product of their members' stationary masses; masses, a row a variable, are sent to the pairs."""
     a, b = pi.select(F.col("var").alias("i"), F.col("pi").alias("pi_i")), pi.select(F.col("var").alias("j"), F.col("pi").alias("pi_j"))
-    return pairs.join(a, "i").join(b, "j").withColumn("hub_sum", F.col("pi_i") + F.col("pi_j")).withColumn("hub_product", F.col("pi_i") * F.col("pi_j")).drop("pi_i", "pi_j")
+    return pairs.join(F.broadcast(a), "i").join(F.broadcast(b), "j").withColumn("hub_sum", F.col("pi_i") + F.col("pi_j")).withColumn("hub_product", F.col("pi_i") * F.col("pi_j")).drop("pi_i", "pi_j")
 
 
 def shuffled_scores(pairs: DataFrame, rep: int, value: str = "score") -> DataFrame:
