@@ -75,9 +75,11 @@ def kept_halves(variables: DataFrame, reps: int, share: float = 0.5) -> DataFram
 
 
 def jackknife(pairs: DataFrame, kept: DataFrame, metric) -> DataFrame:
-    """rep and the metric's columns on pairs whose members are both kept."""
-    a, b = kept.select("rep", F.col("var").alias("i")), kept.select("rep", F.col("var").alias("j"))
-    return metric(pairs.join(a, "i").join(b, ["rep", "j"]), ["rep"])
+    """rep and the metric's columns on pairs whose members are both kept; each variable's replicates, a row a variable, are sent to the pairs."""
+    own = kept.groupBy("var").agg(F.collect_set("rep").alias("reps"))
+    a, b = own.select(F.col("var").alias("i"), F.col("reps").alias("_ri")), own.select(F.col("var").alias("j"), F.col("reps").alias("_rj"))
+    both = pairs.join(F.broadcast(a), "i").join(F.broadcast(b), "j")
+    return metric(both.withColumn("rep", F.explode(F.array_intersect("_ri", "_rj"))).drop("_ri", "_rj"), ["rep"])
 
 
 def standard_error(replicates: DataFrame, keys: list[str], value: str, factor: float = 1.0) -> DataFrame:
