@@ -179,6 +179,8 @@ def depth_sweep(a: DataFrame, profiles: DataFrame, reference: DataFrame, cores:
 
     Entropy and unexplained mass are means over the members of the reference, of their walk to the fixed cores.
     """
+    # each is used by every depth, more than once: made once, or plans hold a copy of their sources' joins for each use
+    a, profiles, reference, cores = kept(a), kept(profiles), kept(reference), kept(cores)
     moved = kept(diffusion.diffused(a, profiles, max(depths), alpha))
     walk = kept(diffusion.walked_at(a, depths, alpha))
     n_cores = cores.select("module").distinct().count()
@@ -194,7 +196,7 @@ def depth_sweep(a: DataFrame, profiles: DataFrame, reference: DataFrame, cores:
         mass = diffusion.affiliation(walk.filter(F.col("t") == t), cores).join(reference.select(F.col("member").alias("src")).distinct(), "src", "left_semi")
         spread = diffusion.affiliation_entropy(mass, n_cores).agg(F.avg("entropy").alias("entropy"), F.avg(F.greatest(F.col("unexplained"), F.lit(0.0))).alias("unexplained"))
         fall = diffusion.collapse(r, reference).select("within", "between")
-        row = one.crossJoin(best).crossJoin(largest).crossJoin(spread).crossJoin(fall).select(F.lit(t).alias("t"), "*")
+        row = kept(one.crossJoin(best).crossJoin(largest).crossJoin(spread).crossJoin(fall).select(F.lit(t).alias("t"), "*"))
         out = row if out is None else out.unionByName(row)
     return out
 

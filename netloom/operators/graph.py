@@ -18,16 +18,18 @@ def top_k(scores: DataFrame, k: int, value: str = "score", digits: int | None =
     return both.withColumn("k", rank).filter(F.col("k") <= k).select(*keys, "src", "dst", F.col(value).alias("w"))
 
 
-def contenders(scores: DataFrame, k: int, value: str = "score") -> DataFrame:
-    """The pairs that can be among the k largest positive scores of a row of either member, in one more pass over the scores.
+def contenders(scores: DataFrame, k: int, value: str = "score", digits: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs that can be among the k largest positive scores (to `digits`) of a row of either member, in one more pass over the scores.
 
     A row's partners are put into parts by hash; its k-th largest of the parts' largest scores is no more than its k-th largest score.
     """
+    own = scores.withColumn("_v", ordered(F.col(value), digits))
     part = F.pmod(F.hash("dst"), F.lit(4 * k))
-    most = symmetric(scores, value).groupBy("src", part.alias("part")).agg(F.max(value).alias("most")).groupBy("src").agg(F.sort_array(F.collect_list("most"), False).alias("most"))
-    least = kept(most.select("src", F.coalesce(F.get("most", F.lit(k - 1)), F.lit(0.0)).alias("least")))
-    a, b = (F.broadcast(least.select(F.col("src").alias(n), F.col("least").alias(f"_least_{n}"))) for n in ("i", "j"))
-    return scores.join(a, "i").join(b, "j").filter((F.col(value) > 0) & ((F.col(value) >= F.col("_least_i")) | (F.col(value) >= F.col("_least_j")))).drop("_least_i", "_least_j")
+    most = symmetric(own, "_v", keys).groupBy(*keys, "src", part.alias("part")).agg(F.max("_v").alias("most")).groupBy(*keys, "src").agg(F.sort_array(F.collect_list("most"), False).alias("most"))
+    least = kept(most.select(*keys, "src", F.coalesce(F.get("most", F.lit(k - 1)), F.lit(0.0)).alias("least")))
+    a, b = (F.broadcast(least.select(*keys, F.col("src").alias(n), F.col("least").alias(f"_least_{n}"))) for n in ("i", "j"))
+    reach = (F.col("_v") >= F.col("_least_i")) | (F.col("_v") >= F.col("_least_j"))
+    return own.join(a, [*keys, "i"]).join(b, [*keys, "j"]).filter((F.col(value) > 0) & reach).select(*scores.columns)
 
 
 def above(scores: DataFrame, tau: float, value: str = "score") -> DataFrame:
