@@ -26,7 +26,7 @@ from jobs.shared import command_line, config_of, read_if_there
 from netloom.operators import bins
 from netloom.operators.calibrate import calibrated
 from netloom.operators.dependence import block_mi
-from netloom.operators.graph import top_k
+from netloom.operators.graph import contenders, top_k
 from netloom.operators.metrics import auroc, average_precision
 from netloom.operators.transform import completed, varying
 from netloom.sources.store import kept
@@ -63,11 +63,13 @@ def run(spark: SparkSession, lineitem: str, supplier: str, nation: str, output:
 
     m = kept(matrix(items, members))
     scores = calibrated(kept(block_mi(m, bins.counts(m, parameters["bins"]), parameters["order"], keys=("region",))), keys=("region",))
-    of = lambda k: members.select(F.col("var").alias(k), F.col("nation").alias(f"nation_{k}"))
-    scores = kept(scores.join(of("i"), "i").join(of("j"), "j").select("region", "i", "j", "score", (F.col("nation_i") == F.col("nation_j")).alias("same_nation")))
-    chosen = top_k(scores, parameters["edges_per_supplier"], digits=TIES, keys=("region",))
-    pair = chosen.withColumn("i", F.least("src", "dst")).withColumn("j", F.greatest("src", "dst"))
-    edges = pair.join(scores.drop("score"), ["region", "i", "j"]).select("src", "dst", F.col("w").alias("score"), "same_nation", "region")
+    # members and thresholds, a row a supplier, are sent to the pairs, which are their square
+    of = lambda k: F.broadcast(members.select(F.col("var").alias(k), F.col("nation").alias(f"nation_{k}")))
+    named = lambda df, i, j: df.join(of(i), i).join(of(j), j).withColumn("same_nation", F.col(f"nation_{i}") == F.col(f"nation_{j}"))
+    scores = kept(named(scores, "i", "j").select("region", "i", "j", "score", "same_nation"))
+    k = parameters["edges_per_supplier"]
+    chosen = top_k(contenders(scores, k, digits=TIES, keys=("region",)), k, digits=TIES, keys=("region",))
+    edges = named(chosen, "src", "dst").select("src", "dst", F.col("w").alias("score"), "same_nation", "region")
 
     labelled = scores.withColumn("label", F.col("same_nation").cast("int"))
     ap = average_precision(labelled, ["region"]).select("region", F.col("n").alias("pairs"), F.col("n_pos").alias("positives"), "ap", "base_rate")
