@@ -7,7 +7,7 @@ pairs are few, and blocks of variables multiplied as matrices, a task a pair of
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -152,8 +152,14 @@ def _pairs(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
                 yield own[x], own[y]
 
 
-def _joined(parts: list[pd.DataFrame], names: list[str]) -> pd.DataFrame:
-    return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in names})
+def _by_blocks(rows: DataFrame, keys: tuple[str, ...], pair: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """pair(a, b) of all pairs of blocks of `_block_pairs`; a task sends each on before it makes the next."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for a, b in _pairs(pd.concat(list(batches))):
+            yield pair(a, b)
+
+    return rows.groupBy(*keys, "p", "q").applyInPandas(run, schema)
 
 
 def _plogp(p: np.ndarray) -> np.ndarray:
@@ -185,8 +191,7 @@ def block_mi(m: DataFrame, nb: DataFrame, order: int = 3, self_pairs: bool = Fal
         return pd.DataFrame({**{k: a[k].iloc[0] for k in keys}, "i": i[keep], "j": j[keep], "mi": mi[keep]})
 
     rows = _block_pairs(m.join(nb, "var"), ["nb"], keys)
-    pairs = lambda pdf: _joined([pair(a, b) for a, b in _pairs(pdf)], [*keys, "i", "j", "mi"])
-    return rows.groupBy(*keys, "p", "q").applyInPandas(pairs, ", ".join([*(f"{k} int" for k in keys), f"i int, j int, mi {'float' if single else 'double'}"]))
+    return _by_blocks(rows, keys, pair, ", ".join([*(f"{k} int" for k in keys), f"i int, j int, mi {'float' if single else 'double'}"]))
 
 
 def mutual_information(m: DataFrame, rule: str | int = "hg", order: int = 3, transform: str = "none", path: str = "auto", single: bool = False) -> DataFrame:
@@ -209,8 +214,7 @@ def correlation(m: DataFrame, rank: bool = False, keys: tuple[str, ...] = ()) ->
         return pd.DataFrame({**{k: a[k].iloc[0] for k in keys}, "i": i[i < j], "j": j[i < j], "r": (unit(xa) @ unit(xb).T)[i < j]})
 
     schema = ", ".join([*(f"{k} int" for k in keys), "i int, j int, r double"])
-    pairs = lambda pdf: _joined([pair(a, b) for a, b in _pairs(pdf)], [*keys, "i", "j", "r"])
-    return _block_pairs(m, [], keys).groupBy(*keys, "p", "q").applyInPandas(pairs, schema)
+    return _by_blocks(_block_pairs(m, [], keys), keys, pair, schema)
 
 
 def gaussian_mi(r: DataFrame, bits: bool = True) -> DataFrame:
@@ -249,7 +253,7 @@ def partial_correlation(m: DataFrame, ridge: float = 0.1) -> DataFrame:
         return pd.DataFrame({"i": i[i < j], "j": j[i < j], "r": r[i < j]})
 
     y = kept(rows.mapInPandas(solved, "var int, sample int, x double"))
-    return _block_pairs(y, []).groupBy("p", "q").applyInPandas(lambda pdf: _joined([pair(a, b) for a, b in _pairs(pdf)], ["i", "j", "r"]), "i int, j int, r double")
+    return _by_blocks(_block_pairs(y, []), (), pair, "i int, j int, r double")
 
 
 def excess_summary(mi: DataFrame, r: DataFrame, margin: float = 0.1) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.operators.calibrate import symmetric
-from netloom.operators.dependence import _block_pairs, _joined, _pairs
+from netloom.operators.dependence import _block_pairs, _by_blocks
 
 #: What each block costs, against the logarithm of its density.
 PRIOR = 4.0
@@ -94,7 +94,7 @@ def specific_information(binned: DataFrame) -> DataFrame:
                 out.append(pd.DataFrame({"src": src, "dst": dst, "told": list(told)})[others])
         return pd.concat(out)
 
-    return _block_pairs(binned, []).groupBy("p", "q").applyInPandas(lambda pdf: _joined([pair(a, b) for a, b in _pairs(pdf)], ["src", "dst", "told"]), "src int, dst int, told array<double>")
+    return _by_blocks(_block_pairs(binned, []), (), pair, "src int, dst int, told array<double>")
 
 
 def unique_shares(told: DataFrame) -> DataFrame:
