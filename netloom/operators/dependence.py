@@ -202,16 +202,22 @@ def mutual_information(m: DataFrame, rule: str | int = "hg", order: int = 3, tra
     return joined_mi(weights(m, nb, order)) if path == "sql" else block_mi(m, nb, order, single=single)
 
 
-def correlation(m: DataFrame, rank: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys (integers), i, j, r: Pearson's (of ranks: Spearman's) correlation of all pairs, 0 where it is undefined."""
+def correlation(m: DataFrame, rank: bool = False, keys: tuple[str, ...] = (), least: float | None = None) -> DataFrame:
+    """keys (integers), i, j, r: Pearson's (of ranks: Spearman's) correlation of all pairs, 0 where it is undefined.
+
+    With `least`, only pairs whose absolute correlation reaches it leave their tasks."""
     if rank:
         m = ranked(m, *keys).select(*keys, "var", "sample", F.col("r").alias("x"))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         xa, xb = (np.stack(t.x.to_list()) for t in (a, b))
         unit = lambda x: np.divide(c := x - x.mean(axis=1, keepdims=True), s := np.sqrt((c * c).sum(axis=1, keepdims=True)), out=np.zeros_like(x), where=s > 0)
-        i, j = np.meshgrid(a["var"], b["var"], indexing="ij")
-        return pd.DataFrame({**{k: a[k].iloc[0] for k in keys}, "i": i[i < j], "j": j[i < j], "r": (unit(xa) @ unit(xb).T)[i < j]})
+        r, i, j = unit(xa) @ unit(xb).T, a["var"].to_numpy(), b["var"].to_numpy()
+        keep = i[:, None] < j[None, :]
+        if least is not None:
+            keep &= np.abs(r) >= least
+        at, of = np.nonzero(keep)
+        return pd.DataFrame({**{k: a[k].iloc[0] for k in keys}, "i": i[at], "j": j[of], "r": r[at, of]})
 
     schema = ", ".join([*(f"{k} int" for k in keys), "i int, j int, r double"])
     return _by_blocks(_block_pairs(m, [], keys), keys, pair, schema)

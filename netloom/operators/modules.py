@@ -13,16 +13,56 @@ from pyspark.sql import functions as F
 from netloom.functions.numeric import ordered
 from netloom.sources.store import kept
 
+#: Edges that a task takes in at once, at least.
+AT_ONCE = 1 << 18
+
+
+def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The edges from the smallest node of each component to its others."""
+    nodes, at = np.unique(np.concatenate([pdf.a.to_numpy(), pdf.b.to_numpy()]), return_inverse=True)
+    a, b = at[: len(pdf)], at[len(pdf) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    member = root != np.arange(len(nodes))
+    return pd.DataFrame({"a": nodes[root[member]], "b": nodes[member]})
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect in each partition what its edges connect; a task holds some of them and the forest so far."""
+
+    def own(batches):
+        so_far, new, n = None, [], 0
+        for pdf in batches:
+            new.append(pdf)
+            n += len(pdf)
+            if n >= max(AT_ONCE, 0 if so_far is None else len(so_far)):
+                so_far = _forest(pd.concat(new if so_far is None else [so_far, *new]))
+                new, n = [], 0
+        if new or so_far is not None:
+            yield _forest(pd.concat(new if so_far is None else [so_far, *new]))
+
+    return edges.mapInPandas(own, edges.schema)
+
 
 def components(a: DataFrame, least_size: int = 1) -> DataFrame:
     """module, member: connected components of the undirected positive edges, largest first.
 
-    Every round a node and its root so far take the smallest root of the node's neighbours, then roots
-    are followed one step. Each round is cut off from the ones before.
+    Each partition of the edges first keeps a forest of them, no more edges than nodes. Every round a node and its root
+    so far take the smallest root of the node's neighbours, then roots are followed one step. Each round is cut off
+    from the ones before.
     """
     nodes = a.select(F.col("src").alias("v")).unionByName(a.select(F.col("dst").alias("v"))).distinct()
-    edges = a.filter("w > 0 AND src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = kept(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = forest(a.filter("w > 0 AND src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = kept(edges.select(F.inline(ways)).distinct())  # one pass over the forests
     roots = kept(nodes.select("v", F.col("v").alias("root")))
     while True:
         near = both.join(roots.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b").join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a")
