@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.functions.numeric import ordered
+from netloom.sources.store import kept
 
 
 def best_depth(curve: DataFrame, keys: list[str], value: str = "value", digits: int | None = None) -> DataFrame:
@@ -117,10 +118,20 @@ def hub_scores(pairs: DataFrame, pi: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(a), "i").join(F.broadcast(b), "j").withColumn("hub_sum", F.col("pi_i") + F.col("pi_j")).withColumn("hub_product", F.col("pi_i") * F.col("pi_j")).drop("pi_i", "pi_j")
 
 
+def _numbered(rows: DataFrame, bucket: Column, order: Column, sizes: DataFrame) -> DataFrame:
+    """rows with k, their place in the order; buckets, of which sizes (bucket, n) has a narrow row each, are neighbours in it and sorted by themselves."""
+    before = F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    at = sizes.select("bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    own = rows.withColumn("bucket", bucket).repartition("bucket").withColumn("o", order)  # the order is made where it is needed
+    k = F.row_number().over(W.partitionBy("bucket").orderBy("o"))
+    return own.withColumn("k", k).drop("o").join(F.broadcast(at), "bucket").withColumn("k", F.col("before") + F.col("k")).drop("bucket", "before")
+
+
 def shuffled_scores(pairs: DataFrame, rep: int, value: str = "score") -> DataFrame:
-    """i, j, value: values dealt to other pairs, in hash order, in ranges of pairs that tasks sort by themselves."""
+    """i, j, value: values dealt to other pairs, in hash order; tasks sort the pairs of a variable, and those of a range of hashes, by themselves."""
     order = F.md5(F.concat_ws("~", F.lit(rep).cast("string"), F.col("i").cast("string"), F.col("j").cast("string")))
-    at = pairs.select("i", "j", value, order.alias("o"))
-    a = at.withColumn("k", F.row_number().over(W.orderBy("i", "j"))).select("i", "j", "k")
-    b = at.withColumn("k", F.row_number().over(W.orderBy("o"))).select("k", value)
+    near = F.substring(order, 1, 4)
+    size = lambda by: kept(pairs.groupBy(by.alias("bucket")).agg(F.count("*").alias("n")))
+    a = _numbered(pairs.select("i", "j"), F.col("i"), F.col("j"), size(F.col("i"))).select("i", "j", "k")
+    b = _numbered(pairs.select("i", "j", value), near, order, size(near)).select("k", value)
     return a.join(b, "k").drop("k")
