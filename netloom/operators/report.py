@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.functions.numeric import ordered
+from netloom.operators.permuted import Places, dealt_values, placed
 from netloom.sources.store import kept
 
 
@@ -127,11 +128,26 @@ def _numbered(rows: DataFrame, bucket: Column, order: Column, sizes: DataFrame)
     return own.withColumn("k", k).drop("o").join(F.broadcast(at), "bucket").withColumn("k", F.col("before") + F.col("k")).drop("bucket", "before")
 
 
-def shuffled_scores(pairs: DataFrame, rep: int, value: str = "score") -> DataFrame:
-    """i, j, value: values dealt to other pairs, in hash order; tasks sort the pairs of a variable, and those of a range of hashes, by themselves."""
-    order = F.md5(F.concat_ws("~", F.lit(rep).cast("string"), F.col("i").cast("string"), F.col("j").cast("string")))
-    near = F.substring(order, 1, 4)
-    size = lambda by: kept(pairs.groupBy(by.alias("bucket")).agg(F.count("*").alias("n")))
-    a = _numbered(pairs.select("i", "j"), F.col("i"), F.col("j"), size(F.col("i"))).select("i", "j", "k")
-    b = _numbered(pairs.select("i", "j", value), near, order, size(near)).select("k", value)
-    return a.join(b, "k").drop("k")
+def shuffled_scores(pairs: DataFrame, rep: int, value: str = "score", members: DataFrame | None = None) -> DataFrame:
+    """i, j, value: values (doubles, none null) dealt to other pairs, in hash order; tasks sort the pairs of a range of hashes each.
+
+    With members (var, grp; a narrow row each) pairs are all those of members of different groups, or of any where
+    grp is null: places follow from members, which are sent to the values, and pairs are made once and shuffled in
+    2 to 3 bytes each. Else tasks number the pairs of a variable by themselves, and pairs meet their values by number.
+    """
+    places = sizes = None
+    if members is not None:
+        own = members.filter("var IS NOT NULL").select("var", F.col("grp").cast("double")).toPandas().sort_values("var")
+        if own["var"].is_unique:
+            places = Places(own["var"].to_numpy(), own["grp"].to_numpy(dtype=float))
+    if places is None:
+        sizes = kept(pairs.groupBy(F.col("i").alias("bucket")).agg(F.count("*").alias("n")))
+    n = len(places) if sizes is None else sizes.agg(F.sum("n")).first()[0] or 0
+    values = dealt_values(pairs, rep, value, n)
+    if places is not None and (found := values.agg(F.sum("n")).first()[0] or 0) != n:
+        raise ValueError(f"{found} pairs, and members have {n}")
+    before = F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = placed(values.join(F.broadcast(values.select("bucket", before.alias("before"))), "bucket"), places, value)
+    if places is not None:
+        return at
+    return _numbered(pairs.select("i", "j"), F.col("i"), F.col("j"), sizes).select("i", "j", "k").join(at, "k").drop("k")
