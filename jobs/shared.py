@@ -5,7 +5,8 @@ from __future__ import annotations
 import argparse
 import json
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,19 @@ def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings for a while; then they are as they were."""
+    before = {k: spark.conf.get(k) for k in values}  # settings of Spark's own have a default
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def command_line(name: str, about: str, paths: dict[str, str], config: str, run: Callable[[SparkSession, argparse.Namespace], DataFrame]) -> None:
     """Parses the paths, starts a session, runs the job and stops the session."""
     parser = argparse.ArgumentParser(prog=name, description=about)
