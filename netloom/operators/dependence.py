@@ -202,6 +202,13 @@ def mutual_information(m: DataFrame, rule: str | int = "hg", order: int = 3, tra
     return joined_mi(weights(m, nb, order)) if path == "sql" else block_mi(m, nb, order, single=single)
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Centred rows of length 1, or 0: their products are correlations."""
+    c = x - x.mean(axis=1, keepdims=True)
+    s = np.sqrt((c * c).sum(axis=1, keepdims=True))
+    return np.divide(c, s, out=np.zeros_like(x), where=s > 0)
+
+
 def correlation(m: DataFrame, rank: bool = False, keys: tuple[str, ...] = (), least: float | None = None) -> DataFrame:
     """keys (integers), i, j, r: Pearson's (of ranks: Spearman's) correlation of all pairs, 0 where it is undefined.
 
@@ -211,8 +218,7 @@ def correlation(m: DataFrame, rank: bool = False, keys: tuple[str, ...] = (), le
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         xa, xb = (np.stack(t.x.to_list()) for t in (a, b))
-        unit = lambda x: np.divide(c := x - x.mean(axis=1, keepdims=True), s := np.sqrt((c * c).sum(axis=1, keepdims=True)), out=np.zeros_like(x), where=s > 0)
-        r, i, j = unit(xa) @ unit(xb).T, a["var"].to_numpy(), b["var"].to_numpy()
+        r, i, j = unit_rows(xa) @ unit_rows(xb).T, a["var"].to_numpy(), b["var"].to_numpy()
         keep = i[:, None] < j[None, :]
         if least is not None:
             keep &= np.abs(r) >= least

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.functions.numeric import ordered
-from netloom.operators.permuted import Places, dealt_values, placed
+from netloom.operators.dependence import correlation
+from netloom.operators.permuted import Places, dealt_correlations, dealt_values, placed
 from netloom.sources.store import kept
 
 
@@ -135,19 +136,38 @@ def shuffled_scores(pairs: DataFrame, rep: int, value: str = "score", members: D
     grp is null: places follow from members, which are sent to the values, and pairs are made once and shuffled in
     2 to 3 bytes each. Else tasks number the pairs of a variable by themselves, and pairs meet their values by number.
     """
-    places = sizes = None
-    if members is not None:
-        own = members.filter("var IS NOT NULL").select("var", F.col("grp").cast("double")).toPandas().sort_values("var")
-        if own["var"].is_unique:
-            places = Places(own["var"].to_numpy(), own["grp"].to_numpy(dtype=float))
+    places, sizes = _places(members) if members is not None else None, None
     if places is None:
         sizes = kept(pairs.groupBy(F.col("i").alias("bucket")).agg(F.count("*").alias("n")))
     n = len(places) if sizes is None else sizes.agg(F.sum("n")).first()[0] or 0
-    values = dealt_values(pairs, rep, value, n)
-    if places is not None and (found := values.agg(F.sum("n")).first()[0] or 0) != n:
-        raise ValueError(f"{found} pairs, and members have {n}")
-    before = F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at = placed(values.join(F.broadcast(values.select("bucket", before.alias("before"))), "bucket"), places, value)
+    at = _at_places(dealt_values(pairs, rep, value, n), places, value)
     if places is not None:
         return at
     return _numbered(pairs.select("i", "j"), F.col("i"), F.col("j"), sizes).select("i", "j", "k").join(at, "k").drop("k")
+
+
+def shuffled_correlations(m: DataFrame, members: DataFrame, rep: int, digits: int) -> DataFrame:
+    """i, j, score: `shuffled_scores` of the absolute correlations, rounded, of the variables of m (var, sample, x; a value for each) that
+    are members (var, grp). Pairs are made, hashed and packed in their tasks, in passes, and each is under way in one of them only."""
+    places = _places(members.join(m.select("var").distinct(), "var", "left_semi"))
+    if places is None:  # members of several groups
+        a, b = (members.select(F.col("var").alias(n), F.col("grp").alias(f"grp_{n}")) for n in ("i", "j"))
+        apart = F.col("grp_i").isNull() | F.col("grp_j").isNull() | (F.col("grp_i") != F.col("grp_j"))
+        pairs = correlation(m).join(F.broadcast(a), "i").join(F.broadcast(b), "j").filter(apart)
+        return shuffled_scores(pairs.select("i", "j", F.round(F.abs("r"), digits).alias("score")), rep)
+    rows = m.groupBy("var").agg(F.sort_array(F.collect_list(F.struct("sample", "x"))).alias("xs")).select("var", F.col("xs.x").alias("x"))
+    return _at_places(dealt_correlations(rows, places, rep, digits), places, "score")
+
+
+def _places(members: DataFrame) -> Places | None:
+    """Of members with one row each."""
+    own = members.filter("var IS NOT NULL").select("var", F.col("grp").cast("double")).toPandas().sort_values("var")
+    return Places(own["var"].to_numpy(), own["grp"].to_numpy(dtype=float)) if own["var"].is_unique else None
+
+
+def _at_places(values: DataFrame, places: Places | None, value: str) -> DataFrame:
+    """Dealt values at their places."""
+    if places is not None and (found := values.agg(F.sum("n")).first()[0] or 0) != len(places):
+        raise ValueError(f"{found} pairs, and members have {len(places)}")
+    before = F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return placed(values.join(F.broadcast(values.select("bucket", before.alias("before"))), "bucket"), places, value)
