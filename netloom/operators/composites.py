@@ -231,15 +231,16 @@ def tie_ensemble(m: DataFrame, draws: int) -> DataFrame:
     return calibrate.averaged(calibrated_correlations(r, ("draw",)))
 
 
-def set_table(pairs: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
-    """set_id, n_pos, n_neg, base_rate, same_group, ap, nonzero of a set's pairs (set_id, i, j, label, score).
+def set_table(pairs: DataFrame, groups: DataFrame, members: DataFrame, weight: str | None = None) -> DataFrame:
+    """set_id, n_pos, n_neg, base_rate, same_group, ap, nonzero of a set's pairs (set_id, label, score), which count `weight` times, or once.
 
     same_group: the share of all pairs of members (set_id, member) that lie in one group (member, grp), null without pairs;
     nonzero: the share of scores that aren't 0.
     """
-    ap = metrics.expected_average_precision(pairs, ["set_id"]).select("set_id", "ap")
+    ap = metrics.expected_average_precision(pairs, ["set_id"], weight=weight).select("set_id", "ap")
+    many = F.lit(1).cast("long") if weight is None else F.col(weight)
     n = pairs.groupBy("set_id").agg(
-        F.sum(F.col("label").cast("long")).alias("n_pos"), F.sum((1 - F.col("label")).cast("long")).alias("n_neg"), F.avg((F.col("score") != 0).cast("double")).alias("nonzero")
+        F.sum(F.col("label") * many).alias("n_pos"), F.sum((1 - F.col("label")) * many).alias("n_neg"), (F.sum((F.col("score") != 0).cast("double") * many) / F.sum(many)).alias("nonzero")
     )
     own = members.select("set_id", "member").distinct().join(groups.select("member", "grp").distinct(), "member")
     sizes = own.groupBy("set_id", "grp").agg(F.count("*").cast("double").alias("c")).groupBy("set_id").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("same"), F.sum("c").alias("c"))

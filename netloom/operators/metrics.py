@@ -47,7 +47,7 @@ def _harmonic(a: Column, b: Column) -> Column:
     return F.when(b - a <= LEAST_HARMONIC, add(a, b)).otherwise(add(a, low) + F.log1p((y - x) / x) + rest(y) - rest(x))
 
 
-def expected_average_precision(pairs: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+def expected_average_precision(pairs: DataFrame, keys: list[str], score: str = "score", weight: str | None = None) -> DataFrame:
     """keys, ap: its expectation over random orders of tied pairs.
 
     At place t of a block of n pairs with r positives, after c pairs with p positives, a positive
@@ -58,7 +58,7 @@ def expected_average_precision(pairs: DataFrame, keys: list[str], score: str = "
     more = F.when(F.col("n") > 1, (F.col("tp") - 1) / (F.col("n") - 1).cast("double")).otherwise(0.0)
     share = F.col("tp").cast("double") / F.col("n")
     term = F.when(F.col("tp") > 0, share * (more * F.col("n") + (before + 1 - more * (above + 1)) * _harmonic(above, F.col("k"))))
-    out = blocks(pairs, keys, score).withColumn("term", term).groupBy(*keys).agg(F.sum("term").alias("s"), F.sum("tp").alias("n_pos"))
+    out = blocks(pairs, keys, score, weight).withColumn("term", term).groupBy(*keys).agg(F.sum("term").alias("s"), F.sum("tp").alias("n_pos"))
     return (out.filter("s IS NOT NULL") if keys else out).select(*keys, (F.col("s") / F.col("n_pos")).alias("ap"), "n_pos")
 
 
@@ -75,9 +75,9 @@ def pessimistic_average_precision(pairs: DataFrame, keys: list[str], score: str
     return at.groupBy(*keys).agg((F.sum(F.when(F.col("label") == 1, F.col("cum").cast("double") / F.col("k"))) / F.sum("label")).alias("ap"))
 
 
-def auroc(pairs: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+def auroc(pairs: DataFrame, keys: list[str], score: str = "score", weight: str | None = None) -> DataFrame:
     """keys, auroc, n_pos, n_neg: the share of positive-negative pairs in order, ties half."""
-    b = blocks(pairs, keys, score)
+    b = blocks(pairs, keys, score, weight)
     # in a block, the average rank from below is (all - k) + (n + 1) / 2
     total = F.sum("n").over(W.partitionBy(*keys))
     r = b.withColumn("rank", (total - F.col("k")) + (F.col("n") + 1) / 2.0)
@@ -125,9 +125,9 @@ def graded(pairs: DataFrame, keys: list[str], grade: str = "grade", score: str =
     return sums.select(*keys, F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("rho"), "n")
 
 
-def stratified_auroc(pairs: DataFrame, strata: str, score: str = "score") -> DataFrame:
+def stratified_auroc(pairs: DataFrame, strata: str, score: str = "score", weight: str | None = None) -> DataFrame:
     """One row: the shares in order of all strata, weighted by their positive-negative pairs."""
-    per = auroc(pairs, [strata], score).filter("auroc IS NOT NULL")
+    per = auroc(pairs, [strata], score, weight).filter("auroc IS NOT NULL")
     weight = F.col("n_pos").cast("double") * F.col("n_neg")
     return per.agg((F.sum(F.col("auroc") * weight) / F.sum(weight)).alias("auroc"), F.count("*").alias("strata"))
 
@@ -146,11 +146,16 @@ def stratified_rank(pairs: DataFrame, value: str, score: str = "score", n: int =
     return with_ranks(at, {score: "pct"}, ["stratum"], lambda r, size: r / size)
 
 
-def hits_in_top(pairs: DataFrame, keys: list[str], k: int = 100, score: str = "score") -> DataFrame:
-    """keys, sensitivity: the share of positives among the k best, ties in order of (i, j)."""
+def hits_in_top(pairs: DataFrame, keys: list[str], k: int = 100, score: str = "score", totals: DataFrame | None = None) -> DataFrame:
+    """keys, sensitivity: the share of positives among the k best, ties in order of (i, j).
+
+    With totals (keys, label, n: counts of all pairs) pairs may be some, among which are the k best."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(score).desc(), "i", "j"))
-    at = prepared(pairs, score).withColumn("k", rank)
-    return at.groupBy(*keys).agg((F.sum(F.when(F.col("k") <= k, F.col("label")).otherwise(0)) / F.sum("label").cast("double")).alias("sensitivity"))
+    # only the best of each task are sorted; all others are counted
+    best = prepared(pairs, score).withColumn("k", rank).filter(F.col("k") <= k).select(*keys, F.col("label").cast("long").alias("hit"), F.lit(0).cast("long").alias("label"))
+    many = pairs.select(*keys, F.col("label").cast("long").alias("label")) if totals is None else totals.select(*keys, (F.col("label") * F.col("n")).alias("label"))
+    every = best.unionByName(many.select(*keys, F.lit(0).cast("long").alias("hit"), "label"))
+    return every.groupBy(*keys).agg(F.try_divide(F.sum("hit").cast("double"), F.sum("label").cast("double")).alias("sensitivity"))
 
 
 def rowwise(scores: DataFrame, held_out: DataFrame, k: int = 20, score: str = "score") -> DataFrame:

@@ -106,7 +106,7 @@ UNION ALL SELECT 'coherence', class, unnest(['median_auroc', 'share_high', 'sets
     lambda s, d: r6(
         composites.score_rows(
             (c := kept(CE._strata(s, d))).filter("stratum = 'all'"), c.filter("stratum <> 'all'"),
-            metrics.auroc(CE._coherence(s, d), ["set_id"]).select("set_id", F.concat(F.lit("c"), F.col("set_id") % 2).alias("class"), "auroc"), high=0.5, weight="n",
+            metrics.auroc(CE._coherence(s, d), ["set_id"], weight="n").select("set_id", F.concat(F.lit("c"), F.col("set_id") % 2).alias("class"), "auroc"), high=0.5, weight="n",
         ), "value",
     )
 )
@@ -150,7 +150,7 @@ nn AS (SELECT set_id, CAST(sum(label) AS BIGINT) AS n_pos, CAST(sum(1 - label) A
 pe AS (SELECT set_id, sum(tp / CAST(n AS DOUBLE) * (cum - tp + 1 + CASE WHEN n > 1 THEN (t - 1) * (tp - 1) / CAST(n - 1 AS DOUBLE) ELSE 0 END) / (k - n + t)) AS s FROM ex GROUP BY set_id),
 sg AS (SELECT set_id, sum(c * (c - 1)) / nullif(CAST(sum(c) * (sum(c) - 1) AS DOUBLE), 0) AS same_group FROM (SELECT set_id, grp, count(*) AS c FROM sets GROUP BY 1, 2) GROUP BY set_id)
 SELECT set_id, n_pos, n_neg, {rsql('n_pos / CAST(n_pos + n_neg AS DOUBLE)', 'base_rate')}, {rsql('same_group', 'same_group')}, {rsql('s / n_pos', 'ap')}, {rsql('nonzero', 'nonzero')} FROM nn JOIN pe USING (set_id) JOIN sg USING (set_id)""",
-)(lambda s, d: r6(composites.set_table(CE._coherence(s, d), CE._groups(s, d), CE._members(s, d)), "base_rate", "same_group", "ap", "nonzero"))
+)(lambda s, d: r6(composites.set_table(CE._coherence(s, d), CE._groups(s, d), CE._members(s, d), weight="n"), "base_rate", "same_group", "ap", "nonzero"))
 _LOAD = """lo AS (SELECT var, sample AS pc, abs(x - 25) AS a FROM m), lr AS (SELECT *, rank() OVER (PARTITION BY pc ORDER BY a) + (count(*) OVER (PARTITION BY pc, a) - 1) / 2.0 AS r FROM lo),
 ti AS (SELECT pc, sum(t * t * t - t) AS ties, sum(t) AS n_all FROM (SELECT pc, a, CAST(count(*) AS DOUBLE) AS t FROM lo GROUP BY 1, 2) GROUP BY 1),
 ow AS (SELECT set_id, pc, count(*) AS n, sum(r) AS s FROM sets JOIN lr ON var = member GROUP BY 1, 2),
