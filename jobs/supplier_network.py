@@ -27,7 +27,7 @@ from netloom.operators import bins
 from netloom.operators.calibrate import calibrated
 from netloom.operators.dependence import block_mi
 from netloom.operators.graph import contenders, top_k
-from netloom.operators.metrics import auroc, average_precision
+from netloom.operators.metrics import ranked_apart
 from netloom.operators.transform import completed, varying
 from netloom.sources.store import kept
 
@@ -72,8 +72,7 @@ def run(spark: SparkSession, lineitem: str, supplier: str, nation: str, output:
     edges = named(chosen, "src", "dst").select("src", "dst", F.col("w").alias("score"), "same_nation", "region")
 
     labelled = scores.withColumn("label", F.col("same_nation").cast("int"))
-    ap = average_precision(labelled, ["region"]).select("region", F.col("n").alias("pairs"), F.col("n_pos").alias("positives"), "ap", "base_rate")
-    evaluation = ap.join(auroc(labelled, ["region"]).select("region", "auroc"), "region").select("pairs", "positives", "ap", "base_rate", "auroc", "region")
+    evaluation = ranked_apart(labelled, ["region"]).select(F.col("n").alias("pairs"), F.col("n_pos").alias("positives"), "ap", "base_rate", "auroc", "region")
     for df, path in ((edges, edges_path), (evaluation, evaluation_path)):
         df.repartition("region").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("region").parquet(path)
 

@@ -31,12 +31,12 @@ def backgrounds(edges: DataFrame, value: str = "mi", keys: tuple[str, ...] = ())
 
 
 def calibrated(edges: DataFrame, value: str = "mi", combine: str = "stouffer", keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, i, j, value, score: both members' z-scores of the value, below 0 clipped, combined."""
+    """keys, i, j, value, score: both members' z-scores of the value, below 0 clipped, combined. Backgrounds, a row a variable, are sent to the pairs."""
     g = backgrounds(edges, value, keys)
     gi = g.select(*keys, F.col("src").alias("i"), F.col("mu").alias("mu_i"), F.col("sd").alias("sd_i"))
     gj = g.select(*keys, F.col("src").alias("j"), F.col("mu").alias("mu_j"), F.col("sd").alias("sd_j"))
     z = lambda k: F.greatest(F.when(F.col(f"sd_{k}") > 0, (F.col(value) - F.col(f"mu_{k}")) / F.col(f"sd_{k}")).otherwise(0.0), F.lit(0.0))
-    rows = edges.join(gi, [*keys, "i"]).join(gj, [*keys, "j"])
+    rows = edges.join(F.broadcast(gi), [*keys, "i"]).join(F.broadcast(gj), [*keys, "j"])
     return rows.select(*keys, "i", "j", value, combined(z("i"), z("j"), combine).alias("score"))
 
 

@@ -12,6 +12,8 @@ from netloom.sources.store import kept
 DIGITS = 9
 #: Terms of a harmonic sum that are added one by one.
 LEAST_HARMONIC = 64
+#: Ranges of a key's scores that are ranked apart.
+RANGES = 4096
 
 
 def prepared(pairs: DataFrame, score: str = "score") -> DataFrame:
@@ -86,6 +88,37 @@ def auroc(pairs: DataFrame, keys: list[str], score: str = "score", weight: str |
     return out.select(*keys, F.when((F.col("p") > 0) & (F.col("q") > 0), value).alias("auroc"), F.col("p").cast("long").alias("n_pos"), F.col("q").cast("long").alias("n_neg"))
 
 
+def ranked_apart(pairs: DataFrame, keys: list[str], score: str = "score", ranges: int = RANGES) -> DataFrame:
+    """keys, n, n_pos, ap, base_rate, auroc, as `average_precision` and `auroc` have them, where scores are about as many as pairs.
+
+    A key's scores are put into ranges of equal width, whose counts are few and are added up first; pairs are shuffled once, by
+    key and range, so that no task ranks all of a key.
+    """
+    own = prepared(pairs, score).select(*keys, F.col(score).alias("_s"), F.col("label").cast("long").alias("_l"))
+    finite = F.when(F.abs("_s") < float("inf"), F.col("_s"))
+    ends = kept(own.groupBy(*keys).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.count("*").alias("_all")))
+    same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in keys] or F.lit(True)
+    at = own.join(F.broadcast(ends), same(own, ends)).drop(*[ends[c] for c in keys])
+    width = F.col("_hi") - F.col("_lo")
+    place = F.when(width > 0, F.floor((F.col("_s") - F.col("_lo")) / width * ranges)).otherwise(0)
+    place = F.when(F.col("_s") == float("-inf"), -1).when(F.col("_s") == float("inf"), ranges).otherwise(F.least(place, F.lit(ranges - 1))).cast("int")
+    at = at.select(*keys, "_all", "_s", "_l", place.alias("_at"))
+    down = W.partitionBy(*keys).orderBy(F.col("_at").desc()).rowsBetween(W.unboundedPreceding, -1)
+    sums = at.groupBy(*keys, "_at").agg(F.count("*").alias("_n"), F.sum("_l").alias("_tp"))
+    above = kept(sums.select(*keys, "_at", F.coalesce(F.sum("_n").over(down), F.lit(0)).alias("_k0"), F.coalesce(F.sum("_tp").over(down), F.lit(0)).alias("_cum0")))
+    b = at.repartition(*keys, "_at").groupBy(*keys, "_at", "_s").agg(F.count("*").alias("n"), F.sum("_l").alias("tp"), F.first("_all").alias("_all"))
+    up = W.partitionBy(*keys, "_at").orderBy(F.col("_s").desc()).rowsBetween(W.unboundedPreceding, 0)
+    b = b.withColumn("k", F.sum("n").over(up)).withColumn("cum", F.sum("tp").over(up))
+    b = b.join(F.broadcast(above), [b["_at"] == above["_at"], *([] if not keys else same(b, above))]).drop(above["_at"], *[above[c] for c in keys])
+    k, cum = F.col("k") + F.col("_k0"), F.col("cum") + F.col("_cum0")
+    out = b.groupBy(*keys).agg(
+        F.sum(F.col("tp") * (cum.cast("double") / k)).alias("a"), F.sum("n").alias("n"), F.sum("tp").alias("n_pos"), F.sum(F.col("tp") * ((F.col("_all") - k) + (F.col("n") + 1) / 2.0)).alias("s")
+    )
+    p, q = F.col("n_pos").cast("double"), (F.col("n") - F.col("n_pos")).cast("double")
+    area = F.when((p > 0) & (q > 0), (F.col("s") - p * (p + 1) / 2) / (p * q))
+    return out.select(*keys, "n", "n_pos", F.try_divide(F.col("a"), F.col("n_pos")).alias("ap"), (p / F.col("n")).alias("base_rate"), area.alias("auroc"))
+
+
 def positives_at_precision(pairs: DataFrame, keys: list[str], levels: tuple[float, ...] = (0.8, 0.6, 0.4), least: int = 10, score: str = "score") -> DataFrame:
     """keys, tp_<level>: positives in the longest prefix of at least `least` pairs with that precision, else 0."""
     b = blocks(pairs, keys, score)
